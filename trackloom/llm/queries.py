@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op3_bpe
+from .chat import op5_chat
+from .classifier import op7_quality
+from .curriculum import OP4_SQL, op4_curriculum
 from .katz import op1_katz
+from .perplexity import op2_quality_rules
+from .trie_join import OP6_SQL, op6_trie_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_bpe": op3_bpe,
+    "op4_curriculum": op4_curriculum,
+    "op5_chat": op5_chat,
+    "op6_trie_join": op6_trie_join,
+    "op7_quality": op7_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_curriculum": OP4_SQL, "op6_trie_join": OP6_SQL}
