@@ -12,7 +12,9 @@ from .classifier import op7_quality
 from .curriculum import OP4_SQL, op4_curriculum
 from .katz import op1_katz
 from .perplexity import op2_quality_rules
+from .topk import OP9_SQL, op9_top_k
 from .trie_join import OP6_SQL, op6_trie_join
+from .warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz": op1_katz,
@@ -22,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_trie_join": op6_trie_join,
     "op7_quality": op7_quality,
+    "op8_warc": op8_warc,
+    "op9_top_k": op9_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_curriculum": OP4_SQL, "op6_trie_join": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_curriculum": OP4_SQL, "op6_trie_join": OP6_SQL, "op8_warc": OP8_SQL, "op9_top_k": OP9_SQL}
