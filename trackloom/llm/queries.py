@@ -12,6 +12,7 @@ from .classifier import op7_quality
 from .curriculum import OP4_SQL, op4_curriculum
 from .katz import op1_katz
 from .perplexity import op2_quality_rules
+from .secrets import op10_secrets
 from .topk import OP9_SQL, op9_top_k
 from .trie_join import OP6_SQL, op6_trie_join
 from .warc import OP8_SQL, op8_warc
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_warc": op8_warc,
     "op9_top_k": op9_top_k,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_curriculum": OP4_SQL, "op6_trie_join": OP6_SQL, "op8_warc": OP8_SQL, "op9_top_k": OP9_SQL}
