@@ -146,7 +146,7 @@ def number_rallies(kept: DataFrame) -> DataFrame:
     order = Window.partitionBy("video_id").orderBy("start_frame")
     observed = F.size(F.filter("hits", lambda h: h["observed"])).cast("long")
     return kept.select(
-        "video_id", F.row_number().over(order).alias("rally"), "start_frame", "end_frame",
+        "video_id", F.row_number().over(order).cast("long").alias("rally"), "start_frame", "end_frame",
         (F.col("start_frame") / F.col("fps")).alias("start_seconds"), (F.col("end_frame") / F.col("fps")).alias("end_seconds"),
         F.size("hits").cast("long").alias("hit_count"), observed.alias("observed_hits"), (F.size("hits") - observed).alias("inferred_gap_hits"), "hits",
     )
@@ -160,5 +160,5 @@ def analyze(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAU
     """
     known = videos.where("fps > 0")
     rallies = number_rallies(qualify(with_hits(turns(segment_signals(trajectory, known, p), p)), p))
-    hits = rallies.select("video_id", "rally", F.posexplode("hits").alias("hit", "h")).select("video_id", "rally", (F.col("hit") + 1).alias("hit"), "h.*")
+    hits = rallies.select("video_id", "rally", F.posexplode("hits").alias("hit", "h")).select("video_id", "rally", (F.col("hit") + 1).cast("long").alias("hit"), "h.*")
     return rallies, hits

@@ -179,7 +179,7 @@ def f18(s, d):
 def d5(s, d):
     # rallies of a video are disjoint: the last one begun is the only one that can hold the frame
     t, r = tables(s, d)[0], rallies(s, d)
-    marks = t.select("video_id", "frame", F.lit(1).alias("kind"), F.lit(None).cast("struct<rally:int,end_frame:bigint>").alias("r"))
+    marks = t.select("video_id", "frame", F.lit(1).alias("kind"), F.lit(None).cast("struct<rally:bigint,end_frame:bigint>").alias("r"))
     marks = marks.unionByName(r.select("video_id", F.col("start_frame").alias("frame"), F.lit(0).alias("kind"), F.struct("rally", "end_frame").alias("r")))
     seen = F.last("r", ignorenulls=True).over(Window.partitionBy("video_id").orderBy("frame", "kind").rowsBetween(Window.unboundedPreceding, 0))
     return marks.withColumn("r", seen).where("kind = 1").select("video_id", "frame", F.when(F.col("frame") <= F.col("r.end_frame"), F.col("r.rally")).alias("rally"))
@@ -206,10 +206,10 @@ def b4(s, d):
     )
 
 
-@plan("b5_write_hits", "select video_id, rally, hit, frame, round(seconds, 3) as seconds, round(x, 2) as x, round(y, 2) as y, case when observed then 'observed' else 'inferred_gap' end as source, rule, round(confidence, 3) as confidence from hits")
+@plan("b5_write_hits", "select video_id, rally, hit, frame, round(seconds, 6) as seconds, round(x, 6) as x, round(y, 6) as y, case when observed then 'observed' else 'inferred_gap' end as source, rule, round(confidence, 6) as confidence from hits")
 def b5(s, d):
     source = F.when(F.col("observed"), "observed").otherwise("inferred_gap").alias("source")
-    return hits(s, d).select("video_id", "rally", "hit", "frame", F.round("seconds", 3).alias("seconds"), F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), source, "rule", F.round("confidence", 3).alias("confidence"))
+    return hits(s, d).select("video_id", "rally", "hit", "frame", r6("seconds"), r6("x"), r6("y"), source, "rule", r6("confidence"))
 
 
 @plan("b3_write_rally_index", "select video_id, rally, start_frame, end_frame, hit_count as auto_hit_count, null::bigint as manual_hit_count, hit_count as effective_hit_count, 'unreviewed' as review_status, observed_hits, inferred_gap_hits from rallies")

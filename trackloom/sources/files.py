@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 CSV_TRAJECTORY = T.StructType([T.StructField("Frame", T.LongType()), T.StructField("Visibility", T.IntegerType()), T.StructField("X", T.DoubleType()), T.StructField("Y", T.DoubleType())])
 #: Names and order of a feed entry's fields.
-FEED = "array<struct<rally:int,startFrame:bigint,endFrame:bigint,startSeconds:double,endSeconds:double,hitCount:bigint,manualHitCount:bigint,effectiveHitCount:bigint,reviewStatus:string,observedHits:bigint,inferredGapHits:bigint,confidence:string,clip:string>>"
+FEED = "array<struct<rally:bigint,startFrame:bigint,endFrame:bigint,startSeconds:double,endSeconds:double,hitCount:bigint,manualHitCount:bigint,effectiveHitCount:bigint,reviewStatus:string,observedHits:bigint,inferredGapHits:bigint,confidence:string,clip:string>>"
 MEDIA = ("mp4", "mov", "mkv", "m4v", "avi", "webm")
 PROGRESS = "status string, framesCompleted bigint, framesTarget bigint, percent double, fps double, etaSeconds double"
 
