@@ -8,12 +8,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..params import DEFAULTS, RallyParameters
 
-BY_FRAME = Window.partitionBy("video_id").orderBy("frame")
-BY_POS = Window.partitionBy("video_id").orderBy("pos")
+def by_frame() -> WindowSpec:
+    """A video in order of frames."""
+    return Window.partitionBy("video_id").orderBy("frame")
+
+
+def by_pos() -> WindowSpec:
+    """A video in order of places."""
+    return Window.partitionBy("video_id").orderBy("pos")
+
 
 
 def diagonal() -> Column:
@@ -22,13 +29,13 @@ def diagonal() -> Column:
 
 def positions(trajectory: DataFrame) -> DataFrame:
     """Add pos, the row's place in its video from 0; frames may be missing, places are not."""
-    return trajectory.withColumn("pos", (F.row_number().over(BY_FRAME) - 1).cast("long"))
+    return trajectory.withColumn("pos", (F.row_number().over(by_frame()) - 1).cast("long"))
 
 
 def invisible_gaps(trajectory: DataFrame) -> DataFrame:
     """Gaps between successive visible rows: video_id, left, right, size, and both ends' points."""
     shown = positions(trajectory).where("visible")
-    ahead = [F.lead(c).over(BY_POS).alias(f"right_{c}") for c in ("pos", "x", "y")]
+    ahead = [F.lead(c).over(by_pos()).alias(f"right_{c}") for c in ("pos", "x", "y")]
     return (
         shown.select("video_id", F.col("pos").alias("left_pos"), F.col("x").alias("left_x"), F.col("y").alias("left_y"), *ahead)
         .where("right_pos > left_pos + 1")
@@ -40,7 +47,7 @@ def hidden_runs(trajectory: DataFrame) -> DataFrame:
     """All runs of invisible rows, those at the ends too: first and last place, length, and
     whether the run lies between two visible rows."""
     rows = positions(trajectory)
-    hidden = rows.where("not visible").withColumn("island", F.col("pos") - F.row_number().over(BY_POS))
+    hidden = rows.where("not visible").withColumn("island", F.col("pos") - F.row_number().over(by_pos()))
     runs = hidden.groupBy("video_id", "island").agg(F.min("pos").alias("run_start"), F.max("pos").alias("run_end"), F.count("*").alias("length"))
     shown = rows.where("visible").groupBy("video_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     inner = (F.col("run_start") >= F.col("lo")) & (F.col("run_end") <= F.col("hi"))
@@ -49,7 +56,7 @@ def hidden_runs(trajectory: DataFrame) -> DataFrame:
 
 def run_length_of_rows(trajectory: DataFrame) -> DataFrame:
     """Each row with the length of the invisible run that it is in, 0 for visible rows."""
-    rows = positions(trajectory).withColumn("island", F.col("pos") - F.sum(F.col("visible").cast("int")).over(BY_POS) * 0 - F.row_number().over(Window.partitionBy("video_id", "visible").orderBy("pos")))
+    rows = positions(trajectory).withColumn("island", F.col("pos") - F.sum(F.col("visible").cast("int")).over(by_pos()) * 0 - F.row_number().over(Window.partitionBy("video_id", "visible").orderBy("pos")))
     size = F.count("*").over(Window.partitionBy("video_id", "visible", "island"))
     return rows.select("video_id", "frame", F.when(F.col("visible"), 0).otherwise(size).cast("long").alias("gap_length"))
 
@@ -139,10 +146,10 @@ def segment_rows(trajectory: DataFrame, videos: DataFrame, p: RallyParameters =
     """
     cuts = split_gaps(trajectory, videos, p).where("is_split").select("video_id", F.col("left_pos").alias("pos"), F.lit(1).alias("cut"))
     rows = positions(trajectory).join(cuts, ["video_id", "pos"], "left")
-    before = BY_POS.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_pos().rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.when(F.col("visible"), F.coalesce(F.sum("cut").over(before), F.lit(0))))
-    last = F.last("own", ignorenulls=True).over(BY_POS.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("own", ignorenulls=True).over(BY_POS.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last("own", ignorenulls=True).over(by_pos().rowsBetween(Window.unboundedPreceding, 0))
+    following = F.first("own", ignorenulls=True).over(by_pos().rowsBetween(0, Window.unboundedFollowing))
     return rows.withColumn("segment_id", last).withColumn("_next", following).where("segment_id = _next").drop("own", "cut", "_next")
 
 

@@ -194,7 +194,7 @@ def d10(s, d):
 @plan("d11_next_visible", "select video_id, pos, (select min(pos) from traj u where u.video_id = t.video_id and u.pos > t.pos and u.visible) as next_pos from traj t")
 def d11(s, d):
     shown = F.when(F.col("visible"), F.col("pos"))
-    ahead = F.first(shown, ignorenulls=True).over(G.BY_POS.rowsBetween(1, Window.unboundedFollowing))
+    ahead = F.first(shown, ignorenulls=True).over(G.by_pos().rowsBetween(1, Window.unboundedFollowing))
     return G.positions(tables(s, d)[0]).select("video_id", "pos", ahead.alias("next_pos"))
 
 

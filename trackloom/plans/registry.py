@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core
+from . import core, more
 
-MODULES = (core,)
+MODULES = (core, more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
