@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def two(c: Column) -> Column:
-    return F.lpad(c.cast("string"), 2, "0")
+    """A number with two digits at least."""
+    text = c.cast("string")
+    return F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)
 
 
 def clock(seconds: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .gaps import by_frame(), diagonal, hidden_runs, positions
+from .gaps import by_frame, diagonal, hidden_runs, positions
 
 KEYS = ["video_id", "frame"]
 

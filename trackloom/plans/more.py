@@ -196,10 +196,10 @@ def c8(s, d):
     return tables(s, d)[0].select("video_id", "frame", F.when(~F.col("visible"), "hidden").when(F.col("x") >= 20, "accepted").otherwise("rejected").alias("kind"))
 
 
-@plan("c14_normalize_xy", " select video_id, frame, round(x / 640, 5) as x, round(y / 720, 5) as y from traj")
+@plan("c14_normalize_xy", " select video_id, frame, round(x / 640, 9) as x, round(y / 720, 9) as y from traj")
 def c14(s, d):
     t, v = tables(s, d)
-    return t.join(v, "video_id").select("video_id", "frame", F.round(F.col("x") / F.col("width"), 5).alias("x"), F.round(F.col("y") / F.col("height"), 5).alias("y"))
+    return t.join(v, "video_id").select("video_id", "frame", F.round(F.col("x") / F.col("width"), 9).alias("x"), F.round(F.col("y") / F.col("height"), 9).alias("y"))
 
 
 @plan("f17_trailing_history", ", k as (select *, row_number() over (partition by video_id order by pos) as n from traj where visible), g as (select t.video_id, t.frame, (select max(n) from k where k.video_id = t.video_id and k.pos <= t.pos) as m from traj t where t.video_id < 40) select g.video_id, g.frame, (select coalesce(string_agg(k.frame::varchar, ',' order by k.n desc), '') from k where k.video_id = g.video_id and k.n between g.m - 11 and g.m) as frames from g")
@@ -548,7 +548,7 @@ def s1(s, d):
 
 SQL["s1_format_seconds"] = NUMBERS + """, p as (select event_id, t, round(t)::bigint as s, floor(t)::bigint as f from q)
 select event_id, case when s >= 3600 then format('{:02d}:', s // 3600) else '' end || format('{:02d}:{:02d}', s % 3600 // 60, s % 60) as c,
-  lpad((f // 60)::varchar, greatest(2, length((f // 60)::varchar)), '0') || ':' || lpad(format('{:.2f}', t - f // 60 * 60), 5, '0') as h,
+  lpad((f // 60)::varchar, greatest(2, length((f // 60)::varchar))::integer, '0') || ':' || lpad(format('{:.2f}', t - f // 60 * 60), 5, '0') as h,
   case when f >= 3600 then format('{:02d}:', f // 3600) else '' end || format('{:02d}:{:02d}', f % 3600 // 60, f % 60) as m from p"""
 
 
