@@ -252,3 +252,20 @@ def c2(s, d):
 def f9(s, d):
     fps, p = F.col("fps"), DEFAULTS
     return tables(s, d)[1].select("fps").distinct().select("fps", p.smooth_window(fps).alias("smooth"), p.split_gap(fps).alias("split"), p.restart_gap(fps).alias("restart"), p.turn_window(fps).alias("turn"), p.merge_gap(fps).alias("merge"))
+
+
+@plan("k2_incremental_emit", "select video_id, start_frame, end_frame, hit_count from rallies")
+def k2(s, d):
+    import uuid
+
+    from ..sources.tables import TRAJECTORY
+    from ..streaming.rallies import RallyStream
+
+    base = s.conf.get("spark.checkpoint.dir", None) or f"{s.conf.get('spark.sql.warehouse.dir')}/streams"
+    root = f"{base}/trackloom-stream-{uuid.uuid4().hex}"
+    t, v = tables(s, d)
+    for half, rows in enumerate((t.where("frame < 40"), t.where("frame >= 40"))):
+        rows.coalesce(1).write.parquet(f"{root}/input/{half}")
+    stream = RallyStream(s, f"{root}/run", v)
+    source = s.readStream.schema(TRAJECTORY).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/input")
+    return stream.finish(stream.run(source)).select("video_id", "start_frame", "end_frame", "hit_count")
