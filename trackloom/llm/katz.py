@@ -1,7 +1,9 @@
 """Katz backoff language model over word pairs, counted and scored over a whole corpus.
 
-Texts are encoded once into a table of batches (word hashes and codes). Words
-get dense ids by falling frequency, so a pair packs into a few bytes. Each
+Texts are encoded once into a table of batches of token codes. Their distinct
+words are counted in shards and get dense ids by falling frequency, so a pair
+packs into a few bytes. Keys and values travel packed, a blob for each batch and
+shard, and never as a row a word. Each
 batch sends its distinct pairs, with their training counts, to the shard of
 the pair's context; a shard adds the counts up, keeps them as the model's
 table, and answers every batch with the totals of the pairs it asked for.
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, bounded_batches, deltas, hashes, held_out, mix, pack, shards_for, text_slices, unpack, with_global_index
+from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, held_out, mix, pack, shards_for, text_slices, unpack, with_global_index
 
 #: Counts up to this one are discounted; larger ones are trusted.
 TRUSTED = 5
@@ -32,11 +34,15 @@ SHARD_TOKENS = 4_000_000
 #: The hash of the end of a text, which also stands before its first word.
 END = int(hashes([b""]).view(np.int64)[0])
 
-BATCH_SCHEMA = "batch_id long, doc_ids array<long>, lens array<long>, train binary, words array<long>, counts array<long>, codes binary"
+ENCODED = "kind string, shard int, batch_id long, blob binary, doc_ids array<long>, lens array<long>, train binary, shards binary"
+_ENCODED = pa.schema(
+    [("kind", pa.string()), ("shard", pa.int32()), ("batch_id", pa.int64()), ("blob", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("train", pa.binary()), ("shards", pa.binary())]
+)
 
 
-def encode(docs: DataFrame, train: Column) -> DataFrame:
-    """One row for each slice of texts: word hashes, training counts and token codes.
+def encode(shards: int):
+    """Map: each slice of texts as token codes, and its distinct words, with their
+    training counts, packed for each shard of the words' space.
 
     Every text ends in one END token. A null text has only that token.
     """
@@ -54,23 +60,112 @@ def encode(docs: DataFrame, train: Column) -> DataFrame:
                 stream[np.arange(n) + words.doc] = codes
                 lens = words.per_doc + 1
                 learn = flags[first:end].astype(bool)
-                counts = np.bincount(stream[np.repeat(learn, lens)], minlength=len(dictionary) + 1)
-                keys = np.append(hashes(dictionary).view(np.int64), END)
+                counts = np.bincount(stream[np.repeat(learn, lens)], minlength=len(dictionary) + 1).astype(np.uint32)
+                keys = np.append(hashes(dictionary), np.uint64(END & MASK64))
+                shard = (keys % np.uint64(shards)).astype(np.uint32)
+                full = np.unique(shard).tolist()
+                blobs = [pack(keys[shard == k], counts[shard == k]) for k in full]
+                m = len(full)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "batch_id": pa.array([(part << 32) + step], pa.int64()),
-                        "doc_ids": pa.array([ids.slice(first, docs_here).to_pylist()], pa.list_(pa.int64())),
-                        "lens": pa.array([lens], pa.list_(pa.int64())),
-                        "train": pa.array([learn.tobytes()], pa.binary()),
-                        "words": pa.array([keys], pa.list_(pa.int64())),
-                        "counts": pa.array([counts], pa.list_(pa.int64())),
-                        "codes": pa.array([pack(stream)], pa.binary()),
-                    }
-                )
+                        "kind": ["ask"] * m + ["batch"], "shard": [*full, None], "batch_id": [(part << 32) + step] * (m + 1), "blob": [*blobs, pack(stream)],
+                        "doc_ids": [None] * m + [ids.slice(first, docs_here).to_pylist()], "lens": [None] * m + [lens.tolist()],
+                        "train": [None] * m + [learn.tobytes()], "shards": [None] * m + [pack(shard)],
+                    },
+                    schema=_ENCODED,
+                )
                 step += 1
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    return rows.mapInArrow(run, BATCH_SCHEMA)
+    return run
+
+
+def sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map over whole shards: training count of each word that has one."""
+    held: dict[int, list[list[np.ndarray]]] = {}
+    for batch in batches:
+        for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+            held.setdefault(shard, []).append(unpack(blob, np.uint64, np.uint32))
+    for parts in held.values():
+        uniq, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(uniq)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(uniq[total > 0].view(np.int64)), "count": pa.array(total[total > 0])})
+
+
+def look_up(asked: DataFrame, table: DataFrame, shards: int, kinds: tuple, missing: tuple) -> DataFrame:
+    """Packed join: for each (shard, batch_id, blob of keys) the table's values in the same order.
+
+    ``table`` has shard, key and the values, as unsigned integers or doubles;
+    both sides meet in their shard, and a batch gets back one blob a shard.
+    """
+    names = [c for c in table.columns if c not in ("shard", "key")]
+    empty = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("key", *names)]
+    both = asked.select("shard", "batch_id", "blob", *empty).unionByName(table.select("shard", F.lit(None).cast("long").alias("batch_id"), F.lit(None).cast("binary").alias("blob"), "key", *names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks: list[tuple[int, int, bytes]] = []
+        known: list[list[np.ndarray]] = []
+        for batch in batches:
+            mine = pa.compute.is_valid(batch.column("key"))
+            rows = batch.filter(mine)
+            if rows.num_rows:
+                known.append([rows.column(c).to_numpy() for c in ("key", *names)])
+            rest = batch.filter(pa.compute.invert(mine))
+            asks += zip(*(rest.column(c).to_pylist() for c in ("shard", "batch_id", "blob")), strict=True)
+        columns = [np.concatenate(c) for c in zip(*known, strict=True)] if known else [np.zeros(0, np.int64) for _ in range(1 + len(names))]
+        order = np.argsort(columns[0], kind="stable")
+        columns = [c[order] for c in columns]
+        for shard, who, blob in asks:
+            keys = unpack(blob, np.uint64, np.uint32)[0].view(np.int64)
+            place = np.minimum(np.searchsorted(columns[0], keys), max(0, len(order) - 1))
+            found = columns[0][place] == keys if len(order) else np.zeros(len(keys), bool)
+            values = []
+            for c, kind, default in zip(columns[1:], kinds, missing, strict=True):
+                v = np.full(len(keys), default, kind)
+                if len(order):
+                    v[found] = c[place[found]]
+                values.append(v)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "batch_id": pa.array([who], pa.int64()), "reply": pa.array([pack(*values)], pa.binary())})
+
+    return both.repartitionById(shards, "shard").mapInArrow(run, "shard int, batch_id long, reply binary").groupBy("batch_id").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))
+
+
+def scatter(shard: np.ndarray, replies: list, *kinds: type) -> list[np.ndarray]:
+    """Values of all shards' replies, each put back where its key stood."""
+    out = [np.zeros(len(shard), k) for k in kinds]
+    for reply in replies:
+        at = shard == reply["shard"]
+        for o, v in zip(out, unpack(reply["reply"], *kinds), strict=True):
+            o[at] = v
+    return out
+
+
+def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map: batches with the ids of their words; an unknown word's is -1."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            (shard,) = unpack(row["shards"], np.uint32)
+            (ids,) = scatter(shard, row["replies"], np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "batch_id": pa.array([row["batch_id"]]), "doc_ids": pa.array([row["doc_ids"]], pa.list_(pa.int64())), "lens": pa.array([row["lens"]], pa.list_(pa.int64())),
+                    "train": pa.array([row["train"]], pa.binary()), "codes": pa.array([row["blob"]], pa.binary()), "ids": pa.array([pack(ids)], pa.binary()),
+                }
+            )
+
+
+def ask_contexts(shards: int):
+    """Map: the known ids of each batch, packed for each shard of contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for who, blob in zip(batch.column("batch_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                (ids,) = unpack(blob, np.int64)
+                ids = ids[ids >= 0]
+                shard = ids % shards
+                full = np.unique(shard)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(full.astype(np.int32)), "batch_id": pa.array([who] * len(full), pa.int64()), "blob": pa.array([pack(ids[shard == k]) for k in full], pa.binary())})
+
+    return run
 
 
 def good_turing(n: list[int], trusted: int = TRUSTED) -> np.ndarray:
@@ -155,7 +250,7 @@ def ask(model: Unigrams, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, lens = np.array(row["ids"], np.int64), np.array(row["lens"], np.int64)
+                (ids,), lens = unpack(row["ids"], np.int64), np.array(row["lens"], np.int64)
                 (codes,) = unpack(row["codes"], np.uint32)
                 _, _, key = token_pairs(ids, codes, lens)
                 uniq, place = _distinct(key)
@@ -232,7 +327,7 @@ def evaluate(model: Unigrams, discount: np.ndarray, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, lens = np.array(row["ids"], np.int64), np.array(row["lens"], np.int64)
+                (ids,), lens = unpack(row["ids"], np.int64), np.array(row["lens"], np.int64)
                 (codes,) = unpack(row["codes"], np.uint32)
                 cur, prev, key = token_pairs(ids, codes, lens)
                 uniq, place = _distinct(key)
@@ -241,15 +336,15 @@ def evaluate(model: Unigrams, discount: np.ndarray, shards: int):
                 for reply in row["replies"] or []:
                     total[:-1][shard == reply["shard"]] = unpack(reply["blob"], np.uint32)[0]
                 r = total[np.minimum(place, len(uniq))]
-                alpha = np.array([1.0 if a is None else a for a in row["alpha"]])[codes]
-                extra = np.array([0.0 if a is None else a for a in row["extra"]])[codes]
-                # the history of a token is the one before it; END is the last code
-                back, more = np.empty_like(alpha), np.empty_like(extra)
-                back[1:], more[1:] = alpha[:-1], extra[:-1]
+                weight, more = np.ones(len(ids)), np.zeros(len(ids))
+                known = ids >= 0
+                weight[known], more[known] = scatter(ids[known] % shards, row["weights"] or [], np.float64, np.float64)
+                # the history of a token is the one before it, END before the first
                 begin = np.cumsum(lens) - lens
-                end_code = len(ids) - 1
-                back[begin] = 1.0 if row["alpha"][end_code] is None else row["alpha"][end_code]
-                more[begin] = 0.0 if row["extra"][end_code] is None else row["extra"][end_code]
+                history = np.empty(len(codes), np.int64)
+                history[1:] = codes[:-1]
+                history[begin] = len(ids) - 1
+                back, more = weight[history], more[history]
                 held = np.where(r <= TRUSTED, discount[np.minimum(r, TRUSTED)], 1.0) * r / (model.count(prev) + more + (r == 0))
                 p = np.where(r > 0, held, back * model.p(cur))
                 seen = model.count(cur)
@@ -283,18 +378,25 @@ def katz_scores(docs: DataFrame, train: Column, scratch: Scratch | None = None)
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = scratch or Scratch(spark, "katz")
-    coded = scratch.write(encode(docs, train), "batches")
-    words = coded.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("count")).where("count > 0")
-    vocab = with_global_index(scratch, words, [F.col("count").desc(), F.col("word")], "vocab")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = shards_for(spark, chars // 5, SHARD_TOKENS)
+    coded = scratch.write(rows.mapInArrow(encode(parts), ENCODED), "batches", ["kind"])
+    words = coded.where("kind = 'ask'").select("shard", "batch_id", "blob")
+    counted = words.select("shard", "blob").repartitionById(parts, "shard").mapInArrow(sum_words, "word long, count long")
+    vocab = with_global_index(scratch, counted, [F.col("count").desc(), F.col("word")], "vocab")
     steps = vocab.groupBy("count").agg(F.min("id").alias("start"), F.count("*").alias("n")).orderBy("start").collect()  # at most sqrt(2 N) rows
     by_count = {row["count"]: row["n"] for row in steps}
     n = [sum(by_count.values())] + [by_count.get(r, 0) for r in range(1, TRUSTED + 2)]
     model = Unigrams(np.array([s["start"] for s in steps], np.int64), np.array([s["count"] for s in steps], np.int64), n)
     shards = shards_for(spark, model.total, SHARD_TOKENS)
 
-    places = coded.select("batch_id", F.posexplode("words").alias("pos", "word")).join(vocab.select("word", "id"), "word", "left")
-    ids = places.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(-1)).alias("id")))).alias("m")).select("batch_id", F.col("m.id").alias("ids"))
-    numbered = scratch.write(coded.drop("words", "counts").join(ids, "batch_id"), "numbered")
+    # word hashes are unsigned: their remainder, not that of the signed value
+    low, high = F.col("word").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("word", 32)
+    shard = ((high % parts * (2**32 % parts) + low) % parts).cast("int")
+    named = look_up(words, vocab.select(shard.alias("shard"), F.col("word").alias("key"), "id"), parts, (np.int64,), (-1,))
+    numbered = coded.where("kind = 'batch'").select("batch_id", "doc_ids", "lens", "train", "blob", "shards").join(named, "batch_id")
+    numbered = scratch.write(numbered.mapInArrow(number, "batch_id long, doc_ids array<long>, lens array<long>, train binary, codes binary, ids binary"), "numbered")
     scratch.drop("batches")
 
     asked = numbered.select("batch_id", "ids", "lens", "train", "codes").mapInArrow(ask(model, shards), "shard int, batch_id long, pairs binary")
@@ -322,14 +424,11 @@ def katz_scores(docs: DataFrame, train: Column, scratch: Scratch | None = None)
     size = sum((F.col(f"n{r}") * float(r) for r in range(1, TRUSTED + 1)), F.col("trusted"))
     weights = stats.select("id", ((1 - held / (size + extra)) / (1 - F.col("lower"))).alias("alpha"), extra.alias("extra"))
 
-    needs = numbered.select("batch_id", F.posexplode("ids").alias("pos", "id")).join(weights, "id", "left")
-    alphas = (
-        needs.groupBy("batch_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "alpha", "extra"))).alias("m"))
-        .select("batch_id", F.col("m.alpha").alias("alpha"), F.col("m.extra").alias("extra"))
-    )
+    table = weights.select((F.col("id") % shards).cast("int").alias("shard"), F.col("id").alias("key"), "alpha", "extra")
+    alphas = look_up(numbered.select("batch_id", "ids").mapInArrow(ask_contexts(shards), "shard int, batch_id long, blob binary"), table, shards, (np.float64, np.float64), (1.0, 0.0))
+    alphas = alphas.withColumnRenamed("replies", "weights")
     replies = reduced.where("kind = 'answer'").groupBy("batch_id").agg(F.collect_list(F.struct("shard", "blob")).alias("replies"))
-    whole = numbered.join(alphas, "batch_id").join(replies, "batch_id", "left")
+    whole = numbered.join(alphas, "batch_id", "left").join(replies, "batch_id", "left")
     return whole.mapInArrow(
         evaluate(model, discount, shards),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
