@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core, more
+from . import core, exchange, more
 
-MODULES = (core, more)
+MODULES = (core, more, exchange)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
