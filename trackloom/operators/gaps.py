@@ -114,28 +114,51 @@ def tail_median(sorted_values: Column, n: int = 3) -> Column:
     return F.when(k > 0, (F.get(tail, ((k - 1) / 2).cast("int")) + F.get(tail, (k / 2).cast("int"))) / 2)
 
 
-def split_gaps(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
-    """Candidate gaps with the three rules' verdicts and is_split."""
-    gaps = candidate_gaps(trajectory, videos, p)
-    speeds = context_speeds(gap_context(trajectory, gaps.where("below_top")))
-    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == "before", F.struct("pos", "speed")))), lambda s: s["speed"])
-    facts = speeds.groupBy("video_id", "left_pos").agg(
-        tail_median(listed).alias("before_median"),
-        F.count_if(F.col("side") == "before").alias("n_before"),
-        F.count_if(F.col("side") == "after").alias("n_after"),
-        F.max(F.when(F.col("side") == "after", F.col("speed"))).alias("after_max"),
-    )
-    jump = F.hypot(F.col("right_x") - F.col("left_x"), F.col("right_y") - F.col("left_y"))
+def marked_rows(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
+    """All rows, each visible one with the gap after it, that gap's context and the split rules.
+
+    The three speeds before a gap are those of the row itself and the two
+    visible rows before it; the speeds after it are a range of places, in units
+    of the video's own look-ahead. So windows suffice, and all of them keep the
+    one partitioning by video.
+    """
+    rows = positions(trajectory).join(videos, "video_id")
+    fps = F.col("fps")
+    behind, ahead = (F.lit(0.30) * fps).cast("int"), (F.lit(0.45) * fps).cast("int")
+    shown = Window.partitionBy("video_id", "visible").orderBy("pos")
+    moved = F.hypot(F.col("x") - F.lag("x").over(shown), F.col("y") - F.lag("y").over(shown))
+    rows = rows.withColumn("_prev", F.lag("pos").over(shown)).withColumn("_key", F.col("pos") / F.greatest(ahead, F.lit(1)))
+    rows = rows.withColumn("_speed", moved / F.greatest(F.lit(1.0), (F.col("frame") - F.lag("frame").over(shown)).cast("double")))
+    reach = "over (partition by video_id, visible order by _key range between 0.000001D following and 1.000001D following)"
+    rows = rows.withColumn("_fastest", F.expr(f"max(_speed) {reach}")).withColumn("_after", F.expr(f"count(_speed) {reach}"))
+    lately = [F.when(F.lag("_prev", k).over(shown) >= F.col("pos") - behind, F.lag("_speed", k).over(shown)) for k in range(3)]
+    rows = rows.select(
+        "*", F.array_compact(F.array(*lately)).alias("_lately"), *(F.lead(c).over(shown).alias(f"right_{c}") for c in ("pos", "x", "y")),
+        F.lead("_fastest").over(shown).alias("after_max"), F.when(ahead > 0, F.lead("_after").over(shown)).otherwise(0).alias("n_after"),
+    )
+    rows = rows.withColumn("size", F.when(F.col("visible"), F.col("right_pos") - F.col("pos") - 1)).withColumn("before_median", tail_median(F.col("_lately")))
+    top = F.lit(p.top_edge_fraction)
+    clear = (F.col("y") / F.col("height") >= top) & (F.col("right_y") / F.col("height") >= top)
+    jump = F.hypot(F.col("right_x") - F.col("x"), F.col("right_y") - F.col("y"))
     slow = (
-        F.col("below_top")
-        & (F.col("n_before") >= 2)
+        clear
+        & (F.size("_lately") >= 2)
         & (F.col("n_after") >= 2)
         & (F.col("before_median") <= 0.004 * diagonal())
         & (F.col("after_max") >= 0.01 * diagonal())
         & (jump >= 0.03 * diagonal())
     )
-    judged = gaps.join(facts, ["video_id", "left_pos"], "left").withColumn("low_speed", F.coalesce(slow, F.lit(False)))
-    return judged.withColumn("is_split", F.col("interior_restart") | F.col("very_long") | F.col("low_speed"))
+    rows = rows.withColumn("below_top", clear).withColumn("candidate", F.coalesce(F.col("size") >= p.restart_gap(fps), F.lit(False)))
+    rows = rows.withColumn("interior_restart", (F.col("size") >= p.split_gap(fps)) & clear).withColumn("very_long", F.col("size") >= p.long_gap(fps))
+    rows = rows.withColumn("low_speed", F.coalesce(slow, F.lit(False)))
+    split = F.col("candidate") & (F.col("interior_restart") | F.col("very_long") | F.col("low_speed"))
+    return rows.withColumn("is_split", F.coalesce(split, F.lit(False))).drop("_prev", "_key", "_speed", "_fastest", "_after", "_lately")
+
+
+def split_gaps(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
+    """Gaps long enough to be looked at, with the three rules' verdicts and is_split."""
+    found = marked_rows(trajectory, videos, p).where("candidate")
+    return found.withColumnsRenamed({"pos": "left_pos", "x": "left_x", "y": "left_y"})
 
 
 def segment_rows(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
@@ -144,8 +167,7 @@ def segment_rows(trajectory: DataFrame, videos: DataFrame, p: RallyParameters =
     Invisible rows count where the visible rows on both sides are in the same
     segment. Adds pos and segment_id from 0.
     """
-    cuts = split_gaps(trajectory, videos, p).where("is_split").select("video_id", F.col("left_pos").alias("pos"), F.lit(1).alias("cut"))
-    rows = positions(trajectory).join(cuts, ["video_id", "pos"], "left")
+    rows = marked_rows(trajectory, videos, p).select("video_id", "frame", "visible", "x", "y", "pos", F.col("is_split").cast("int").alias("cut"))
     before = by_pos().rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.when(F.col("visible"), F.coalesce(F.sum("cut").over(before), F.lit(0))))
     last = F.last("own", ignorenulls=True).over(by_pos().rowsBetween(Window.unboundedPreceding, 0))

@@ -87,7 +87,7 @@ def f5(s, d):
 
 @plan("e5_tail_median", "select video_id, left_pos, round(before_median, 6) as before_median from judged where before_median is not null")
 def e5(s, d):
-    return G.split_gaps(*tables(s, d)).where("before_median is not null").select("video_id", "left_pos", r6("before_median"))
+    return G.split_gaps(*tables(s, d)).where("below_top and before_median is not null").select("video_id", "left_pos", r6("before_median"))
 
 
 @plan("f14_split_rules", "select video_id, left_pos, right_pos, interior_restart, very_long, low_speed, is_split from splits")
