@@ -214,3 +214,27 @@ def _largest() -> str:
 
 
 SQL["e12_largest_component"] = _largest()
+
+
+@plan("j3_predict_windows", TOTALS + ", w as (select video_id, w as window, least(8, frame_count - w * 8) as valid from totals, lateral (select unnest(range(0, ceil(frame_count / 8.0::double)::bigint)) as w) u) select w.video_id, w.\"window\", t.frame, round(t.x + t.y, 6) as value from w join traj t on t.video_id = w.video_id and t.frame between w.\"window\" * 8 and w.\"window\" * 8 + valid - 1")
+def j3(s, d):
+    """Windows through a stand-in for a model, then its valid places only."""
+    import pandas as pd
+
+    t = tables(s, d)[0]
+    places = K.windows(totals(s, d), 8, 8).select("video_id", "window", "valid_length", F.posexplode("frames").alias("place", "frame"))
+    filled = places.join(t, ["video_id", "frame"]).groupBy("video_id", "window", "valid_length")
+    windows = filled.agg(F.array_sort(F.collect_list(F.struct("place", "frame", "x", "y"))).alias("r")).select(
+        "video_id", "window", "valid_length", F.col("r.frame").alias("frames"), F.col("r.x").alias("xs"), F.col("r.y").alias("ys")
+    )
+
+    def model(batch: pd.DataFrame) -> pd.DataFrame:
+        values = [[a + b for a, b in zip(x, y, strict=True)] for x, y in zip(batch["xs"], batch["ys"], strict=True)]
+        return batch[["video_id", "window", "valid_length", "frames"]].assign(values=values)
+
+    made = J.predict(windows, model, "video_id long, window long, valid_length long, frames array<long>, values array<double>")
+    rows = made.select("video_id", "window", "valid_length", F.posexplode(F.arrays_zip("frames", "values")).alias("place", "r"))
+    return rows.where("place < valid_length").select("video_id", "window", F.col("r.frames").alias("frame"), r6(F.col("r.values")).alias("value"))
+
+
+PLANS["j5_predict_chunk"], SQL["j5_predict_chunk"] = j3, SQL["j3_predict_windows"]
