@@ -55,7 +55,7 @@ _CACHE: dict[bytes, int] = {}
 
 
 def _units(dictionary: list[bytes]) -> np.ndarray:
-    if len(_CACHE) > 500_000:
+    if len(_CACHE) > 150_000:
         _CACHE.clear()
     out = np.empty(len(dictionary), np.int64)
     for k, w in enumerate(dictionary):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
+#: The same where a step's result is packed and sent: larger ones pack better.
+PACK_BYTES = 6 << 20
 #: Bytes that Spark puts into one Arrow batch for Python workers.
 ARROW_BYTES = 16 << 20
 #: A word is a run of anything but these; the same set in every operator.
@@ -115,8 +119,20 @@ def with_global_index(scratch: Scratch, df: DataFrame, order: list[Column], name
 # ---------------------------------------------------------------- Arrow text
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a batch into runs of whole texts of about SLICE_BYTES.
+@lru_cache(maxsize=1)
+def _trim():
+    """The C library's call that hands freed memory back, where it has one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give memory that a step has freed back to the system: idle workers keep the rest."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a batch into runs of whole texts of about ``limit`` bytes.
 
     Yields first row, end row, UTF-8 bytes and offsets; a null text is empty.
     """
@@ -130,10 +146,11 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1)
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         end = min(end, n)
         yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    release()
 
 
 class Words:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, held_out, mix, pack, shards_for, text_slices, unpack, with_global_index
+from .common import MASK64, PACK_BYTES, Scratch, Words, bounded_batches, deltas, hashes, held_out, mix, pack, shards_for, text_slices, unpack, with_global_index
 
 #: Counts up to this one are discounted; larger ones are trusted.
 TRUSTED = 5
@@ -52,7 +52,7 @@ def encode(shards: int):
         for batch in batches:
             flags = np.asarray(batch.column("train"))
             ids = batch.column("doc_id")
-            for first, end, data, offsets in text_slices(batch):
+            for first, end, data, offsets in text_slices(batch, limit=PACK_BYTES):
                 words = Words(data, offsets, lower=True)
                 codes, dictionary = words.encode()
                 n, docs_here = len(words), end - first

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, bounded_batches, connected_components, deltas, hashes, mix, pack, shards_for, shingles, text_slices, unpack
+from .common import PACK_BYTES, Scratch, Words, bounded_batches, connected_components, deltas, hashes, mix, pack, shards_for, shingles, text_slices, unpack
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT, SHINGLE = 90, 3
@@ -64,7 +64,7 @@ def ask(bits: int, shards: int, size: int):
         part, step = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, end, data, offsets in text_slices(batch):
+            for first, end, data, offsets in text_slices(batch, limit=PACK_BYTES):
                 found = Words(data, offsets, lower=True)
                 codes, dictionary = found.encode()
                 words = hashes(dictionary)
