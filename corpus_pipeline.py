@@ -21,6 +21,8 @@ from trackloom.llm.trie_join import ngram_join
 
 #: SQL for run()'s rows: none, as a trained network decides which rows there are.
 ORACLE_SQL = None
+#: Near copies: texts whose sets of words in a row, so many, link at this percentage.
+COPY_WORDS, COPY_PERCENT = 5, 80
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     its group has one with an id.
     """
     scratch = Scratch(spark, "stage-copies")
-    joined = scratch.write(ngram_join(docs, scratch), "joined")
+    joined = scratch.write(ngram_join(docs, scratch, percent=COPY_PERCENT, size=COPY_WORDS), "joined")
     dropped = joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     kept = _without(docs, scratch.write(dropped, "dropped"))
     repeated = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -90,6 +90,34 @@ def test_trie_join_odd_rows(spark, make_docs, odd_rows):
     assert trie_join.ngram_join(make_docs([])).collect() == []
 
 
+def test_trie_join_links_four_of_five(spark, make_docs):
+    """Sets so small that they link at 80% only, and every link of small sets against all pairs."""
+    rng = random.Random(8)
+    docs = [" ".join(f"c{k}" for k in range(n)) for n in (8, 9)]
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(rng.randint(6, 14))]
+        docs += [" ".join(base + [f"t{k}" for k in range(rng.randint(0, 2))]) for _ in range(4)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, docs)]
+    links = Counter()
+    for a, b in itertools.permutations(range(len(docs)), 2):
+        links[a] += 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    got = {r.doc_id: r for r in trie_join.ngram_join(make_docs(list(enumerate(docs))), percent=80, size=5).collect()}
+    assert (got[0].n_shingles, got[1].n_shingles, got[1].component_id) == (4, 5, 0)
+    assert {d: (r.n_shingles, r.n_links) for d, r in got.items()} == {d: (len(sets[d]), links[d]) for d in range(len(docs))}
+
+
+def test_near_copies_of_edited_texts_go(spark, make_docs):
+    pipeline = importlib.import_module("corpus_pipeline")
+    text = [f"w{k}" for k in range(100)]
+    docs = [
+        (1, " ".join(text)), (2, " ".join(text + [f"p{k}" for k in range(20)])),  # a paragraph added
+        (3, " ".join(f"c{k}" for k in range(9))), (4, " ".join(f"c{k}" for k in range(8))),
+        (5, " ".join(f"v{k}" for k in range(100))), (6, " ".join(f"v{k}" if k % 50 != 25 else "edited" for k in range(100))),  # 2% of words edited
+        (7, " ".join(f"v{k}" if k % 5 else "other" for k in range(100))),
+    ]
+    assert {r.doc_id for r in pipeline.near_copies(spark, make_docs(docs), DATA).collect()} == {1, 3, 5, 7}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(60)]

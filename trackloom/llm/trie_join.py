@@ -31,8 +31,6 @@ from .common import PACK_BYTES, Scratch, Words, bounded_batches, connected_compo
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT, SHINGLE = 90, 3
-#: Sets of fewer n-grams link only to equal sets.
-LEAST = PERCENT // (100 - PERCENT)
 #: N-grams that one shard of the frequency exchange holds at least, and that one
 #: task of the join holds of each side at most; larger groups are joined in blocks.
 SHARD_ITEMS, BLOCK_ITEMS = 4_000_000, 2_000_000
@@ -113,6 +111,7 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def choose(bits: int, size: int, percent: int):
     """Map: each text's set size and digest, and for a set that can link to a
     different one its shared n-grams with their frequencies and its prefix."""
+    least = percent // max(1, 100 - percent)  # sets of fewer n-grams link only to equal sets
     kinds = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("grams", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +129,7 @@ def choose(bits: int, size: int, percent: int):
                     n = len(grams)
                     digest = xxhash.xxh3_128_digest(grams.tobytes()) if n else None
                     blob = prefix = None
-                    if n >= LEAST and digest not in seen:
+                    if n >= least and digest not in seen:
                         often = df[np.searchsorted(keys, grams >> np.uint64(64 - bits))]
                         shared = often > 1
                         if 100 * int(shared.sum()) >= percent * n:
