@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, chat, classifier, katz, perplexity, secrets
-from trackloom.llm.common import held_out
+from trackloom.llm.common import Scratch, held_out
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -218,6 +218,28 @@ def test_network_tells_keys_from_numbers():
     assert ((net.score(codes[300:]) >= net.threshold) == labels[300:]).mean() > 0.97
 
 
+def test_threshold_is_of_all_findings_not_fitted_on(spark, make_docs):
+    """A small sample, and a table whose secrets look like numbers as often as not."""
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(40))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    texts = [f"and token = {key() if k % 10 else number(16)} the" if k % 2 else f"call me at {number(16)} now" for k in range(600)]
+    scratch = Scratch(spark, "test-threshold")
+    rows = make_docs(list(enumerate(texts))).select("doc_id", "text")
+    found = scratch.write(rows.mapInArrow(secrets.find, secrets.FOUND_SQL), "found")
+    net = secrets.train(found, scratch, sample=24)
+    blobs = [c.classes for r in found.collect() for c in r.candidates if c.label]
+    unseen = [bytes(b) for b in blobs if bytes(b) not in net.fitted]
+    assert len(unseen) > 250
+    scores = np.sort(net.score(secrets._codes(unseen)))
+    assert net.threshold == pytest.approx(scores[int(0.02 * len(scores))], rel=1e-9)
+    for values in ([0.0, 1e-300, 0.5, 0.5, 1.0], list(rng.random() for _ in range(500)), [0.25]):
+        bits = spark.createDataFrame([(int(np.float64(v).view(np.int64)),) for v in values], "bits long")
+        for recall in (0.98, 0.75, 0.5):
+            assert secrets.lowest_kept(bits, recall) == sorted(values)[int((1 - recall) * len(values))]
+    assert secrets.lowest_kept(bits.limit(0), 0.98) is None
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é token=abcdef x", [("assign", 2, 14), ("hex", 8, 14)]), ("plain", [])], "text string, spans array<struct<kind:string,begin:long,end:long>>")
     assert [r.t for r in df.select(secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()] == ["é [secret] x", "plain"]

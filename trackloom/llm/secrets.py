@@ -7,7 +7,8 @@ and mean over places, and a logit. It learns from labelled findings: values of
 base spans are secrets, other candidates are not. Half of the secrets are shown
 in foreign surroundings, so that the value counts and not the name before it.
 A temperature calibrates probabilities on findings held back, and the threshold
-is the highest that keeps a stated recall there. Candidates over it become
+is the highest that keeps a stated recall over all labelled secrets of the table
+that the network was not fitted on. Candidates over it become
 spans of kind "network"; base spans stay.
 """
 
@@ -28,8 +29,8 @@ KINDS = ("assign", "access", "hex", "network")
 CANDIDATE, VALUE, SIDE = 12, 48, 24
 #: Labelled findings of each class that the network learns from at most.
 SAMPLE = 2_000
-#: Recall that the threshold keeps on findings held back, and the least threshold.
-RECALL, FLOOR = 0.98, 0.5
+#: Recall that the threshold keeps on findings not fitted on.
+RECALL = 0.98
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -150,7 +151,8 @@ class CharNet:
         grid = np.geomspace(0.25, 8, 30)
         self.temperature = float(grid[int(np.argmin([np.mean(np.logaddexp(0, np.where(target > 0, -1, 1) * logit / s)) for s in grid]))])
         sure = np.sort(self.score(codes[test])[target > 0])
-        self.threshold = max(FLOOR, float(sure[int(np.floor((1 - recall) * len(sure)))])) if len(sure) else 1.0
+        self.threshold = float(sure[int(np.floor((1 - recall) * len(sure)))]) if len(sure) else 1.0
+        self.fitted = frozenset(row.astype(np.uint8).tobytes() for row in codes[~held])
 
     def _maps(self, codes: np.ndarray) -> np.ndarray:
         places = SPAN - WIDTH + 1
@@ -191,14 +193,51 @@ def _codes(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), SPAN).astype(np.int64)
 
 
-def train(found: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> CharNet | None:
-    """Network from at most ``sample`` findings of each label, those of smallest hash; None if a label is missing."""
+def unseen_scores(net: CharNet):
+    """Map: score of every labelled secret that the network was not fitted on, as the bits of a double."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [c["classes"] for row in batch.column("candidates").to_pylist() for c in row if c["label"] and c["classes"] not in net.fitted]
+            scores = net.score(_codes(blobs)) if blobs else np.zeros(0)
+            yield pa.RecordBatch.from_pydict({"bits": pa.array(scores.astype(np.float64).view(np.int64))})
+
+    return run
+
+
+def lowest_kept(scores: DataFrame, recall: float) -> float | None:
+    """Highest threshold that ``recall`` of the scores (column bits, of doubles from 0 on) reach; None without scores.
+
+    Doubles from 0 on have the order of their bits, which are counted 16 at a time.
+    """
+    prefix, skip = 0, None
+    for shift in (48, 32, 16, 0):
+        mine = scores.where(F.shiftright("bits", shift + 16) == prefix) if shift < 48 else scores
+        table = mine.groupBy(F.shiftright("bits", shift).alias("bin")).count().toArrow().sort_by("bin")
+        if not table.num_rows:
+            return None
+        counts = np.cumsum(table["count"].to_numpy())
+        skip = int(np.floor((1 - recall) * counts[-1])) if skip is None else skip
+        at = int(np.searchsorted(counts, skip, "right"))
+        skip -= int(counts[at - 1]) if at else 0
+        prefix = table["bin"][at].as_py()
+    return float(np.array([prefix], np.int64).view(np.float64)[0])
+
+
+def train(found: DataFrame, scratch: Scratch, sample: int = SAMPLE, recall: float = RECALL) -> CharNet | None:
+    """Network from at most ``sample`` findings of each label, those of smallest hash; None if a label is missing.
+
+    Its threshold is taken over all labelled secrets that are not of the fit.
+    """
     each = found.select(F.explode("candidates").alias("c")).select("c.label", "c.classes").distinct()
     parts = [each.where(F.col("label") == k).orderBy(F.xxhash64("classes"), "classes").limit(sample).toArrow() for k in (0, 1)]
     if not all(p.num_rows for p in parts):
         return None
     blobs = [b for p in parts for b in p["classes"].to_pylist()]
-    return CharNet(_codes(blobs), np.repeat([0, 1], [p.num_rows for p in parts]), recall=recall)
+    net = CharNet(_codes(blobs), np.repeat([0, 1], [p.num_rows for p in parts]), recall=recall)
+    kept = lowest_kept(scratch.write(found.select("candidates").mapInArrow(unseen_scores(net), "bits long"), "unseen"), recall)
+    net.threshold = net.threshold if kept is None else kept
+    return net
 
 
 def judge(net: CharNet | None):
@@ -232,7 +271,7 @@ def scan_secrets(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(spark, "secrets")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = scratch.write(rows.mapInArrow(find, FOUND_SQL), "found")
-    return found.mapInArrow(judge(train(found)), f"doc_id long, spans {_SPANS_SQL}")
+    return found.mapInArrow(judge(train(found, scratch)), f"doc_id long, spans {_SPANS_SQL}")
 
 
 def redact(text, spans, mark: str = "[secret]"):
