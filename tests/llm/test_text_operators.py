@@ -228,7 +228,7 @@ def test_threshold_is_of_all_findings_not_fitted_on(spark, make_docs):
     rows = make_docs(list(enumerate(texts))).select("doc_id", "text")
     found = scratch.write(rows.mapInArrow(secrets.find, secrets.FOUND_SQL), "found")
     net = secrets.train(found, scratch, sample=24)
-    blobs = [c.classes for r in found.collect() for c in r.candidates if c.label]
+    blobs = [c.classes for r in found.collect() for c in r.candidates if any(c.labels)]
     unseen = [bytes(b) for b in blobs if bytes(b) not in net.fitted]
     assert len(unseen) > 250
     scores = np.sort(net.score(secrets._codes(unseen)))
@@ -240,6 +240,28 @@ def test_threshold_is_of_all_findings_not_fitted_on(spark, make_docs):
     assert secrets.lowest_kept(bits.limit(0), 0.98) is None
 
 
+def test_long_and_letter_only_candidates_are_read_whole(spark, make_docs):
+    """At a threshold of 0.5, a key at the end of a long path is reported; the same path without it is not."""
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(40))
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(16))
+    path = "/".join(["docs", "page", "list", "of", "items", "in", "the", "part", "number", "7"] * 3)
+    rows = [(k, f"and token = {key()} the" if k % 2 else f"call me at {number()} now" if k % 4 else f"see {path} now") for k in range(600)]
+    rows += [(1000, f"see {path}/{key()} now"), (1001, f"see {path} now")]
+    scratch = Scratch(spark, "test-windows")
+    found = scratch.write(make_docs(rows).select("doc_id", "text").mapInArrow(secrets.find, secrets.FOUND_SQL), "found")
+    net = secrets.train(found, scratch)
+    net.threshold = 0.5
+    judged = found.mapInArrow(secrets.judge(net), f"doc_id long, spans {secrets._SPANS_SQL}").where("doc_id >= 1000").collect()
+    assert {r.doc_id: [(s["kind"], s["begin"], s["end"]) for s in r.spans] for r in judged} == {1000: [("network", 4, 4 + len(path) + 41)], 1001: []}
+    text = "a " + "xy" * 60 + "." + "Z" * 7 + " b"
+    seen = [w[secrets.SIDE : secrets.SIDE + secrets.VALUE] for w in secrets._windows(secrets.classes(text, 2, len(text) - 2))]
+    assert b"Z" * 7 in seen[-1] and len(seen) == len(secrets.window_starts(2, len(text) - 2)) and all(len(w) == secrets.VALUE for w in seen)
+    rows = [(1, "x " + "q" * 20 + " y"), (2, "x " + "q" * 19 + " y")]
+    found = make_docs(rows).select("doc_id", "text").mapInArrow(secrets.find, secrets.FOUND_SQL).collect()
+    assert {r.doc_id: [(c.begin, c.end) for c in r.candidates] for r in found} == {1: [(2, 22)], 2: []}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é token=abcdef x", [("assign", 2, 14), ("hex", 8, 14)]), ("plain", [])], "text string, spans array<struct<kind:string,begin:long,end:long>>")
     assert [r.t for r in df.select(secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()] == ["é [secret] x", "plain"]

@@ -1,8 +1,8 @@
 """Secret scans: pattern rules, and a character convolution network over candidates.
 
 Three patterns find the base spans. Candidates are long runs of key characters
-with a digit in them. Every candidate is read with its surroundings by a small
-network in numpy: character embeddings folded into a convolution, ReLU, maximum
+with a digit in them, and longer ones without. Every candidate is read whole,
+in overlapping windows with their surroundings, by a small network in numpy: character embeddings folded into a convolution, ReLU, maximum
 and mean over places, and a logit. It learns from labelled findings: values of
 base spans are secrets, other candidates are not. Half of the secrets are shown
 in foreign surroundings, so that the value counts and not the name before it.
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches, text_slices
 
 KINDS = ("assign", "access", "hex", "network")
-#: Least length of a candidate; characters of it and of each side that the network sees.
-CANDIDATE, VALUE, SIDE = 12, 48, 24
+#: Least length of a candidate with a digit, and of one without; characters of a
+#: window and of each side of it that the network sees, and from a window to the next.
+CANDIDATE, LETTERS, VALUE, SIDE, STEP = 12, 20, 48, 24, 24
 #: Labelled findings of each class that the network learns from at most.
 SAMPLE = 2_000
 #: Recall that the threshold keeps on findings not fitted on.
@@ -74,16 +75,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def window_starts(begin: int, end: int) -> np.ndarray:
+    """Places of the windows over a candidate; the last one ends with it."""
+    last = max(begin, end - VALUE)
+    return np.append(np.arange(begin, last, STEP), last)
+
+
 def classes(text: str, begin: int, end: int) -> bytes:
-    """Character classes of a candidate between its surroundings, at fixed places."""
+    """Character classes of a candidate's windows between their surroundings, at fixed places, one after the other."""
 
     def code(part: str) -> bytes:
         return bytes(min(ord(c), OTHER) for c in part)
 
-    before, after = code(text[max(0, begin - SIDE) : begin]), code(text[end : end + SIDE])
-    value = code(text[begin : min(end, begin + VALUE)])
     blank = bytes([NOTHING])
-    return blank * (SIDE - len(before)) + before + value + blank * (VALUE - len(value)) + after + blank * (SIDE - len(after))
+    before, after = code(text[max(0, begin - SIDE) : begin]), code(text[end : end + SIDE])
+    before, after = blank * (SIDE - len(before)) + before, after + blank * (SIDE - len(after))
+    value = code(text[begin:end])
+    if len(value) <= VALUE:
+        return before + value + blank * (VALUE - len(value)) + after
+    whole = np.frombuffer(before + value + after, np.uint8)
+    return whole[(window_starts(begin, end) - begin)[:, None] + np.arange(SPAN)].tobytes()
+
+
+def window_labels(spans: list[tuple[str, int, int]], begin: int, end: int) -> bytes:
+    """For each window of a candidate 1 if a base span is in it, else 0."""
+    starts = window_starts(begin, end)
+    inside = np.zeros(len(starts), bool)
+    for _, s, e in spans:
+        if s < end and begin < e:
+            inside |= (s < np.minimum(starts + VALUE, end)) & (starts < e)
+    return inside.astype(np.uint8).tobytes()
 
 
 def order_key(span: tuple[str, int, int]) -> tuple[int, int, int]:
@@ -91,9 +112,9 @@ def order_key(span: tuple[str, int, int]) -> tuple[int, int, int]:
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
-_CANDIDATES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("label", pa.int32()), ("classes", pa.binary())]))
+_CANDIDATES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("labels", pa.binary()), ("classes", pa.binary())]))
 _SPANS_SQL = "array<struct<kind:string,begin:long,end:long>>"
-FOUND_SQL = f"doc_id long, base {_SPANS_SQL}, candidates array<struct<begin:long,end:long,label:int,classes:binary>>"
+FOUND_SQL = f"doc_id long, base {_SPANS_SQL}, candidates array<struct<begin:long,end:long,labels:binary,classes:binary>>"
 
 
 def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,13 +130,12 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 base[d].append(("hex", int(points[a] - points[offsets[d]]), int(points[b] - points[offsets[d]])))
             numbers = np.append(0, np.cumsum(_NUMBER[data]))
             a, b = runs(_KEY[data], offsets, CANDIDATE)
-            digit = numbers[b] > numbers[a] if len(a) else np.zeros(0, bool)
+            taken = (numbers[b] > numbers[a]) | (b - a >= LETTERS) if len(a) else np.zeros(0, bool)
             candidates: list[list[dict]] = [[] for _ in texts]
-            for lo, hi in zip(a[digit].tolist(), b[digit].tolist(), strict=True):
+            for lo, hi in zip(a[taken].tolist(), b[taken].tolist(), strict=True):
                 d = int(np.searchsorted(offsets, lo, "right")) - 1
                 x, y = int(points[lo] - points[offsets[d]]), int(points[hi] - points[offsets[d]])
-                inside = any(s < y and x < e for _, s, e in base[d])
-                candidates[d].append({"begin": x, "end": y, "label": int(inside), "classes": classes(texts[d], x, y)})
+                candidates[d].append({"begin": x, "end": y, "labels": window_labels(base[d], x, y), "classes": classes(texts[d], x, y)})
             rows = [[{"kind": k, "begin": s, "end": e} for k, s, e in sorted(spans, key=order_key)] for spans in base]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, end - first), "base": pa.array(rows, _SPANS), "candidates": pa.array(candidates, _CANDIDATES)})
 
@@ -190,17 +210,33 @@ class CharNet:
 
 
 def _codes(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), SPAN).astype(np.int64)
+    return np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, SPAN)
+
+
+def _windows(blob: bytes) -> list[bytes]:
+    return [blob[k : k + SPAN] for k in range(0, len(blob), SPAN)]
+
+
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map: label and classes of every window of every candidate."""
+    for batch in batches:
+        for row in batch.column("candidates").to_pylist():
+            labels = [label for c in row for label in c["labels"]]
+            yield pa.RecordBatch.from_pydict({"label": pa.array(labels, pa.int32()), "classes": pa.array([w for c in row for w in _windows(c["classes"])], pa.binary())})
 
 
 def unseen_scores(net: CharNet):
-    """Map: score of every labelled secret that the network was not fitted on, as the bits of a double."""
+    """Map: score of every labelled secret that the network was not fitted on, that of its best window, as the bits of a double."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [c["classes"] for row in batch.column("candidates").to_pylist() for c in row if c["label"] and c["classes"] not in net.fitted]
-            scores = net.score(_codes(blobs)) if blobs else np.zeros(0)
-            yield pa.RecordBatch.from_pydict({"bits": pa.array(scores.astype(np.float64).view(np.int64))})
+            best = []
+            for row in batch.column("candidates").to_pylist():
+                for c in row:
+                    mine = [w for w, label in zip(_windows(c["classes"]), c["labels"], strict=True) if label]
+                    if mine and not any(w in net.fitted for w in mine):
+                        best.append(net.score(_codes(mine)).max())
+            yield pa.RecordBatch.from_pydict({"bits": pa.array(np.array(best, np.float64).view(np.int64))})
 
     return run
 
@@ -229,7 +265,7 @@ def train(found: DataFrame, scratch: Scratch, sample: int = SAMPLE, recall: floa
 
     Its threshold is taken over all labelled secrets that are not of the fit.
     """
-    each = found.select(F.explode("candidates").alias("c")).select("c.label", "c.classes").distinct()
+    each = found.select("candidates").mapInArrow(windows, "label int, classes binary").distinct()
     parts = [each.where(F.col("label") == k).orderBy(F.xxhash64("classes"), "classes").limit(sample).toArrow() for k in (0, 1)]
     if not all(p.num_rows for p in parts):
         return None
@@ -247,11 +283,14 @@ def judge(net: CharNet | None):
         for batch in batches:
             base, candidates = batch.column("base").to_pylist(), batch.column("candidates").to_pylist()
             flat = [(d, c) for d, row in enumerate(candidates) for c in row]
-            scores = net.score(_codes([c["classes"] for _, c in flat])) if net and flat else np.zeros(len(flat))
             spans = [list(row) for row in base]
-            for (d, c), s in zip(flat, scores, strict=True):
-                if net and s >= net.threshold and not c["label"]:
-                    spans[d].append({"kind": "network", "begin": c["begin"], "end": c["end"]})
+            if net and flat:
+                scores = net.score(_codes([c["classes"] for _, c in flat]))
+                labels = np.frombuffer(b"".join(c["labels"] for _, c in flat), np.uint8)
+                first = np.append(0, np.cumsum([len(c["labels"]) for _, c in flat])[:-1])
+                for (d, c), over in zip(flat, np.logical_or.reduceat((scores >= net.threshold) & (labels == 0), first), strict=True):
+                    if over:
+                        spans[d].append({"kind": "network", "begin": c["begin"], "end": c["end"]})
             for row in spans:
                 row.sort(key=lambda s: order_key((s["kind"], s["begin"], s["end"])))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "spans": pa.array(spans, _SPANS)})
