@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,13 +15,14 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 SLICE_BYTES = 2 << 20
 #: The same where a step's result is packed and sent: larger ones pack better.
 PACK_BYTES = 6 << 20
 #: Bytes that Spark puts into one Arrow batch for Python workers.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 24 << 20
 #: A word is a run of anything but these; the same set in every operator.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,11 +42,10 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one in tests."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="trackloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -107,12 +106,9 @@ def with_global_index(scratch: Scratch, df: DataFrame, order: list[Column], name
     )
     row = F.col("_at").bitwiseAND((1 << 33) - 1)
     counts = stored.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = (
-        counts.alias("a")
-        .join(F.broadcast(counts.alias("b")), F.col("b._part") < F.col("a._part"), "left")
-        .groupBy(F.col("a._part").alias("_part"))
-        .agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    )
+    # one row a partition, so that one task can add them up
+    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"))
     return stored.join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + row).cast("long")).drop("_at", "_part", "_before")
 
 
@@ -222,7 +218,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 # ---------------------------------------------------------------- packing
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Integers as byte planes under zstd; of little size where values are small."""
     planes = []
     head = [len(arrays)]
@@ -230,11 +226,11 @@ def pack(*arrays: np.ndarray) -> bytes:
         a = np.ascontiguousarray(a)
         head += [len(a), a.dtype.itemsize]
         planes.append(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, np.int64).tobytes() + b"".join(planes))
+    return zstandard.ZstdCompressor(level=level).compress(np.array(head, np.int64).tobytes() + b"".join(planes))
 
 
 def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
-    """The arrays of ``pack``, as the given integer types."""
+    """The arrays of ``pack``, as the given integer types, or as unsigned ones of their width."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     count = int(np.frombuffer(raw, np.int64, 1)[0])
     head = np.frombuffer(raw, np.int64, 2 * count, 8)
@@ -242,11 +238,22 @@ def unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     for k in range(count):
         n, width = int(head[2 * k]), int(head[2 * k + 1])
         plane = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(plane.T).view(kinds[k]).reshape(n))
+        out.append(np.ascontiguousarray(plane.T).view(kinds[k] if kinds else f"u{width}").reshape(n))
         at += n * width
     return out
 
 
+def pack_small(*arrays: np.ndarray) -> bytes:
+    """Integers from 0 on, each array in as few bytes as its largest needs, packed."""
+    kinds = (np.uint8, np.uint16, np.uint32, np.uint64)
+    return pack(*(np.asarray(a).astype(kinds[sum(int(np.max(a, initial=0)) >= 1 << b for b in (8, 16, 32))]) for a in arrays), level=3)
+
+
+def unpack_small(blob: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack_small``, unsigned."""
+    return unpack(blob)
+
+
 def deltas(sorted_keys: np.ndarray) -> np.ndarray:
     """Differences of a sorted array, the first kept as it is."""
     return np.diff(sorted_keys, prepend=sorted_keys[:1] * 0)

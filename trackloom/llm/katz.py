@@ -1,171 +1,27 @@
-"""Katz backoff language model over word pairs, counted and scored over a whole corpus.
-
-Texts are encoded once into a table of batches of token codes. Their distinct
-words are counted in shards and get dense ids by falling frequency, so a pair
-packs into a few bytes. Keys and values travel packed, a blob for each batch and
-shard, and never as a row a word. Each
-batch sends its distinct pairs, with their training counts, to the shard of
-the pair's context; a shard adds the counts up, keeps them as the model's
-table, and answers every batch with the totals of the pairs it asked for.
-A context that has more pairs than a shard should hold is dealt over several.
-Scores are then worked out per token: a seen pair takes its discounted share,
-an unseen one its context's backoff weight times the shorter history.
-
-Counts of words (vocab), pairs (pairs) and contexts (contexts) are tables in
-the shared folder, so a lost executor costs only the tasks that it ran.
+"""Katz backoff language model over words, counted and scored over a whole corpus.
+
+N-grams up to ORDER are counted in shards (see ngrams). Good-Turing discounts
+come from counts of counts over the whole corpus, one set an order. A context's
+backoff weight is what its discounted successors leave, divided by what they
+leave of the shorter context, so that every distribution sums to one. Scores
+are worked out by the recursion itself: a seen n-gram takes its discounted
+share, an unseen one its context's weight times the score one order below.
+
+Shards keep what they counted as a table in the shared folder, partitioned by
+kind: distinct n-grams, their counts, and the weights of their contexts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK64, PACK_BYTES, Scratch, Words, bounded_batches, deltas, hashes, held_out, mix, pack, shards_for, text_slices, unpack, with_global_index
-
-#: Counts up to this one are discounted; larger ones are trusted.
-TRUSTED = 5
-#: Training tokens that one shard of the pair table holds at least.
-SHARD_TOKENS = 4_000_000
-#: The hash of the end of a text, which also stands before its first word.
-END = int(hashes([b""]).view(np.int64)[0])
-
-ENCODED = "kind string, shard int, batch_id long, blob binary, doc_ids array<long>, lens array<long>, train binary, shards binary"
-_ENCODED = pa.schema(
-    [("kind", pa.string()), ("shard", pa.int32()), ("batch_id", pa.int64()), ("blob", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("train", pa.binary()), ("shards", pa.binary())]
-)
-
-
-def encode(shards: int):
-    """Map: each slice of texts as token codes, and its distinct words, with their
-    training counts, packed for each shard of the words' space.
-
-    Every text ends in one END token. A null text has only that token.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, step = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            flags = np.asarray(batch.column("train"))
-            ids = batch.column("doc_id")
-            for first, end, data, offsets in text_slices(batch, limit=PACK_BYTES):
-                words = Words(data, offsets, lower=True)
-                codes, dictionary = words.encode()
-                n, docs_here = len(words), end - first
-                stream = np.full(n + docs_here, len(dictionary), np.uint32)
-                stream[np.arange(n) + words.doc] = codes
-                lens = words.per_doc + 1
-                learn = flags[first:end].astype(bool)
-                counts = np.bincount(stream[np.repeat(learn, lens)], minlength=len(dictionary) + 1).astype(np.uint32)
-                keys = np.append(hashes(dictionary), np.uint64(END & MASK64))
-                shard = (keys % np.uint64(shards)).astype(np.uint32)
-                full = np.unique(shard).tolist()
-                blobs = [pack(keys[shard == k], counts[shard == k]) for k in full]
-                m = len(full)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "kind": ["ask"] * m + ["batch"], "shard": [*full, None], "batch_id": [(part << 32) + step] * (m + 1), "blob": [*blobs, pack(stream)],
-                        "doc_ids": [None] * m + [ids.slice(first, docs_here).to_pylist()], "lens": [None] * m + [lens.tolist()],
-                        "train": [None] * m + [learn.tobytes()], "shards": [None] * m + [pack(shard)],
-                    },
-                    schema=_ENCODED,
-                )
-                step += 1
-
-    return run
-
-
-def sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map over whole shards: training count of each word that has one."""
-    held: dict[int, list[list[np.ndarray]]] = {}
-    for batch in batches:
-        for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            held.setdefault(shard, []).append(unpack(blob, np.uint64, np.uint32))
-    for parts in held.values():
-        uniq, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate([c for _, c in parts]), minlength=len(uniq)).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(uniq[total > 0].view(np.int64)), "count": pa.array(total[total > 0])})
-
-
-def look_up(asked: DataFrame, table: DataFrame, shards: int, kinds: tuple, missing: tuple) -> DataFrame:
-    """Packed join: for each (shard, batch_id, blob of keys) the table's values in the same order.
-
-    ``table`` has shard, key and the values, as unsigned integers or doubles;
-    both sides meet in their shard, and a batch gets back one blob a shard.
-    """
-    names = [c for c in table.columns if c not in ("shard", "key")]
-    empty = [F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("key", *names)]
-    both = asked.select("shard", "batch_id", "blob", *empty).unionByName(table.select("shard", F.lit(None).cast("long").alias("batch_id"), F.lit(None).cast("binary").alias("blob"), "key", *names))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asks: list[tuple[int, int, bytes]] = []
-        known: list[list[np.ndarray]] = []
-        for batch in batches:
-            mine = pa.compute.is_valid(batch.column("key"))
-            rows = batch.filter(mine)
-            if rows.num_rows:
-                known.append([rows.column(c).to_numpy() for c in ("key", *names)])
-            rest = batch.filter(pa.compute.invert(mine))
-            asks += zip(*(rest.column(c).to_pylist() for c in ("shard", "batch_id", "blob")), strict=True)
-        columns = [np.concatenate(c) for c in zip(*known, strict=True)] if known else [np.zeros(0, np.int64) for _ in range(1 + len(names))]
-        order = np.argsort(columns[0], kind="stable")
-        columns = [c[order] for c in columns]
-        for shard, who, blob in asks:
-            keys = unpack(blob, np.uint64, np.uint32)[0].view(np.int64)
-            place = np.minimum(np.searchsorted(columns[0], keys), max(0, len(order) - 1))
-            found = columns[0][place] == keys if len(order) else np.zeros(len(keys), bool)
-            values = []
-            for c, kind, default in zip(columns[1:], kinds, missing, strict=True):
-                v = np.full(len(keys), default, kind)
-                if len(order):
-                    v[found] = c[place[found]]
-                values.append(v)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "batch_id": pa.array([who], pa.int64()), "reply": pa.array([pack(*values)], pa.binary())})
-
-    return both.repartitionById(shards, "shard").mapInArrow(run, "shard int, batch_id long, reply binary").groupBy("batch_id").agg(F.collect_list(F.struct("shard", "reply")).alias("replies"))
-
-
-def scatter(shard: np.ndarray, replies: list, *kinds: type) -> list[np.ndarray]:
-    """Values of all shards' replies, each put back where its key stood."""
-    out = [np.zeros(len(shard), k) for k in kinds]
-    for reply in replies:
-        at = shard == reply["shard"]
-        for o, v in zip(out, unpack(reply["reply"], *kinds), strict=True):
-            o[at] = v
-    return out
-
-
-def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map: batches with the ids of their words; an unknown word's is -1."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            (shard,) = unpack(row["shards"], np.uint32)
-            (ids,) = scatter(shard, row["replies"], np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "batch_id": pa.array([row["batch_id"]]), "doc_ids": pa.array([row["doc_ids"]], pa.list_(pa.int64())), "lens": pa.array([row["lens"]], pa.list_(pa.int64())),
-                    "train": pa.array([row["train"]], pa.binary()), "codes": pa.array([row["blob"]], pa.binary()), "ids": pa.array([pack(ids)], pa.binary()),
-                }
-            )
-
-
-def ask_contexts(shards: int):
-    """Map: the known ids of each batch, packed for each shard of contexts."""
+from .common import Scratch, deltas, held_out, pack, pack_small
+from .ngrams import Model, Shard, group_sum, text_sums
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for who, blob in zip(batch.column("batch_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                (ids,) = unpack(blob, np.int64)
-                ids = ids[ids >= 0]
-                shard = ids % shards
-                full = np.unique(shard)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(full.astype(np.int32)), "batch_id": pa.array([who] * len(full), pa.int64()), "blob": pa.array([pack(ids[shard == k]) for k in full], pa.binary())})
-
-    return run
+#: Words of the longest n-gram. Counts up to TRUSTED are discounted; larger ones are trusted.
+ORDER, TRUSTED = 3, 5
 
 
 def good_turing(n: list[int], trusted: int = TRUSTED) -> np.ndarray:
@@ -184,255 +40,106 @@ def good_turing(n: list[int], trusted: int = TRUSTED) -> np.ndarray:
     return out
 
 
-class Unigrams:
-    """Counts by dense id as steps (ids fall in count), and the words' probabilities."""
+def count_of_counts(counts: np.ndarray) -> np.ndarray:
+    """How many items are seen 1, 2, ... TRUSTED + 1 times."""
+    return np.bincount(np.minimum(counts, TRUSTED + 2).astype(np.int64), minlength=TRUSTED + 3)[1 : TRUSTED + 2].astype(float)
 
-    def __init__(self, starts: np.ndarray, counts: np.ndarray, n: list[int]):
-        self.starts, self.counts = starts, counts
-        ends = np.append(starts[1:], starts[-1:]) if len(starts) else starts
-        self.size = int(n[0])
-        many = np.diff(np.append(starts, self.size)) if len(starts) else ends
-        self.total = int((many * counts).sum()) if len(starts) else 0
-        discount = good_turing(n)
-        kept = np.where(counts <= TRUSTED, discount[np.minimum(counts, TRUSTED)], 1.0) * counts
-        left = self.total - float((many * kept).sum())
-        whole = float(self.total)
-        if left <= 0:  # no rare word to take from: one more event is the unknown word
-            left, whole = 1.0, self.total + 1.0
-        self.step_p = kept / whole
-        self.unknown = left / whole
-
-    def count(self, ids: np.ndarray) -> np.ndarray:
-        """Training count of each id; id -1 is the unknown word."""
-        if not len(self.starts):
-            return np.zeros(len(ids), np.int64)
-        at = np.searchsorted(self.starts, ids, "right") - 1
-        return np.where(ids < 0, 0, self.counts[np.maximum(at, 0)])
-
-    def p(self, ids: np.ndarray) -> np.ndarray:
-        """Probability of each id without history; all unknown words are one class."""
-        if not len(self.starts):
-            return np.full(len(ids), self.unknown)
-        at = np.searchsorted(self.starts, ids, "right") - 1
-        return np.where(ids < 0, self.unknown, self.step_p[np.maximum(at, 0)])
-
-    def shard(self, keys: np.ndarray, shards: int) -> np.ndarray:
-        """Shard of each pair (context << 32 | word): that of its context, or for a
-        frequent context one of several, as many as its share of the tokens asks for."""
-        context, word = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
-        split = np.minimum(shards, 1 + 4 * shards * self.count(context) // max(1, self.total)).astype(np.uint64)
-        part = mix(word + np.uint64(1)) % split
-        return (mix((context.astype(np.uint64) << np.uint64(24)) + part) % np.uint64(shards)).astype(np.int64)
-
-
-def token_pairs(ids: np.ndarray, codes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Id of each token, id before it (END before the first), and its pair's key (0 where either is unknown)."""
-    cur = ids[codes]
-    prev = np.empty_like(cur)
-    prev[1:] = cur[:-1]
-    prev[np.cumsum(lens) - lens] = ids[-1]
-    known = (cur >= 0) & (prev >= 0)
-    key = np.where(known, (prev.astype(np.uint64) << np.uint64(32)) | cur.astype(np.uint64), np.uint64(0xFFFFFFFFFFFFFFFF))
-    return cur, prev, key
-
-
-def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, without the mark of unknown pairs, and each token's place in them."""
-    uniq, place = np.unique(key, return_inverse=True)
-    if len(uniq) and uniq[-1] == np.uint64(0xFFFFFFFFFFFFFFFF):
-        uniq = uniq[:-1]
-    return uniq, place
-
-
-def ask(model: Unigrams, shards: int):
-    """Map: the distinct pairs of each batch, with training counts, packed for each shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (ids,), lens = unpack(row["ids"], np.int64), np.array(row["lens"], np.int64)
-                (codes,) = unpack(row["codes"], np.uint32)
-                _, _, key = token_pairs(ids, codes, lens)
-                uniq, place = _distinct(key)
-                learn = np.repeat(np.frombuffer(row["train"], bool), lens)
-                counts = np.bincount(place[learn], minlength=len(uniq))[: len(uniq)]
-                shard = model.shard(uniq, shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                full = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-                blobs = []
-                for s in full:
-                    mine = order[cuts[s] : cuts[s + 1]]
-                    keys = uniq[mine]
-                    blobs.append(pack(deltas(keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), counts[mine].astype(np.uint32)))
-                yield pa.RecordBatch.from_pydict(
-                    {"shard": pa.array(full, pa.int32()), "batch_id": pa.array([row["batch_id"]] * len(full), pa.int64()), "pairs": pa.array(blobs, pa.binary())}
-                )
-
-    return run
-
-
-def answer(model: Unigrams):
-    """Map over whole shards: add up counts, keep them, answer each batch.
-
-    Emits rows of three kinds: the model's pairs, statistics of each context
-    (successors by count, mass of trusted counts, mass of successors without
-    history), and for each batch the totals of the pairs it sent.
+
+def discounted(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts after the discounts that the counts of counts give."""
+    d = good_turing([0, *n.astype(np.int64).tolist()])
+    return np.where(counts <= TRUSTED, d[np.minimum(counts, TRUSTED).astype(np.int64)], 1.0) * counts
+
+
+def backed_off(counts: np.ndarray, kept: np.ndarray, below: np.ndarray, context: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of n-grams after their contexts, and each context's backoff weight.
+
+    ``below`` is the probability one order below. A context whose successors are
+    all trusted sets one more event aside, so that it has something to back off
+    with; a context never seen hands everything down.
     """
+    total = group_sum(context, size, counts)
+    rare = group_sum(context, size, (counts > 0) & (counts <= TRUSTED)) > 0
+    whole = np.maximum(total + ~rare, 1.0)
+    lower = group_sum(context, size, np.where(counts > 0, below, 0.0))
+    weight = np.where(total > 0, (1 - group_sum(context, size, kept) / whole) / (1 - lower), 1.0)
+    return np.where(counts > 0, kept / whole[context], weight[context] * below), weight
+
+
+class Katz(Model):
+    """Katz backoff of order 2 or 3, learnt from texts of fold 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            for shard, who, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "batch_id", "pairs")), strict=True):
-                step, word, count = unpack(blob, np.uint32, np.uint32, np.uint32)
-                keys = (np.cumsum(step, dtype=np.uint64) << np.uint64(32)) | word.astype(np.uint64)
-                asked.setdefault(shard, []).append((who, keys, count))
-        for shard in list(asked):
-            sent = asked.pop(shard)
-            uniq, place = np.unique(np.concatenate([k for _, k, _ in sent]), return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate([c for _, _, c in sent]), minlength=len(uniq)).astype(np.int64)
-            reply, at = [], 0
-            for _, keys, _ in sent:
-                reply.append(pack(total[place[at : at + len(keys)]].astype(np.uint32)))
-                at += len(keys)
-            seen = total > 0
-            uniq, total = uniq[seen], total[seen]
-            context, word = (uniq >> np.uint64(32)).astype(np.int64), (uniq & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            who, first = np.unique(context, return_index=True)
-            if len(who):
-                by = np.repeat(np.arange(len(who)), np.diff(np.append(first, len(context))))
-                stats = [np.bincount(by, weights=total == r, minlength=len(who)) for r in range(1, TRUSTED + 2)]
-                stats.append(np.bincount(by, weights=np.where(total > TRUSTED, total, 0), minlength=len(who)))
-                stats.append(np.bincount(by, weights=model.p(word), minlength=len(who)))
-            else:
-                stats = [np.zeros(0)] * (TRUSTED + 3)
-            n = len(sent)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "kind": pa.array(["answer"] * n + ["model"], pa.string()),
-                    "shard": pa.array([shard] * (n + 1), pa.int32()),
-                    "batch_id": pa.array([b for b, _, _ in sent] + [None], pa.int64()),
-                    "blob": pa.array([*reply, pack(deltas(uniq), total)], pa.binary()),
-                    "contexts": pa.array([None] * n + [who], pa.list_(pa.int64())),
-                    "stats": pa.array([None] * n + [np.stack(stats, 1).reshape(-1)], pa.list_(pa.float64())),
-                }
-            )
-
-    return run
-
-
-def evaluate(model: Unigrams, discount: np.ndarray, shards: int):
-    """Map: log10 probability of each text, token by token, from a batch's answers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (ids,), lens = unpack(row["ids"], np.int64), np.array(row["lens"], np.int64)
-                (codes,) = unpack(row["codes"], np.uint32)
-                cur, prev, key = token_pairs(ids, codes, lens)
-                uniq, place = _distinct(key)
-                shard = model.shard(uniq, shards)
-                total = np.zeros(len(uniq) + 1, np.int64)
-                for reply in row["replies"] or []:
-                    total[:-1][shard == reply["shard"]] = unpack(reply["blob"], np.uint32)[0]
-                r = total[np.minimum(place, len(uniq))]
-                weight, more = np.ones(len(ids)), np.zeros(len(ids))
-                known = ids >= 0
-                weight[known], more[known] = scatter(ids[known] % shards, row["weights"] or [], np.float64, np.float64)
-                # the history of a token is the one before it, END before the first
-                begin = np.cumsum(lens) - lens
-                history = np.empty(len(codes), np.int64)
-                history[1:] = codes[:-1]
-                history[begin] = len(ids) - 1
-                back, more = weight[history], more[history]
-                held = np.where(r <= TRUSTED, discount[np.minimum(r, TRUSTED)], 1.0) * r / (model.count(prev) + more + (r == 0))
-                p = np.where(r > 0, held, back * model.p(cur))
-                seen = model.count(cur)
-                base = np.log10((seen + 0.5) / (model.total + 0.5 * (model.size + 1)))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                        "held_out": pa.array(~np.frombuffer(row["train"], bool)),
-                        "n_tokens": pa.array(lens),
-                        "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), begin)),
-                        "train_tokens": pa.array(np.full(len(lens), model.total, np.int64)),
-                        "base_score": pa.array(np.add.reduceat(base, begin)),
-                        "score": pa.array(np.add.reduceat(np.log10(p), begin)),
-                    }
-                )
-
-    return run
-
-
-def katz_scores(docs: DataFrame, train: Column, scratch: Scratch | None = None) -> DataFrame:
+    sums = ("score", "base_score", "n_known", "train_tokens")
+
+    def __init__(self, order: int = ORDER):
+        if order not in (2, 3):
+            raise ValueError("the order is 2 or 3")
+        self.order = order
+
+    def pairs(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
+        return group_sum(shard.gram_pair, len(shard.pair_home), counts)
+
+    def word_values(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
+        return group_sum(shard.pair_word, len(shard.words), self.pairs(shard, counts))
+
+    def shard_stats(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
+        return np.concatenate([count_of_counts(self.pairs(shard, counts)), count_of_counts(counts)])
+
+    def word_stats(self, totals: np.ndarray) -> np.ndarray:
+        return np.concatenate([[np.count_nonzero(totals), totals.sum()], count_of_counts(totals)])
+
+    def values(self, shard: Shard, counts: np.ndarray, words: np.ndarray, stats: np.ndarray, word_stats: np.ndarray) -> np.ndarray:
+        distinct, total, n = word_stats[0], word_stats[1], word_stats[2:]
+        r = np.arange(1, TRUSTED + 1)
+        left = float((n[:TRUSTED] * (r - discounted(r, n))).sum())
+        whole = total
+        if left <= 0:  # no rare word to take from: one more event is the unknown word
+            left, whole = 1.0, total + 1.0
+        below = np.where(words > 0, discounted(words, n) / whole, left / whole)[shard.pair_word]
+        two = self.pairs(shard, counts)
+        p, self.weights = backed_off(two, discounted(two, stats[: TRUSTED + 1]), below, shard.pair_home, len(shard.homes))
+        if self.order == 3:
+            p, self.context_weights = backed_off(counts, discounted(counts, stats[TRUSTED + 1 :]), p[shard.gram_pair], shard.gram_context, int(shard.gram_context.max(initial=-1)) + 1)
+        seen = words[shard.pair_word][shard.gram_pair]
+        base = np.log10((seen + 0.5) / (total + 0.5 * (distinct + 1)))
+        # every text has one END, which so can bring a number to each text
+        once = (shard.words == self.end)[shard.pair_word][shard.gram_pair]
+        return np.stack([np.log10(p), base, (seen > 0).astype(float), np.where(once, total, 0.0)])
+
+    def stored(self, shard: Shard, counts: np.ndarray, values: np.ndarray) -> bytes:
+        seen = np.flatnonzero(counts > 0)
+        pair, first = np.unique(shard.gram_pair[seen], return_index=True)
+        parts = [deltas(shard.homes), deltas(shard.words), shard.pair_home[pair], shard.pair_word[pair], np.diff(np.append(first, len(seen))), counts[seen].astype(np.int64)]
+        if self.order == 3:
+            uniq, place = np.unique(shard.thirds[seen], return_inverse=True)
+            parts += [deltas(uniq), place]
+        weights = self.context_weights if self.order == 3 else np.zeros(0)
+        return pack_small(*parts) + pack(self.weights.astype(np.float32).view(np.uint32), weights.astype(np.float32).view(np.uint32))
+
+
+def katz_scores(docs: DataFrame, train: Column, scratch: Scratch | None = None, order: int = ORDER) -> DataFrame:
     """Score every text under a Katz model of the texts that ``train`` marks.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
-    score (log10 probability of the tokens, the end included). Words unknown to
-    training are one class that has the Good-Turing mass of unseen words.
+    score (log10 probability of the tokens, the end included). Before the first
+    word stand ends. Words unknown to training are one class that has the
+    Good-Turing mass of unseen words. Two words are one where the first 40 or
+    more bits of their hashes agree; the bits grow with the corpus.
 
     Null text: empty, one END token. Null doc_id: kept, null. Repeated rows:
     each is counted and scored. Empty table: no rows. No training text: every
     token has the same probability, 1. Other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
-    scratch = scratch or Scratch(spark, "katz")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = shards_for(spark, chars // 5, SHARD_TOKENS)
-    coded = scratch.write(rows.mapInArrow(encode(parts), ENCODED), "batches", ["kind"])
-    words = coded.where("kind = 'ask'").select("shard", "batch_id", "blob")
-    counted = words.select("shard", "blob").repartitionById(parts, "shard").mapInArrow(sum_words, "word long, count long")
-    vocab = with_global_index(scratch, counted, [F.col("count").desc(), F.col("word")], "vocab")
-    steps = vocab.groupBy("count").agg(F.min("id").alias("start"), F.count("*").alias("n")).orderBy("start").collect()  # at most sqrt(2 N) rows
-    by_count = {row["count"]: row["n"] for row in steps}
-    n = [sum(by_count.values())] + [by_count.get(r, 0) for r in range(1, TRUSTED + 2)]
-    model = Unigrams(np.array([s["start"] for s in steps], np.int64), np.array([s["count"] for s in steps], np.int64), n)
-    shards = shards_for(spark, model.total, SHARD_TOKENS)
-
-    # word hashes are unsigned: their remainder, not that of the signed value
-    low, high = F.col("word").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("word", 32)
-    shard = ((high % parts * (2**32 % parts) + low) % parts).cast("int")
-    named = look_up(words, vocab.select(shard.alias("shard"), F.col("word").alias("key"), "id"), parts, (np.int64,), (-1,))
-    numbered = coded.where("kind = 'batch'").select("batch_id", "doc_ids", "lens", "train", "blob", "shards").join(named, "batch_id")
-    numbered = scratch.write(numbered.mapInArrow(number, "batch_id long, doc_ids array<long>, lens array<long>, train binary, codes binary, ids binary"), "numbered")
-    scratch.drop("batches")
-
-    asked = numbered.select("batch_id", "ids", "lens", "train", "codes").mapInArrow(ask(model, shards), "shard int, batch_id long, pairs binary")
-    reduced = scratch.write(
-        asked.repartitionById(shards, "shard").mapInArrow(answer(model), "kind string, shard int, batch_id long, blob binary, contexts array<long>, stats array<double>"),
-        "pairs",
-        ["kind"],
-    )
-    width = TRUSTED + 3
-    names = [f"n{r}" for r in range(1, TRUSTED + 2)] + ["trusted", "lower"]
-    stats = (
-        reduced.where("kind = 'model'")
-        .select(F.posexplode("contexts").alias("i", "id"), "stats")
-        .select("id", *(F.element_at("stats", F.col("i") * width + k + 1).alias(c) for k, c in enumerate(names)))
-        .groupBy("id")
-        .agg(*(F.sum(c).alias(c) for c in names))
-    )
-    stats = scratch.write(stats, "contexts")
-    sums: Row = stats.agg(*(F.sum(c).alias(c) for c in names[:-2])).first()
-    discount = good_turing([0] + [int(sums[c] or 0) for c in names[:-2]])
-    held = sum((F.col(f"n{r}") * float(r * discount[r]) for r in range(1, TRUSTED + 1)), F.col("trusted"))
-    rare = sum((F.col(f"n{r}") for r in range(2, TRUSTED + 1)), F.col("n1"))
-    # a history with no discounted successor sets one more event aside for backing off
-    extra = F.when(rare == 0, 1.0).otherwise(0.0)
-    size = sum((F.col(f"n{r}") * float(r) for r in range(1, TRUSTED + 1)), F.col("trusted"))
-    weights = stats.select("id", ((1 - held / (size + extra)) / (1 - F.col("lower"))).alias("alpha"), extra.alias("extra"))
-
-    table = weights.select((F.col("id") % shards).cast("int").alias("shard"), F.col("id").alias("key"), "alpha", "extra")
-    alphas = look_up(numbered.select("batch_id", "ids").mapInArrow(ask_contexts(shards), "shard int, batch_id long, blob binary"), table, shards, (np.float64, np.float64), (1.0, 0.0))
-    alphas = alphas.withColumnRenamed("replies", "weights")
-    replies = reduced.where("kind = 'answer'").groupBy("batch_id").agg(F.collect_list(F.struct("shard", "blob")).alias("replies"))
-    whole = numbered.join(alphas, "batch_id", "left").join(replies, "batch_id", "left")
-    return whole.mapInArrow(
-        evaluate(model, discount, shards),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.when(F.coalesce(train, F.lit(False)), 0).otherwise(1).alias("fold"), F.lit("").alias("grp"),
+    )
+    told = text_sums(rows, Katz(order), scratch or Scratch(spark, "katz"))
+    return told.select(
+        "doc_id", (F.col("fold") == 1).alias("held_out"), "n_tokens", F.round("n_known").cast("long").alias("n_known"),
+        F.round("train_tokens").cast("long").alias("train_tokens"), "base_score", "score",
+    )
 
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
