@@ -1,154 +1,36 @@
 """Quality rules with n-gram perplexity bands.
 
-The model is modified Kneser-Ney over runs of ORDER byte classes. Letters are
-classes of their own, upper case, digits, accents and kinds of punctuation are
-one class each, so that there are at most CLASSES**ORDER runs: the model has a
-size bound that no corpus can exceed, while Spark counts every run of every
-text. Each language's model is kept as sorted key arrays. Perplexity is that of
-a letter or digit, so that marks which are easy to foresee but say nothing add
-to it. A text is rejected where it leaves its language's band, on either side.
+A modified Kneser-Ney model over word pairs is counted for every language that
+the table holds, in shards of sorted hash arrays (see ngrams). Texts are dealt
+into two halves, and each half is judged by the counts of the other, so that a
+text does not vouch for itself. A text is rejected where its perplexity a token
+leaves its language's band, on either side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, bounded_batches, hashes, shingles, text_slices
-
-ORDER, CLASSES = 4, 40
-#: Languages with a model and band of their own; all others share one.
-LANGUAGES = ("de", "en", "es", "fr")
-#: Half-width of a band in robust standard deviations of log perplexity.
-LOWER_WIDTH, UPPER_WIDTH = 6.0, 6.0
-
-_CLASS = np.full(256, 39, np.uint32)
-_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
-_CLASS[97:123] = np.arange(1, 27)
-_CLASS[65:91] = 27
-_CLASS[48:58] = 28
-_CLASS[0x80:0xC0] = 29 + np.arange(64) // 16
-_CLASS[0xC2:0xC4] = 33
-_CLASS[0xC4:0x100] = 34
-_CLASS[[ord(c) for c in ".,;:"]] = 35
-_CLASS[[ord(c) for c in "!?"]] = 36
-_CLASS[[ord(c) for c in "#*$%&|<>"]] = 37
-_CLASS[[ord(c) for c in "'\"()-"]] = 38
+from .common import MASK64, Scratch, Words, hashes, mix, shingles
+from .ngrams import Model, Shard, group_sum, text_sums
 
-_LETTER = (_CLASS >= 1) & (_CLASS <= 34)
+#: Half-widths of a band in robust standard deviations of log perplexity. The lower
+#: one is twice the upper: a near copy of a text of the other half reads easily.
+LOWER_WIDTH, UPPER_WIDTH = 7.0, 3.5
+#: Languages up to which bands are broadcast; beyond, they are joined by shuffling.
+BROADCAST_BANDS = 10_000
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _CONTINUES = (np.arange(256) & 0xC0) == 0x80
-_SPACE = " \t\n\x0b\x0c\r"
-
-
-def run_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the run that ends at each byte of each text, padded with spaces before
-    its start, and the number of runs of each text (its bytes)."""
-    lens = np.diff(offsets)
-    padded = np.zeros(len(data) + (ORDER - 1) * len(lens), np.uint32)
-    doc = np.repeat(np.arange(len(lens)), lens)
-    at = np.arange(len(data)) + (ORDER - 1) * (doc + 1)
-    padded[at] = _CLASS[data]
-    key = np.zeros(len(data), np.uint32)
-    for k in range(ORDER - 1, -1, -1):
-        key = key * np.uint32(CLASSES) + padded[at - k]
-    return key, lens
-
-
-def _language(column: pa.Array) -> np.ndarray:
-    known = {name: k for k, name in enumerate(LANGUAGES)}
-    return np.array([known.get(x, len(LANGUAGES)) for x in column.to_pylist()], np.int64)
-
-
-def count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map: counts of runs by language, added up over the partition."""
-    size = CLASSES**ORDER
-    totals: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        langs = _language(batch.column("lang"))
-        for first, end, data, offsets in text_slices(batch):
-            key, lens = run_keys(data, offsets)
-            of = np.repeat(langs[first:end], lens)
-            for lang in np.unique(of):
-                dense = np.bincount(key[of == lang], minlength=size)
-                keys = np.flatnonzero(dense)
-                counts = dense[keys]
-                if lang in totals:
-                    dense[totals[lang][0]] += totals[lang][1]
-                    keys = np.flatnonzero(dense)
-                    counts = dense[keys]
-                totals[int(lang)] = (keys, counts)
-    for lang, (keys, counts) in totals.items():
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(np.full(len(keys), lang, np.int32)), "key": pa.array(keys.astype(np.int32)), "count": pa.array(counts.astype(np.int64))})
-
+_SPACE = b" \t\n\x0b\x0c\r"
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts D1, D2, D3+ by count; a half each where they are undefined."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6).astype(float)
-    out = np.array([0.0, 0.5, 0.5, 0.5])
-    if n[1] and n[2]:
-        y = n[1] / (n[1] + 2 * n[2])
-        for r in (1, 2, 3):
-            if n[r]:
-                d = r - (r + 1) * y * n[r + 1] / n[r]
-                out[r] = d if 0 < d < r else 0.5
-    return out
-
-
-def kneser_ney(keys: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Interpolated modified Kneser-Ney model of sorted run keys and their counts.
-
-    For each order from 1 up: sorted keys, their probabilities, sorted histories,
-    and the weight that each history leaves to the next lower order. Below the
-    highest order, a run counts once for each class seen before it.
-    """
-    levels = [(keys, counts)]
-    for order in range(ORDER - 1, 0, -1):
-        below, n = np.unique(levels[0][0] % CLASSES**order, return_counts=True)
-        levels.insert(0, (below, n))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    for order, (key, n) in enumerate(levels, 1):
-        d = _discounts(n)[np.minimum(n, 3)]
-        history, first = np.unique(key // CLASSES, return_index=True)
-        total = np.add.reduceat(n, first).astype(float)
-        left = np.add.reduceat(d, first) / total
-        place = np.repeat(np.arange(len(history)), np.diff(np.append(first, len(key))))
-        lower = np.full(len(key), 1.0 / CLASSES) if order == 1 else probability(out, key % CLASSES ** (order - 1))
-        out.append((key, (n - d) / total[place] + left[place] * lower, history, left))
-    return out
 
-
-def probability(model: list, keys: np.ndarray) -> np.ndarray:
-    """Probability of each key's last class after the classes before it.
-
-    Looks the key up in the sorted array of the model's highest order; where it
-    is missing, its history's weight times the next lower order counts.
-    """
-    if not model:
-        return np.full(len(keys), 1.0 / CLASSES)
-    key, p, history, left = model[-1]
-    out = np.empty(len(keys))
-    at = np.minimum(np.searchsorted(key, keys), len(key) - 1)
-    found = key[at] == keys
-    out[found] = p[at[found]]
-    missing = keys[~found]
-    if len(missing):
-        past = missing // CLASSES
-        h = np.minimum(np.searchsorted(history, past), len(history) - 1)
-        weight = np.where(history[h] == past, left[h], 1.0)
-        out[~found] = weight * probability(model[:-1], missing % CLASSES ** (len(model) - 1))
-    return out
-
-
-def text_rules(text: str) -> int:
+def repeated_lines(text: bytes) -> int:
     """Lines with a word that equal an earlier line of the text."""
-    lines = [x for x in text.split("\n") if x.strip(_SPACE)]
+    lines = [x for x in text.split(b"\n") if x.strip(_SPACE)]
     return len(lines) - len(set(lines))
 
 
@@ -170,45 +52,84 @@ def repeated_words(words: Words, codes: np.ndarray, dictionary: list[bytes]) ->
     return np.bincount(words.doc[covered], minlength=words.n_docs)
 
 
-def measure(models: dict[int, list]):
-    """Map: word counts, symbol and repetition counts, and log perplexity a letter of each text."""
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Modified Kneser-Ney discounts by count 0, 1, 2, 3 and over, from how many items are seen
+    1 to 4 times; a half each where they are undefined."""
+    out = np.array([0.0, 0.5, 0.5, 0.5])
+    if n[0] and n[1]:
+        y = n[0] / (n[0] + 2 * n[1])
+        for r in (1, 2, 3):
+            if n[r - 1]:
+                d = r - (r + 1) * y * n[r] / n[r - 1]
+                out[r] = d if 0 < d < r else 0.5
+    return out
+
+
+def _few(counts: np.ndarray) -> np.ndarray:
+    """How many items are seen 1, 2, 3 and 4 times."""
+    return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].astype(float)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CLASSES**ORDER, np.float32)
-        for batch in batches:
-            langs = _language(batch.column("lang"))
-            texts = batch.column("text").to_pylist()
-            for first, end, data, offsets in text_slices(batch):
-                words = Words(data, offsets)
-                codes, dictionary = words.encode()
-                key, lens = run_keys(data, offsets)
-                of = np.repeat(langs[first:end], lens)
-                nats = np.zeros(len(key), np.float32)
-                for lang in np.unique(of):
-                    mine = of == lang
-                    used = np.unique(key[mine])
-                    table[used] = -np.log(probability(models.get(int(lang), []), used.astype(np.int64)))
-                    nats[mine] = table[key[mine]]
-                starts = np.append(0, np.cumsum(lens))
-                sums = np.append(0.0, np.cumsum(nats, dtype=np.float64))
-                letters = np.append(0, np.cumsum(_LETTER[data]))
-                mean = (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(letters[starts[1:]] - letters[starts[:-1]], 1)
-                chars = np.append(0, np.cumsum(words.word & ~_CONTINUES[data]))
-                symbols = np.append(0, np.cumsum(_SYMBOL[data]))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column("doc_id").slice(first, end - first),
-                        "band": pa.array(langs[first:end].astype(np.int32)),
-                        "n_words": pa.array(words.per_doc),
-                        "word_chars": pa.array(chars[offsets[1:]] - chars[offsets[:-1]]),
-                        "n_symbols": pa.array(symbols[offsets[1:]] - symbols[offsets[:-1]]),
-                        "n_dup_lines": pa.array([text_rules(t or "") for t in texts[first:end]], pa.int64()),
-                        "n_repeat_words": pa.array(repeated_words(words, codes, dictionary).astype(np.int64)),
-                        "log_perplexity": pa.array(mean),
-                    }
-                )
 
-    return run
+class KneserNey(Model):
+    """Interpolated modified Kneser-Ney over pairs: natural log perplexity of each half under the other's counts.
+
+    A word's continuation count is the number of distinct words before it. The
+    lowest order mixes it with a uniform share over all words and one more, the
+    unknown word.
+    """
+
+    order = 2
+    folds = (0, 1)
+    sums = ("nats",)
+    carried = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+    def of_fold(self, fold: int) -> int:
+        return 1 - fold
+
+    def columns(self, words: Words, codes: np.ndarray, dictionary: list[bytes]) -> dict[str, np.ndarray]:
+        begin, end = words.offsets[:-1], words.offsets[1:]
+        chars = np.append(0, np.cumsum(words.word & ~_CONTINUES[words.data]))
+        symbols = np.append(0, np.cumsum(_SYMBOL[words.data]))
+        whole = words.data.tobytes()
+        lines = [repeated_lines(whole[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        return {
+            "word_chars": chars[end] - chars[begin], "n_symbols": symbols[end] - symbols[begin],
+            "n_dup_lines": np.array(lines, np.int64), "n_repeat_words": repeated_words(words, codes, dictionary).astype(np.int64),
+        }
+
+    def halves(self, words: Words, codes: np.ndarray, dictionary: list[bytes]) -> np.ndarray:
+        least = np.full(words.n_docs, MASK64, np.uint64)
+        if len(words) > 2:
+            inside = words.doc[:-2] == words.doc[2:]
+            runs, doc = mix(shingles(hashes([w.lower() for w in dictionary])[codes], 3))[inside], words.doc[:-2][inside]
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            if len(first):
+                least[doc[first]] = np.minimum.reduceat(runs, first)
+        return (mix(least) & np.uint64(1)).astype(np.int64)
+
+    def word_values(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
+        return group_sum(shard.pair_word, len(shard.words), counts > 0)
+
+    def shard_stats(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
+        return _few(counts)
+
+    def word_stats(self, totals: np.ndarray) -> np.ndarray:
+        return np.concatenate([[np.count_nonzero(totals), totals.sum()], _few(totals)])
+
+    def values(self, shard: Shard, counts: np.ndarray, words: np.ndarray, stats: np.ndarray, word_stats: np.ndarray) -> np.ndarray:
+        distinct, total, few = word_stats[0], word_stats[1], word_stats[2:]
+        d = discounts(few)
+        if total:
+            left = (d[1] * few[0] + d[2] * few[1] + d[3] * (distinct - few[0] - few[1])) / total
+            lower = ((words - d[np.minimum(words, 3).astype(np.int64)]) / total + left / (distinct + 1))[shard.pair_word]
+        else:
+            lower = np.ones(len(counts))
+        taken = discounts(stats)[np.minimum(counts, 3).astype(np.int64)]
+        size = len(shard.homes)
+        seen = group_sum(shard.pair_home, size, counts)[shard.pair_home]
+        weight = group_sum(shard.pair_home, size, taken)[shard.pair_home]
+        p = np.where(seen > 0, (counts - taken + weight * lower) / np.maximum(seen, 1), lower)
+        return -np.log(p)[None]
 
 
 def quality_rules(docs: DataFrame, scratch: Scratch | None = None, widths: tuple[float, float] = (LOWER_WIDTH, UPPER_WIDTH)) -> DataFrame:
@@ -219,39 +140,33 @@ def quality_rules(docs: DataFrame, scratch: Scratch | None = None, widths: tuple
     ``widths`` robust standard deviations (1.4826 times the median absolute
     deviation) of its language's median, taken over all texts that pass the base
     rules. The median and deviation are approximate within one part in 10,000.
+    Words of the model are lower-cased from A to Z, and a text's end is a token.
 
-    Null text: no words, base_failed. Null or unlisted lang: the shared model.
-    Null doc_id: kept, null. Repeated rows: each is counted and judged. Empty
-    table: no rows. Other columns are ignored.
+    Null text: no words, base_failed. Null lang: a language of its own. A
+    language of which the other half has no text: perplexity 1. Null doc_id:
+    kept, null. Repeated rows: each is counted and judged. Empty table: no rows.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     scratch = scratch or Scratch(spark, "rules")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counted = rows.select("text", "lang").mapInArrow(count_runs, "lang int, key int, count long").groupBy("lang", "key").agg(F.sum("count").alias("count"))
-    # at most CLASSES**ORDER keys for each of a fixed list of languages
-    table = scratch.write(counted, "runs").toArrow()
-    models = {}
-    for lang in range(len(LANGUAGES) + 1):
-        mine = table.filter(pa.compute.equal(table["lang"], lang))
-        if mine.num_rows:
-            key, n = mine["key"].to_numpy().astype(np.int64), mine["count"].to_numpy()
-            order = np.argsort(key)
-            models[lang] = kneser_ney(key[order], n[order])
-    measured = scratch.write(rows.mapInArrow(measure(models), "doc_id long, band int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"), "measured")
+    lang = F.col("lang").cast("string")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.lit(0).alias("fold"), F.coalesce(F.concat(F.lit("="), lang), F.lit("")).alias("grp"),
+    )
+    told = text_sums(rows, KneserNey(), scratch).withColumn("n_words", F.col("n_tokens") - 1)
+    measured = scratch.write(
+        told.select("doc_id", "grp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("nats") / F.col("n_tokens")).alias("log_perplexity")), "measured"
+    )
     measured = measured.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     good = measured.where("not base_failed")
-    centre = good.groupBy("band").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("centre"))
-    spread = (
-        good.join(F.broadcast(centre), "band")
-        .groupBy("band", "centre")
-        .agg((1.4826 * F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("centre")), 0.5, 10000)).alias("spread"))
-    )
-    # one row a language of a fixed list
-    bands = spread.select("band", (F.col("centre") - widths[0] * F.col("spread")).alias("lower"), (F.col("centre") + widths[1] * F.col("spread")).alias("upper"))
-    judged = measured.join(F.broadcast(bands), "band", "left")
+    centre = scratch.write(good.groupBy("grp").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("centre")), "centre")
+    few = centre.count() <= BROADCAST_BANDS
+    hint = F.broadcast if few else (lambda df: df)
+    spread = good.join(hint(centre), "grp").groupBy("grp", "centre").agg((1.4826 * F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("centre")), 0.5, 10000)).alias("spread"))
+    bands = spread.select("grp", (F.col("centre") - widths[0] * F.col("spread")).alias("lower"), (F.col("centre") + widths[1] * F.col("spread")).alias("upper"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return judged.select(
+    return measured.join(hint(bands), "grp", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & inside).alias("kept"), "log_perplexity", "lower", "upper",
     )
