@@ -145,17 +145,33 @@ def test_curriculum_targets_and_limits(spark, make_docs, odd_rows):
     total, by = sum(r.size for r in rows), {}
     for r in rows:
         assert 0 <= r.taken <= 2 * r.size and r.target <= 2 * r.source_size + 1e-6
-        assert len(r.positions) == (0 if not r.taken else len(r.positions)) and all(0 <= p <= 1 for p in r.positions)
+        assert bool(r.positions) == bool(r.taken) and all(0 <= p <= 1.5 * total for p in r.positions)
         s = by.setdefault(r.source, [0, r.target, r.source_size])
         s[0] += r.taken
     assert sum(t for _, t, _ in by.values()) == pytest.approx(1.5 * total)
     assert all(abs(taken - target) <= 1 for taken, target, _ in by.values())
+    # a position is a place in the stream: about as many words come before it
+    longest, before = max(r.size for r in rows), 0
+    stream = sorted((p, min(r.size, r.taken - k * r.size)) for r in rows for k, p in enumerate(r.positions))
+    for position, words in stream:
+        assert abs(position - before) <= longest * len(by)
+        before += words
     again = curriculum.curriculum_mix(make_docs(docs[::-1])).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert curriculum.curriculum_mix(make_docs([])).collect() == []
     assert all(r.taken == 0 for r in curriculum.curriculum_mix(make_docs([(1, None), (2, "")])).collect())
 
 
+def test_another_schedule_gives_another_mix(spark, make_docs):
+    docs = [(k, "w " * (5 + k % 7), None, "abc"[k % 3]) for k in range(90)]
+    as_is = {r.doc_id: r.positions for r in curriculum.curriculum_mix(make_docs(docs)).collect()}
+    flat = {r.doc_id: r.positions for r in curriculum.curriculum_mix(make_docs(docs), schedules=((1.0, 1.0, 1.0),)).collect()}
+    late = {r.doc_id: r.positions for r in curriculum.curriculum_mix(make_docs(docs), schedules=((2.0, 1.0, 0.0), (0.0, 1.0, 2.0), (1.0, 1.0, 1.0))).collect()}
+    assert sum(as_is[d] != flat[d] for d in as_is) > 60
+    mean = lambda got, source: np.mean([p for d, ps in got.items() for p in ps if d % 3 == source])
+    assert mean(late, 0) < mean(flat, 0) - 50 and mean(late, 1) > mean(flat, 1) + 50
+
+
 def test_training_time_inverts_the_integral(spark):
     knots, weights = curriculum.KNOTS, curriculum.SCHEDULES
     rows = spark.range(0, 300).select((F.col("id") % 3).alias("r"), (F.col("id") / 300).alias("u")).select("r", "u", curriculum.training_time(F.col("u"), F.col("r")).alias("t")).collect()

@@ -3,8 +3,9 @@
 Targets come from water-filling: sources share a budget of words by weight,
 and none takes more than a multiple of its size. A source's documents stand in
 a fixed shuffled order; its demand grows with training time as its weight
-schedule says. Integrating the schedule and inverting the integral turns a
-document's place in its source into a training position, and documents are
+schedule says. Inverting the schedule's integral turns a document's place in
+its source into a time, and the demand of all sources together up to that time
+is its position: the tokens that training has taken by then. Documents are
 range-sorted by it. Only DataFrame functions are used, and a source is dealt
 over buckets, so that a hot source is no task of its own.
 """
@@ -57,28 +58,47 @@ def training_time(demand: Column, rank: Column, knots: tuple = KNOTS, schedules:
     """
     out = F.lit(None).cast("double")
     for k, weights in enumerate(schedules):
-        areas = [(knots[j + 1] - knots[j]) * (weights[j] + weights[j + 1]) / 2 for j in range(len(knots) - 1)]
-        total, before, time = sum(areas), 0.0, F.lit(knots[-1])
-        for j in range(len(areas)):
-            slope = (weights[j + 1] - weights[j]) / (knots[j + 1] - knots[j])
+        pieces = _pieces(knots, weights)
+        total, time = pieces[-1][3] + pieces[-1][4], F.lit(knots[-1])
+        for start, first, slope, before, area in reversed(pieces):
             rest = demand * total - F.lit(before)
-            root = F.sqrt(F.greatest(F.lit(0.0), F.lit(weights[j] * weights[j]) + rest * (2 * slope)))
-            here = F.when(rest <= 0, F.lit(knots[j])).otherwise(F.lit(knots[j]) + rest * 2.0 / (F.lit(weights[j]) + root))
-            before += areas[j]
-            # the first segment whose end is not yet passed
-            segment = demand * total <= before
-            time = F.when(segment, here).otherwise(time) if j == 0 else F.when(~(demand * total <= before - areas[j]) & segment, here).otherwise(time)
+            root = F.sqrt(F.greatest(F.lit(0.0), F.lit(first * first) + rest * (2 * slope)))
+            here = F.when(rest <= 0, F.lit(start)).otherwise(F.lit(start) + rest * 2.0 / (F.lit(first) + root))
+            time = F.when(demand * total <= before + area, here).otherwise(time)
         out = F.when(rank % len(schedules) == k, time).otherwise(out)
     return out
 
 
-def curriculum_mix(docs: DataFrame, scratch: Scratch | None = None, budget: float = BUDGET, repeats: int = REPEATS) -> DataFrame:
+def _pieces(knots: tuple, weights: tuple) -> list[tuple[float, float, float, float, float]]:
+    """Of each linear piece of a schedule: start, weight there, slope, area before it, area of it."""
+    out, before = [], 0.0
+    for j in range(len(knots) - 1):
+        wide = knots[j + 1] - knots[j]
+        area = wide * (weights[j] + weights[j + 1]) / 2
+        out.append((knots[j], weights[j], (weights[j + 1] - weights[j]) / wide, before, area))
+        before += area
+    return out
+
+
+def demand_share(time: Column, weights: tuple, knots: tuple = KNOTS) -> Column:
+    """Share of its whole demand that a source with this schedule has made by a time."""
+    pieces = _pieces(knots, weights)
+    total, out = pieces[-1][3] + pieces[-1][4], F.lit(None).cast("double")
+    for start, first, slope, before, _ in pieces:
+        here = (F.lit(before) + (time - start) * first + (time - start) * (time - start) * (slope / 2)) / total
+        out = here if start == knots[0] else F.when(time <= start, out).otherwise(here)
+    return out
+
+
+def curriculum_mix(
+    docs: DataFrame, scratch: Scratch | None = None, budget: float = BUDGET, repeats: int = REPEATS, schedules: tuple = SCHEDULES, knots: tuple = KNOTS
+) -> DataFrame:
     """Words that a mix takes of each document, and where in training it does.
 
     Returns doc_id, source, size, source_size, target (its source's), taken
-    (words, repeats counted) and positions (training times from 0 to 1, one for
-    each pass that takes words of the document), range-sorted by first
-    position. Passes go through a source in md5 order of the id; the document
+    (words, repeats counted) and positions (words that training has taken before,
+    to a thousandth, one for each pass that takes words of the document),
+    range-sorted by first position. Schedules go by rank of the source, repeating. Passes go through a source in md5 order of the id; the document
     at which a target ends is taken in part.
 
     Null text: size 0. Null source: a source of its own, the last. Null doc_id:
@@ -112,7 +132,13 @@ def curriculum_mix(docs: DataFrame, scratch: Scratch | None = None, budget: floa
     whole = F.floor("target")
     passes = F.array(*(F.struct(F.lit(p).alias("p"), F.greatest(F.lit(0), F.least(F.col("size"), whole - p * F.col("source_size") - F.col("begin"))).alias("words")) for p in range(repeats)))
     placed = placed.withColumn("passes", F.filter(passes, lambda x: x["words"] > 0))
-    place = lambda x: training_time((x["p"] * F.col("source_size") + F.col("begin")).cast("double") / F.col("target"), F.col("rank"))
+    # one row a schedule: what all sources that follow it ask for
+    asked = {r["k"]: r["words"] for r in targets.groupBy((F.col("rank") % len(schedules)).alias("k")).agg(F.sum("target").alias("words")).collect()}
+
+    def place(x: Column) -> Column:
+        time = training_time((x["p"] * F.col("source_size") + F.col("begin")).cast("double") / F.col("target"), F.col("rank"), knots, schedules)
+        return F.round(sum((demand_share(time, w, knots) * asked.get(k, 0.0) for k, w in enumerate(schedules)), F.lit(0.0)), 3)
+
     mixed = placed.select(
         "doc_id", "source", "size", "source_size", "target",
         F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
@@ -128,7 +154,7 @@ def op4_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     mixed = curriculum_mix(docs)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.try_element_at("positions", F.lit(1)).alias("first_position"))
 
 
 OP4_SQL = r"""
@@ -148,13 +174,23 @@ l as (
   select (1.5::double * all_size - held) / weights as level from c
   where (1.5::double * all_size - held) / weights * weight <= 2.0::double * source_size order by k limit 1),
 t as (
-  select source, source_size, least(weight * coalesce((select level from l), 1e300), 2.0::double * source_size) as target from s),
+  select source, source_size, least(weight * coalesce((select level from l), 1e300), 2.0::double * source_size) as target,
+         (row_number() over (order by source nulls last) - 1) % 3 as k from s),
+a as (
+  select coalesce(sum(target) filter (k = 0), 0) as a0, coalesce(sum(target) filter (k = 1), 0) as a1, coalesce(sum(target) filter (k = 2), 0) as a2 from t),
 b as (
-  select d.*, t.source_size, t.target,
+  select d.*, t.source_size, t.target, t.k,
          sum(size) over (partition by d.source order by md5(coalesce(doc_id::varchar, '')), doc_id, size rows unbounded preceding) - size as begun
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::bigint - begun))
-        + greatest(0, least(size, floor(target)::bigint - source_size - begun)))::bigint as taken
-from b
+  from d join t on d.source is not distinct from t.source),
+p as (
+  select *, greatest(0, least(size, floor(target)::bigint - begun)) as once, greatest(0, least(size, floor(target)::bigint - source_size - begun)) as again from b),
+y as (select *, (case when once > 0 then begun when again > 0 then begun + source_size end)::double / target as y from p),
+-- schedules: 1 all the time; 1.5 falling to 0.5; 0.5 rising to 1.5; linear, so that a share y of the demand is reached at time u
+u as (
+  select *, case k when 0 then y
+                   when 1 then 2 * y / (1.5 + sqrt(greatest(0, 2.25 - 2 * y)))
+                   else case when y <= 0 then 0 else 2 * y / (0.5 + sqrt(0.25 + 2 * y)) end end as u from y)
+select doc_id, size, source_size, target, (once + again)::bigint as taken,
+       round(a0 * u + a1 * (1.5 * u - u * u / 2) + a2 * (0.5 * u + u * u / 2), 3) as first_position
+from u, a
 """
