@@ -22,7 +22,7 @@ SLICE_BYTES = 2 << 20
 #: The same where a step's result is packed and sent: larger ones pack better.
 PACK_BYTES = 6 << 20
 #: Bytes that Spark puts into one Arrow batch for Python workers.
-ARROW_BYTES = 24 << 20
+ARROW_BYTES = 16 << 20
 #: A word is a run of anything but these; the same set in every operator.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -187,6 +187,15 @@ class Words:
         return coded.indices.to_numpy(), coded.dictionary.to_pylist()
 
 
+def sum_texts(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum over each text of a value (a truth or a small number) for each byte."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values.view(np.uint8), offsets[full], dtype=np.int64)
+    return out
+
+
 def hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word, as unsigned integers."""
     one = xxhash.xxh64_intdigest

@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, mix, pack_small, text_slices, unpack_small
+from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, mix, pack_small, release, text_slices, unpack_small
 
-#: Bytes of text whose n-grams are counted together, and tokens of a shard at least.
-GRAM_BYTES, SHARD_TOKENS = 24 << 20, 4_000_000
+#: Tokens of a shard at least.
+SHARD_TOKENS = 4_000_000
 #: The hash of the end of a text, which also stands before its first word.
 END = int(hashes([b""])[0])
 
@@ -64,32 +64,36 @@ def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: n
     rank = np.empty(len(keys), np.int64)
     rank[rank_order] = np.arange(len(keys))
     size = np.uint64(len(keys))
-    word = rank[code].astype(np.uint64)
-    end, begin = np.uint64(rank[-1]), np.cumsum(lens) - lens
+    word = rank[code].astype(np.uint32)
+    end, begin = np.uint32(rank[-1]), np.cumsum(lens) - lens
     back = [word]
     for _ in range(1, order):
         past = np.empty_like(word)
         past[1:] = back[-1][:-1]
         past[begin] = end
         back.append(past)
-    doc = np.repeat(np.arange(len(lens)), lens)
     home = back[1] if order > 1 else word
     pair = home * size + word
     if order == 3:
         if len(keys) >= 1 << 21:
             pair = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        pair = pair * size + back[2]
+        pair *= size
+        pair += back[2]
     by = np.argsort(pair, kind="stable")
-    pair, doc, word, home = pair[by], doc[by], word[by], home[by]
-    gram = _changes(pair)
+    gram = _changes(pair[by])
+    del pair
+    doc = np.repeat(np.arange(len(lens), dtype=np.uint32), lens)[by]
     entry = _starts(gram | _changes(doc))
     times = np.diff(np.append(entry, len(doc)))
     doc = doc[entry]
     first = _starts(gram)
+    del gram
     held = np.diff(np.append(np.searchsorted(entry, first), len(entry)))
-    word, home = word[first], home[first]
-    third = back[2][by][first] if order == 3 else None
-    edges = np.searchsorted(shard_of[rank_order][home.astype(np.int64)], np.arange(shards + 1))
+    first = by[first]
+    del by, entry
+    word, home, third = word[first], home[first], back[-1][first]
+    del back, first
+    edges = np.searchsorted(shard_of[rank_order][home], np.arange(shards + 1))
     at = np.append(0, np.cumsum(held))
     hash_of = keys[rank_order]
     for s in range(shards):
@@ -103,7 +107,7 @@ def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: n
             arrays += [np.diff(np.append(two, hi - lo)), *_coded(third[lo:hi], hash_of)]
             w, h = w[two], h[two]
         of = _starts(_changes(h)) if order > 1 else np.arange(len(h))
-        arrays += [deltas(hash_of[h[of].astype(np.int64)]), np.diff(np.append(of, len(h)))]
+        arrays += [deltas(hash_of[h[of]]), np.diff(np.append(of, len(h)))]
         if order > 1:
             arrays += _coded(w, hash_of)
         cut = slice(at[lo], at[hi])
@@ -112,7 +116,11 @@ def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: n
 
 def _coded(ranks: np.ndarray, hash_of: np.ndarray) -> list[np.ndarray]:
     """A dictionary of the hashes, sorted, and each rank's place in it."""
-    uniq, place = np.unique(hash_of[ranks.astype(np.int64)], return_inverse=True)
+    uniq, place = np.unique(ranks, return_inverse=True)
+    # hashes of one shard rise with their ranks, those of several do not
+    by = np.argsort(hash_of[uniq])
+    place = np.argsort(by)[place]
+    uniq = hash_of[uniq[by]]
     return [deltas(uniq), place]
 
 
@@ -120,6 +128,11 @@ def _decoded(step: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.cumsum(step, dtype=np.uint64)[place.astype(np.int64)]
 
 
+def _small(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and places, the places in 32 bits."""
+    return found[0], found[1].astype(np.int32)
+
+
 class Shard:
     """All n-grams of one shard and group: distinct ones, their contexts, and who holds them.
 
@@ -144,20 +157,23 @@ class Shard:
             parts.append((home, word, third))
             self.batches.append((who, held, doc, times, folds))
         sizes = [len(p[0]) for p in parts]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        thirds_all = [p[2] for p in parts] if order == 3 else []
+        self.homes, home = _small(np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True))
+        self.words, word = _small(np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True))
         del parts
-        self.homes, home = np.unique(columns[0], return_inverse=True)
-        self.words, word = np.unique(columns[1], return_inverse=True)
-        pair_key, gram = np.unique(home * len(self.words) + word, return_inverse=True)
-        self.pair_home, self.pair_word = pair_key // len(self.words), pair_key % len(self.words)
-        self.gram_pair = np.arange(len(pair_key))
+        pair_key, gram = _small(np.unique(home * np.int64(len(self.words)) + word, return_inverse=True))
+        del home, word
+        self.pair_home, self.pair_word = (pair_key // len(self.words)).astype(np.int32), (pair_key % len(self.words)).astype(np.int32)
+        self.gram_pair = np.arange(len(pair_key), dtype=np.int32)
         if order == 3:
-            thirds, third = np.unique(columns[2], return_inverse=True)
-            key, gram = np.unique(gram * len(thirds) + third, return_inverse=True)
-            self.gram_pair = key // len(thirds)
+            thirds, third = _small(np.unique(np.concatenate(thirds_all), return_inverse=True))
+            del thirds_all
+            key, gram = _small(np.unique(gram * np.int64(len(thirds)) + third, return_inverse=True))
+            del third
+            self.gram_pair = (key // len(thirds)).astype(np.int32)
             self.thirds = thirds[key % len(thirds)]
             context = (key % len(thirds)) * len(self.homes) + self.pair_home[self.gram_pair]
-            self.gram_context = np.unique(context, return_inverse=True)[1]
+            self.gram_context = _small(np.unique(context, return_inverse=True))[1]
         self.gram = np.split(gram, np.cumsum(sizes)[:-1])
         self.n_grams = len(self.gram_pair)
 
@@ -202,6 +218,8 @@ class Model:
     """
 
     order = 2
+    #: Bytes of text whose n-grams are counted together.
+    step_bytes = 16 << 20
     folds: tuple[int, ...] = (0,)
     #: The key of END among those of words; set by text_sums.
     end = 0
@@ -246,18 +264,19 @@ def _send(model: Model, bits: int, shards: int):
             ids, folds_all = batch.column("doc_id"), batch.column("fold").to_numpy()
             groups = batch.column("grp").dictionary_encode()
             group_all, names = groups.indices.to_numpy(), groups.dictionary.to_pylist()
-            for first, end, data, offsets in text_slices(batch, limit=GRAM_BYTES):
+            for first, end, data, offsets in text_slices(batch, limit=model.step_bytes):
                 words = Words(data, offsets)
                 codes, dictionary = words.encode()
                 group = group_all[first:end]
                 keys = np.append(hashes([w.lower() for w in dictionary]), np.uint64(END & MASK64)) >> shift  # lower() of bytes is that of A to Z
-                stream = np.full(len(words) + end - first, len(keys) - 1, np.int64)
+                stream = np.full(len(words) + end - first, len(keys) - 1, np.int32)
                 stream[np.arange(len(words)) + words.doc] = codes
                 lens = words.per_doc + 1
                 more = model.columns(words, codes, dictionary)
                 folds = model.halves(words, codes, dictionary)
                 folds = folds_all[first:end] if folds is None else folds
-                del words
+                del words, codes, dictionary
+                release()
                 for g in np.unique(group):
                     docs = np.flatnonzero(group == g)
                     mine = stream[np.repeat(group == g, lens)] if len(names) > 1 else stream
@@ -268,7 +287,7 @@ def _send(model: Model, bits: int, shards: int):
                     order = np.append(np.delete(np.arange(len(uniq)), at), at)
                     place = np.empty(len(uniq), np.int64)
                     place[order] = np.arange(len(uniq))
-                    code = np.zeros(len(keys), np.int64)
+                    code = np.zeros(len(keys), np.int32)
                     code[used] = place[found]
                     who = (part << 32) + step
                     step += 1

@@ -9,11 +9,13 @@ leaves its language's band, on either side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK64, Scratch, Words, hashes, mix, shingles
+from .common import MASK64, Scratch, Words, hashes, mix, shingles, sum_texts
 from .ngrams import Model, Shard, group_sum, text_sums
 
 #: Half-widths of a band in robust standard deviations of log perplexity. The lower
@@ -22,6 +24,9 @@ LOWER_WIDTH, UPPER_WIDTH = 7.0, 3.5
 #: Languages up to which bands are broadcast; beyond, they are joined by shuffling.
 BROADCAST_BANDS = 10_000
 
+#: Words that one step over whole texts takes.
+STEP_WORDS = 300_000
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _CONTINUES = (np.arange(256) & 0xC0) == 0x80
@@ -34,22 +39,45 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def repeated_words(words: Words, codes: np.ndarray, dictionary: list[bytes]) -> np.ndarray:
-    """Words of each text that stand in a three-word window found twice or more in it."""
-    n = len(words)
+def in_steps(per_doc: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Runs of whole texts of about STEP_WORDS words: their texts, and their words."""
+    ends, first = np.cumsum(per_doc), 0
+    while first < len(per_doc):
+        before = int(ends[first] - per_doc[first])
+        last = max(first + 1, int(np.searchsorted(ends, before + STEP_WORDS, "right")))
+        yield slice(first, last), slice(before, int(ends[last - 1]))
+        first = last
+
+
+def repeated_words(hashed: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    """Words of each text, given as hashes, that stand in a three-word window found twice or more in it."""
+    n, doc = len(hashed), np.repeat(np.arange(len(per_doc)), per_doc)
     if n < 3:
-        return np.zeros(words.n_docs, np.int64)
-    key = shingles(hashes(dictionary)[codes], 3) ^ (words.doc[: n - 2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    inside = words.doc[: n - 2] == words.doc[2:]
-    _, place, count = np.unique(key, return_inverse=True, return_counts=True)
-    many = (count > 1)[place] & inside
-    if not inside.all():  # windows over a text's end may have made a pair of their own
-        valid = np.bincount(place[inside], minlength=len(count))
-        many = (valid > 1)[place] & inside
+        return np.zeros(len(per_doc), np.int64)
+    inside = doc[: n - 2] == doc[2:]
+    key = (shingles(hashed, 3) ^ (doc[: n - 2].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))[inside]
+    order = np.argsort(key)
+    key = key[order]
+    again = np.zeros(len(key) + 1, bool)
+    again[1:-1] = key[1:] == key[:-1]
+    many = np.zeros(n - 2, bool)
+    many[np.flatnonzero(inside)[order[again[1:] | again[:-1]]]] = True
     covered = np.zeros(n, bool)
     for k in range(3):
         covered[k : n - 2 + k] |= many
-    return np.bincount(words.doc[covered], minlength=words.n_docs)
+    return np.bincount(doc[covered], minlength=len(per_doc))
+
+
+def halves(hashed: np.ndarray, per_doc: np.ndarray) -> np.ndarray:
+    """The half of each text, by the smallest hash of its three-word runs."""
+    least, doc = np.full(len(per_doc), MASK64, np.uint64), np.repeat(np.arange(len(per_doc)), per_doc)
+    if len(hashed) > 2:
+        inside = doc[:-2] == doc[2:]
+        runs, doc = mix(shingles(hashed, 3))[inside], doc[:-2][inside]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        if len(first):
+            least[doc[first]] = np.minimum.reduceat(runs, first)
+    return (mix(least) & np.uint64(1)).astype(np.int64)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -88,24 +116,17 @@ class KneserNey(Model):
 
     def columns(self, words: Words, codes: np.ndarray, dictionary: list[bytes]) -> dict[str, np.ndarray]:
         begin, end = words.offsets[:-1], words.offsets[1:]
-        chars = np.append(0, np.cumsum(words.word & ~_CONTINUES[words.data]))
-        symbols = np.append(0, np.cumsum(_SYMBOL[words.data]))
-        whole = words.data.tobytes()
-        lines = [repeated_lines(whole[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        lines = [repeated_lines(words.data[a:b].tobytes()) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        as_is = hashes(dictionary)
+        again = np.concatenate([repeated_words(as_is[codes[w]], words.per_doc[d]) for d, w in in_steps(words.per_doc)])
         return {
-            "word_chars": chars[end] - chars[begin], "n_symbols": symbols[end] - symbols[begin],
-            "n_dup_lines": np.array(lines, np.int64), "n_repeat_words": repeated_words(words, codes, dictionary).astype(np.int64),
+            "word_chars": sum_texts(words.word & ~_CONTINUES[words.data], words.offsets), "n_symbols": sum_texts(_SYMBOL[words.data], words.offsets),
+            "n_dup_lines": np.array(lines, np.int64), "n_repeat_words": again.astype(np.int64),
         }
 
     def halves(self, words: Words, codes: np.ndarray, dictionary: list[bytes]) -> np.ndarray:
-        least = np.full(words.n_docs, MASK64, np.uint64)
-        if len(words) > 2:
-            inside = words.doc[:-2] == words.doc[2:]
-            runs, doc = mix(shingles(hashes([w.lower() for w in dictionary])[codes], 3))[inside], words.doc[:-2][inside]
-            first = np.flatnonzero(np.diff(doc, prepend=-1))
-            if len(first):
-                least[doc[first]] = np.minimum.reduceat(runs, first)
-        return (mix(least) & np.uint64(1)).astype(np.int64)
+        low = hashes([w.lower() for w in dictionary])
+        return np.concatenate([halves(low[codes[w]], words.per_doc[d]) for d, w in in_steps(words.per_doc)])
 
     def word_values(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
         return group_sum(shard.pair_word, len(shard.words), counts > 0)
