@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from trackloom.llm import bpe, chat, classifier, katz, ngrams, perplexity, secrets
@@ -71,6 +72,7 @@ def plain_katz(docs, train, order):
 @pytest.mark.parametrize("order", [2, 3])
 def test_katz_equals_a_dictionary_version_and_is_normalised(spark, make_docs, monkeypatch, order):
     monkeypatch.setattr(ngrams, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(ngrams, "PART_GRAMS", 60)
     docs = random_docs(120)
     train = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
     score, base, total, p, vocab, seqs, grams = plain_katz(docs, train, order)
@@ -158,6 +160,7 @@ def plain_kneser_ney(texts):
 
 def test_kneser_ney_and_its_bands_equal_a_plain_version(spark, make_docs, odd_rows, monkeypatch):
     monkeypatch.setattr(ngrams, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(ngrams, "PART_GRAMS", 90)
     rng = random.Random(12)
     rows = [(d, t if rng.random() < 0.9 else " ".join(f"z{rng.randint(0, 10**6)}" for _ in range(70)), rng.choice(["en", "de"]), None) for d, t in random_docs(150, seed=5, words=120)]
     rows += [(1000 + k, *r[1:]) for k, r in enumerate(odd_rows)] + [(2000, "only one of its language " * 3, "eo", None)]
@@ -258,13 +261,62 @@ def test_chat_round_trip(spark):
     assert chat.format_windows(df.limit(0)).collect() == []
 
 
+def plain_vectors(docs):
+    """Each text's vector, from word vectors of all texts, by dictionaries."""
+    bits = 40
+    key = lambda w: xxhash.xxh64_intdigest(w.encode()) >> (64 - bits)
+    own = {}
+    for _, t in docs:
+        for w in WORD.findall(t or ""):
+            if w not in own:
+                place, sign = classifier.index_vectors(np.array([key(w)], np.uint64))
+                own[w] = np.zeros(classifier.DIM)
+                np.add.at(own[w], place[0], sign[0])
+    sums, count = defaultdict(lambda: np.zeros(classifier.DIM)), Counter()
+    for _, t in docs:
+        words = WORD.findall(t or "")
+        count.update(words)
+        for i, w in enumerate(words):
+            for j in range(max(0, i - 2), min(len(words), i + 3)):
+                if j != i:
+                    sums[w] += own[words[j]]
+    vector = {}
+    for w, o in own.items():
+        v = sums[w] / count[w] + o
+        vector[w] = np.rint(v / max(np.linalg.norm(v), 1e-9) * 127) / 127
+    out = {}
+    for d, t in docs:
+        words = WORD.findall(t or "")
+        out[d] = sum((vector[w] for w in words), np.zeros(classifier.DIM)) / max(1, len(words))
+    return out
+
+
+def test_classifier_equals_a_plain_version(spark, make_docs, monkeypatch, odd_rows):
+    monkeypatch.setattr(classifier, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(classifier, "PIECE", 50)
+    rng = random.Random(21)
+    docs = random_docs(120, seed=9, words=60)
+    docs = [(d, t if d % 3 else " ".join(f"q{rng.randint(0, 300)}" for _ in range(30))) for d, t in docs] + [(500 + k, r[1]) for k, r in enumerate(odd_rows)]
+    labels = spark.createDataFrame([(d, int(d % 3 > 0)) for d, _ in docs if d < 500] + [(9999, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in classifier.classify(make_docs(docs), labels, held_out() != 0).collect()}
+    want = plain_vectors(docs)
+    taught = [r.doc_id for r in labels.where(held_out() != 0).where("doc_id < 500").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    net = classifier.Network(np.stack([want[d] for d in taught]), np.array([float(d % 3 > 0) for d in taught]))
+    assert set(got) == {d for d, _ in docs}
+    for d in got:
+        assert got[d] == pytest.approx(float(net.score(want[d][None])[0]), abs=0.02), d
+    assert np.mean([(got[d] >= 0.5) == (d % 3 > 0) for d, t in docs if d < 500 and t]) > 0.9
+
+
 def test_classifier_on_labels_held_back(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = classifier.classify(docs, labels, held_out() != 0).where(held_out() == 0).join(labels, "doc_id").collect()
     assert len(rows) > 50
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
-    assert all(r.predicted for r in rows if r.quality) or sum(r.predicted for r in rows if r.quality) / sum(r.quality for r in rows) > 0.97
+    assert sum(r.predicted for r in rows if r.quality) / sum(r.quality for r in rows) > 0.97
+    junk = [r.score for r in rows if not r.quality]
+    assert np.mean([a.score > b for a in rows if a.quality for b in junk]) > 0.9
 
 
 def test_classifier_odd_rows(spark, make_docs, odd_rows):

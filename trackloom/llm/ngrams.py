@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, mix, pack_small, release, text_slices, unpack_small
+from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, mix, pack, pack_small, release, text_slices, unpack, unpack_small
 
-#: Tokens of a shard at least.
-SHARD_TOKENS = 4_000_000
+#: Tokens of a shard at least, and n-grams of one part of it.
+SHARD_TOKENS, PART_GRAMS = 4_000_000, 500_000
 #: The hash of the end of a text, which also stands before its first word.
 END = int(hashes([b""])[0])
 
@@ -124,38 +124,69 @@ def _coded(ranks: np.ndarray, hash_of: np.ndarray) -> list[np.ndarray]:
     return [deltas(uniq), place]
 
 
-def _decoded(step: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return np.cumsum(step, dtype=np.uint64)[place.astype(np.int64)]
-
-
 def _small(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values and places, the places in 32 bits."""
     return found[0], found[1].astype(np.int32)
 
 
-class Shard:
-    """All n-grams of one shard and group: distinct ones, their contexts, and who holds them.
-
-    For pairs (home, word) and triples (third, home, word), in text order third,
-    home, word. ``gram`` gives each message entry its distinct n-gram.
-    """
+class Messages:
+    """A shard's messages, unpacked; they are worked on in parts, ranges of home hashes of about PART_GRAMS n-grams."""
 
     def __init__(self, messages: list[tuple[int, bytes]], order: int):
-        parts = []
-        self.batches = []
+        self.items, self.order = [], order
         for who, blob in messages:
             held, doc, times, folds, *rest = unpack_small(blob)
+            thirds, third_at, third_of = np.ones(0, np.uint8), None, None
             if order == 3:
                 thirds, third_step, third_at, *rest = rest
-            home_step, homes, *rest = rest
-            home = np.repeat(np.cumsum(home_step, dtype=np.uint64), homes.astype(np.int64))
-            word = _decoded(*rest) if order > 1 else home
-            third = home
-            if order == 3:
-                home, word = np.repeat(home, thirds.astype(np.int64)), np.repeat(word, thirds.astype(np.int64))
-                third = _decoded(third_step, third_at)
-            parts.append((home, word, third))
-            self.batches.append((who, held, doc, times, folds))
+                third_of = np.cumsum(third_step, dtype=np.uint64)
+            home_step, homes, word_step, word_at = rest
+            self.items.append((who, held, doc, times, folds, thirds, third_of, third_at, np.cumsum(home_step, dtype=np.uint64), homes, np.cumsum(word_step, dtype=np.uint64), word_at))
+        self.words = np.unique(np.concatenate([i[10] for i in self.items]))
+        self.texts = {i[0]: len(i[4]) for i in self.items}
+
+    def _edges(self) -> np.ndarray:
+        """Home hashes at which parts begin."""
+        keys = np.concatenate([i[8] for i in self.items])
+        weight = np.concatenate([np.add.reduceat(i[5], np.append(0, np.cumsum(i[9], dtype=np.int64))[:-1], dtype=np.int64) if self.order == 3 else i[9] for i in self.items])
+        by = np.argsort(keys)
+        before = np.cumsum(weight[by], dtype=np.int64)
+        parts = max(1, int(before[-1]) // PART_GRAMS)
+        return np.unique(keys[by[np.searchsorted(before, before[-1] * np.arange(1, parts) // parts)]])
+
+    def parts(self) -> Iterator[Shard]:
+        edges = self._edges()
+        cuts = []
+        for _, held, _, _, _, thirds, _, _, home, homes, _, _ in self.items:
+            at = np.concatenate([[0], np.searchsorted(home, edges), [len(home)]])
+            pair = np.append(0, np.cumsum(homes, dtype=np.int64))[at]
+            gram = np.append(0, np.cumsum(thirds, dtype=np.int64))[pair] if self.order == 3 else pair
+            cuts.append((at, pair, gram, np.append(0, np.cumsum(held, dtype=np.int64))[gram]))
+        for k in range(len(edges) + 1):
+            yield Shard(list(self._cut(k, cuts)), self.order)
+
+    def _cut(self, k: int, cuts: list) -> Iterator[tuple]:
+        for (who, held, doc, times, folds, thirds, third_of, third_at, home, homes, word_of, word_at), cut in zip(self.items, cuts, strict=True):
+            h, p, g, e = (slice(c[k], c[k + 1]) for c in cut)
+            if g.start == g.stop:
+                continue
+            first, second = np.repeat(home[h], homes[h].astype(np.int64)), word_of[word_at[p].astype(np.int64)]
+            third = None
+            if self.order == 3:
+                many = thirds[p].astype(np.int64)
+                first, second, third = np.repeat(first, many), np.repeat(second, many), third_of[third_at[g].astype(np.int64)]
+            yield first, second, third, (who, held[g], doc[e], times[e], folds)
+
+
+class Shard:
+    """The n-grams of one part of a shard: distinct ones, their contexts, and who holds them.
+
+    For pairs (home, word) and triples (third, home, word), in text order third,
+    home, word. ``gram`` gives each message entry its distinct n-gram.
+    """
+
+    def __init__(self, parts: list[tuple], order: int):
+        self.batches = [p[3] for p in parts]
         sizes = [len(p[0]) for p in parts]
         thirds_all = [p[2] for p in parts] if order == 3 else []
         self.homes, home = _small(np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True))
@@ -312,6 +343,11 @@ def _by_group(table: pa.Table, *columns: str) -> dict[str, list[tuple]]:
     return out
 
 
+def _dest(words: np.ndarray, shards: int) -> np.ndarray:
+    """The shard that adds up each word's totals."""
+    return (mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int64)
+
+
 def _tally(model: Model, shards: int):
     """Group map over a shard: what its words add to their totals, for each word's shard."""
 
@@ -319,17 +355,21 @@ def _tally(model: Model, shards: int):
         table = table.filter(pa.compute.equal(table["kind"], "grams"))
         rows: list[tuple] = []
         for grp, messages in _by_group(table, "batch_id", "blob").items():
-            shard = Shard(sorted(messages), model.order)
             here = table["shard"][0].as_py()
-            counts = [shard.counts(f) for f in model.folds]
-            stats = np.concatenate([model.shard_stats(shard, c) for c in counts])
-            values = np.stack([model.word_values(shard, c) for c in counts])
-            dest = (mix(shard.words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int64)
+            held = Messages(sorted(messages), model.order)
+            values, stats = np.zeros((len(model.folds), len(held.words)), np.int64), np.zeros(1)
+            for shard in held.parts():
+                counts = [shard.counts(f) for f in model.folds]
+                stats = stats + np.concatenate([model.shard_stats(shard, c) for c in counts])
+                at = np.searchsorted(held.words, shard.words)
+                for m, c in enumerate(counts):
+                    values[m, at] += model.word_values(shard, c).astype(np.int64)
+            dest = _dest(held.words, shards)
             for d in np.unique(dest).tolist():
                 mine = dest == d
-                rows.append((d, here, grp, pack_small(deltas(shard.words[mine]), *values[:, mine].astype(np.int64)), stats.tobytes() if d == here % shards else None))
-            if here % shards not in dest:
-                rows.append((here % shards, here, grp, None, stats.tobytes()))
+                rows.append((d, here, grp, pack_small(deltas(held.words[mine]), *values[:, mine]), None))
+            rows.append((here, here, grp, None, stats.tobytes()))
+            release()
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_UP)], schema=_UP)
 
     return run
@@ -343,7 +383,7 @@ def _total(model: Model):
         dest = table["dest"][0].as_py()
         for grp, asked in _by_group(table, "shard", "keys", "stats").items():
             sent = sorted((a[0], unpack_small(a[1])) for a in asked if a[1] is not None)
-            stats = sum((np.frombuffer(a[2]) for a in sorted(asked) if a[2] is not None), np.zeros(1))
+            stats = sum((np.frombuffer(a[2]) for a in asked if a[2] is not None), np.zeros(1))
             keys = [np.cumsum(x[0], dtype=np.uint64) for _, x in sent]
             uniq, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
             totals = np.stack([np.bincount(place, weights=np.concatenate([np.zeros(0), *(x[1 + m].astype(float) for _, x in sent)]), minlength=len(uniq)) for m in range(len(model.folds))])
@@ -381,22 +421,27 @@ def _finish(model: Model, shards: int):
         back = _by_group(right, "kind", "dest", "blob")
         for grp, messages in _by_group(grams, "batch_id", "blob").items():
             here = grams["shard"][0].as_py()
-            shard = Shard(sorted(messages), model.order)
+            held = Messages(sorted(messages), model.order)
             told = back[grp]
-            dest = (mix(shard.words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int64)
-            totals = np.zeros((len(model.folds), len(shard.words)))
+            dest = _dest(held.words, shards)
+            totals = np.zeros((len(model.folds), len(held.words)))
             for kind, d, blob in told:
                 if kind == "totals":
                     totals[:, dest == d] = np.stack(unpack_small(blob))
             n, x = len(model.folds), np.frombuffer(next(b for kind, _, b in told if kind == "stats"))
             of_words, of_shards = x[1 : int(x[0]) + 1], x[int(x[0]) + 1 :]
-            values = []
-            for m, fold in enumerate(model.folds):
-                counts = shard.counts(fold)
-                values.append(model.values(shard, counts, totals[m], np.split(of_shards, n)[m], np.split(of_words, n)[m]))
-                if kept := model.stored(shard, counts, values[-1]):
-                    rows.append(("model", here, m, grp, kept))
-            rows += [("sums", here, who, grp, x.tobytes()) for who, x in shard.sums(values, model.of_fold)]
+            sums = {who: np.zeros((len(model.sums), texts)) for who, texts in held.texts.items()}
+            for shard in held.parts():
+                at, values = np.searchsorted(held.words, shard.words), []
+                for m, fold in enumerate(model.folds):
+                    counts = shard.counts(fold)
+                    values.append(model.values(shard, counts, totals[m, at], np.split(of_shards, n)[m], np.split(of_words, n)[m]))
+                    if kept := model.stored(shard, counts, values[-1]):
+                        rows.append(("model", here, m, grp, kept))
+                for who, part in shard.sums(values, model.of_fold):
+                    sums[who] += part
+            rows += [("sums", here, who, grp, pack(x.reshape(-1).view(np.uint64))) for who, x in sums.items()]
+            release()
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_OUT)], schema=_OUT)
 
     return run
@@ -411,7 +456,7 @@ def _assemble(names: tuple[str, ...], carried: tuple[str, ...]):
                 table = pa.ipc.open_stream(row["docs"]).read_all()
                 total = np.zeros((len(names), table.num_rows))
                 for part in sorted(row["parts"], key=lambda p: p["shard"]):
-                    total += np.frombuffer(part["blob"]).reshape(len(names), -1)
+                    total += unpack(part["blob"])[0].view(np.float64).reshape(len(names), -1)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": table["doc_id"].combine_chunks(), "fold": table["fold"].combine_chunks().cast(pa.int32()), "grp": pa.array([row["grp"]] * table.num_rows, pa.string()), "n_tokens": table["lens"].combine_chunks().cast(pa.int64()),
