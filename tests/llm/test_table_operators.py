@@ -189,7 +189,14 @@ def test_warc_round_trip(spark):
     big = "".join(rng.choice("abc\r\né<") for _ in range(50_000))
     pages = [(1, "u", big), (2, None, big), (3, "http://x/ y\n", "small"), (4, "u", "small"), (5, "u", None), (None, "u", big), (6, "u", "x" * 1000), (7, "u", "x" * 1000), (7, "u", "x" * 1000), (8, "u", "0\r\n\r\nWARC/1.1")]
     df = spark.createDataFrame([(*p, "d", 1) for p in pages], "page_id long, url string, html string, digest string, origin int")
-    got = Counter(tuple(r) for r in warc.round_trip(df, segment=4096).collect())
+    read = warc.round_trip(df, segment=4096).collect()
+    got = Counter(tuple(r)[:5] for r in read)
+    names = Counter(r.record_id for r in read)
+    assert max(names.values()) == 1
+    of = {r.record_id: r for r in read}
+    for r in read:  # every revisit names a response with its payload
+        if r.record_type == "revisit":
+            assert (of[r.response_id].record_type, of[r.response_id].page_id, of[r.response_id].payload_digest) == ("response", r.refers_to, r.payload_digest)
     want = Counter()
     for p, _, h in pages:
         raw = (h or "").encode()
@@ -201,7 +208,7 @@ def test_warc_round_trip(spark):
 
 
 def test_broken_archives_are_told():
-    recs = warc.page_records(1, 0, "u", b"y" * 9000, "00" * 20, None, False, 4096)
+    recs = warc.page_records(1, "urn:page:1:0", "u", b"y" * 9000, "00" * 20, None, False, 4096)
     parsed = [warc.parse(r) for r in recs]
     assert [h["warc-type"] for h, _ in parsed] == ["response", "continuation", "continuation"]
     with pytest.raises(ValueError):
@@ -210,6 +217,24 @@ def test_broken_archives_are_told():
         list(warc.members(zlib.compress(b"x", wbits=31)[:-4]))
 
 
+def test_segments_that_do_not_fit_are_told(spark):
+    import hashlib
+
+    payload = b"y" * 9000
+    recs = warc.page_records(1, "urn:page:1:0", "u", payload, hashlib.sha1(payload).hexdigest(), None, False, 4096)
+    lone = warc.page_records(2, "urn:page:2:0", "u", payload, hashlib.sha1(payload).hexdigest(), 9, True, 4096)
+
+    def read(parts):
+        content = b"".join(zlib.compress(p, wbits=31) for p in parts)
+        return warc.read_pages(spark.createDataFrame([(bytearray(content),)], "content binary")).collect()
+
+    assert [(r.page_id, r.payload_bytes) for r in read(recs[::-1])] == [(1, 9000)]
+    cut = recs[2].replace(b"WARC-Segment-Total-Length: 9", b"WARC-Segment-Total-Length: 8")
+    for parts in (recs[:2], [recs[0], recs[2]], [*recs, recs[1]], [*recs[:2], cut], lone):
+        with pytest.raises(Exception, match="segments of|no response"):
+            read(parts)
+
+
 def test_top_k_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(3)

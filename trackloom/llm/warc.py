@@ -2,10 +2,11 @@
 
 The writer frames each payload in chunks under an HTTP header. A block over the
 segment size continues in records of another archive, which name the record
-that they began in. Payloads that occur again are written as revisits. Archives
-are gzip members, one a record, held as rows of a table in the shared folder.
-The reader groups continuation records by origin, orders them by number, checks
-the total length, and decodes the chunks.
+that they began in. Payloads that occur again are written as revisits, which
+name the response's record. Archives are gzip members, one a record, held as
+rows of a table in the shared folder. The reader groups continuation records by
+origin, orders them by number, checks the total length, decodes the chunks, and
+looks up the response of every revisit.
 """
 
 from __future__ import annotations
@@ -63,14 +64,18 @@ def record(kind: str, name: str, block: bytes, headers: list[tuple[str, str]]) -
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def page_records(page_id: int | None, serial: int, url: str, payload: bytes, sha1: str, origin: int | None, revisit: bool, segment: int) -> list[bytes]:
-    """Records of a page: one, or several where its block is over the segment size."""
-    name = f"urn:page:{'' if page_id is None else page_id}:{serial}"
+def response_name(page_id: int, sha1: str) -> str:
+    """Record id of the response that revisits of a payload refer to."""
+    return f"urn:page:{page_id}:{sha1}"
+
+
+def page_records(page_id: int | None, name: str, url: str, payload: bytes, sha1: str, origin: int | None, revisit: bool, segment: int) -> list[bytes]:
+    """Records of a page under a record id: one, or several where its block is over the segment size."""
     shared = [("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode())]
     if revisit:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        return [record("revisit", name, block, [*shared, ("WARC-Profile", profile), ("WARC-Refers-To", f"<urn:page:{origin}>"), ("Content-Type", "application/http;msgtype=response")])]
+        return [record("revisit", name, block, [*shared, ("WARC-Profile", profile), ("WARC-Refers-To", f"<{response_name(origin, sha1)}>"), ("Content-Type", "application/http;msgtype=response")])]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     kind = ("Content-Type", "application/http;msgtype=response")
     if len(block) <= segment:
@@ -101,9 +106,12 @@ def write_archives(segment: int):
             return pa.RecordBatch.from_pydict({"name": pa.array([name]), "content": pa.array([content], pa.binary())})
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "origin", "revisit"))
-            for page_id, url, html, digest, origin, revisit in zip(*columns, strict=True):
-                records = page_records(page_id, (part << 32) + serial, url, html.encode(), digest, origin, revisit, segment)
+            columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "origin", "revisit", "again"))
+            for page_id, url, html, digest, origin, revisit, again in zip(*columns, strict=True):
+                name = f"urn:page:{'' if page_id is None else page_id}:{(part << 32) + serial}"
+                if origin is not None and not revisit and not again:
+                    name = response_name(page_id, digest)
+                records = page_records(page_id, name, url, html.encode(), digest, origin, revisit, segment)
                 serial += 1
                 for k, rec in enumerate(records):
                     which = "continued" if k else "main"
@@ -149,23 +157,23 @@ def _page(name: str) -> int | None:
     return int(number) if number else None
 
 
-def finish(headers: dict[str, str], block: bytes) -> tuple[int | None, int, str, str, int | None]:
-    """What a whole record says: page, payload bytes and digest, type, page referred to."""
+def finish(headers: dict[str, str], block: bytes) -> tuple[str, int | None, int | None, str, str, int | None, str | None]:
+    """What a whole record says: its id, page, payload bytes and digest, type, page and record referred to."""
     http, _, body = block.partition(b"\r\n\r\n")
     told = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-    page = _page(headers["warc-record-id"])
+    name = headers["warc-record-id"].strip("<>")
     if headers["warc-type"] == "revisit":
-        size = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
-        return page, size, told, "revisit", _page(headers["warc-refers-to"])
+        other = headers["warc-refers-to"].strip("<>")
+        return name, _page(name), None, told, "revisit", _page(other), other
     payload = dechunked(body) if re.search(rb"(?i)\r\ntransfer-encoding: *chunked", http) else body
     sha1 = hashlib.sha1(payload).hexdigest()
     if sha1 != told:
-        raise ValueError(f"payload of page {page} does not have its digest")
-    return page, len(payload), sha1, "response", None
+        raise ValueError(f"payload of record {name} does not have its digest")
+    return name, _page(name), len(payload), sha1, "response", None, None
 
 
-_DONE = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
-_DONE_SQL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_DONE = [("record_id", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("response_id", pa.string())]
+_DONE_SQL = "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, response_id string"
 _PART = [("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("digest", pa.string()), ("block", pa.binary())]
 
 
@@ -221,20 +229,37 @@ def write_pages(pages: DataFrame, scratch: Scratch, segment: int = SEGMENT_BYTES
     """Write pages (page_id, url, html) as archives: a table of name and content.
 
     Of equal payloads of DEDUPE_BYTES or more, rows with the largest page_id are
-    responses and the others revisits of it.
+    responses and the others revisits of it. Where several rows have that page_id
+    and payload, one of them, of the smallest url, has the id that revisits name.
     """
     bounded_batches(pages.sparkSession)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).withColumn("digest", F.sha1("html"))
-    groups = rows.where(F.octet_length("html") >= DEDUPE_BYTES).groupBy("digest").agg(F.max("page_id").alias("origin"), F.count("*").alias("n"))
-    groups = scratch.write(groups.where("n > 1").drop("n"), "groups")
-    told = rows.join(groups, "digest", "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("origin")), F.lit(True)) & F.col("origin").isNotNull())
-    return scratch.write(told.select("page_id", "url", "html", "digest", "origin", "revisit").mapInArrow(write_archives(segment), "name string, content binary"), "archives")
+    ids = rows.where(F.octet_length("html") >= DEDUPE_BYTES).groupBy("digest", "page_id").agg(F.count("*").alias("copies"))
+    groups = ids.groupBy("digest").agg(F.max(F.struct("page_id", "copies")).alias("top"), F.sum("copies").alias("n"))
+    groups = scratch.write(groups.where("n > 1 and top.page_id is not null").select("digest", F.col("top.page_id").alias("origin"), F.col("top.copies").alias("copies")), "groups")
+    told = rows.join(groups, "digest", "left").withColumn("revisit", F.col("origin").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("origin")))
+    # rows that share the largest page_id of their payload: one keeps the name that revisits use
+    several = F.coalesce(F.col("copies") > 1, F.lit(False)) & ~F.col("revisit")
+    told = told.select("page_id", "url", "html", "digest", "origin", "revisit", "copies", several.alias("several"))
+    plain = told.where("not several").withColumn("again", F.lit(False))
+    if groups.where("copies > 1").limit(1).count():
+        same = told.where("several").groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"), F.first("html").alias("html"), F.first("origin").alias("origin"))
+        least = told.where("several").groupBy(F.col("digest").alias("_digest")).agg(F.min("url").alias("_url"))
+        same = same.join(least, F.col("digest") == F.col("_digest")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        again = ~((F.col("k") == 1) & (F.col("url") == F.col("_url")))
+        plain = plain.drop("copies", "several").unionByName(same.select("page_id", "url", "html", "digest", "origin", F.lit(False).alias("revisit"), again.alias("again")))
+    return scratch.write(plain.select("page_id", "url", "html", "digest", "origin", "revisit", "again").mapInArrow(write_archives(segment), "name string, content binary"), "archives")
 
 
 def read_pages(archives: DataFrame) -> DataFrame:
-    """Records of archives (content), one row a page: sizes, digests, types, references."""
+    """Records of archives (content), one row a page: sizes, digests, types, references.
+
+    A revisit has the size and digest of the response that it names; one whose
+    response is missing or has another payload is an error, as are segments that
+    are missing or repeated or do not have their total length.
+    """
     spark = archives.sparkSession
     scratch = Scratch(spark, "warc-read")
     part = "origin string, number int, total long, digest string, block binary"
@@ -242,7 +267,14 @@ def read_pages(archives: DataFrame) -> DataFrame:
     names = [n for n, _ in _DONE]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = seen.where("origin is not null").select("origin", "number", "total", "digest", "block").repartition(parts, "origin").sortWithinPartitions("origin", "number")
-    return seen.where("origin is null").select(*names).unionByName(split.mapInArrow(reassemble, _DONE_SQL))
+    whole = seen.where("origin is null").select(*names).unionByName(split.mapInArrow(reassemble, _DONE_SQL))
+    whole = scratch.write(whole, "whole")
+    responses = whole.where("record_type = 'response'").select(F.col("record_id").alias("_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    wanted = responses.join(whole.where("record_type = 'revisit'").select(F.col("response_id").alias("_id")).distinct(), "_id", "left_semi")
+    found = whole.join(wanted, F.col("response_id") == F.col("_id"), "left")
+    broken = (F.col("record_type") == "revisit") & ~F.coalesce(F.col("_digest") == F.col("payload_digest"), F.lit(False))
+    size = F.when(broken, F.raise_error(F.concat(F.lit("no response with the payload of record "), F.col("record_id")))).otherwise(F.coalesce("payload_bytes", "_bytes"))
+    return found.select("page_id", size.cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "record_id", "response_id")
 
 
 def round_trip(pages: DataFrame, scratch: Scratch | None = None, segment: int = SEGMENT_BYTES) -> DataFrame:
@@ -258,7 +290,8 @@ def round_trip(pages: DataFrame, scratch: Scratch | None = None, segment: int =
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages and read them back."""
-    return round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    read = round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP8_SQL = """
