@@ -71,7 +71,7 @@ def plain_katz(docs, train, order):
 
 @pytest.mark.parametrize("order", [2, 3])
 def test_katz_equals_a_dictionary_version_and_is_normalised(spark, make_docs, monkeypatch, order):
-    monkeypatch.setattr(ngrams, "SHARD_TOKENS", 300)
+    monkeypatch.setattr(katz.Katz, "shard_tokens", 300)
     monkeypatch.setattr(ngrams, "PART_GRAMS", 60)
     docs = random_docs(120)
     train = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
@@ -159,7 +159,7 @@ def plain_kneser_ney(texts):
 
 
 def test_kneser_ney_and_its_bands_equal_a_plain_version(spark, make_docs, odd_rows, monkeypatch):
-    monkeypatch.setattr(ngrams, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(perplexity.KneserNey, "shard_tokens", 500)
     monkeypatch.setattr(ngrams, "PART_GRAMS", 90)
     rng = random.Random(12)
     rows = [(d, t if rng.random() < 0.9 else " ".join(f"z{rng.randint(0, 10**6)}" for _ in range(70)), rng.choice(["en", "de"]), None) for d, t in random_docs(150, seed=5, words=120)]
@@ -180,7 +180,7 @@ def test_kneser_ney_and_its_bands_equal_a_plain_version(spark, make_docs, odd_ro
     got = {r.doc_id: r for r in perplexity.quality_rules(make_docs(rows)).collect()}
     assert len(got) == len(rows)
     for d, t, lang, _ in rows:
-        assert got[d].log_perplexity == pytest.approx(want[d], rel=1e-9, abs=1e-12)
+        assert got[d].log_perplexity == pytest.approx(want[d], rel=1e-5, abs=1e-9)  # shards send sums in single precision
     for lang in {r[2] for r in rows}:
         good = sorted(want[d] for d, t, g, _ in rows if g == lang and not plain_rules(t)[-1])
         if not good:
@@ -190,7 +190,7 @@ def test_kneser_ney_and_its_bands_equal_a_plain_version(spark, make_docs, odd_ro
         spread = 1.4826 * middle([abs(x - centre) for x in good])
         for d, t, g, _ in rows:
             if g == lang:
-                inside = centre - 7 * spread - 1e-9 <= want[d] <= centre + 3.5 * spread + 1e-9
+                inside = centre - 7 * spread - 1e-5 <= want[d] <= centre + 3.5 * spread + 1e-5
                 assert got[d].kept == (not plain_rules(t)[-1] and inside), d
 
 
@@ -263,7 +263,7 @@ def test_chat_round_trip(spark):
 
 def plain_vectors(docs):
     """Each text's vector, from word vectors of all texts, by dictionaries."""
-    bits = 40
+    bits = 36
     key = lambda w: xxhash.xxh64_intdigest(w.encode()) >> (64 - bits)
     own = {}
     for _, t in docs:

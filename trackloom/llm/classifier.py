@@ -347,7 +347,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "qu
     if half or more are. Several texts of an id: all are learnt from, as far as
     the sample goes. Repeated texts: each is scored. No usable label: every
     score is 0.5; labels of one class: every score near it. Empty table: no
-    rows. Other columns are ignored. Two words are one where the first 40 or
+    rows. Other columns are ignored. Two words are one where the first 36 or
     more bits of their hashes agree; the bits grow with the corpus.
     """
     spark = docs.sparkSession
@@ -360,7 +360,7 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "qu
     of = dict(known.collect())  # at most ``sample`` ids
 
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(60, max(40, ceil(log2(chars + 1)) + 11))
+    bits = min(60, max(36, ceil(log2(chars + 1)) + 8))
     shards = max(2, -(-chars // SHARD_BYTES))
     contexts = rows.mapInArrow(send_contexts(bits, shards, frozenset(of)), SENT).repartitionById(shards, "shard")
     made = scratch.write(contexts.mapInArrow(make_vectors, SENT), "vectors", ["kind"]).select(*_SENT.names)

@@ -69,7 +69,7 @@ def backed_off(counts: np.ndarray, kept: np.ndarray, below: np.ndarray, context:
 class Katz(Model):
     """Katz backoff of order 2 or 3, learnt from texts of fold 0."""
 
-    step_bytes = 12 << 20
+    step_bytes, shard_tokens = 12 << 20, 3_000_000
     sums = ("score", "base_score", "n_known", "train_tokens")
 
     def __init__(self, order: int = ORDER):
@@ -124,7 +124,7 @@ def katz_scores(docs: DataFrame, train: Column, scratch: Scratch | None = None,
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
     score (log10 probability of the tokens, the end included). Before the first
     word stand ends. Words unknown to training are one class that has the
-    Good-Turing mass of unseen words. Two words are one where the first 40 or
+    Good-Turing mass of unseen words. Two words are one where the first 36 or
     more bits of their hashes agree; the bits grow with the corpus.
 
     Null text: empty, one END token. Null doc_id: kept, null. Repeated rows:

@@ -21,13 +21,13 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, mix, pack, pack_small, release, text_slices, unpack, unpack_small
 
-#: Tokens of a shard at least, and n-grams of one part of it.
-SHARD_TOKENS, PART_GRAMS = 4_000_000, 500_000
+#: N-grams of one part of a shard.
+PART_GRAMS = 500_000
 #: The hash of the end of a text, which also stands before its first word.
 END = int(hashes([b""])[0])
 
@@ -249,11 +249,13 @@ class Model:
     """
 
     order = 2
-    #: Bytes of text whose n-grams are counted together.
-    step_bytes = 16 << 20
+    #: Bytes of text whose n-grams are counted together, and tokens of a shard at least.
+    step_bytes, shard_tokens = 16 << 20, 8_000_000
     folds: tuple[int, ...] = (0,)
     #: The key of END among those of words; set by text_sums.
     end = 0
+    #: Type in which a shard sends its sums.
+    precision = np.float64
     #: Names of the sums and of ``columns``.
     sums: tuple[str, ...] = ()
     carried: tuple[str, ...] = ()
@@ -285,12 +287,12 @@ class Model:
         return None
 
 
-def _send(model: Model, bits: int, shards: int):
+def _send(model: Model, bits: int, labels: np.ndarray):
     """Map: messages with the n-grams of every slice, and one with its texts' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, step = TaskContext.get().partitionId(), 0
-        shift = np.uint64(64 - bits)
+        shift, shards = np.uint64(64 - bits), len(labels)
         for batch in batches:
             ids, folds_all = batch.column("doc_id"), batch.column("fold").to_numpy()
             groups = batch.column("grp").dictionary_encode()
@@ -326,8 +328,8 @@ def _send(model: Model, bits: int, shards: int):
                     table = pa.table({"doc_id": ids.take(pa.array(docs + first)), "fold": folds[docs], "lens": lens[docs], **{k: v[docs] for k, v in more.items()}})
                     with pa.ipc.new_stream(told, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                         out.write_table(table)
-                    rows = [("docs", who % shards, told.getvalue().to_pybytes())]
-                    rows += [("grams", s, blob) for s, blob in gram_messages(uniq[order], code[mine], lens[docs], folds[docs], model.order, shards)]
+                    rows = [("docs", labels[who % shards], told.getvalue().to_pybytes())]
+                    rows += [("grams", labels[s], blob) for s, blob in gram_messages(uniq[order], code[mine], lens[docs], folds[docs], model.order, shards)]
                     n = len(rows)
                     yield pa.RecordBatch.from_pydict(
                         {"kind": [r[0] for r in rows], "shard": [r[1] for r in rows], "batch_id": [who] * n, "grp": [names[g]] * n, "blob": [r[2] for r in rows]}, schema=_MESSAGE
@@ -343,12 +345,12 @@ def _by_group(table: pa.Table, *columns: str) -> dict[str, list[tuple]]:
     return out
 
 
-def _dest(words: np.ndarray, shards: int) -> np.ndarray:
+def _dest(words: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """The shard that adds up each word's totals."""
-    return (mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(shards)).astype(np.int64)
+    return labels[(mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(len(labels))).astype(np.int64)]
 
 
-def _tally(model: Model, shards: int):
+def _tally(model: Model, labels: np.ndarray):
     """Group map over a shard: what its words add to their totals, for each word's shard."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -364,7 +366,7 @@ def _tally(model: Model, shards: int):
                 at = np.searchsorted(held.words, shard.words)
                 for m, c in enumerate(counts):
                     values[m, at] += model.word_values(shard, c).astype(np.int64)
-            dest = _dest(held.words, shards)
+            dest = _dest(held.words, labels)
             for d in np.unique(dest).tolist():
                 mine = dest == d
                 rows.append((d, here, grp, pack_small(deltas(held.words[mine]), *values[:, mine]), None))
@@ -410,7 +412,7 @@ def _add_stats(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _DOWN, strict=True)], schema=_DOWN)
 
 
-def _finish(model: Model, shards: int):
+def _finish(model: Model, labels: np.ndarray):
     """Cogroup map over a shard and what came back for it: each text's sums."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -423,7 +425,7 @@ def _finish(model: Model, shards: int):
             here = grams["shard"][0].as_py()
             held = Messages(sorted(messages), model.order)
             told = back[grp]
-            dest = _dest(held.words, shards)
+            dest = _dest(held.words, labels)
             totals = np.zeros((len(model.folds), len(held.words)))
             for kind, d, blob in told:
                 if kind == "totals":
@@ -440,14 +442,14 @@ def _finish(model: Model, shards: int):
                         rows.append(("model", here, m, grp, kept))
                 for who, part in shard.sums(values, model.of_fold):
                     sums[who] += part
-            rows += [("sums", here, who, grp, pack(x.reshape(-1).view(np.uint64))) for who, x in sums.items()]
+            rows += [("sums", here, who, grp, pack(x.reshape(-1).astype(model.precision).view(f"u{np.dtype(model.precision).itemsize}"))) for who, x in sums.items()]
             release()
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_OUT)], schema=_OUT)
 
     return run
 
 
-def _assemble(names: tuple[str, ...], carried: tuple[str, ...]):
+def _assemble(names: tuple[str, ...], carried: tuple[str, ...], precision: type):
     """Map: rows of each batch's texts, from its ids and the sums of all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +458,7 @@ def _assemble(names: tuple[str, ...], carried: tuple[str, ...]):
                 table = pa.ipc.open_stream(row["docs"]).read_all()
                 total = np.zeros((len(names), table.num_rows))
                 for part in sorted(row["parts"], key=lambda p: p["shard"]):
-                    total += unpack(part["blob"])[0].view(np.float64).reshape(len(names), -1)
+                    total += unpack(part["blob"])[0].view(precision).reshape(len(names), -1)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": table["doc_id"].combine_chunks(), "fold": table["fold"].combine_chunks().cast(pa.int32()), "grp": pa.array([row["grp"]] * table.num_rows, pa.string()), "n_tokens": table["lens"].combine_chunks().cast(pa.int64()),
@@ -467,6 +469,15 @@ def _assemble(names: tuple[str, ...], carried: tuple[str, ...]):
     return run
 
 
+def even_labels(spark: SparkSession, shards: int) -> np.ndarray:
+    """A number for each shard, chosen so that hash partitioning deals one to each partition."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(shards))
+    # one row a shard comes to the driver
+    rows = spark.range(shards * (30 + 2 * shards.bit_length())).groupBy(place.alias("place")).agg(F.min("id").alias("id")).collect()
+    found = {r["place"]: r["id"] for r in rows}
+    return np.array([found.get(k, -1 - k) for k in range(shards)], np.int64)
+
+
 def text_sums(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """Sums over the n-grams of every text: doc_id, fold, grp, n_tokens (END included) and the model's sums and columns.
 
@@ -477,17 +488,18 @@ def text_sums(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     spark = rows.sparkSession
     bounded_batches(spark)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(60, max(40, ceil(log2(chars + 1)) + 11))
+    bits = min(60, max(36, ceil(log2(chars + 1)) + 8))
     model.end = np.uint64((END & MASK64) >> (64 - bits))
-    shards = max(2, -(-(chars // 6) // SHARD_TOKENS), int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
-    sent = rows.select("doc_id", "text", "fold", "grp").mapInArrow(_send(model, bits, shards), MESSAGE).repartition(shards, "shard")
-    up = sent.groupBy("shard").applyInArrow(_tally(model, shards), _sql(_UP)).repartition(shards, "dest")
+    shards = max(2, -(-(chars // 6) // model.shard_tokens), int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    labels = even_labels(spark, shards)
+    sent = rows.select("doc_id", "text", "fold", "grp").mapInArrow(_send(model, bits, labels), MESSAGE).repartition(shards, "shard")
+    up = sent.groupBy("shard").applyInArrow(_tally(model, labels), _sql(_UP)).repartition(shards, "dest")
     down = up.groupBy("dest").applyInArrow(_total(model), _sql(_DOWN))
     # one row of statistics from each word shard; their sum goes to every shard
-    stats = down.where("kind = 'stats'").groupBy("grp").applyInArrow(_add_stats, _sql(_DOWN)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    stats = down.where("kind = 'stats'").groupBy("grp").applyInArrow(_add_stats, _sql(_DOWN)).withColumn("shard", F.explode(F.array(*map(F.lit, labels.tolist()))))
     back = down.where("kind = 'totals'").unionByName(stats).repartition(shards, "shard")
-    done = scratch.write(sent.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_finish(model, shards), _sql(_OUT)), "sums", ["kind"])
+    done = scratch.write(sent.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_finish(model, labels), _sql(_OUT)), "sums", ["kind"])
     parts = done.where("kind = 'sums'").groupBy("batch_id").agg(F.collect_list(F.struct("shard", "blob")).alias("parts"))
     docs = done.where("kind = 'docs'").select("batch_id", "grp", F.col("blob").alias("docs"))
     kinds = "".join(f", {n} double" for n in model.sums) + "".join(f", {n} long" for n in model.carried)
-    return docs.join(parts, "batch_id").mapInArrow(_assemble(model.sums, model.carried), "doc_id long, fold int, grp string, n_tokens long" + kinds)
+    return docs.join(parts, "batch_id").mapInArrow(_assemble(model.sums, model.carried, model.precision), "doc_id long, fold int, grp string, n_tokens long" + kinds)
