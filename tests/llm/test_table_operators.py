@@ -236,7 +236,8 @@ def test_segments_that_do_not_fit_are_told(spark):
 
 
 def test_top_k_equals_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 24 * 8 * 7)  # blocks of 7
+    monkeypatch.setattr(topk, "TILE_ROWS", 64)
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.3, (600, 24)).astype(np.float32)
     x[100:130] = x[7]  # ties
@@ -257,11 +258,37 @@ def test_top_k_equals_all_pairs(spark, monkeypatch):
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
 
 
-def test_bounds_hold():
+def test_large_components_ties_and_lengths(spark):
+    """Products beyond doubles, and beyond 64 bits, against whole numbers of any size."""
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(v) for v in rng.choice([1, -1], 5) * rng.choice([3e6, 1e9, 2.5, 1e17], 5)]) for k in range(60)]
+    rows += [(100, [1.0, 2.0]), (100, [1.0, 2.0]), (150, []), (200, [1e308]), (3, rows[3][1]), (50, [0.5] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    scaled = [(k, [int(np.floor(256 * v)) for v in e]) for k, e in rows if k != 200]
+    query = {k: min(e for j, e in rows if j == k) for k, _ in rows if k % 50 == 0 and k != 200}
+    assert set(got) == set(query)
+    for k, e in query.items():
+        q = [int(np.floor(256 * v)) for v in e]
+        clip = lambda s: min(max(s, topk.LOWEST), topk.HIGHEST)
+        best = sorted((-clip(sum(a * b for a, b in zip(q, x, strict=False))), j) for j, x in scaled if j != k)[:5]
+        assert sorted(got[k]) == [(i + 1, j, -s) for i, (s, j) in enumerate(best)]
+
+
+def test_bounds_hold_and_prune():
     rng = np.random.default_rng(1)
     a, b = np.floor(rng.normal(0, 60, (40, 30))), np.floor(rng.normal(0, 60, (50, 30)))
-    for segments in (1, 4, 7, 30):
-        assert (topk.statistics(a, segments) @ topk.statistics(b, segments).T >= a @ b.T - 1e-6).all()
+    for share in (0.0, 0.3, 0.75):
+        for segments in (1, 4, 7, 30):
+            assert (topk.level(a, share, segments) @ topk.level(b, share, segments).T >= a @ b.T - 1e-6).all()
+    x = rng.normal(0, 1, (6000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    told = []
+    topk.best_of(np.arange(0, 6000, 50), x[::50], np.arange(6000), x, 5, told=told)
+    left = np.sum(told[1:], 0)  # the first tile has no threshold yet
+    assert left[0] > left[3] > left[4] and left[4] < 0.25 * left[0]
 
 
 def test_pipeline_stages(spark):

@@ -2,49 +2,72 @@
 
 A vector is cut into segments, each known by its mean and deviation. The inner
 product of two segments of length n is at most n (mean mean + dev dev), so the
-distance, its negative, is at least the negative of the sum. Bounds go from few
-segments to many; only tiles of queries and vectors in which a pair may still
-enter a query's best k are computed in full.
+distance, its negative, is at least the negative of the sum. Levels go from few
+segments of the whole vector to ones where a growing first part is taken as it
+is and only the rest by its segments. A pair goes on to the next level while its
+bound may still enter the query's best k; survivors get their exact product.
+
+Queries and vectors are dealt into blocks that fit a task, and every block of
+queries meets every block of vectors on an executor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bounded_batches, with_global_index
+from .common import Scratch, bounded_batches
 
-#: Segments at each resolution, coarse to fine.
-LEVELS = (4, 16)
-#: Queries that are sent to all executors at once, and sides of a tile.
-QUERY_BLOCK, TILE_QUERIES, TILE_ROWS = 8192, 256, 2048
+#: Coarse to fine: share of a vector taken as it is, and segments of the rest.
+LEVELS = ((0.0, 4), (0.0, 16), (0.5, 8), (0.75, 4))
+#: Bytes of a block of vectors as doubles, and sides of a tile.
+BLOCK_BYTES, TILE_QUERIES, TILE_ROWS = 16 << 20, 256, 2048
+#: Share of a tile's pairs up to which survivors are worked out one by one.
+FEW = 0.25
 SCALE = 256
+LOWEST, HIGHEST = -(2**63) + 1, 2**63 - 1
 
 
-def matrix(column: pa.Array, dim: int = 0) -> np.ndarray:
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Scaled integer vectors as rows of doubles; short ones end in zeros."""
     lens = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = np.floor(SCALE * column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
-    out = np.zeros((len(lens), max(dim, int(lens.max(initial=0)))))
+    out = np.zeros((len(lens), max(dim, 1)))
     out[np.repeat(np.arange(len(lens)), lens), np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)] = flat
     return out
 
 
-def widen(x: np.ndarray, dim: int) -> np.ndarray:
-    return np.pad(x, ((0, 0), (0, dim - x.shape[1]))) if x.shape[1] < dim else x
-
-
 def statistics(x: np.ndarray, segments: int) -> np.ndarray:
     """Means and deviations of segments, scaled so that products of rows bound inner products."""
     length = -(-x.shape[1] // segments)
-    cut = widen(x, length * segments).reshape(len(x), segments, length)
-    mean, dev = cut.mean(2), cut.std(2)
-    return np.hstack([mean, dev]) * np.sqrt(length)
+    cut = np.pad(x, ((0, 0), (0, length * segments - x.shape[1]))).reshape(len(x), segments, length)
+    return np.hstack([cut.mean(2), cut.std(2)]) * np.sqrt(length)
+
+
+def level(x: np.ndarray, share: float, segments: int) -> np.ndarray:
+    """A level's view of vectors: the first part as it is, the statistics of the rest."""
+    first = int(x.shape[1] * share)
+    return np.hstack([x[:, :first], statistics(x[:, first:], segments)])
+
+
+def exact(q: np.ndarray, x: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Inner products as 64-bit integers, of all pairs or of some; beyond their range, the range's end."""
+    top_q, top_x = np.abs(q).max(1, initial=0), np.abs(x).max(1, initial=0)
+    if pairs is None:
+        large = top_q[:, None] * top_x[None] * q.shape[1] >= 2.0**53
+        out = np.where(large, 0, q @ x.T)
+    else:
+        large = top_q[pairs[0]] * top_x[pairs[1]] * q.shape[1] >= 2.0**53
+        out = np.where(large, 0, np.einsum("ij,ij->i", q[pairs[0]], x[pairs[1]]))
+    out = out.astype(np.int64)
+    for at in zip(*np.nonzero(large), strict=True):
+        i, j = at if pairs is None else (pairs[0][at[0]], pairs[1][at[0]])
+        product = sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True) if a and b)
+        out[at] = min(max(product, LOWEST), HIGHEST)
+    return out
 
 
 class Best:
@@ -52,95 +75,112 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k = k
-        self.score = np.full((queries, k), -np.inf)
+        self.score = np.full((queries, k), LOWEST - 1, np.int64)
         self.id = np.full((queries, k), np.iinfo(np.int64).max)
 
-    def add(self, at: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Merge (row, score, id) entries into the queries ``at``."""
-        touched, place = np.unique(row, return_inverse=True)
-        q = at[touched]
+    def add(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Merge (query, score, id) entries."""
+        touched, place = np.unique(at, return_inverse=True)
         who = np.concatenate([np.repeat(np.arange(len(touched)), self.k), place])
-        scores = np.concatenate([self.score[q].ravel(), score])
-        names = np.concatenate([self.id[q].ravel(), ids])
-        order = np.lexsort((names, -scores, who))
+        scores = np.concatenate([self.score[touched].ravel(), score])
+        names = np.concatenate([self.id[touched].ravel(), ids])
+        order = np.lexsort((names, ~scores, who))
         who, scores, names = who[order], scores[order], names[order]
         rank = np.arange(len(who)) - np.searchsorted(who, who)
         keep = rank < self.k
-        self.score[q[who[keep]], rank[keep]] = scores[keep]
-        self.id[q[who[keep]], rank[keep]] = names[keep]
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, k: int, levels: tuple[int, ...]):
-    """Map over vectors: each query's best k of the partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(len(query_ids), k)
-        q = queries
-        for batch in batches:
-            if not batch.num_rows:
+        self.score[touched[who[keep]], rank[keep]] = scores[keep]
+        self.id[touched[who[keep]], rank[keep]] = names[keep]
+
+
+def best_of(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, levels: tuple = LEVELS, told: list | None = None) -> Best:
+    """Each query's k best among the vectors of a block. ``told`` gets the pairs that each level left."""
+    best = Best(len(query_ids), k)
+    q_levels = [level(q, *v) for v in levels]
+    q_norm = np.linalg.norm(q, axis=1)
+    for lo in range(0, len(ids), TILE_ROWS):
+        names, rows = ids[lo : lo + TILE_ROWS], x[lo : lo + TILE_ROWS]
+        x_levels, x_norm = [level(rows, *v) for v in levels], np.linalg.norm(rows, axis=1)
+        for first in range(0, len(query_ids), TILE_QUERIES):
+            at = np.arange(first, min(first + TILE_QUERIES, len(query_ids)))
+            slack = 1e-9 * q_norm[at][:, None] * x_norm[None] + 1e-6
+            alive = query_ids[at][:, None] != names[None]
+            counts = [int(alive.sum())]
+            least = best.score[at, -1].astype(float)[:, None]
+            for qs, xs in zip(q_levels, x_levels, strict=True):
+                if not alive.any():
+                    counts.append(0)
+                    continue
+                if alive.mean() > FEW:
+                    alive &= qs[at] @ xs.T + slack >= least
+                else:
+                    i, j = np.nonzero(alive)
+                    alive[i, j] = np.einsum("ij,ij->i", qs[at[i]], xs[j]) + slack[i, j] >= least[i, 0]
+                counts.append(int(alive.sum()))
+            if told is not None:
+                told.append(counts)
+            i, j = np.nonzero(alive)
+            if not len(i):
                 continue
-            ids_all = batch.column("vec_id").to_numpy()
-            x_all = matrix(batch.column("embedding"), q.shape[1])
-            q = widen(q, x_all.shape[1])
-            if np.abs(x_all).max(initial=0) * np.abs(q).max(initial=0) * q.shape[1] >= 2.0**53:
-                raise ValueError("inner products of these components are not exact in doubles")
-            q_stats = [statistics(q, s) for s in levels]
-            for lo in range(0, len(ids_all), TILE_ROWS):
-                ids, x = ids_all[lo : lo + TILE_ROWS], x_all[lo : lo + TILE_ROWS]
-                x_stats = [statistics(x, s) for s in levels]
-                for q0 in range(0, len(query_ids), TILE_QUERIES):
-                    at, cols = np.arange(q0, min(q0 + TILE_QUERIES, len(query_ids))), np.arange(len(ids))
-                    for qs, xs in zip(q_stats, x_stats, strict=True):
-                        bound = qs[at] @ xs[cols].T
-                        alive = bound * (1 + 1e-9) + 1e-6 >= best.score[at, -1][:, None]
-                        at, cols = at[alive.any(1)], cols[alive.any(0)]
-                        if not len(at) or not len(cols):
-                            break
-                    if not len(at) or not len(cols):
-                        continue
-                    score = q[at] @ x[cols].T
-                    score[query_ids[at][:, None] == ids[cols][None, :]] = -np.inf
-                    least = best.score[at, -1]
-                    if score.shape[1] > k:
-                        least = np.maximum(least, np.partition(score, -k, axis=1)[:, -k])
-                    row, col = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                    if len(row):
-                        best.add(at, row, score[row, col], ids[cols[col]])
-        row, rank = np.nonzero(np.isfinite(best.score))
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(query_ids[row]), "vec_id": pa.array(best.id[row, rank]), "score": pa.array(best.score[row, rank].astype(np.int64))})
+            score = exact(q[at], rows)[i, j] if alive.mean() > FEW else exact(q, rows, (at[i], j))
+            # of a tile only a query's k best scores, ties included, can matter
+            order = np.lexsort((~score, i))
+            rank = np.arange(len(i)) - np.searchsorted(i, i)
+            floor = np.full(len(at), LOWEST - 1, np.int64)
+            last = order[rank == k - 1]
+            floor[i[last]] = score[last]
+            use = score >= np.maximum(floor, best.score[at, -1])[i]
+            best.add(at[i[use]], score[use], names[j[use]])
+    return best
+
+
+def search(k: int, dim: int, levels: tuple):
+    """Cogroup map: each query's best k of one block of vectors."""
+    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        if not queries.num_rows or not vectors.num_rows:
+            return kinds.empty_table()
+        q = queries.sort_by("vec_id").combine_chunks()
+        ids = q["vec_id"].to_numpy()
+        take = lambda t: matrix(pa.concat_arrays(t["embedding"].chunks), dim)
+        best = best_of(ids, take(q), vectors["vec_id"].to_numpy(), take(vectors), k, levels)
+        row, rank = np.nonzero(best.score >= LOWEST)
+        return pa.table([ids[row], best.id[row, rank], best.score[row, rank]], schema=kinds)
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scratch: Scratch | None = None, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scratch: Scratch | None = None, levels: tuple = LEVELS) -> DataFrame:
     """The k rows of ``vectors`` (vec_id, embedding) with the highest inner product to each query.
 
     Components x count as floor(256 x). Returns query_id, rank (from 1), vec_id,
     score; equal scores go by smaller vec_id. Queries are the rows that fulfil
-    ``is_query``, taken in blocks of QUERY_BLOCK against all rows.
-
-    Vectors that are null or hold a null or non-finite component, and rows
-    without an id, take no part. Vectors of different length: the shorter one
-    ends in zeros. Repeated ids: a query's rows are never its own candidates;
-    other repeated rows are ranked each, and a repeated query is one query.
-    Empty table or no query: no rows. Other columns are ignored. Components so
-    large that a product might not be exact raise an error.
+    ``is_query``.
+
+    Vectors that are null or hold a null or non-finite component (or one that
+    256 times is not finite), and rows without an id, take no part. Vectors of
+    different length: the shorter one ends in zeros. Repeated ids: a query's
+    rows are never its own candidates; other repeated rows are ranked each; of
+    different vectors of a query id the smallest is the query. Empty table or no
+    query: no rows. Other columns are ignored. Products are exact at every size;
+    a score that 64 bits cannot hold is the nearest one that they can.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    scratch = scratch or Scratch(spark, "topk")
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * SCALE) < float("inf")))
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null").where(finite)
-    asked = with_global_index(scratch, usable.where(is_query).dropDuplicates(["vec_id"]), [F.col("vec_id")], "queries", "at")
-    n = asked.count()
-    found = None
-    for low in range(0, n, QUERY_BLOCK):
-        block = asked.where((F.col("at") >= low) & (F.col("at") < low + QUERY_BLOCK)).orderBy("at").select("vec_id", "embedding").toArrow().combine_chunks()
-        work = search(block["vec_id"].to_numpy(), matrix(block["embedding"].combine_chunks()), k, levels)
-        part = usable.mapInArrow(work, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    queries = usable.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    size = usable.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim"), F.count_if(is_query).alias("queries")).first()
+    dim = max(1, size["dim"] or 1)
+    block = max(1, BLOCK_BYTES // (8 * dim))
+    columns = max(1, -(-size["queries"] // block))
+    # as many blocks of vectors as their size asks for, or as give every task of a shuffle one
+    rows = max(1, -(-size["n"] // block), min(int(spark.conf.get("spark.sql.shuffle.partitions")) // columns, size["n"] // TILE_ROWS))
+    place = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("vec_id", "embedding", place(1, columns).alias("column"), every(rows).alias("row"))
+    right = usable.select("vec_id", "embedding", every(columns).alias("column"), place(2, rows).alias("row"))
+    found = left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(search(k, dim, levels), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
