@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -40,12 +41,33 @@ def byte_symbols() -> list[str]:
     return out
 
 
+#: The one kind of file that is read: its normaliser and pre-tokenizer, as files of it say them.
+NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def refuse_others(spec: dict) -> None:
+    """Raise ValueError for a file that asks for anything else than what Bpe does."""
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    fits = {
+        "normalizer": (spec.get("normalizer") or {}).get("normalizers") == NORMALISER,
+        "pre_tokenizer": len(steps) == 2 and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == (SPLIT, "Removed", True)
+        and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False),
+        "decoder": spec.get("decoder") is None, "post_processor": spec.get("post_processor") is None,
+        "added_tokens": not any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        "model": model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
+    }
+    if not all(fits.values()):
+        raise ValueError(f"this vocabulary asks for another {', '.join(k for k, v in fits.items() if not v)} than is built here")
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file (JSON, BPE model)."""
 
     def __init__(self, source: bytes):
         spec = json.loads(source)
         model = spec["model"]
+        refuse_others(spec)
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
@@ -56,6 +78,7 @@ class Bpe:
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self.bytes = byte_symbols()
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.mark = os.path.commonprefix(list(self.added))
         self.split_added = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.spaces = regex.compile(f"[{_SPACE}]+")
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -117,7 +140,7 @@ class Bpe:
         """Ids of a text as little-endian 32-bit integers, and the text decoded from them."""
         parts: list[tuple[bytes, str]] = []
         at = 0
-        marks = list(self.split_added.finditer(text)) if self.split_added and "<|" in text else []
+        marks = list(self.split_added.finditer(text)) if self.split_added and self.mark in text else []
         for mark in [*marks, None]:
             plain = text[at : mark.start() if mark else len(text)]
             if plain:
@@ -128,19 +151,27 @@ class Bpe:
                 at = mark.end()
         return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
+    def n_ids(self, text: str) -> int:
+        """How many ids a text has."""
+        return len(self.encode(text)[0]) // 4
+
     def decode(self, ids: bytes) -> str:
         """Decode packed ids."""
         return self.join([x[0] for x in struct.iter_unpack("<I", ids)])
 
 
 @lru_cache(maxsize=2)
-def _loaded(source: bytes) -> Bpe:
+def load(source: bytes) -> Bpe:
+    """The encoder of a vocabulary file, made once in each worker."""
     return Bpe(source)
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Encode and decode every whole text with the vocabulary file at a path.
 
+    The file is one of a lower-casing BPE with word ends, without decoder (see
+    refuse_others); any other raises ValueError.
+
     Adds ids (binary, little-endian unsigned 32-bit integers) and decoded to
     doc_id. Special tokens written out in a text become those tokens.
 
@@ -153,7 +184,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         source = spark.sparkContext.broadcast(file.read())  # a public vocabulary of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _loaded(source.value)
+        bpe = load(source.value)
         for batch in batches:
             texts = batch.column("text")
             for first, end, _, _ in text_slices(batch):
@@ -167,7 +198,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """Number of ids and digests of ids and decoded text."""
+    """Number of ids and digests of ids and decoded text, a row each.
+
+    Null ids or decoded text: null counts and digests. Empty ones: none, and the
+    digest of nothing. Empty table: no rows. Other columns are ignored.
+    """
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
