@@ -233,6 +233,13 @@ def test_bpe_equals_the_tokenizers_library(spark, make_docs, odd_rows):
     assert bpe.bpe_encode(make_docs([]), path).collect() == []
 
 
+def test_bpe_refuses_other_kinds_of_files():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="another"):
+        bpe.Bpe(open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read())
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(6)
     bits = ["<|turn|>", "<|end|>", "\\", "<", "\\l", "\n", "hello ", "é😀", "### Assistant: </turn>"]
@@ -243,21 +250,22 @@ def test_chat_round_trip(spark):
         rows += [(conv, k, r, t, "x") for k, (r, t) in enumerate(turns)]
         want[conv] = turns
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")
-    windows = chat.format_windows(df, budget=120, history=40)
-    got = {r.conv_id: r for r in windows.mapInArrow(chat.read_windows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long").collect()}
-    for conv, turns in want.items():
-        loss = "".join(t or "" for r, t in turns if r == "assistant")
-        said = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
-        assert got[conv].n_turns == len(turns) and got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
-        assert got[conv].loss_chars == len(loss) and got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
-    for w in windows.collect():
-        parts = list(chat._TURN.finditer(w.formatted))
-        own = len(parts) - w.repeated
-        assert own >= 1 and "".join(m[0] for m in parts) == w.formatted
-        tokens = sum(chat.n_tokens(chat.unescape(m[2])) for m in parts)
-        assert tokens <= 120 or own == 1
-        if want[w.conv_id][0][0] == "system":
-            assert chat.unescape(parts[0][1]) == "system"
+    for block in (4096, 3):
+        windows = chat.format_windows(df, budget=120, history=40, pinned=15, block=block)
+        got = {r.conv_id: r for r in chat.in_order(windows).mapInArrow(chat.read_windows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long").collect()}
+        for conv, turns in want.items():
+            loss = "".join(t or "" for r, t in turns if r == "assistant")
+            said = "".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)
+            assert got[conv].n_turns == len(turns) and got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+            assert got[conv].loss_chars == len(loss) and got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        for w in windows.collect():
+            parts = list(chat._TURN.finditer(w.formatted))
+            own = len(parts) - w.repeated
+            assert own >= 1 and "".join(m[0] for m in parts) == w.formatted
+            tokens = sum(chat.FRAME + chat.quarter(m[2]) for m in parts)
+            assert tokens <= 120 or (own == 1 and w.repeated <= 1)
+            if want[w.conv_id][0][0] == "system":
+                assert chat.unescape(parts[0][1]) == "system"
     assert chat.format_windows(df.limit(0)).collect() == []
 
 
@@ -308,6 +316,45 @@ def test_classifier_equals_a_plain_version(spark, make_docs, monkeypatch, odd_ro
     assert np.mean([(got[d] >= 0.5) == (d % 3 > 0) for d, t in docs if d < 500 and t]) > 0.9
 
 
+def test_windows_by_prefix_sums():
+    rng = random.Random(3)
+    for _ in range(300):
+        costs = [rng.randint(1, 40) for _ in range(rng.randint(0, 25))]
+        room, history = rng.choice([20, 50, 90]), rng.choice([0, 10, 30])
+        at, want = 0, []
+        while at < len(costs):
+            back = at
+            while back > 0 and sum(costs[back - 1 : at]) <= min(history, room - costs[at]):
+                back -= 1
+            end = at + 1
+            while end < len(costs) and sum(costs[back : end + 1]) <= room:
+                end += 1
+            want.append((back, at, end))
+            at = end
+        assert list(chat.plan(np.array(costs, np.int64), room, history)) == want
+
+
+def test_a_long_system_turn_and_a_long_conversation_keep_the_budget(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(chat, "HELD_CHARS", 3000)
+    rows = [(1, 0, "system", "rule " * 4000)] + [(1, k, "user" if k % 2 else "assistant", f"turn {k} says so") for k in range(1, 61)]
+    rows += [(2, k, "assistant", "words and more words " * (1 + k % 9)) for k in range(500)] + [(3, 0, "system", "be kind")] + [(3, 0, "system", "be kind")] + [(3, None, "user", "early")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    count = bpe.Bpe(open(path, "rb").read()).n_ids
+    for vocabulary, tokens in ((path, count), (None, chat.quarter)):
+        windows = chat.format_windows(df, vocabulary=vocabulary, block=100).collect()
+        for w in windows:
+            parts = list(chat._TURN.finditer(w.formatted))
+            own = len(parts) - w.repeated
+            assert sum(chat.FRAME + tokens(m[2]) for m in parts) <= chat.BUDGET or own == 1
+        first = [w for w in windows if w.conv_id == 1]
+        assert all(w.formatted.startswith("<|turn|>system<|body|>rule") for w in first) and len(first) < 12
+        got = {r.conv_id: r.n_turns for r in chat.in_order(chat.format_windows(df, vocabulary=vocabulary, block=100)).mapInArrow(chat.read_windows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long").collect()}
+        assert got == {1: 61, 2: 500, 3: 3}
+
+
 def test_classifier_on_labels_held_back(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

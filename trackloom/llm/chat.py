@@ -1,28 +1,34 @@
 """Chat formatting in budgeted windows, and reading it back.
 
-Prefix sums of turn tokens choose spans of whole turns that fit a budget. Each
-window begins with the conversation's system turn, repeats a limited history
-before its own turns, and marks as loss only its own assistant turns, so that
-every assistant text is a target once. Rows are sorted within a conversation
-and streamed; turns of one conversation are held, at most, up to a budget's
-worth, and a single turn over the budget is a window of its own.
+Prefix sums of turn tokens choose spans of whole turns that fit a budget: where
+a window ends, and where the turns that it repeats begin, are places found in
+the sums. Each window begins with the conversation's system turn, repeats a
+limited history before its own turns, and marks as loss only its own assistant
+turns, so that every assistant text is a target once. Conversations are cut
+into blocks of turns, which are formatted apart, so that a huge one is no task
+of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .bpe import load
+from .common import Scratch, bounded_batches
 
-#: Tokens of a window, of which at most so many are repeated turns.
-BUDGET, HISTORY = 512, 128
+#: Tokens of a window, of which at most so many are repeated turns, and so many a repeated system turn.
+BUDGET, HISTORY, PINNED = 512, 128, 128
+#: Turn numbers that one block spans; each block's first window repeats only the system turn.
+BLOCK = 4096
+#: Tokens of a turn's frame.
+FRAME = 4
 #: Control strings. Texts and roles have no bare "<" after escaping.
 OPEN, BODY, CLOSE = "<|turn|>", "<|body|>", "<|end|>"
 _TURN = re.compile(r"<\|turn\|>([^<]*)<\|body\|>([^<]*)<\|end\|>")
@@ -38,89 +44,110 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "<" if m[1] == "l" else m[1], text, flags=re.S) if "\\" in text else text
 
 
-def n_tokens(text: str) -> int:
-    """Tokens that a formatted turn counts for: one each four characters, and its frame."""
-    return 4 + (len(text) + 3) // 4
+def quarter(text: str) -> int:
+    """Tokens of a text where no vocabulary is given: one each four characters."""
+    return (len(text) + 3) // 4
 
 
-class _Window:
-    """Turns of one window under construction."""
+def shortened(text: str, tokens: int, count: Callable[[str], int]) -> str:
+    """The longest first part of a text, up to halving, that has at most so many tokens."""
+    while text and count(text) > tokens:
+        text = text[: min(len(text) // 2, 8 * tokens)]
+    return text
 
-    def __init__(self, number: int, pinned: list[tuple[str, str, int]], history: list[tuple[str, str, int]]):
-        self.number, self.pinned, self.history, self.own = number, pinned, history, []
-        self.tokens = sum(t[2] for t in pinned) + sum(t[2] for t in history)
 
-    def render(self, conv: int | None) -> dict:
-        parts, spans, at = [], [], 0
-        repeated = len(self.pinned) + len(self.history)
-        for k, (role, text, _) in enumerate([*self.pinned, *self.history, *self.own]):
-            head, body = f"{OPEN}{escape(role)}{BODY}", escape(text)
-            if k >= repeated and role == "assistant":
-                spans.append((at + len(head), at + len(head) + len(body)))
-            parts += [head, body, CLOSE]
-            at += len(head) + len(body) + len(CLOSE)
-        return {"conv_id": conv, "window": self.number, "formatted": "".join(parts), "repeated": repeated, "loss": [{"begin": a, "end": b} for a, b in spans]}
+def plan(costs: np.ndarray, room: int, history: int, at: int = 0, first_room: int | None = None, low: int = 0) -> Iterator[tuple[int, int, int]]:
+    """Windows over turns of given token costs, from turn ``at`` on: first repeated turn, first own turn, end.
 
-
-WINDOW_SCHEMA = "conv_id long, window int, formatted string, repeated int, loss array<struct<begin:int,end:int>>"
+    A window's own turns are the longest span that fits the room; the turns
+    before it that are repeated, from ``low`` on, fit the history and make way
+    for its first own turn. A turn over the room is a window of its own, without
+    history. The first window may have a room of its own.
+    """
+    sums = np.append(0, np.cumsum(costs))
+    while at < len(costs):
+        width, first_room = room if first_room is None else first_room, None
+        past = min(history, width - int(costs[at]))
+        back = min(at, max(low, int(np.searchsorted(sums, sums[at] - past)))) if past > 0 else at
+        end = max(at + 1, int(np.searchsorted(sums, sums[back] + width, "right")) - 1)
+        yield back, at, end
+        at = end
+
+
+def render(conv: int | None, block: int | None, number: int, turns: list[tuple[str, str]], repeated: int) -> dict:
+    """One window as text, with the spans of its own assistant texts."""
+    parts, spans, at = [], [], 0
+    for k, (role, text) in enumerate(turns):
+        head, body = f"{OPEN}{escape(role)}{BODY}", escape(text)
+        if k >= repeated and role == "assistant":
+            spans.append((at + len(head), at + len(head) + len(body)))
+        parts += [head, body, CLOSE]
+        at += len(head) + len(body) + len(CLOSE)
+    return {"conv_id": conv, "block": block, "window": number, "formatted": "".join(parts), "repeated": repeated, "loss": [{"begin": a, "end": b} for a, b in spans]}
+
+
+WINDOW_SCHEMA = "conv_id long, block long, window int, formatted string, repeated int, loss array<struct<begin:int,end:int>>"
 _ARROW = pa.schema(
-    [("conv_id", pa.int64()), ("window", pa.int32()), ("formatted", pa.string()), ("repeated", pa.int32()), ("loss", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]
+    [("conv_id", pa.int64()), ("block", pa.int64()), ("window", pa.int32()), ("formatted", pa.string()), ("repeated", pa.int32()), ("loss", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))]
 )
-
-
-def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
-    for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True)
-
-
-def window_spans(budget: int, history: int):
-    """Map over sorted turns: the windows of each conversation.
-
-    A window's own turns are the longest span whose tokens, as a difference of
-    prefix sums, fit what system turn and history leave of the budget.
-    """
-
-    def close(recent: deque) -> list:
-        kept, total = [], 0
-        for turn in reversed(recent):
-            total += turn[2]
-            if total > history:
-                break
-            kept.insert(0, turn)
-        return kept
+#: Characters of turns that are held before they are formatted, and windows that are handed on together.
+HELD_CHARS, SEND_CHARS = 8 << 20, 4 << 20
+
+
+class _Block:
+    """Turns of one block that are not all in windows yet, and the history before them."""
+
+    def __init__(self, conv: int | None, block: int | None, system: str | None, own_system: bool, limits: tuple[int, int, int], count: Callable[[str], int]):
+        self.key, self.number, self.turns, self.costs, self.at, self.chars = (conv, block), 0, [], [], 0, 0
+        self.limits, self.count, self.low = limits, count, int(own_system)
+        self.pin = [] if system is None else [("system", shortened(system, limits[2], lambda t: count(escape(t))))]
+
+    def add(self, role: str, text: str) -> None:
+        self.turns.append((role, text))
+        self.costs.append(FRAME + self.count(escape(text)))
+        self.chars += len(text)
+
+    def windows(self, whole: bool) -> Iterator[dict]:
+        """Windows of the turns held; where more turns may come, all but the last."""
+        budget, history, _ = self.limits
+        room = budget - sum(FRAME + self.count(escape(text)) for _, text in self.pin)
+        own = self.low and not self.number  # the first window has the system turn itself
+        spans = list(plan(np.array(self.costs, np.int64), max(1, room), history, self.at, budget if own else None, self.low))
+        for back, at, end in spans if whole else spans[:-1]:
+            pin = [] if self.low and not self.number else self.pin
+            yield render(*self.key, self.number, pin + self.turns[back:end], len(pin) + at - back)
+            self.number += 1
+        if not whole and spans:
+            back, at, _ = spans[-1]
+            back = min(back, at)
+            self.turns, self.costs, self.at, self.low = self.turns[back:], self.costs[back:], at - back, self.low if not self.number else 0
+            self.chars = sum(len(t) for _, t in self.turns)
+
+
+def window_spans(budget: int, history: int, pinned: int, vocabulary: bytes | None):
+    """Map over sorted turns: the windows of each block of each conversation."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        current: _Window | None = None
-        conv: int | None = None
-        recent: deque = deque()
-        for who, role, text in _turns(batches):
-            turn = (role, text, n_tokens(text))
-            if current is None or who != conv:
-                if current:
-                    yield current.render(conv)
-                conv, current, recent = who, _Window(0, [], []), deque()
-            elif current.own and current.tokens + turn[2] > budget:
-                yield current.render(conv)
-                pinned = current.pinned or [t for t in current.own[:1] if t[0] == "system" and current.number == 0]
-                past = close(recent)
-                while past and sum(t[2] for t in [*pinned, *past, turn]) > budget:
-                    past.pop(0)
-                current = _Window(current.number + 1, pinned, past)
-            current.own.append(turn)
-            current.tokens += turn[2]
-            if role != "system":
-                recent.append(turn)
-                while len(recent) > 1 and sum(t[2] for t in recent) > history:
-                    recent.popleft()
-        if current:
-            yield current.render(conv)
+        count = load(vocabulary).n_ids if vocabulary else quarter
+        held: _Block | None = None
+        for batch in batches:
+            for who, block, role, text, system, system_block in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "block", "role", "text", "system", "system_block")), strict=True):
+                if held is None or held.key != (who, block):
+                    if held:
+                        yield from held.windows(True)
+                    held = _Block(who, block, system, system is not None and block == system_block, (budget, history, pinned), count)
+                held.add(role, text)
+                if held.chars > HELD_CHARS:
+                    yield from held.windows(False)
+        if held:
+            yield from held.windows(True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for row in windows(batches):
             rows.append(row)
             size += len(row["formatted"])
-            if size > 4 << 20:
+            if size > SEND_CHARS:
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
                 rows, size = [], 0
         if rows:
@@ -129,13 +156,18 @@ def window_spans(budget: int, history: int):
     return run
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, pinned: int = PINNED, vocabulary: str | None = None, block: int = BLOCK) -> DataFrame:
     """Format conversations (conv_id, turn, role, text) as windows with loss spans.
 
-    Returns conv_id, window, formatted, repeated (turns at its start that an
-    earlier window has) and loss (character spans). Rows of a conversation lie
-    together and in order. A first turn with role system is repeated in every
-    window; loss spans cover assistant texts as escaped, without their frame.
+    Returns conv_id, block, window (in the block), formatted, repeated (turns at
+    its start that an earlier window has) and loss (character spans). A first
+    turn with role system is repeated in every window, cut to at most ``pinned``
+    tokens there; loss spans cover assistant texts as escaped, without their
+    frame. A window's tokens, those of its frames included, are at most
+    ``budget``, but where a single turn of its own is longer than what the
+    system turn leaves: turns are never cut, and it then has no history.
+    Tokens are those of the vocabulary file at a path, or, with none, a quarter
+    of the characters. Blocks are runs of ``block`` turn numbers.
 
     Null text or role: empty. Null conv_id: one conversation. Null turn: before
     all others; equal turns go by role, then text. Repeated rows: each is a
@@ -143,16 +175,34 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     """
     spark = turns.sparkSession
     bounded_batches(spark)
+    source = None
+    if vocabulary:
+        with open(vocabulary, "rb") as file:
+            source = file.read()
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(window_spans(budget, history), WINDOW_SCHEMA)
+    ).withColumn("block", F.floor(F.col("turn") / block))
+    # the first row of a conversation by turn, role and text, where it is the system's
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"), "block")).alias("first"))
+    first = first.where("first.role = 'system'").select(F.col("conv_id").alias("_conv"), F.col("first.text").alias("system"), F.col("first.block").alias("system_block"))
+    known = rows.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    dealt = known.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+    return dealt.mapInArrow(window_spans(budget, history, pinned, source), WINDOW_SCHEMA)
+
+
+def in_order(windows: DataFrame) -> DataFrame:
+    """Windows of a conversation together and in order."""
+    parts = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return windows.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block", "window")
 
 
 def read_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map over windows in order: each conversation's turns and targets, read from the text."""
+    """Map over windows in order: each conversation's turns and targets, read from the text.
+
+    A digest runs over a whole conversation, whose windows so are read by one
+    task, one after the other.
+    """
     state: dict | None = None
     out: list[dict] = []
     kinds = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_windows", pa.int64())])
@@ -192,4 +242,7 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     every = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(more)
-    return format_windows(every).mapInArrow(read_windows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
+    import public_tokenizers
+
+    windows = Scratch(spark, "chat").write(format_windows(every, vocabulary=public_tokenizers.path("word_bpe_49k.json")), "windows")
+    return in_order(windows).mapInArrow(read_windows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
