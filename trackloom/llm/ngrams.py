@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, mix, pack, pack_small, release, text_slices, unpack, unpack_small
 
 #: N-grams of one part of a shard.
-PART_GRAMS = 500_000
+PART_GRAMS = 300_000
 #: The hash of the end of a text, which also stands before its first word.
 END = int(hashes([b""])[0])
 
@@ -356,9 +356,10 @@ def _tally(model: Model, labels: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         table = table.filter(pa.compute.equal(table["kind"], "grams"))
         rows: list[tuple] = []
-        for grp, messages in _by_group(table, "batch_id", "blob").items():
+        groups = _by_group(table, "batch_id", "blob")
+        for grp in list(groups):
             here = table["shard"][0].as_py()
-            held = Messages(sorted(messages), model.order)
+            held = Messages(sorted(groups.pop(grp)), model.order)
             values, stats = np.zeros((len(model.folds), len(held.words)), np.int64), np.zeros(1)
             for shard in held.parts():
                 counts = [shard.counts(f) for f in model.folds]
@@ -421,9 +422,10 @@ def _finish(model: Model, labels: np.ndarray):
         rows += [("docs", s, b, g, x) for s, b, g, x in zip(*(docs[c].to_pylist() for c in ("shard", "batch_id", "grp", "blob")), strict=True)]
         grams = left.filter(pa.compute.equal(left["kind"], "grams"))
         back = _by_group(right, "kind", "dest", "blob")
-        for grp, messages in _by_group(grams, "batch_id", "blob").items():
+        groups = _by_group(grams, "batch_id", "blob")
+        for grp in list(groups):
             here = grams["shard"][0].as_py()
-            held = Messages(sorted(messages), model.order)
+            held = Messages(sorted(groups.pop(grp)), model.order)
             told = back[grp]
             dest = _dest(held.words, labels)
             totals = np.zeros((len(model.folds), len(held.words)))
