@@ -1,24 +1,32 @@
 """Secret scans: pattern rules, and a character convolution network over candidates.
 
-Three patterns find the base spans. Candidates are long runs of key characters
-with a digit in them, and longer ones without. Every candidate is read whole,
-in overlapping windows with their surroundings, by a small network in numpy: character embeddings folded into a convolution, ReLU, maximum
-and mean over places, and a logit. It learns from labelled findings: values of
-base spans are secrets, other candidates are not. Half of the secrets are shown
-in foreign surroundings, so that the value counts and not the name before it.
-A temperature calibrates probabilities on findings held back, and the threshold
-is the highest that keeps a stated recall over all labelled secrets of the table
-that the network was not fitted on. Candidates over it become
-spans of kind "network"; base spans stay.
+Three patterns find the base spans. Candidates are runs of key characters: from
+CANDIDATE characters on with a digit in them, from LETTERS on without. Every
+candidate is read whole, in overlapping windows with their surroundings, by a
+small network in numpy: character embeddings folded into a convolution, ReLU,
+maximum and mean over places, and a logit. It learns from labelled findings:
+values of base spans are secrets, other candidates are not. So that the network
+can find what the patterns cannot, every secret is also shown away from its
+name, in other surroundings of its text, as it is and in other forms that keys
+take: other case, base 64, letters and digits of both cases, groups with dashes.
+A temperature, fitted to smoothed labels of findings held back, calibrates
+probabilities. The threshold is the highest that keeps a stated recall over all
+labelled secrets of the table, in all forms, that the network was not fitted on,
+and a half at most.
+Candidates over it become spans of kind "network"; base spans stay.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 from collections.abc import Iterator
+from itertools import cycle, islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +35,14 @@ from .common import Scratch, bounded_batches, text_slices
 KINDS = ("assign", "access", "hex", "network")
 #: Least length of a candidate with a digit, and of one without; characters of a
 #: window and of each side of it that the network sees, and from a window to the next.
-CANDIDATE, LETTERS, VALUE, SIDE, STEP = 12, 20, 48, 24, 24
+CANDIDATE, LETTERS, VALUE, SIDE, STEP = 6, 16, 48, 24, 24
 #: Labelled findings of each class that the network learns from at most.
 SAMPLE = 2_000
-#: Recall that the threshold keeps on findings not fitted on.
-RECALL = 0.98
+#: Recall that the threshold keeps on findings not fitted on, and the most that it is:
+#: a finding whose calibrated probability is over a half is a secret.
+RECALL, SURE = 0.98, 0.5
+#: Findings without a label that a network which did not see them scores higher than this are not learnt from.
+DOUBT = 0.4
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -107,6 +118,55 @@ def window_labels(spans: list[tuple[str, int, int]], begin: int, end: int) -> by
     return inside.astype(np.uint8).tobytes()
 
 
+_BOTH = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+#: Keys of each other form that a secret is shown as.
+DRAWS = 4
+
+
+def forms(value: str) -> list[str]:
+    """A secret as it is and in other forms that keys take, the same ones each time."""
+    out = [value, value.swapcase()]
+    for draw in range(DRAWS):
+        stream = b"".join(hashlib.sha256(value.encode() + bytes([draw, k])).digest() for k in range(3))
+        a, b, c, d = stream[-4:]
+        groups = "".join(_UPPER[x % 36] for x in stream[:32])
+        wide = 4 + a % 3
+        out += [
+            base64.b64encode(stream[: 16 + b % 25]).decode(), "".join(_BOTH[x % 62] for x in stream[: 20 + c % 29]),
+            "-".join(groups[k * wide : (k + 1) * wide] for k in range(4 + a % 2)), stream[: 12 + d % 21].hex().upper(), stream[: 12 + c % 21].hex(),
+            "".join(chr(97 + x % 26) for x in stream[40 : 42 + b % 2]) + "_" + "".join(_BOTH[x % 62] for x in stream[: 24 + d % 17]),
+        ]
+    return out
+
+
+def surroundings(text: str, spans: list[tuple[str, int, int]], own: tuple[int, int], seed: int) -> tuple[str, str]:
+    """Characters on both sides of a space of the text that is away from every span; after eight tries those of a span itself."""
+    for k in range(8):
+        at = text.find(" ", (seed >> (5 * k)) % max(1, len(text)))
+        if at >= 0 and all(e < at - SIDE or at + SIDE < s for _, s, e in spans):
+            return text[max(0, at + 1 - SIDE) : at + 1], text[at : at + SIDE]
+    return text[max(0, own[0] - SIDE) : own[0]], text[own[1] : own[1] + SIDE].lstrip("\"'")
+
+
+def taught(text: str, spans: list[tuple[str, int, int]]) -> list[bytes]:
+    """Windows with each secret of a text in all forms, away from its name: alone, and at the end of a path."""
+    out = []
+    for kind, begin, end in spans:
+        value = _ASSIGN.match(text, begin)[2] if kind == "assign" else text[begin:end]
+        for k, form in enumerate(forms(value)):
+            before, after = surroundings(text, spans, (begin, end), xxhash.xxh64_intdigest(form.encode(), k))
+            out.append(classes(before + form + after, len(before), len(before) + len(form)))
+            path = "/".join(islice(cycle(re.findall(r"[a-z]+", before + after) or ["a"]), 8)) + "/"
+            start, last = len(before), len(before) + len(path) + len(form)
+            seen = np.minimum(window_starts(start, last) + VALUE, last) - np.maximum(window_starts(start, last), start + len(path))
+            windows = _windows(classes(before + path + form + after, start, last))
+            out += [w for w, n in zip(windows, seen, strict=True) if n >= 0.75 * min(len(form), VALUE)]
+    return out
+
+
 def order_key(span: tuple[str, int, int]) -> tuple[int, int, int]:
     return span[1], KINDS.index(span[0]), span[2]
 
@@ -114,7 +174,7 @@ def order_key(span: tuple[str, int, int]) -> tuple[int, int, int]:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
 _CANDIDATES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("labels", pa.binary()), ("classes", pa.binary())]))
 _SPANS_SQL = "array<struct<kind:string,begin:long,end:long>>"
-FOUND_SQL = f"doc_id long, base {_SPANS_SQL}, candidates array<struct<begin:long,end:long,labels:binary,classes:binary>>"
+FOUND_SQL = f"doc_id long, base {_SPANS_SQL}, taught array<binary>, candidates array<struct<begin:long,end:long,labels:binary,classes:binary>>"
 
 
 def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,54 +197,91 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = int(points[lo] - points[offsets[d]]), int(points[hi] - points[offsets[d]])
                 candidates[d].append({"begin": x, "end": y, "labels": window_labels(base[d], x, y), "classes": classes(texts[d], x, y)})
             rows = [[{"kind": k, "begin": s, "end": e} for k, s, e in sorted(spans, key=order_key)] for spans in base]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, end - first), "base": pa.array(rows, _SPANS), "candidates": pa.array(candidates, _CANDIDATES)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, end - first), "base": pa.array(rows, _SPANS), "taught": pa.array([taught(t, spans) if spans else [] for t, spans in zip(texts, base, strict=True)], pa.list_(pa.binary())), "candidates": pa.array(candidates, _CANDIDATES)})
 
 
 class CharNet:
     """Convolution over character classes with max and mean pooling, trained by Adam."""
 
-    def __init__(self, codes: np.ndarray, labels: np.ndarray, seed: int = 11, epochs: int = 12, batch: int = 64, recall: float = RECALL):
+    def __init__(self, codes: np.ndarray, labels: np.ndarray, seed: int = 11, epochs: int = 16, batch: int = 64, recall: float = RECALL):
         rng = np.random.default_rng(seed)
-        self.p = [rng.normal(0, 0.1, (WIDTH, ALPHABET, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 2 * FILTERS), np.zeros(1)]
         held = np.zeros(len(codes), bool)
         for label in (0, 1):
             mine = rng.permutation(np.flatnonzero(labels == label))
-            held[mine[: len(mine) // 4]] = True
-        x, y = codes[~held], labels[~held].astype(float)
-        # secrets in the surroundings of others
+            held[mine[: max(len(mine) // 4, int(len(mine) > 1))]] = True
+        # findings without a label may be secrets that no pattern knows: each half of them is
+        # judged by a network that learnt from the other, and what it takes for a secret is left out
+        half, doubtful = rng.random(len(codes)) < 0.5, np.zeros(len(codes), bool)
+        self.temperature = 1.0
+        for side in (half, ~half):
+            use = ~held & ((labels == 1) | side)
+            if (labels[use] == 0).any():
+                self._fit(codes[use], labels[use].astype(float), rng, max(1, epochs // 2), batch)
+                judged = np.flatnonzero((labels == 0) & ~side)
+                doubtful[judged] = self.score(codes[judged]) > DOUBT
+        if not ((labels == 0) & ~doubtful & ~held).any():
+            doubtful[:] = False
+        self._fit(codes[~held & ~doubtful], labels[~held & ~doubtful].astype(float), rng, epochs, batch)
+        held &= ~doubtful
+        test = held if held.any() else ~held
+        logit, target = self.logit(codes[test]), labels[test]
+        # smoothed labels: findings that are told apart without fault still have a best temperature
+        goal = np.where(target > 0, (np.sum(target > 0) + 1) / (np.sum(target > 0) + 2), 1 / (np.sum(target == 0) + 2))
+        grid = np.geomspace(0.05, 50, 120)
+        self.temperature = float(grid[int(np.argmin([np.mean(np.logaddexp(0, logit / s) - goal * logit / s) for s in grid]))])
+        sure = np.sort(self.score(codes[test])[target > 0])
+        self.threshold = min(SURE, float(sure[int(np.floor((1 - recall) * len(sure)))])) if len(sure) else SURE
+        self.fitted = frozenset(row.astype(np.uint8).tobytes() for row in codes[~held])
+
+    def _fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int, batch: int) -> None:
+        self.p = [rng.normal(0, 0.1, (WIDTH, ALPHABET, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, 2 * FILTERS), np.zeros(1)]
+        # each finding again in the surroundings of one of the other label, so that the value counts
         secret, other = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        moved = x[secret].copy()
-        lend = x[rng.choice(other, len(secret))]
-        moved[:, :SIDE], moved[:, SIDE + VALUE :] = lend[:, :SIDE], lend[:, SIDE + VALUE :]
-        x, y = np.vstack([x, moved]), np.append(y, np.ones(len(moved)))
+        moved = x.copy()
+        for mine, theirs in ((secret, other), (other, secret)):
+            lend = x[rng.choice(theirs, len(mine))] if len(theirs) else x[mine]
+            moved[mine, :SIDE], moved[mine, SIDE + VALUE :] = lend[:, :SIDE], lend[:, SIDE + VALUE :]
+        joined = self._joined(x, secret, other, rng)
+        x, y = np.vstack([x, moved, joined]), np.concatenate([y, y, np.ones(len(joined))])
+        # labels weigh the same, however many findings they have
+        share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
+        weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
         m, v, t = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p], 0
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for lo in range(0, len(order), batch):
                 k = order[lo : lo + batch]
                 t += 1
-                for a, g in enumerate(self._gradients(x[k], y[k])):
+                for a, g in enumerate(self._gradients(x[k], y[k], weight[k])):
                     m[a], v[a] = 0.9 * m[a] + 0.1 * g, 0.999 * v[a] + 0.001 * g * g
                     self.p[a] -= 0.005 * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.999**t)) + 1e-8)
-        test = held if held.any() else ~held
-        logit, target = self.logit(codes[test]), labels[test]
-        grid = np.geomspace(0.25, 8, 30)
-        self.temperature = float(grid[int(np.argmin([np.mean(np.logaddexp(0, np.where(target > 0, -1, 1) * logit / s)) for s in grid]))])
-        sure = np.sort(self.score(codes[test])[target > 0])
-        self.threshold = float(sure[int(np.floor((1 - recall) * len(sure)))]) if len(sure) else 1.0
-        self.fitted = frozenset(row.astype(np.uint8).tobytes() for row in codes[~held])
+
+    @staticmethod
+    def _joined(x: np.ndarray, secret: np.ndarray, other: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Secrets right behind the end of a value that is none."""
+        out = x[secret].copy()
+        if not len(other):
+            return out[:0]
+        value = slice(SIDE, SIDE + VALUE)
+        for row, j in zip(out, rng.choice(other, len(secret)), strict=True):
+            before = np.append(x[j, :SIDE], x[j, value][x[j, value] != NOTHING])
+            own, cut = row[value][row[value] != NOTHING], int(rng.integers(2, 17))
+            whole = np.append(before[-cut:], own)[:VALUE]
+            row[value] = np.append(whole, np.full(VALUE - len(whole), NOTHING))
+            row[:SIDE] = np.append(np.full(SIDE, NOTHING), before[:-cut])[-SIDE:]
+        return out
 
     def _maps(self, codes: np.ndarray) -> np.ndarray:
         places = SPAN - WIDTH + 1
         return sum(self.p[0][o][codes[:, o : o + places]] for o in range(WIDTH)) + self.p[1]
 
-    def _gradients(self, codes: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    def _gradients(self, codes: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
         maps = self._maps(codes)
         act = np.maximum(maps, 0)
         n, places, _ = act.shape
         top = act.argmax(1)
         pooled = np.hstack([np.take_along_axis(act, top[:, None], 1)[:, 0], act.mean(1)])
-        d = (1 / (1 + np.exp(-np.clip(pooled @ self.p[2] + self.p[3], -30, 30))) - y) / n
+        d = (1 / (1 + np.exp(-np.clip(pooled @ self.p[2] + self.p[3], -30, 30))) - y) * weight / n
         back = np.repeat((d[:, None] * self.p[2][FILTERS:] / places)[:, None], places, 1)
         i, f = np.meshgrid(np.arange(n), np.arange(FILTERS), indexing="ij")
         back[i, top, f] += d[:, None] * self.p[2][:FILTERS]
@@ -218,22 +315,23 @@ def _windows(blob: bytes) -> list[bytes]:
 
 
 def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map: label and classes of every window of every candidate."""
+    """Map: label and classes of every window of every candidate, and of every form of a secret."""
     for batch in batches:
-        for row in batch.column("candidates").to_pylist():
-            labels = [label for c in row for label in c["labels"]]
-            yield pa.RecordBatch.from_pydict({"label": pa.array(labels, pa.int32()), "classes": pa.array([w for c in row for w in _windows(c["classes"])], pa.binary())})
+        for row, more in zip(batch.column("candidates").to_pylist(), batch.column("taught").to_pylist(), strict=True):
+            shown = [w for c in more for w in _windows(c)]
+            labels = [label for c in row for label in c["labels"]] + [1] * len(shown)
+            yield pa.RecordBatch.from_pydict({"label": pa.array(labels, pa.int32()), "classes": pa.array([w for c in row for w in _windows(c["classes"])] + shown, pa.binary())})
 
 
 def unseen_scores(net: CharNet):
-    """Map: score of every labelled secret that the network was not fitted on, that of its best window, as the bits of a double."""
+    """Map: score of every labelled secret, in every form, that the network was not fitted on, that of its best window, as the bits of a double."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = []
-            for row in batch.column("candidates").to_pylist():
-                for c in row:
-                    mine = [w for w, label in zip(_windows(c["classes"]), c["labels"], strict=True) if label]
+            for row, more in zip(batch.column("candidates").to_pylist(), batch.column("taught").to_pylist(), strict=True):
+                found = [[w for w, label in zip(_windows(c["classes"]), c["labels"], strict=True) if label] for c in row]
+                for mine in [*found, *map(_windows, more)]:
                     if mine and not any(w in net.fitted for w in mine):
                         best.append(net.score(_codes(mine)).max())
             yield pa.RecordBatch.from_pydict({"bits": pa.array(np.array(best, np.float64).view(np.int64))})
@@ -265,14 +363,14 @@ def train(found: DataFrame, scratch: Scratch, sample: int = SAMPLE, recall: floa
 
     Its threshold is taken over all labelled secrets that are not of the fit.
     """
-    each = found.select("candidates").mapInArrow(windows, "label int, classes binary").distinct()
+    each = found.select("candidates", "taught").mapInArrow(windows, "label int, classes binary").distinct()
     parts = [each.where(F.col("label") == k).orderBy(F.xxhash64("classes"), "classes").limit(sample).toArrow() for k in (0, 1)]
     if not all(p.num_rows for p in parts):
         return None
     blobs = [b for p in parts for b in p["classes"].to_pylist()]
     net = CharNet(_codes(blobs), np.repeat([0, 1], [p.num_rows for p in parts]), recall=recall)
-    kept = lowest_kept(scratch.write(found.select("candidates").mapInArrow(unseen_scores(net), "bits long"), "unseen"), recall)
-    net.threshold = net.threshold if kept is None else kept
+    kept = lowest_kept(scratch.write(found.select("candidates", "taught").mapInArrow(unseen_scores(net), "bits long"), "unseen"), recall)
+    net.threshold = net.threshold if kept is None else min(SURE, kept)
     return net
 
 
