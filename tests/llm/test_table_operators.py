@@ -74,14 +74,25 @@ def near_copies(seed=3):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize("block", [10**9, 150])
-def test_trie_join_equals_all_pairs(spark, make_docs, monkeypatch, block):
+@pytest.mark.parametrize(("block", "heavy"), [(10**9, 200), (150, 10), (20, 2)])
+def test_trie_join_equals_all_pairs(spark, make_docs, monkeypatch, block, heavy):
+    """A block of 20 n-grams has large groups dealt by prefix n-gram, as test_large_groups_are_dealt_both_ways says."""
     monkeypatch.setattr(trie_join, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(trie_join, "HEAVY_CLASSES", heavy)
     docs = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in trie_join.ngram_join(make_docs(docs)).collect()}
     assert got == plain_join(docs)
 
 
+def test_large_groups_are_dealt_both_ways(spark, make_docs, monkeypatch):
+    for block, way in ((20, True), (150, False)):
+        monkeypatch.setattr(trie_join, "BLOCK_ITEMS", block)
+        scratch = Scratch(spark, "test-deal")
+        trie_join.ngram_join(make_docs(near_copies()), scratch).collect()
+        weights = spark.read.parquet(f"{scratch.root}/weights").where("blocks > 1").collect()
+        assert way in {r.by_token for r in weights}
+
+
 def test_trie_join_odd_rows(spark, make_docs, odd_rows):
     rows = trie_join.ngram_join(make_docs(odd_rows)).collect()
     assert len(rows) == len(odd_rows)

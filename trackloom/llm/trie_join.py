@@ -3,7 +3,9 @@
 N-grams have one global order: by falling document frequency, then hash. Read
 from its rare end, a set's prefix must share an n-gram with that of any set it
 links to, which deals sets into groups; n-grams of a single document need no
-partner and only use up prefix. Within a group, sets are stored in the order's
+partner and only use up prefix. Groups are sets chained by shared prefixes; a
+group too large for a task is cut into pairs of blocks or, where that is less
+work, into the sets of each shared prefix n-gram. Within a group, sets are stored in the order's
 frequent-first direction in a compressed trie, so that similar sets share a
 path and its overlap is counted once. A set is joined by walking the trie from
 the root, level by level, and leaving a subtree as soon as the overlap so far
@@ -34,6 +36,8 @@ PERCENT, SHINGLE = 90, 3
 #: N-grams that one shard of the frequency exchange holds at least, and that one
 #: task of the join holds of each side at most; larger groups are joined in blocks.
 SHARD_ITEMS, BLOCK_ITEMS = 4_000_000, 2_000_000
+#: Equal texts of over this part of all are joined to their results by broadcast: there are at most so many.
+HEAVY_CLASSES = 200
 
 
 def doc_sets(word_hash: np.ndarray, begin: np.ndarray, lens: np.ndarray, size: int) -> list[np.ndarray]:
@@ -182,7 +186,6 @@ class Trie:
         # of the sets below each node: the least size, and the greatest length still to come
         self.least = np.where(self.leaf >= 0, sizes[np.maximum(self.leaf, 0)] if len(sizes) else 0, np.iinfo(np.int64).max)
         longest = np.where(self.leaf >= 0, self.depth, 0)
-        level = np.zeros(n, np.int64)
         pending = np.array([0])
         levels = []
         while len(pending):
@@ -192,7 +195,6 @@ class Trie:
             np.minimum.at(self.least, self.parent[nodes], self.least[nodes])
             np.maximum.at(longest, self.parent[nodes], longest[nodes])
         self.rest = longest - self.depth
-        del level
 
     def _below(self, nodes: np.ndarray) -> np.ndarray:
         counts = self.first[nodes + 1] - self.first[nodes]
@@ -244,9 +246,9 @@ def join_sets(sets: list[np.ndarray], often: list[np.ndarray], sizes: np.ndarray
 
 
 def block_links(percent: int):
-    """Group map: links of a group's sets, or of two blocks of a large group.
+    """Group map: links of a group's sets, of two blocks of a large group, or of the sets of a prefix n-gram.
 
-    Emits a spanning forest of the links as stars, and each set's number of
+    A pair that shares several prefix n-grams counts at the smallest. Emits a spanning forest of the links as stars, and each set's number of
     linked texts.
     """
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
@@ -255,7 +257,8 @@ def block_links(percent: int):
         vertex, size, copies, block = (table[c].to_numpy() for c in ("vertex", "n_shingles", "copies", "block"))
         parts = [unpack(x, np.uint64, np.uint32) for x in table["grams"].to_pylist()]
         sets, often = [np.cumsum(g, dtype=np.uint64) for g, _ in parts], [f for _, f in parts]
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        low, high, token = table["low"][0].as_py(), table["high"][0].as_py(), table["token"][0].as_py()
+        prefix = [np.array(p) for p in table["prefix"].to_pylist()] if token is not None else []
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         root, links = np.arange(len(vertex)), np.zeros(len(vertex), np.int64)
 
@@ -267,6 +270,8 @@ def block_links(percent: int):
 
         if len(left) and len(right):
             for i, js in join_sets(sets, often, size, left, right, percent):
+                if token is not None:
+                    js = js[[np.intersect1d(prefix[i], prefix[j]).min() == token for j in js]] if len(js) else js
                 links[i] += copies[js].sum()
                 if low != high:
                     links[js] += copies[i]
@@ -313,21 +318,43 @@ def ngram_join(docs: DataFrame, scratch: Scratch | None = None, percent: int = P
     tokens = chosen.select(F.explode("prefix").alias("token"), "vertex")
     stars = tokens.groupBy("token").agg(F.min("vertex").alias("top"), F.count("*").alias("n")).where("n > 1")
     groups = connected_components(scratch, tokens.join(stars, "token").select(F.col("vertex").alias("a"), F.col("top").alias("b")), "groups")
-    members = chosen.join(groups.withColumnRenamed("component", "part"), "vertex")
-    weights = groups.withColumnRenamed("component", "part").join(chosen.select("vertex", "n_shingles"), "vertex").groupBy("part").agg(F.ceil(F.sum("n_shingles") / BLOCK_ITEMS).cast("int").alias("blocks"))
-    dealt = members.join(weights, "part").withColumn("block", F.pmod(F.xxhash64("vertex", "part"), F.col("blocks")).cast("int"))
+    groups = groups.withColumnRenamed("component", "part")
+    shared = tokens.join(stars.select("token"), "token")
+    width = shared.groupBy("vertex").agg(F.count("*").alias("width"))
+    members = scratch.write(chosen.join(groups, "vertex").join(width, "vertex"), "members")
+    items = F.sum("n_shingles")
+    weights = members.groupBy("part").agg(F.ceil(items / BLOCK_ITEMS).cast("int").alias("blocks"), (F.sum(F.col("n_shingles") * F.col("width")) < F.ceil(items / BLOCK_ITEMS) * items).alias("by_token"))
+    # a part of one block is as it is; of the others, most sets share few prefix n-grams or most share many
+    weights = scratch.write(weights.withColumn("by_token", F.col("by_token") & (F.col("blocks") > 1)), "weights")
+    dealt = members.join(weights, "part")
+    few = dealt.where("by_token").join(shared, "vertex")
+    size_of = few.groupBy("part", "token").agg(F.ceil(items / BLOCK_ITEMS).cast("int").alias("blocks"))
+    few = few.drop("blocks").join(size_of, ["part", "token"])
+    dealt = dealt.where("not by_token").withColumn("token", F.lit(None).cast("long")).withColumn("prefix", F.lit(None).cast("array<long>")).unionByName(few)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vertex", "part"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "part", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vertex", "n_shingles", "copies", "grams"
+        "part", "token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "vertex", "n_shingles", "copies", "grams", "prefix"
     )
-    found = scratch.write(dealt.groupBy("part", "low", "high").applyInArrow(block_links(percent), "a long, b long, links long"), "links")
+    found = scratch.write(dealt.groupBy("part", "token", "low", "high").applyInArrow(block_links(percent), "a long, b long, links long"), "links")
     linked = found.groupBy("a").agg(F.sum("links").alias("links"))
     joined = connected_components(scratch, found.select("a", "b"), "joined")
     named = chosen.select("digest", "vertex").join(joined, "vertex").join(classes.select("digest", "low"), "digest")
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
     tops = named.join(lowest, "component").select("digest", "component_id")
     extra = chosen.select("digest", "vertex").join(linked, F.col("vertex") == F.col("a")).select("digest", "links")
-    own = classes.join(tops, "digest", "left").join(extra, "digest", "left").select("digest", F.coalesce("component_id", "low").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sets.select("doc_id", "n_shingles", "digest").join(own, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    own = classes.join(tops, "digest", "left").join(extra, "digest", "left")
+    own = own.select("digest", "copies", F.coalesce("component_id", "low").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    own = scratch.write(own, "classes")
+    # texts without words meet no one; the few largest classes are broadcast, the others joined by their digest
+    limit = sets.count() // HEAVY_CLASSES
+    heavy = own.where(F.col("copies") > limit).select(F.col("digest").alias("_digest"), F.col("component_id").alias("_component"), F.col("n_links").alias("_links"))
+    full = sets.where("digest is not null").select("doc_id", "n_shingles", "digest").join(F.broadcast(heavy), F.col("digest") == F.col("_digest"), "left")
+    rest = full.where("_digest is null").select("doc_id", "n_shingles", "digest").join(own.where(F.col("copies") <= limit).drop("copies"), "digest")
+    names = ("doc_id", "n_shingles", "component_id", "n_links")
+    empty = sets.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    large = full.where("_digest is not null").select("doc_id", "n_shingles", F.col("_component").alias("component_id"), F.col("_links").alias("n_links"))
+    rows = empty.unionByName(large).unionByName(rest.select(*names))
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "n_links")
 
 
 def op6_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
