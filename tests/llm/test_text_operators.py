@@ -79,7 +79,8 @@ def test_katz_equals_a_dictionary_version_and_is_normalised(spark, make_docs, mo
     got = {r.doc_id: r for r in katz.katz_scores(make_docs(docs), held_out() != 1, order=order).collect()}
     assert len(got) == len(docs)
     for d, _ in docs:
-        assert got[d].score == pytest.approx(score[d], rel=1e-9) and got[d].n_tokens == len(seqs[d]) and got[d].held_out == (not train(d))
+        # shards send their shares of a score in single precision
+        assert got[d].score == pytest.approx(score[d], rel=1e-6) and got[d].n_tokens == len(seqs[d]) and got[d].held_out == (not train(d))
         assert got[d].base_score == pytest.approx(base[d][0], rel=1e-9) and got[d].n_known == base[d][1] and got[d].train_tokens == total
     for h in [*list(grams[order])[:20], ("never", "seen")[: order - 1]]:
         assert sum(p(h, w) for w in [*vocab, "unknown word"]) == pytest.approx(1)

@@ -69,7 +69,8 @@ def backed_off(counts: np.ndarray, kept: np.ndarray, below: np.ndarray, context:
 class Katz(Model):
     """Katz backoff of order 2 or 3, learnt from texts of fold 0."""
 
-    step_bytes, shard_tokens = 12 << 20, 6_000_000
+    step_bytes, shard_tokens = 12 << 20, 4_000_000
+    precision = ("4", "8", "4", "8")
     sums = ("score", "base_score", "n_known", "train_tokens")
 
     def __init__(self, order: int = ORDER):

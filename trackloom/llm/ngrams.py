@@ -254,8 +254,8 @@ class Model:
     folds: tuple[int, ...] = (0,)
     #: The key of END among those of words; set by text_sums.
     end = 0
-    #: Type in which a shard sends its sums.
-    precision = np.float64
+    #: Type in which a shard sends each of its sums; they meet in doubles.
+    precision: tuple[str, ...] = ()
     #: Names of the sums and of ``columns``.
     sums: tuple[str, ...] = ()
     carried: tuple[str, ...] = ()
@@ -444,14 +444,14 @@ def _finish(model: Model, labels: np.ndarray):
                         rows.append(("model", here, m, grp, kept))
                 for who, part in shard.sums(values, model.of_fold):
                     sums[who] += part
-            rows += [("sums", here, who, grp, pack(x.reshape(-1).astype(model.precision).view(f"u{np.dtype(model.precision).itemsize}"))) for who, x in sums.items()]
+            rows += [("sums", here, who, grp, pack(*(c.astype(f"f{p}").view(f"u{p}") for c, p in zip(x, model.precision, strict=True)))) for who, x in sums.items()]
             release()
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_OUT)], schema=_OUT)
 
     return run
 
 
-def _assemble(names: tuple[str, ...], carried: tuple[str, ...], precision: type):
+def _assemble(names: tuple[str, ...], carried: tuple[str, ...], precision: tuple[str, ...]):
     """Map: rows of each batch's texts, from its ids and the sums of all shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +460,7 @@ def _assemble(names: tuple[str, ...], carried: tuple[str, ...], precision: type)
                 table = pa.ipc.open_stream(row["docs"]).read_all()
                 total = np.zeros((len(names), table.num_rows))
                 for part in sorted(row["parts"], key=lambda p: p["shard"]):
-                    total += unpack(part["blob"])[0].view(precision).reshape(len(names), -1)
+                    total += np.stack([c.view(f"f{p}").astype(float) for c, p in zip(unpack(part["blob"]), precision, strict=True)])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": table["doc_id"].combine_chunks(), "fold": table["fold"].combine_chunks().cast(pa.int32()), "grp": pa.array([row["grp"]] * table.num_rows, pa.string()), "n_tokens": table["lens"].combine_chunks().cast(pa.int64()),

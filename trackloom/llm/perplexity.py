@@ -108,7 +108,7 @@ class KneserNey(Model):
 
     order = 2
     folds = (0, 1)
-    precision = np.float32
+    precision = ("4",)
     sums = ("nats",)
     carried = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
