@@ -46,6 +46,7 @@ def folder_size(n: Column) -> Column:
     return F.when(n >= 1024.0**3, F.format_string("%.2f GB", n / 1024.0**3)).otherwise(F.format_string("%.1f MB", n / 1024.0**2))
 
 
+# The characters that names may not have, and how long names may be, in cache_name and export_name.
 def cache_name(stem: Column) -> Column:
     """A folder name: letters, digits, dot, underscore, hyphen; the first 48."""
     return F.left(F.regexp_replace(stem, r"[^\p{L}\p{N}._-]+", "_"), F.lit(48))

@@ -78,3 +78,10 @@ def upper_median(values: Column) -> Column:
 def same_run(a: Column, b: Column) -> Column:
     """Whether two run fingerprints (structs) agree; nulls equal nulls."""
     return a.eqNullSafe(b)
+
+
+def whole_prefix(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """Rows of the chunks of each video before its first one that is not done."""
+    order = Window.partitionBy("video_id").orderBy("chunk")
+    kept = done.select("video_id", "chunk").distinct().withColumn("_n", F.row_number().over(order) - 1).where("chunk = _n").drop("_n")
+    return rows.join(kept, ["video_id", "chunk"], "left_semi")

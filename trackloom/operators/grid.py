@@ -79,6 +79,22 @@ def model_input(frames: list[np.ndarray], background: np.ndarray, width: int, he
     return np.concatenate(planes).astype(np.float32) / 255
 
 
+def model_input_column(images: Column, width: int, height: int, to_width: int, to_height: int) -> Column:
+    """Arrays of images (row-major BGR bytes, the background first) as one flat array of planes; null where an image has another size."""
+
+    @F.pandas_udf("array<float>")
+    def planes(rows: pd.Series) -> pd.Series:
+        def one(row) -> np.ndarray | None:
+            if row is None or any(i is None or len(i) != width * height * 3 for i in row):
+                return None
+            first, *rest = (np.asarray(i, np.uint8).reshape(height, width, 3) for i in row)
+            return model_input(rest, first, to_width, to_height).reshape(-1)
+
+        return rows.map(one)
+
+    return planes(images)
+
+
 def predict(windows: DataFrame, run, schema: str) -> DataFrame:
     """Stage of a model: ``run`` maps batches of windows (pandas) to rows; made once for each worker's batches."""
 

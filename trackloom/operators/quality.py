@@ -115,3 +115,46 @@ def trailing_points(trajectory: DataFrame, n: int) -> DataFrame:
     window = Window.partitionBy("video_id").orderBy("k").rangeBetween(-n + 1, 0)
     listed = F.sort_array(F.collect_list(F.when(F.col("visible"), F.col("frame"))).over(window), asc=False)
     return shown.select("video_id", "frame", listed.alias("frames"))
+
+
+#: Seconds of a block of the interval join, and what acceptance allows at a boundary.
+BLOCK_SECONDS, BOUNDARY_SECONDS = 60.0, 0.3
+
+
+def overlapping(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Pairs of rallies of one video that overlap in time, made an equi-join on blocks of a minute."""
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        reach = F.sequence(F.floor(F.col("start_seconds") / BLOCK_SECONDS), F.floor(F.greatest("start_seconds", "end_seconds") / BLOCK_SECONDS))
+        return rows.select("video_id", F.explode(reach).alias("block"), F.struct("rally", "start_seconds", "end_seconds", "hit_count").alias(name))
+
+    a, b = F.col("found"), F.col("truth")
+    begin = F.greatest(a["start_seconds"], b["start_seconds"])
+    pairs = blocks(found, "found").join(blocks(truth, "truth"), ["video_id", "block"])
+    pairs = pairs.where((a["start_seconds"] < b["end_seconds"]) & (b["start_seconds"] < a["end_seconds"]))
+    # both stand in every block of the overlap; it counts in the first
+    return pairs.where(F.col("block") == F.floor(begin / BLOCK_SECONDS)).drop("block")
+
+
+def acceptance(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row of figures for rallies (video_id, rally, start_seconds, end_seconds, hit_count) against true ones.
+
+    A true rally is matched with the found one that it overlaps longest, the
+    earliest of equals. recall: true rallies matched; precision: found rallies
+    that some true one is matched with; boundary_share: matches with both ends
+    within 0.3 s; boundary_error: mean seconds off an end; hits_share: matches
+    within one hit. Without rallies or matches, shares are null.
+    """
+    a, b = F.col("found"), F.col("truth")
+    length = F.least(a["end_seconds"], b["end_seconds"]) - F.greatest(a["start_seconds"], b["start_seconds"])
+    best = overlapping(found, truth).groupBy("video_id", b["rally"].alias("rally")).agg(F.max_by(F.struct("found", "truth"), F.struct(length.alias("length"), (-a["rally"]).alias("order"))).alias("m"))
+    starts, ends = (F.abs(F.col(f"m.found.{c}") - F.col(f"m.truth.{c}")) for c in ("start_seconds", "end_seconds"))
+    hits = F.abs(F.col("m.found.hit_count") - F.col("m.truth.hit_count"))
+    told = best.agg(
+        F.count("*").alias("matched"), F.count_distinct("video_id", "m.found.rally").alias("right"), F.count_if((starts <= BOUNDARY_SECONDS) & (ends <= BOUNDARY_SECONDS)).alias("near"),
+        F.avg((starts + ends) / 2).alias("boundary_error"), F.count_if(hits <= 1).alias("alike"),
+    )
+    sizes = found.agg(F.count("*").alias("_f")), truth.agg(F.count("*").alias("_t"))
+    row = told.join(F.broadcast(sizes[0])).join(F.broadcast(sizes[1]))  # one row each
+    share = lambda part, of: F.try_divide(F.col(part), F.col(of))
+    return row.select("matched", share("matched", "_t").alias("recall"), share("right", "_f").alias("precision"), share("near", "matched").alias("boundary_share"), "boundary_error", share("alike", "matched").alias("hits_share"))

@@ -54,3 +54,17 @@ def changed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def collectable(listing: DataFrame, in_use: DataFrame, key: str) -> DataFrame:
     """Files whose run is not in use any more."""
     return listing.join(in_use, key, "left_anti")
+
+
+def cancelled(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """State of every chunk of runs that were asked to stop (video_id, chunk): before that chunk nothing more was begun.
+
+    The wish is looked at before each chunk. Chunks before it are complete and
+    are kept; the others are pending, and their video is paused, not complete. A
+    wish beyond the last chunk changes nothing.
+    """
+    stop = asked.groupBy("video_id").agg(F.min("chunk").alias("_stop"))
+    done = F.col("_stop").isNull() | (F.col("chunk") < F.col("_stop"))
+    rows = chunks.join(stop, "video_id", "left").withColumn("state", F.when(done, "complete").otherwise("pending"))
+    status = F.when(F.bool_and(F.col("state") == "complete").over(Window.partitionBy("video_id")), "complete").otherwise("paused")
+    return rows.withColumn("status", status).drop("_stop")

@@ -14,7 +14,7 @@ from ..operators import runs as R
 from ..sources import files as S
 from .chain import CHAIN
 from .core import r6, rallies, tables
-from .more import GRID, TOTALS, totals
+from .more import GRID, READS, TOTALS, chunked, totals
 
 PLANS: dict = {}
 SQL: dict[str, str] = {}
@@ -31,23 +31,26 @@ def plan(name: str, sql: str | None = None):
 
 
 def shared(s: SparkSession, name: str) -> str:
-    """A new folder that all executors reach."""
+    """A new folder that all executors reach, under spark.checkpoint.dir or else the warehouse; gone when the session ends."""
     base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/trackloom-{name}-{uuid.uuid4().hex}"
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{base}/trackloom-{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
-def one_video(s, d) -> DataFrame:
-    return tables(s, d)[0].where("video_id = 0")
-
-
-@plan("a3_scan_trajectory_csv", " select video_id, frame, visible, x, y from traj where video_id = 0")
+@plan("a3_scan_trajectory_csv", " select video_id, frame, visible, x, y from traj")
 def a3(s, d):
     path = shared(s, "csv")
-    S.write_trajectory_csv(one_video(s, d), path)
-    return S.read_trajectory_csv(s, path)
+    S.write_trajectories_csv(tables(s, d)[0], path)
+    return S.read_trajectories_csv(s, path)
 
 
-PLANS["b1_write_chunk"], SQL["b1_write_chunk"] = a3, SQL["a3_scan_trajectory_csv"]
+@plan("b1_write_chunk", READS + "select video_id, chunk, frame, visible from reads")
+def b1(s, d):
+    """A file for every chunk number, halo rows included, and all of them read again."""
+    path = shared(s, "chunks")
+    S.write_chunks(chunked(s, d), path)
+    return S.read_written_chunks(s, path).select("video_id", "chunk", "frame", "visible")
 
 
 @plan("a4_scan_chunk_dir", " select event_id, case when event_id % 2 = 0 then event_id::integer end as chunk from events")
@@ -71,19 +74,22 @@ def a7(s, d):
     return S.read_quoted_csv(s, path).select(F.col("event_id").cast("long").alias("event_id"), "event_type", "props")
 
 
-@plan("a9_scan_token_text", " select video_id, frame, x from traj where video_id = 0")
+@plan("a9_scan_token_text", " select video_id, frame, x from traj")
 def a9(s, d):
     path = shared(s, "tokens")
-    one_video(s, d).select(F.concat_ws("  ", "video_id", "frame", "x").alias("value")).write.text(path)
+    tables(s, d)[0].select(F.concat_ws("  ", "video_id", "frame", "x").alias("value")).write.text(path)
     return S.read_tokens(s, path, "video_id long, frame long, x double")
 
 
-@plan("a8_scan_raw_tensor", " select count(*) as files, count(*) as whole from range(0, 3)")
+@plan("a8_scan_raw_tensor")
 def a8(s, d):
-    path = shared(s, "raw")
-    s.range(3).repartition(3, "id").select(F.lit("x" * 15).alias("value")).write.text(path)
-    files = S.read_raw(s, f"{path}/part-*").where("length > 0")
-    return files.agg(F.sum((F.col("length") / 16).cast("long")).alias("files"), F.sum((F.length("content") / 16).cast("long")).alias("whole"))
+    """Every embedding as raw bytes of 32-bit numbers, decoded again."""
+    e = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", S.encode_floats(F.col("embedding")).alias("content"))
+    back = e.select("vec_id", F.posexplode(S.decode_floats(F.col("content"), 64)).alias("place", "value"))
+    return back.select("vec_id", "place", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+SQL["a8_scan_raw_tensor"] = "select vec_id, i::integer as place, round(embedding[i + 1]::double, 6) as value from embeddings, range(0, 64) r(i)"
 
 
 @plan("b7_write_progress", TOTALS + "select video_id, 'running' as status, round(least(1, 40 / frame_count), 6) as percent, case when frame_count > 40 then round((frame_count - 40) / 15.0::double, 6) else -1 end as eta_seconds from totals")
@@ -179,6 +185,32 @@ o as (
 select vec_id, string_agg(round_even(v, 0)::integer::varchar, ',' order by i) as g from o group by 1"""
 
 
+@plan("j2_model_input")
+def j2(s, d):
+    """A background and one frame of 4 by 4 points, from each embedding, as the planes of a model's input."""
+    cells = F.transform("embedding", lambda v: (F.abs(v) * 200).cast("int"))
+    images = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.slice(cells, 1, 48).alias("a"), F.slice(cells, 17, 48).alias("b"))
+    planes = images.select("vec_id", F.posexplode(J.model_input_column(F.array("a", "b"), 4, 4, 8, 8)).alias("i", "v"))
+    return planes.select("vec_id", F.floor(F.col("i") / 64).alias("plane"), (F.col("i") % 64).cast("long").alias("cell"), r6(F.col("v").cast("double")).alias("v"))
+
+
+SQL["j2_model_input"] = """
+with p as (
+  select vec_id, m, i % 3 as c, i // 3 % 4 as x, i // 12 as y, trunc(abs(embedding[m * 16 + i + 1])::float * 200::float)::integer as v
+  from embeddings, range(0, 48) r(i), (values (0), (1)) k(m)),
+a as (select k, floor(greatest(0, least(3, (k + 0.5::double) * 0.5::double - 0.5::double)))::int as lo, greatest(0, least(3, (k + 0.5::double) * 0.5::double - 0.5::double)) as pos from range(0, 8) r(k)),
+b as (select k, least(lo, 2) as lo, pos - least(lo, 2) as f from a),
+o as (
+  select p00.vec_id, p00.m * 3 + 2 - p00.c as plane, bv.k * 8 + bx.k as cell,
+    (p00.v * (1 - bx.f) + p10.v * bx.f) * (1 - bv.f) + (p01.v * (1 - bx.f) + p11.v * bx.f) * bv.f as v
+  from b bx, b bv, p p00, p p10, p p01, p p11
+  where p00.x = bx.lo and p00.y = bv.lo
+    and p10.vec_id = p00.vec_id and p10.m = p00.m and p10.c = p00.c and p10.x = bx.lo + 1 and p10.y = bv.lo
+    and p01.vec_id = p00.vec_id and p01.m = p00.m and p01.c = p00.c and p01.x = bx.lo and p01.y = bv.lo + 1
+    and p11.vec_id = p00.vec_id and p11.m = p00.m and p11.c = p00.c and p11.x = bx.lo + 1 and p11.y = bv.lo + 1)
+select vec_id, plane::bigint as plane, cell::bigint as cell, round((round_even(v, 0)::float / 255::float)::double, 6) as v from o"""
+
+
 @plan("j8_resize_sweep")
 def j8(s, d):
     """Mismatching cells of each threshold against the default one, on every grid."""

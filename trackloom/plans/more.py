@@ -13,6 +13,7 @@ from ..operators import gaps as G
 from ..operators import grid as J
 from ..operators import points as P
 from ..operators import quality as Q
+from ..operators import runs as R
 from ..sources import files as S
 from .chain import CHAIN
 from .core import r6, rallies, tables
@@ -24,9 +25,9 @@ SQL: dict[str, str] = {}
 SECOND = """, cand2 as (
   select video_id, frame, case when (video_id + frame) % 41 = 0 then not visible else visible end as visible,
          x + ((frame % 5) - 2) * 0.5::double as x, y + ((frame % 3) - 1) * 0.25::double as y
-  from traj where (video_id + frame) % 37 <> 0 and video_id % 2 = 0
+  from traj where (video_id + frame) % 37 <> 0
   union all select video_id, frame + 100000, visible, x, y from traj where frame = 0 and video_id % 4 = 0),
-ref2 as (select * from traj where video_id % 2 = 0),
+ref2 as (select * from traj),
 comp as (
   select coalesce(r.video_id, c.video_id) as video_id, coalesce(r.frame, c.frame) as frame, r.visible as v, c.visible as w,
          coalesce(r.visible and c.visible, false) as both_visible, r.visible is distinct from c.visible as mismatch,
@@ -55,7 +56,7 @@ def plan(name: str, sql: str | None = None):
 
 
 def second(s, d) -> tuple[DataFrame, DataFrame]:
-    t = tables(s, d)[0].where("video_id % 2 = 0")
+    t = tables(s, d)[0]
     c = t.where("(video_id + frame) % 37 <> 0").select(
         "video_id", "frame", F.when((F.col("video_id") + F.col("frame")) % 41 == 0, ~F.col("visible")).otherwise(F.col("visible")).alias("visible"),
         (F.col("x") + ((F.col("frame") % 5) - 2) * 0.5).alias("x"), (F.col("y") + ((F.col("frame") % 3) - 1) * 0.25).alias("y"),
@@ -202,9 +203,9 @@ def c14(s, d):
     return t.join(v, "video_id").select("video_id", "frame", F.round(F.col("x") / F.col("width"), 9).alias("x"), F.round(F.col("y") / F.col("height"), 9).alias("y"))
 
 
-@plan("f17_trailing_history", ", k as (select *, row_number() over (partition by video_id order by pos) as n from traj where visible), g as (select t.video_id, t.frame, (select max(n) from k where k.video_id = t.video_id and k.pos <= t.pos) as m from traj t where t.video_id < 40) select g.video_id, g.frame, (select coalesce(string_agg(k.frame::varchar, ',' order by k.n desc), '') from k where k.video_id = g.video_id and k.n between g.m - 11 and g.m) as frames from g")
+@plan("f17_trailing_history", ", k as (select video_id, list(frame order by pos) as l from traj where visible group by 1), g as (select video_id, frame, count(*) filter (visible) over (partition by video_id order by pos) as m from traj) select g.video_id, g.frame, coalesce(array_to_string(list_reverse(list_slice(l, greatest(1, m - 11), m)), ','), '') as frames from g left join k on k.video_id = g.video_id")
 def f17(s, d):
-    return Q.trailing_points(tables(s, d)[0].where("video_id < 40"), 12).select("video_id", "frame", F.array_join("frames", ",").alias("frames"))
+    return Q.trailing_points(tables(s, d)[0], 12).select("video_id", "frame", F.array_join("frames", ",").alias("frames"))
 
 
 @plan("f23_sample_ids", TOTALS + ", ids as (select t.video_id, floor(i * ((frame_count - 1)::double / 11))::bigint as id from totals t, range(0, 12) r(i) union select video_id, ((run_start + run_end) // 2)::bigint from (select *, row_number() over (partition by video_id order by length desc, run_start) as k from marked where \"inner\") where k <= 8) select video_id, id from ids")
@@ -255,9 +256,10 @@ def h3(s, d):
     return K.pending(grid, grid.where("(video_id + chunk) % 3 = 0")).select("video_id", "chunk")
 
 
-@plan("k8_rebuild_prefix", READS + "select video_id, frame, max(chunk) as chunk from reads where chunk <= 1 group by 1, 2")
+@plan("k8_rebuild_prefix", READS + ", gone as (select video_id, min(c) as stop from grid where (video_id + c) % 5 = 4 group by 1) select r.video_id, frame, max(chunk) as chunk from reads r left join gone g on g.video_id = r.video_id where stop is null or chunk < stop group by 1, 2")
 def k8(s, d):
-    return K.keep_last(chunked(s, d).where("chunk <= 1")).select("video_id", "frame", "chunk")
+    done = K.chunk_grid(totals(s, d)).where("(video_id + chunk) % 5 <> 4").select("video_id", "chunk")
+    return K.keep_last(K.whole_prefix(chunked(s, d), done)).select("video_id", "frame", "chunk")
 
 
 @plan("f22_build_windows", TOTALS + "select video_id, w as window, least(8, frame_count - w * 4) as valid_length, array_to_string(list_transform(range(w * 4, w * 4 + 8), lambda i: least(i, frame_count - 1)), ',') as frames from totals, lateral (select unnest(range(0, greatest(0, ceil((frame_count - 8) / 4.0::double)::bigint) + 1)) as w) u")
@@ -405,7 +407,7 @@ def m8(s, d):
 @plan("d7_sync_edit_list", EDIT + ", o as (select video_id, rally, position, true as old from edits where rally % 2 = 1), a as (select video_id, rally, 0 as new, -rally as p from o union all select video_id, rally, 1, rally from rallies r where rally % 2 = 0) select video_id, rally, row_number() over (partition by video_id order by new, p) - 1 as position, case when new = 0 then 'old' else '' end as remark from a")
 def d7(s, d):
     old = edits(s, d).where("rally % 2 = 1").withColumn("position", 1000 - F.col("position")).withColumn("remark", F.lit("old"))
-    gone = old.limit(1).withColumn("rally", F.lit(999).cast("long"))
+    gone = old.where("rally = 1").withColumn("rally", F.lit(999).cast("long"))
     return M.sync(old.unionByName(gone), rallies(s, d)).select("video_id", "rally", "position", "remark")
 
 
@@ -589,10 +591,19 @@ def s5(s, d):
 SQL["s5_log_lines"] = "select event_id, round(least(1, (event_id % 130) / 100.0::double), 6) as share, case when event_id % 2 = 1 then 12.5::double end as eta, round(least(0.99::double, event_id / 5000.0::double), 6) as written from events"
 
 
-@plan("c15_media_profile", " select video_id, 'size,rate' as warnings, 'PASS_WITH_WARNING' as verdict from videos")
+MEDIA = """, media as (
+  select *, r + case when video_id % 5 = 0 then 0.5::double else 0 end as nominal, 0.5::double + (video_id % 7) / 4.0::double as realtime from (
+    select *, case when video_id % 3 = 0 then 3840 else 640 end as w, case when video_id % 3 = 0 then 2160 else 720 end as h, case when video_id % 4 < 2 then 60.0::double else fps end as r from videos))
+"""
+
+
+@plan("c15_media_profile", MEDIA + "select video_id, array_to_string(list_filter([case when w <> 3840 or h <> 2160 then 'size' end, case when abs(r - 60) > 0.5::double then 'rate' end, case when abs(r - nominal) >= 0.001::double then 'variable' end], lambda t: t is not null), ',') as warnings, case when realtime < 1 then 'FAIL' when w = 3840 and h = 2160 and abs(r - 60) <= 0.5::double then 'PASS' else 'PASS_WITH_WARNING' end as verdict from media")
 def c15(s, d):
-    w, h, fps = F.col("width"), F.col("height"), F.col("fps")
-    return tables(s, d)[1].select("video_id", F.array_join(T.media_warnings(w, h, fps, fps, F.lit(0.0)), ",").alias("warnings"), T.media_verdict(w, h, fps, F.lit(2.0)).alias("verdict"))
+    v, k = tables(s, d)[1], F.col("video_id")
+    w, h = F.when(k % 3 == 0, 3840).otherwise(F.col("width")), F.when(k % 3 == 0, 2160).otherwise(F.col("height"))
+    fps = F.when(k % 4 < 2, 60.0).otherwise(F.col("fps"))
+    nominal = fps + F.when(k % 5 == 0, 0.5).otherwise(0.0)
+    return v.select("video_id", F.array_join(T.media_warnings(w, h, fps, nominal, F.lit(0.0)), ",").alias("warnings"), T.media_verdict(w, h, fps, 0.5 + k % 7 / 4).alias("verdict"))
 
 
 @plan("a1_probe_video")
@@ -622,9 +633,9 @@ def a11(s, d):
 SQL["a11_frame_timestamps"] = "select event_id, value as ts from events where event_id % 7 <> 0 and value is not null"
 
 
-@plan("e17_throughput", TOTALS + "select video_id, round(frame_count / (frame_count / fps / 2), 6) as rate, round(frame_count / fps / (frame_count / fps / 2), 6) as realtime from totals")
+@plan("e17_throughput", TOTALS + "select video_id, round(frame_count / (1.5::double + video_id % 7), 6) as rate, round(frame_count / fps / (1.5::double + video_id % 7), 6) as realtime from totals")
 def e17(s, d):
-    spent = F.col("duration") / 2
+    spent = 1.5 + F.col("video_id") % 7
     return totals(s, d).select("video_id", r6(F.col("frame_count") / spent).alias("rate"), r6(F.col("duration") / spent).alias("realtime"))
 
 
@@ -634,14 +645,41 @@ def k7(s, d):
     return totals(s, d).select("video_id", r6(F.least(F.lit(1.0), done / F.col("frame_count"))).alias("percent"), r6((F.col("frame_count") - F.least(F.lit(done), F.col("frame_count"))) / (fresh / spent)).alias("eta"))
 
 
-@plan("k4_fingerprint_guard", " select video_id, video_id % 3 <> 0 as same from videos")
+@plan("k4_fingerprint_guard", " select video_id, not (video_id % 3 = 0 or video_id % 4 = 1 or video_id % 5 = 2) as same from videos")
 def k4(s, d):
-    v = tables(s, d)[1]
-    a = F.struct("fps", "width", F.lit(None).cast("string").alias("model"))
-    b = F.struct("fps", F.when(F.col("video_id") % 3 == 0, 1).otherwise(F.col("width")).alias("width"), F.lit(None).cast("string").alias("model"))
+    v, k = tables(s, d)[1], F.col("video_id")
+    model = F.when(k % 2 == 0, F.concat(F.lit("m"), k.cast("string")))  # without a model for every other video
+    a = F.struct(F.col("fps"), F.col("width"), model.alias("model"))
+    b = F.struct((F.col("fps") + F.when(k % 5 == 2, 1).otherwise(0)).alias("fps"), F.when(k % 3 == 0, 1).otherwise(F.col("width")).alias("width"), F.when(k % 4 == 1, "new").otherwise(model).alias("model"))
     return v.select("video_id", K.same_run(a, b).alias("same"))
 
 
+@plan("k5_cancel", GRID + "select video_id, c as chunk, case when c < 2 + video_id % 4 then 'complete' else 'pending' end as state, case when ceil(frame_count / core) <= 2 + video_id % 4 then 'complete' else 'paused' end as status from grid")
+def k5(s, d):
+    """Every video but those that end before is cancelled after some chunks; these stay, the others wait."""
+    grid = K.chunk_grid(totals(s, d)).select("video_id", "chunk")
+    asked = grid.select("video_id").distinct().select("video_id", (2 + F.col("video_id") % 4).alias("chunk"))
+    return R.cancelled(grid, asked)
+
+
+TRUTH = """, truth as (
+  select video_id, rally, start_seconds + (rally % 4) * 0.1::double as s, end_seconds - (rally % 3) * 0.2::double as e, hit_count + rally % 3 as hits from rallies where (video_id + rally) % 9 <> 0),
+pairs as (
+  select t.video_id, t.rally, r.rally as found, abs(t.s - r.start_seconds) as ds, abs(t.e - r.end_seconds) as de, abs(t.hits - r.hit_count) as dh,
+         row_number() over (partition by t.video_id, t.rally order by least(t.e, r.end_seconds) - greatest(t.s, r.start_seconds) desc, r.rally) as k
+  from truth t join rallies r on r.video_id = t.video_id and r.start_seconds < t.e and t.s < r.end_seconds where (r.video_id + r.rally) % 11 <> 0),
+best as (select * from pairs where k = 1),
+n as (select (select count(*) from truth) as t, (select count(*) from rallies where (video_id + rally) % 11 <> 0) as p)
+"""
+
+
+@plan("p10_acceptance", TRUTH + "select count(*)::bigint as matched, round(count(*) / any_value(n.t), 6) as recall, round(count(distinct (video_id, found)) / any_value(n.p), 6) as precision, round(count(*) filter (ds <= 0.3::double and de <= 0.3::double) / count(*), 6) as boundary_share, round(avg((ds + de) / 2), 6) as boundary_error, round(count(*) filter (dh <= 1) / count(*), 6) as hits_share from best, n")
+def p10(s, d):
+    r = rallies(s, d)
+    truth = r.where("(video_id + rally) % 9 <> 0").select("video_id", "rally", (F.col("start_seconds") + F.col("rally") % 4 * 0.1).alias("start_seconds"), (F.col("end_seconds") - F.col("rally") % 3 * 0.2).alias("end_seconds"), (F.col("hit_count") + F.col("rally") % 3).alias("hit_count"))
+    return Q.acceptance(r.where("(video_id + rally) % 11 <> 0"), truth).select("matched", *(r6(c) for c in ("recall", "precision", "boundary_share", "boundary_error", "hits_share")))
+
+
 @plan("k12_restore_state", " select event_id, case event_id % 4 when 0 then 'complete' when 1 then 'paused' when 2 then 'paused' else 'sample_complete' end as state from events")
 def k12(s, d):
     told = F.get(F.array(*map(F.lit, ("complete", "paused", "running", "sample_complete"))), (F.col("event_id") % 4).cast("int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,31 @@ def write_trajectory_csv(trajectory: DataFrame, path: str) -> None:
     rows.sortWithinPartitions("Frame").write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_trajectories_csv(trajectory: DataFrame, root: str) -> None:
+    """Write the trajectory CSV of every video, each in a folder of its own."""
+    rows = trajectory.select("video_id", F.col("frame").alias("Frame"), F.col("visible").cast("int").alias("Visibility"), F.col("x").alias("X"), F.col("y").alias("Y"))
+    rows.repartition("video_id").sortWithinPartitions("video_id", "Frame").write.mode("overwrite").option("header", True).partitionBy("video_id").csv(root)
+
+
+def read_trajectories_csv(spark: SparkSession, root: str) -> DataFrame:
+    """The trajectory CSVs of all videos; a broken row fails the read."""
+    rows = spark.read.schema(T.StructType([*CSV_TRAJECTORY.fields, T.StructField("video_id", T.LongType())])).option("header", True).option("mode", "FAILFAST").csv(root)
+    return rows.select("video_id", F.col("Frame").alias("frame"), (F.col("Visibility") != 0).alias("visible"), F.col("X").alias("x"), F.col("Y").alias("y"))
+
+
+def write_chunks(rows: DataFrame, root: str) -> None:
+    """Write rows of chunks of all videos, a folder for each chunk number."""
+    rows = rows.select("chunk", "video_id", F.col("frame").alias("Frame"), F.col("visible").cast("int").alias("Visibility"), F.col("x").alias("X"), F.col("y").alias("Y"))
+    rows.repartition("chunk", "video_id").sortWithinPartitions("chunk", "video_id", "Frame").write.mode("overwrite").option("header", True).partitionBy("chunk").csv(root)
+
+
+def read_written_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """What write_chunks wrote; a broken row fails the read."""
+    fields = [T.StructField("video_id", T.LongType()), *CSV_TRAJECTORY.fields[:4], T.StructField("chunk", T.LongType())]
+    rows = spark.read.schema(T.StructType(fields)).option("header", True).option("mode", "FAILFAST").csv(root)
+    return rows.select("video_id", "chunk", F.col("Frame").alias("frame"), (F.col("Visibility") != 0).alias("visible"), F.col("X").alias("x"), F.col("Y").alias("y"))
+
+
 def read_quoted_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV by header name, fields in double quotes where they need it."""
     return spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
@@ -57,6 +84,33 @@ def read_raw(spark: SparkSession, path: str, expected: int | None = None) -> Dat
     return files.where(F.when(F.col("length") != expected, F.raise_error(F.concat(F.lit("unexpected length: "), "path"))).otherwise(F.lit(True)).cast("boolean"))
 
 
+def encode_floats(values: Column) -> Column:
+    """Arrays of numbers as raw little-endian 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def encode(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda r: None if r is None else np.asarray(r, "<f4").tobytes())
+
+    return encode(values)
+
+
+def decode_floats(content: Column, count: int) -> Column:
+    """Raw little-endian 32-bit floats as an array; content of another length is an error."""
+
+    @F.pandas_udf("array<float>")
+    def decode(rows: pd.Series) -> pd.Series:
+        def one(raw: bytes | None) -> np.ndarray | None:
+            if raw is None:
+                return None
+            if len(raw) != 4 * count:
+                raise ValueError(f"{len(raw)} bytes, not {4 * count}")
+            return np.frombuffer(raw, "<f4")
+
+        return rows.map(one)
+
+    return decode(content)
+
+
 def is_media(path: Column) -> Column:
     """Whether a path has the extension of a video file."""
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1)).isin(*MEDIA)

@@ -11,6 +11,8 @@ Tables are directories by batch number, written over if a batch runs again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,7 +39,14 @@ def unpublished(rallies: DataFrame, published: DataFrame | None) -> DataFrame:
 
 
 class RallyStream:
-    """A running analysis: prefix and published rallies under one shared folder."""
+    """A running analysis: prefix and published rallies under one shared folder.
+
+    Frames are kept by a bucket of the video, so that a batch reads only the
+    buckets that its videos are in.
+    """
+
+    #: Buckets of videos, and seconds between looks at a wish to stop.
+    buckets, poll_seconds = 64, 0.2
 
     def __init__(self, spark: SparkSession, root: str, videos: DataFrame, p: RallyParameters = DEFAULTS):
         self.spark, self.root, self.videos, self.p = spark, root, videos, p
@@ -52,25 +61,38 @@ class RallyStream:
     def process(self, rows: DataFrame, batch: int, final: bool = False) -> None:
         """Add a chunk (later chunks win a frame), analyse its videos, publish."""
         here = f"{self.root}/frames/batch={batch}"
-        rows.select(*TRAJECTORY.names).withColumn("chunk", F.lit(batch)).write.mode("overwrite").parquet(here)
-        fresh = self.spark.read.parquet(here)
-        before = self._upto("frames", batch)
-        whole = fresh if before is None else before.unionByName(fresh)
-        touched = whole if final else whole.join(fresh.select("video_id").distinct(), "video_id", "left_semi")
+        bucket = F.pmod(F.xxhash64("video_id"), F.lit(self.buckets)).cast("int")
+        rows.select(*TRAJECTORY.names).withColumn("chunk", F.lit(batch)).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(here)
+        schema = "video_id long, frame long, visible boolean, x double, y double, chunk int, bucket int"
+        fresh = self.spark.read.schema(schema).parquet(here)
+        paths = [f"{self.root}/frames/batch={b}" for b in range(batch)]
+        whole = fresh if not paths else self.spark.read.schema(schema).option("basePath", f"{self.root}/frames").parquet(*paths).drop("batch").unionByName(fresh)
+        touched = whole
+        if not final:
+            mine = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most as many as there are buckets
+            touched = whole.where(F.col("bucket").isin(mine)).join(fresh.select("video_id").distinct(), "video_id", "left_semi")
+        touched = touched.drop("bucket")
         order = Window.partitionBy("video_id", "frame").orderBy(F.col("chunk").desc())
         prefix = touched.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "chunk")
         found = unpublished(closed_rallies(prefix, self.videos, final, self.p), self._upto("rallies", batch))
         found.write.mode("overwrite").parquet(f"{self.root}/rallies/batch={batch}")
 
-    def run(self, frames: DataFrame) -> int:
-        """Take all that a streaming DataFrame of frames has now; returns the number of the next batch."""
+    def run(self, frames: DataFrame, cancelled: Callable[[], bool] = lambda: False) -> int:
+        """Take all that a streaming DataFrame of frames has now; returns the number of the next batch.
+
+        ``cancelled`` is asked after every batch; once it says yes the stream
+        stops. Batches that were taken are kept, and the next run goes on behind them.
+        """
         query = (
             frames.writeStream.foreachBatch(lambda rows, batch: self.process(rows, batch))
             .option("checkpointLocation", f"{self.root}/checkpoint")
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
+        while not query.awaitTermination(self.poll_seconds):
+            if cancelled():
+                query.stop()
+                break
         done = query.recentProgress
         return 1 + max((p["batchId"] for p in done if p["numInputRows"]), default=-1)
 
