@@ -31,11 +31,11 @@ def test_query_equals_its_sql(spark, name):
         assert con.sql(f"select {columns} from {a} except all select {columns} from {b}").fetchall() == []
 
 
-def plain_join(docs):
+def plain_join(docs, size=3, percent=90):
     sets = []
     for _, t in docs:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append({tuple(w)} if 0 < len(w) < 3 else set(zip(w, w[1:], w[2:], strict=False)))
+        sets.append({tuple(w)} if 0 < len(w) < size else {tuple(w[k : k + size]) for k in range(len(w) - size + 1)})
     root = list(range(len(docs)))
 
     def find(x):
@@ -45,7 +45,7 @@ def plain_join(docs):
 
     links = Counter()
     for a, b in itertools.combinations(range(len(docs)), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             links[a] += 1
             links[b] += 1
             root[find(a)] = find(b)
@@ -314,10 +314,35 @@ def test_pipeline_stages(spark):
     counts = [x.count() for x in kept]
     assert counts[0] >= counts[1] > counts[2] == counts[3] > 0 and counts[4] == counts[5]
     # one document of each group, and every group has one
-    groups = plain_join([(r.doc_id, r.text) for r in kept[1].collect()])
+    groups = plain_join([(r.doc_id, r.text) for r in kept[1].collect()], size=5, percent=80)
     assert {r.doc_id for r in kept[2].collect()} == {g for _, g, _ in groups.values()}
     # no pattern secret is left
     assert not [r for r in kept[3].collect() if re.search(r"(?i)token = \"[0-9a-f]{40}", r.text)]
     assert kept[4].select("doc_id").distinct().count() <= counts[3]
     got = pipeline.run(spark, DATA)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, kept[5].collect()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, make_docs, odd_rows):
+    """Every stage on nulls, repeated ids with other texts, no rows, and clashing columns; decisions go by row."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    key = "0123456789abcdef01234567"
+    rows = [*odd_rows, (9, f"token = {key} and plain words of this text", "en", "a"), (9, "quite another text with no such thing in it at all", "en", "b")]
+    rows += [(None, f"token = {key[::-1]} here and there", "en", "a"), (None, "nothing to hide in this one either", None, None), (10, rows[0][1], "en", "b")]
+    docs = make_docs(rows)
+    named = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    every = Counter((r[0], r[1]) for r in rows)
+    accepted = pipeline.quality(spark, docs, DATA)
+    assert accepted.columns == docs.columns and not named(accepted) - every
+    kept = named(pipeline.near_copies(spark, docs, DATA))
+    assert kept == Counter({k: 1 for k in every if k not in ((6, rows[5][1]), (10, rows[0][1]))})
+    clean = pipeline.secrets(spark, docs, DATA)
+    assert clean.columns == docs.columns
+    texts = named(clean)
+    assert texts[9, "[secret] and plain words of this text"] == texts[None, "[secret] here and there"] == texts[9, rows[-4][1]] == texts[2, None] == 1 and texts.total() == len(rows)
+    stream = pipeline.mixture(spark, docs, DATA)
+    assert stream.columns == docs.columns and {r for r, n in named(stream).items()} <= {r for r in every if r[1] and r[1].strip()}
+    told = pipeline.encoding(spark, docs, DATA).collect()
+    assert len(told) == len(rows) and {r.n_tokens for r in told if r.doc_id in (2, 3, 4)} == {0}
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).collect() == [], name
