@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PACK_BYTES, Scratch, Words, bounded_batches, connected_components, deltas, hashes, mix, pack, shards_for, shingles, text_slices, unpack
+from .common import PACK_BYTES, Scratch, Words, bounded_batches, connected_components, deltas, hashes, mix, pack, release, shards_for, shingles, text_slices, unpack
 
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT, SHINGLE = 90, 3
 #: N-grams that one shard of the frequency exchange holds at least, and that one
 #: task of the join holds of each side at most; larger groups are joined in blocks.
-SHARD_ITEMS, BLOCK_ITEMS = 4_000_000, 2_000_000
+SHARD_ITEMS, BLOCK_ITEMS = 4_000_000, 1_000_000
 #: Equal texts of over this part of all are joined to their results by broadcast: there are at most so many.
 HEAVY_CLASSES = 200
 
@@ -109,6 +109,8 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, keys, _ in sent:
             blobs.append(pack(capped[place[at : at + len(keys)]]))
             at += len(keys)
+        del uniq, place, total, capped
+        release()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard] * len(sent), pa.int32()), "batch_id": pa.array([w for w, _, _ in sent], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -145,6 +147,8 @@ def choose(bits: int, size: int, percent: int):
                             seen.add(digest)
                     for name, value in zip(kinds.names, (doc_id, n, digest, blob, prefix), strict=True):
                         out[name].append(value)
+                del sets, keys, df, codes
+                release()
                 yield pa.RecordBatch.from_pydict(out, schema=kinds)
 
     return run
@@ -281,6 +285,8 @@ def block_links(percent: int):
                         root[max(x, y)] = min(x, y)
         tops = [find(x) for x in range(len(vertex))]
         keep = [x for x in range(len(vertex)) if tops[x] != x or links[x]]
+        del sets, often, parts
+        release()
         return pa.table([pa.array(vertex[keep]), pa.array(vertex[[tops[x] for x in keep]]), pa.array(links[keep])], schema=kinds)
 
     return run
