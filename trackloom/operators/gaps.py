@@ -12,6 +12,7 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..params import DEFAULTS, RallyParameters
 
+
 def by_frame() -> WindowSpec:
     """A video in order of frames."""
     return Window.partitionBy("video_id").orderBy("frame")
@@ -22,7 +23,6 @@ def by_pos() -> WindowSpec:
     return Window.partitionBy("video_id").orderBy("pos")
 
 
-
 def diagonal() -> Column:
     return F.hypot(F.col("width").cast("double"), F.col("height").cast("double"))
 
@@ -56,7 +56,7 @@ def hidden_runs(trajectory: DataFrame) -> DataFrame:
 
 def run_length_of_rows(trajectory: DataFrame) -> DataFrame:
     """Each row with the length of the invisible run that it is in, 0 for visible rows."""
-    rows = positions(trajectory).withColumn("island", F.col("pos") - F.sum(F.col("visible").cast("int")).over(by_pos()) * 0 - F.row_number().over(Window.partitionBy("video_id", "visible").orderBy("pos")))
+    rows = positions(trajectory).withColumn("island", F.col("pos") - F.row_number().over(Window.partitionBy("video_id", "visible").orderBy("pos")))
     size = F.count("*").over(Window.partitionBy("video_id", "visible", "island"))
     return rows.select("video_id", "frame", F.when(F.col("visible"), 0).otherwise(size).cast("long").alias("gap_length"))
 

@@ -83,8 +83,17 @@ def axis_turns(values: Column, window: Column, prominence: Column) -> Column:
 def greedy_merge(events: Column, gap: Column, kind: str) -> Column:
     """Fold of sorted events: one nearer than ``gap`` to the last kept replaces it if stronger.
 
-    The replacement moves the place that later events are measured from.
+    The replacement moves the place that later events are measured from. An
+    event that far behind the one before it is kept whatever came before, so the
+    fold runs apart on each stretch between such events, and is linear but for
+    the length of a stretch.
     """
+    n = F.size(events)
+    at = lambda i: F.get(events, i)["at"]
+    places = F.sequence(F.lit(0), n - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (at(i) - at(i - 1) >= gap))
+    ends = F.filter(places, lambda i: (i == n - 1) | (at(i + 1) - at(i) >= gap))
+    stretches = F.zip_with(starts, ends, lambda i, j: F.slice(events, i + 1, j - i + 1))
 
     def step(kept: Column, e: Column) -> Column:
         last = F.element_at(kept, -1)
@@ -92,7 +101,8 @@ def greedy_merge(events: Column, gap: Column, kind: str) -> Column:
         stronger = F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(e))
         return F.when(apart, F.concat(kept, F.array(e))).when(e["strength"] > last["strength"], stronger).otherwise(kept)
 
-    return F.aggregate(events, F.array().cast(kind), step)
+    none = F.array().cast(kind)
+    return F.when(n > 0, F.flatten(F.transform(stretches, lambda s: F.aggregate(s, none, step)))).otherwise(none)
 
 
 def segment_signals(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
