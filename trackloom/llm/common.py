@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,15 +39,21 @@ MASK64 = (1 << 64) - 1
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes, so that long texts cannot fill a worker."""
+    """Bound Arrow batches by bytes, so that long texts cannot fill a worker.
+
+    Plans read the setting when they run, so it stays with the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset and driver and executors are one process, a new one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="trackloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base
