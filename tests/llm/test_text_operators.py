@@ -220,7 +220,7 @@ def test_bpe_equals_the_tokenizers_library(spark, make_docs, odd_rows):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    theirs = Tokenizer.from_file(path)
+    theirs, source = Tokenizer.from_file(path), open(path, "rb").read()
     rng = random.Random(4)
     pieces = ["a", "Hello", " ", "\n", "'s", "'RE", "<|endoftext|>", "<|startoftext|>", "é", "é", "Σας", "İ", "½", "12", "\x1c", "\x85", "日本", "😀", "!!", "　"]
     rows = [(k, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))) for k in range(300)] + [(1000 + k, r[1]) for k, r in enumerate(odd_rows)]
@@ -228,6 +228,7 @@ def test_bpe_equals_the_tokenizers_library(spark, make_docs, odd_rows):
     assert len(got) == len(rows)
     for d, t in rows:
         ids = theirs.encode(t or "", add_special_tokens=False).ids
+        assert bpe.load(source).n_ids(t or "") == len(ids)
         assert bytes(got[d].ids) == struct.pack(f"<{len(ids)}I", *ids) and got[d].decoded == theirs.decode(ids, skip_special_tokens=False)
     told = bpe.digests(bpe.bpe_encode(make_docs([(1, None)]), path)).first()
     assert told.n_tokens == 0 and told.ids_sha256 == told.decoded_sha256 == hashlib.sha256(b"").hexdigest()

@@ -78,6 +78,7 @@ class Bpe:
         self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
         self.bytes = byte_symbols()
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.lengths: dict[str, int] = {}
         self.mark = os.path.commonprefix(list(self.added))
         self.split_added = regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.spaces = regex.compile(f"[{_SPACE}]+")
@@ -153,7 +154,19 @@ class Bpe:
 
     def n_ids(self, text: str) -> int:
         """How many ids a text has."""
-        return len(self.encode(text)[0]) // 4
+        if self.split_added and self.mark in text:
+            return len(self.encode(text)[0]) // 4
+        lengths, total = self.lengths, 0
+        for piece in self.pieces.findall(self.normalise(text)):
+            n = lengths.get(piece)
+            if n is None:
+                n = len(self.piece(piece))
+                if len(piece) <= CACHE_CHARS:
+                    if len(lengths) >= CACHE_PIECES:
+                        lengths.clear()
+                    lengths[piece] = n
+            total += n
+        return total
 
     def decode(self, ids: bytes) -> str:
         """Decode packed ids."""

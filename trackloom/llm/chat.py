@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .common import Scratch, bounded_batches
+from .common import bounded_batches
 
 #: Tokens of a window, of which at most so many are repeated turns, and so many a repeated system turn.
 BUDGET, HISTORY, PINNED = 512, 128, 128
@@ -244,5 +244,5 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(more)
     import public_tokenizers
 
-    windows = Scratch(spark, "chat").write(format_windows(every, vocabulary=public_tokenizers.path("word_bpe_49k.json")), "windows")
+    windows = format_windows(every, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
     return in_order(windows).mapInArrow(read_windows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long")
