@@ -249,6 +249,7 @@ def test_segments_that_do_not_fit_are_told(spark):
 def test_top_k_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK_BYTES", 24 * 8 * 7)  # blocks of 7
     monkeypatch.setattr(topk, "TILE_ROWS", 64)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.3, (600, 24)).astype(np.float32)
     x[100:130] = x[7]  # ties

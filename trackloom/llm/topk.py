@@ -24,7 +24,9 @@ from .common import Scratch, bounded_batches
 #: Coarse to fine: share of a vector taken as it is, and segments of the rest.
 LEVELS = ((0.0, 4), (0.0, 16), (0.5, 8), (0.75, 4))
 #: Bytes of a block of vectors as doubles, and sides of a tile.
-BLOCK_BYTES, TILE_QUERIES, TILE_ROWS = 16 << 20, 256, 2048
+BLOCK_BYTES, TILE_QUERIES, TILE_ROWS = 16 << 20, 256, 512
+#: Vectors that a block has at least where more blocks would only give more tasks.
+BLOCK_ROWS = 4096
 #: Share of a tile's pairs up to which survivors are worked out one by one.
 FEW = 0.25
 SCALE = 256
@@ -175,7 +177,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scratch: Scratch | N
     block = max(1, BLOCK_BYTES // (8 * dim))
     columns = max(1, -(-size["queries"] // block))
     # as many blocks of vectors as their size asks for, or as give every task of a shuffle one
-    rows = max(1, -(-size["n"] // block), min(int(spark.conf.get("spark.sql.shuffle.partitions")) // columns, size["n"] // TILE_ROWS))
+    rows = max(1, -(-size["n"] // block), min(int(spark.conf.get("spark.sql.shuffle.partitions")) // columns, size["n"] // BLOCK_ROWS))
     place = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.select("vec_id", "embedding", place(1, columns).alias("column"), every(rows).alias("row"))
