@@ -47,7 +47,9 @@ def plain_katz(docs, train, order):
     cut = lambda d, c: (d[c] if c <= 5 else 1.0) * c
     left = total - sum(cut(d1, c) for c in uni.values())
     whole = total if left > 0 else total + 1
-    unknown = (left if left > 0 else 1.0) / whole
+    once, twice = (sum(c == r for c in uni.values()) for r in (1, 2))
+    unseen = max(1, once * (once - 1) / (2 * (twice + 1)))
+    unknown = (left if left > 0 else 1.0) / whole / unseen
     d = {n: katz.good_turing([0] + [sum(c == r for h in grams[n].values() for c in h.values()) for r in range(1, 7)]) for n in grams}
 
     def p(h, w):
@@ -66,7 +68,7 @@ def plain_katz(docs, train, order):
         padded = [end] * (order - 1) + s
         score[i] = sum(math.log10(p(tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(s))
     base = {i: (sum(math.log10((uni[w] + 0.5) / (total + 0.5 * (len(uni) + 1))) for w in s), sum(w in uni for w in s)) for i, s in seqs.items()}
-    return score, base, total, p, list(uni), seqs, grams
+    return score, base, total, p, list(uni), seqs, grams, unseen
 
 
 @pytest.mark.parametrize("order", [2, 3])
@@ -75,7 +77,7 @@ def test_katz_equals_a_dictionary_version_and_is_normalised(spark, make_docs, mo
     monkeypatch.setattr(ngrams, "PART_GRAMS", 60)
     docs = random_docs(120)
     train = lambda d: zlib.crc32(str(d).encode()) % 5 != 1
-    score, base, total, p, vocab, seqs, grams = plain_katz(docs, train, order)
+    score, base, total, p, vocab, seqs, grams, unseen = plain_katz(docs, train, order)
     got = {r.doc_id: r for r in katz.katz_scores(make_docs(docs), held_out() != 1, order=order).collect()}
     assert len(got) == len(docs)
     for d, _ in docs:
@@ -83,17 +85,21 @@ def test_katz_equals_a_dictionary_version_and_is_normalised(spark, make_docs, mo
         assert got[d].score == pytest.approx(score[d], rel=1e-6) and got[d].n_tokens == len(seqs[d]) and got[d].held_out == (not train(d))
         assert got[d].base_score == pytest.approx(base[d][0], rel=1e-9) and got[d].n_known == base[d][1] and got[d].train_tokens == total
     for h in [*list(grams[order])[:20], ("never", "seen")[: order - 1]]:
-        assert sum(p(h, w) for w in [*vocab, "unknown word"]) == pytest.approx(1)
+        assert sum(p(h, w) for w in vocab) + unseen * p(h, "unknown word") == pytest.approx(1)
 
 
-def test_katz_keeps_its_counts_as_a_table(spark, make_docs):
+def test_katz_keeps_its_counts_as_a_table(spark, make_docs, monkeypatch):
+    """Every triple is in one shard; those of frequent homes are in several."""
+    monkeypatch.setattr(katz.Katz, "shard_tokens", 200)
     scratch = Scratch(spark, "test-katz")
     docs = random_docs(60)
     katz.katz_scores(make_docs(docs), F.lit(True), scratch).collect()
     stored = spark.read.parquet(f"{scratch.root}/sums").where("kind = 'model'").collect()
-    *_, grams = plain_katz(docs, lambda d: True, 3)
+    *_, grams, _ = plain_katz(docs, lambda d: True, 3)
     assert sum(int(unpack_small(bytes(r.blob))[5].sum()) for r in stored) == sum(sum(c.values()) for c in grams[3].values())
     assert sum(len(unpack_small(bytes(r.blob))[5]) for r in stored) == sum(map(len, grams[3].values()))
+    homes = Counter(key for r in stored for key in np.cumsum(unpack_small(bytes(r.blob))[0], dtype=np.uint64).tolist())
+    assert len({r.shard for r in stored}) > 3 and sum(n > 1 for n in homes.values()) >= 2
 
 
 def test_katz_odd_rows(spark, make_docs, odd_rows):

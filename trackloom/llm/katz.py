@@ -45,24 +45,32 @@ def count_of_counts(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(counts, TRUSTED + 2).astype(np.int64), minlength=TRUSTED + 3)[1 : TRUSTED + 2].astype(float)
 
 
+def unseen_words(n: np.ndarray) -> float:
+    """How many words are likely not seen, from how many are seen once and twice (Chao); one at least."""
+    return max(1.0, float(n[0] * (n[0] - 1) / (2 * (n[1] + 1))))
+
+
 def discounted(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Counts after the discounts that the counts of counts give."""
     d = good_turing([0, *n.astype(np.int64).tolist()])
     return np.where(counts <= TRUSTED, d[np.minimum(counts, TRUSTED).astype(np.int64)], 1.0) * counts
 
 
-def backed_off(counts: np.ndarray, kept: np.ndarray, below: np.ndarray, context: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def backed_off(counts: np.ndarray, kept: np.ndarray, below: np.ndarray, context: np.ndarray, size: int, known: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Probabilities of n-grams after their contexts, and each context's backoff weight.
 
     ``below`` is the probability one order below. A context whose successors are
     all trusted sets one more event aside, so that it has something to back off
-    with; a context never seen hands everything down.
+    with; a context never seen hands everything down. ``known`` has contexts
+    whose n-grams are elsewhere too, with their whole sums.
     """
-    total = group_sum(context, size, counts)
+    total, held = group_sum(context, size, counts), group_sum(context, size, kept)
     rare = group_sum(context, size, (counts > 0) & (counts <= TRUSTED)) > 0
-    whole = np.maximum(total + ~rare, 1.0)
     lower = group_sum(context, size, np.where(counts > 0, below, 0.0))
-    weight = np.where(total > 0, (1 - group_sum(context, size, kept) / whole) / (1 - lower), 1.0)
+    if known:
+        at, total[at], held[at], rare[at], lower[at] = known[0], *known[1:]
+    whole = np.maximum(total + ~rare, 1.0)
+    weight = np.where(total > 0, (1 - held / whole) / (1 - lower), 1.0)
     return np.where(counts > 0, kept / whole[context], weight[context] * below), weight
 
 
@@ -78,28 +86,45 @@ class Katz(Model):
             raise ValueError("the order is 2 or 3")
         self.order = order
 
-    def pairs(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
-        return group_sum(shard.gram_pair, len(shard.pair_home), counts)
+    #: Of a frequent home: pairs seen 1 to TRUSTED + 1 times, tokens of those seen more often than
+    #: TRUSTED, pairs whose word is seen 1 to TRUSTED times, and tokens of the words of the others.
+    hot_width, pairs_meet = 2 * TRUSTED + 3, True
 
     def word_values(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
         return group_sum(shard.pair_word, len(shard.words), self.pairs(shard, counts))
 
     def shard_stats(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
-        return np.concatenate([count_of_counts(self.pairs(shard, counts)), count_of_counts(counts)])
+        return np.concatenate([count_of_counts(self.pairs(shard, counts)[shard.hot[shard.pair_home] < 0]), count_of_counts(counts)])
 
     def word_stats(self, totals: np.ndarray) -> np.ndarray:
         return np.concatenate([[np.count_nonzero(totals), totals.sum()], count_of_counts(totals)])
 
-    def values(self, shard: Shard, counts: np.ndarray, words: np.ndarray, stats: np.ndarray, word_stats: np.ndarray) -> np.ndarray:
+    def met_hot(self, home: np.ndarray, pairs: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+        seen = pairs > 0
+        home, pairs, words = home[seen], pairs[seen], words[seen]
+        of = [pairs == r for r in range(1, TRUSTED + 2)] + [np.where(pairs > TRUSTED, pairs, 0)]
+        of += [words == r for r in range(1, TRUSTED + 1)] + [np.where(words > TRUSTED, words, 0)]
+        return np.stack([group_sum(home, n, x) for x in of], 1)
+
+    def values(self, shard: Shard, counts: np.ndarray, pairs: np.ndarray, words: np.ndarray, stats: np.ndarray, word_stats: np.ndarray, hot: np.ndarray) -> np.ndarray:
         distinct, total, n = word_stats[0], word_stats[1], word_stats[2:]
         r = np.arange(1, TRUSTED + 1)
-        left = float((n[:TRUSTED] * (r - discounted(r, n))).sum())
+        rare_kept = discounted(r, n)
+        left = float((n[:TRUSTED] * (r - rare_kept)).sum())
         whole = total
         if left <= 0:  # no rare word to take from: one more event is the unknown word
             left, whole = 1.0, total + 1.0
-        below = np.where(words > 0, discounted(words, n) / whole, left / whole)[shard.pair_word]
-        two = self.pairs(shard, counts)
-        p, self.weights = backed_off(two, discounted(two, stats[: TRUSTED + 1]), below, shard.pair_home, len(shard.homes))
+        # the unseen mass is shared by as many words as are likely not seen
+        unknown = left / whole / unseen_words(n)
+        below = np.where(words > 0, discounted(words, n) / whole, unknown)[shard.pair_word]
+        n_pairs = stats[: TRUSTED + 1] + hot[:, : TRUSTED + 1].sum(0)
+        at = np.flatnonzero(shard.hot >= 0)
+        known = None
+        if len(at):
+            of = hot[shard.hot[at]]
+            few, many, low, high = of[:, :TRUSTED], of[:, TRUSTED + 1], of[:, TRUSTED + 2 : 2 * TRUSTED + 2], of[:, -1]
+            known = at, few @ r + many, few @ discounted(r, n_pairs) + many, few.sum(1) > 0, (low @ rare_kept + high) / whole
+        p, self.weights = backed_off(pairs, discounted(pairs, n_pairs), below, shard.pair_home, len(shard.homes), known)
         if self.order == 3:
             p, self.context_weights = backed_off(counts, discounted(counts, stats[TRUSTED + 1 :]), p[shard.gram_pair], shard.gram_context, int(shard.gram_context.max(initial=-1)) + 1)
         seen = words[shard.pair_word][shard.gram_pair]
@@ -124,8 +149,8 @@ def katz_scores(docs: DataFrame, train: Column, scratch: Scratch | None = None,
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and
     score (log10 probability of the tokens, the end included). Before the first
-    word stand ends. Words unknown to training are one class that has the
-    Good-Turing mass of unseen words. Two words are one where the first 36 or
+    word stand ends. Words unknown to training share the Good-Turing mass of
+    unseen words evenly, as many as are likely not seen. Two words are one where the first 36 or
     more bits of their hashes agree; the bits grow with the corpus.
 
     Null text: empty, one END token. Null doc_id: kept, null. Repeated rows:

@@ -2,10 +2,12 @@
 
 Every slice of texts is turned into its distinct n-grams with the texts that
 hold them, sorted by hash and packed, one message for each shard; an n-gram's
-shard is that of its middle word for triples and of its first word for pairs.
+shard is that of its home, the middle word of triples and the first of pairs.
 A shard so has all that the contexts around that word need: totals, discounted
 mass, backoff weights. What belongs to the last word alone, over all shards, is
 added up in a second, smaller exchange, which also sums the counts of counts.
+N-grams of frequent homes are dealt over several shards by their other end; what
+these need of each other comes back by the same exchange.
 With these each shard gives every n-gram its probability and adds logarithms up
 for each text; a text's sums meet at last. Texts and tokens travel once, and
 nothing that grows with the corpus comes to the driver or is broadcast.
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import MASK64, Scratch, Words, bounded_batches, deltas, hashes, mix, pack, pack_small, release, text_slices, unpack, unpack_small
 
-#: N-grams of one part of a shard.
-PART_GRAMS = 300_000
+#: N-grams of one part of a shard; share of a step's tokens from which a word is looked at as a home of many.
+PART_GRAMS, SHARE = 300_000, 2000
 #: The hash of the end of a text, which also stands before its first word.
 END = int(hashes([b""])[0])
 
@@ -53,14 +55,31 @@ def _changes(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: np.ndarray, order: int, shards: int) -> Iterator[tuple[int, bytes]]:
+class Hot:
+    """Frequent homes, by rising key, and over how many shards each is dealt."""
+
+    def __init__(self, keys: np.ndarray = (), parts: np.ndarray = ()):
+        order = np.argsort(np.asarray(keys, np.uint64))
+        self.keys, self.parts = np.asarray(keys, np.uint64)[order], np.asarray(parts, np.uint64)[order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key among the frequent ones, -1 for others."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1).astype(np.int32)
+
+
+def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: np.ndarray, order: int, shards: int, hot: Hot | None = None) -> Iterator[tuple[int, bytes]]:
     """Messages (shard, blob) with the n-grams of texts given as codes into word hashes.
 
     ``keys`` holds the distinct hashes, that of END last; ``lens`` counts each
     text's tokens, its END included; ``folds`` is a small number for each text.
     """
-    shard_of = (mix(keys) % np.uint64(shards)).astype(np.int64)
-    rank_order = np.lexsort((keys, shard_of))
+    rank_order = np.argsort(keys)
     rank = np.empty(len(keys), np.int64)
     rank[rank_order] = np.arange(len(keys))
     size = np.uint64(len(keys))
@@ -72,7 +91,14 @@ def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: n
         past[1:] = back[-1][:-1]
         past[begin] = end
         back.append(past)
-    home = back[1] if order > 1 else word
+    home, hash_of = back[1] if order > 1 else word, keys[rank_order]
+    shard = (mix(hash_of) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.uint32)[home]
+    frequent = (hot or Hot()).find(hash_of)
+    if (frequent >= 0).any():
+        at = np.flatnonzero(frequent[home] >= 0)
+        other = hash_of[back[2][at] if order == 3 else word[at]]
+        part = mix(other + np.uint64(1)) % hot.parts[frequent[home[at]]]
+        shard[at] = mix(hash_of[home[at]] + part * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(shards)
     pair = home * size + word
     if order == 3:
         if len(keys) >= 1 << 21:
@@ -80,6 +106,7 @@ def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: n
         pair *= size
         pair += back[2]
     by = np.argsort(pair, kind="stable")
+    by = by[np.argsort(shard[by], kind="stable")]
     gram = _changes(pair[by])
     del pair
     doc = np.repeat(np.arange(len(lens), dtype=np.uint32), lens)[by]
@@ -91,11 +118,10 @@ def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: n
     held = np.diff(np.append(np.searchsorted(entry, first), len(entry)))
     first = by[first]
     del by, entry
-    word, home, third = word[first], home[first], back[-1][first]
+    word, home, third, shard = word[first], home[first], back[-1][first], shard[first]
     del back, first
-    edges = np.searchsorted(shard_of[rank_order][home], np.arange(shards + 1))
+    edges = np.searchsorted(shard, np.arange(shards + 1))
     at = np.append(0, np.cumsum(held))
-    hash_of = keys[rank_order]
     for s in range(shards):
         lo, hi = edges[s], edges[s + 1]
         if lo == hi:
@@ -117,11 +143,7 @@ def gram_messages(keys: np.ndarray, code: np.ndarray, lens: np.ndarray, folds: n
 def _coded(ranks: np.ndarray, hash_of: np.ndarray) -> list[np.ndarray]:
     """A dictionary of the hashes, sorted, and each rank's place in it."""
     uniq, place = np.unique(ranks, return_inverse=True)
-    # hashes of one shard rise with their ranks, those of several do not
-    by = np.argsort(hash_of[uniq])
-    place = np.argsort(by)[place]
-    uniq = hash_of[uniq[by]]
-    return [deltas(uniq), place]
+    return [deltas(hash_of[uniq]), place]
 
 
 def _small(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +154,8 @@ def _small(found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray
 class Messages:
     """A shard's messages, unpacked; they are worked on in parts, ranges of home hashes of about PART_GRAMS n-grams."""
 
-    def __init__(self, messages: list[tuple[int, bytes]], order: int):
-        self.items, self.order = [], order
+    def __init__(self, messages: list[tuple[int, bytes]], order: int, hot: Hot):
+        self.items, self.order, self.hot = [], order, hot
         for who, blob in messages:
             held, doc, times, folds, *rest = unpack_small(blob)
             thirds, third_at, third_of = np.ones(0, np.uint8), None, None
@@ -163,7 +185,7 @@ class Messages:
             gram = np.append(0, np.cumsum(thirds, dtype=np.int64))[pair] if self.order == 3 else pair
             cuts.append((at, pair, gram, np.append(0, np.cumsum(held, dtype=np.int64))[gram]))
         for k in range(len(edges) + 1):
-            yield Shard(list(self._cut(k, cuts)), self.order)
+            yield Shard(list(self._cut(k, cuts)), self.order, self.hot)
 
     def _cut(self, k: int, cuts: list) -> Iterator[tuple]:
         for (who, held, doc, times, folds, thirds, third_of, third_at, home, homes, word_of, word_at), cut in zip(self.items, cuts, strict=True):
@@ -185,7 +207,7 @@ class Shard:
     home, word. ``gram`` gives each message entry its distinct n-gram.
     """
 
-    def __init__(self, parts: list[tuple], order: int):
+    def __init__(self, parts: list[tuple], order: int, hot: Hot):
         self.batches = [p[3] for p in parts]
         sizes = [len(p[0]) for p in parts]
         thirds_all = [p[2] for p in parts] if order == 3 else []
@@ -195,6 +217,8 @@ class Shard:
         pair_key, gram = _small(np.unique(home * np.int64(len(self.words)) + word, return_inverse=True))
         del home, word
         self.pair_home, self.pair_word = (pair_key // len(self.words)).astype(np.int32), (pair_key % len(self.words)).astype(np.int32)
+        #: Place of each home among the frequent ones, or -1.
+        self.hot = hot.find(self.homes)
         self.gram_pair = np.arange(len(pair_key), dtype=np.int32)
         if order == 3:
             thirds, third = _small(np.unique(np.concatenate(thirds_all), return_inverse=True))
@@ -242,12 +266,20 @@ class Model:
     """What a smoothing method needs of a shard, and gives; see katz.Katz and perplexity.KneserNey.
 
     ``order``: words of an n-gram. ``folds``: for each model the fold that it
-    counts. ``word_values(shard, counts)``: what each word of the shard adds to
-    its total. ``shard_stats(shard, counts)`` and ``word_stats(totals)``: vectors
-    that are summed over all shards. ``values(shard, counts, word_totals,
-    shard_stats, word_stats)``: (columns, n-grams), to be summed for each text.
+    counts. ``pairs(shard, counts)``: counts of pairs. ``word_values(shard,
+    counts)``: what each word of the shard adds to its total. ``shard_stats(shard,
+    counts)`` and ``word_stats(totals)``: vectors that are summed over all shards.
+
+    Frequent homes: their statistics are vectors of ``hot_width`` numbers, summed
+    from ``shard_hot(shard, counts)`` where a pair is in one shard, or, where
+    ``pairs_meet``, from ``met_hot(home, pairs, words, n)`` once the counts of each
+    of their pairs have met, together with the total of its last word.
+
+    ``values(shard, counts, pairs, words, stats, word_stats, hot)``: (columns,
+    n-grams), to be summed for each text; ``pairs`` are whole counts.
     """
 
+    hot_width, pairs_meet = 1, False
     order = 2
     #: Bytes of text whose n-grams are counted together, and tokens of a shard at least.
     step_bytes, shard_tokens = 16 << 20, 8_000_000
@@ -277,7 +309,16 @@ class Model:
     def word_stats(self, totals: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
-    def values(self, shard: Shard, counts: np.ndarray, words: np.ndarray, stats: np.ndarray, word_stats: np.ndarray) -> np.ndarray:
+    def pairs(self, shard: Shard, counts: np.ndarray) -> np.ndarray:
+        return group_sum(shard.gram_pair, len(shard.pair_home), counts)
+
+    def shard_hot(self, shard: Shard, counts: np.ndarray, n: int) -> np.ndarray:
+        return np.zeros((n, self.hot_width))
+
+    def met_hot(self, home: np.ndarray, pairs: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
+        return np.zeros((n, self.hot_width))
+
+    def values(self, shard: Shard, counts: np.ndarray, pairs: np.ndarray, words: np.ndarray, stats: np.ndarray, word_stats: np.ndarray, hot: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
     def of_fold(self, fold: int) -> int:
@@ -287,7 +328,7 @@ class Model:
         return None
 
 
-def _send(model: Model, bits: int, labels: np.ndarray):
+def _send(model: Model, bits: int, labels: np.ndarray, hot: Hot):
     """Map: messages with the n-grams of every slice, and one with its texts' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +370,7 @@ def _send(model: Model, bits: int, labels: np.ndarray):
                     with pa.ipc.new_stream(told, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                         out.write_table(table)
                     rows = [("docs", labels[who % shards], told.getvalue().to_pybytes())]
-                    rows += [("grams", labels[s], blob) for s, blob in gram_messages(uniq[order], code[mine], lens[docs], folds[docs], model.order, shards)]
+                    rows += [("grams", labels[s], blob) for s, blob in gram_messages(uniq[order], code[mine], lens[docs], folds[docs], model.order, shards, hot)]
                     n = len(rows)
                     yield pa.RecordBatch.from_pydict(
                         {"kind": [r[0] for r in rows], "shard": [r[1] for r in rows], "batch_id": [who] * n, "grp": [names[g]] * n, "blob": [r[2] for r in rows]}, schema=_MESSAGE
@@ -350,8 +391,28 @@ def _dest(words: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return labels[(mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(len(labels))).astype(np.int64)]
 
 
-def _tally(model: Model, labels: np.ndarray):
-    """Group map over a shard: what its words add to their totals, for each word's shard."""
+class Stats:
+    """Sums over all shards, one row for each model: of words, of shards, and of frequent homes."""
+
+    def __init__(self, words: np.ndarray, shards: np.ndarray, hot: np.ndarray):
+        self.words, self.shards, self.hot = words, shards, hot
+
+    def pack(self) -> bytes:
+        return np.concatenate([[self.words.shape[1], self.shards.shape[1]], self.words.ravel(), self.shards.ravel(), self.hot.ravel()]).tobytes()
+
+    @classmethod
+    def unpack(cls, blob: bytes, model: Model, n_hot: int) -> Stats:
+        x, m = np.frombuffer(blob), len(model.folds)
+        w, s = int(x[0]) * m, int(x[1]) * m
+        return cls(x[2 : 2 + w].reshape(m, -1), x[2 + w : 2 + w + s].reshape(m, -1), x[2 + w + s :].reshape(m, n_hot, model.hot_width))
+
+    def plus(self, other: Stats) -> Stats:
+        add = lambda a, b: a + b if a.size and b.size else a if a.size else b
+        return Stats(add(self.words, other.words), add(self.shards, other.shards), self.hot + other.hot)
+
+
+def _tally(model: Model, labels: np.ndarray, hot: Hot):
+    """Group map over a shard: what its words, and pairs of frequent homes, add to their totals, for each word's shard."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.filter(pa.compute.equal(table["kind"], "grams"))
@@ -359,61 +420,83 @@ def _tally(model: Model, labels: np.ndarray):
         groups = _by_group(table, "batch_id", "blob")
         for grp in list(groups):
             here = table["shard"][0].as_py()
-            held = Messages(sorted(groups.pop(grp)), model.order)
-            values, stats = np.zeros((len(model.folds), len(held.words)), np.int64), np.zeros(1)
+            held = Messages(sorted(groups.pop(grp)), model.order, hot)
+            m, n = len(model.folds), len(hot)
+            values, stats = np.zeros((m, len(held.words)), np.int64), []
+            frequent = np.zeros((m, n, model.hot_width))
+            met: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((m, 0), np.int64)]]
             for shard in held.parts():
                 counts = [shard.counts(f) for f in model.folds]
-                stats = stats + np.concatenate([model.shard_stats(shard, c) for c in counts])
+                stats.append(np.stack([model.shard_stats(shard, c) for c in counts]))
                 at = np.searchsorted(held.words, shard.words)
-                for m, c in enumerate(counts):
-                    values[m, at] += model.word_values(shard, c).astype(np.int64)
+                for k, c in enumerate(counts):
+                    values[k, at] += model.word_values(shard, c).astype(np.int64)
+                    frequent[k] += model.shard_hot(shard, c, n)
+                if model.pairs_meet and n:
+                    mine = np.flatnonzero(shard.hot[shard.pair_home] >= 0)
+                    met.append([shard.hot[shard.pair_home[mine]], at[shard.pair_word[mine]], np.stack([model.pairs(shard, c)[mine] for c in counts]).astype(np.int64)])
+            home, word, pairs = (np.concatenate(x, -1) for x in zip(*met, strict=True))
             dest = _dest(held.words, labels)
             for d in np.unique(dest).tolist():
-                mine = dest == d
-                rows.append((d, here, grp, pack_small(deltas(held.words[mine]), *values[:, mine]), None))
-            rows.append((here, here, grp, None, stats.tobytes()))
+                mine, theirs = dest == d, dest[word] == d
+                place = np.cumsum(mine) - 1
+                rows.append((d, here, grp, pack_small(deltas(held.words[mine]), *values[:, mine], home[theirs], place[word[theirs]], *pairs[:, theirs]), None))
+            rows.append((here, here, grp, None, Stats(np.zeros((m, 0)), sum(stats), frequent).pack()))
             release()
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_UP)], schema=_UP)
 
     return run
 
 
-def _total(model: Model):
+def _total(model: Model, n_hot: int):
     """Group map over a shard of words: totals for every shard that asked, and statistics."""
 
     def run(table: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        dest = table["dest"][0].as_py()
+        dest, m = table["dest"][0].as_py(), len(model.folds)
         for grp, asked in _by_group(table, "shard", "keys", "stats").items():
-            sent = sorted((a[0], unpack_small(a[1])) for a in asked if a[1] is not None)
-            stats = sum((np.frombuffer(a[2]) for a in asked if a[2] is not None), np.zeros(1))
+            sent = [(a[0], unpack_small(a[1])) for a in sorted(asked, key=lambda a: a[0]) if a[1] is not None]
+            told = Stats(np.zeros((m, 0)), np.zeros((m, 0)), np.zeros((m, n_hot, model.hot_width)))
+            for a in sorted(asked, key=lambda a: a[0]):
+                told = told if a[2] is None else told.plus(Stats.unpack(a[2], model, n_hot))
             keys = [np.cumsum(x[0], dtype=np.uint64) for _, x in sent]
             uniq, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_inverse=True)
-            totals = np.stack([np.bincount(place, weights=np.concatenate([np.zeros(0), *(x[1 + m].astype(float) for _, x in sent)]), minlength=len(uniq)) for m in range(len(model.folds))])
-            at = 0
-            for (who, _), k in zip(sent, keys, strict=True):
-                mine = totals[:, place[at : at + len(k)]].astype(np.int64)
-                rows.append(("totals", who, dest, grp, pack_small(*mine)))
-                at += len(k)
-            of_words = np.concatenate([model.word_stats(t) for t in totals])
-            rows.append(("stats", None, dest, grp, np.concatenate([[len(of_words)], of_words, stats]).tobytes()))
+            whole = lambda by, size, k: np.bincount(by, weights=np.concatenate([np.zeros(0), *(x[k].astype(float) for _, x in sent)]), minlength=size)
+            totals = np.stack([whole(place, len(uniq), 1 + k) for k in range(m)])
+            # pairs of frequent homes by home and last word
+            ends = np.cumsum([0, *map(len, keys)])
+            pair = np.concatenate([np.zeros(0, np.int64), *(x[1 + m].astype(np.int64) * max(1, len(uniq)) + place[ends[i] + x[2 + m].astype(np.int64)] for i, (_, x) in enumerate(sent))])
+            pairs, at_pair = np.unique(pair, return_inverse=True)
+            counts = np.stack([whole(at_pair, len(pairs), 3 + m + k) for k in range(m)])
+            done = 0
+            for i, (who, x) in enumerate(sent):
+                n = len(x[1 + m])
+                rows.append(("totals", who, dest, grp, pack_small(*totals[:, place[ends[i] : ends[i + 1]]].astype(np.int64), *counts[:, at_pair[done : done + n]].astype(np.int64))))
+                done += n
+            home, word = pairs // max(1, len(uniq)), pairs % max(1, len(uniq))
+            met = np.stack([model.met_hot(home, counts[k], totals[k][word], n_hot) for k in range(m)])
+            told = told.plus(Stats(np.stack([model.word_stats(t) for t in totals]), np.zeros((m, 0)), met))
+            rows.append(("stats", None, dest, grp, told.pack()))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_DOWN)], schema=_DOWN)
 
     return run
 
 
-def _add_stats(table: pa.Table) -> pa.Table:
-    """Group map: word statistics and shard statistics of a group, each summed over all shards."""
-    of_words, of_shards, n = np.zeros(1), np.zeros(1), 0
-    for _, blob in sorted(zip(table["dest"].to_pylist(), table["blob"].to_pylist(), strict=True)):
-        x = np.frombuffer(blob)
-        n = int(x[0])
-        of_words, of_shards = of_words + x[1 : n + 1], of_shards + x[n + 1 :]
-    row = ("stats", 0, 0, table["grp"][0].as_py(), np.concatenate([[n], of_words, of_shards]).tobytes())
-    return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _DOWN, strict=True)], schema=_DOWN)
+def _add_stats(model: Model, n_hot: int):
+    """Group map: the statistics of a group, summed over all shards."""
 
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["dest"].to_pylist(), table["blob"].to_pylist(), strict=True))
+        told = Stats.unpack(rows[0][1], model, n_hot)
+        for _, blob in rows[1:]:
+            told = told.plus(Stats.unpack(blob, model, n_hot))
+        row = ("stats", 0, 0, table["grp"][0].as_py(), told.pack())
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _DOWN, strict=True)], schema=_DOWN)
 
-def _finish(model: Model, labels: np.ndarray):
+    return run
+
+
+def _finish(model: Model, labels: np.ndarray, hot: Hot):
     """Cogroup map over a shard and what came back for it: each text's sums."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -423,25 +506,35 @@ def _finish(model: Model, labels: np.ndarray):
         grams = left.filter(pa.compute.equal(left["kind"], "grams"))
         back = _by_group(right, "kind", "dest", "blob")
         groups = _by_group(grams, "batch_id", "blob")
+        m = len(model.folds)
         for grp in list(groups):
             here = grams["shard"][0].as_py()
-            held = Messages(sorted(groups.pop(grp)), model.order)
+            held = Messages(sorted(groups.pop(grp)), model.order, hot)
             told = back[grp]
             dest = _dest(held.words, labels)
-            totals = np.zeros((len(model.folds), len(held.words)))
+            totals, met, read = np.zeros((m, len(held.words))), {}, {}
             for kind, d, blob in told:
                 if kind == "totals":
-                    totals[:, dest == d] = np.stack(unpack_small(blob))
-            n, x = len(model.folds), np.frombuffer(next(b for kind, _, b in told if kind == "stats"))
-            of_words, of_shards = x[1 : int(x[0]) + 1], x[int(x[0]) + 1 :]
+                    got = unpack_small(blob)
+                    totals[:, dest == d] = np.stack(got[:m])
+                    met[d], read[d] = np.stack(got[m:]), 0
+            stats = Stats.unpack(next(b for kind, _, b in told if kind == "stats"), model, len(hot))
             sums = {who: np.zeros((len(model.sums), texts)) for who, texts in held.texts.items()}
             for shard in held.parts():
                 at, values = np.searchsorted(held.words, shard.words), []
-                for m, fold in enumerate(model.folds):
-                    counts = shard.counts(fold)
-                    values.append(model.values(shard, counts, totals[m, at], np.split(of_shards, n)[m], np.split(of_words, n)[m]))
-                    if kept := model.stored(shard, counts, values[-1]):
-                        rows.append(("model", here, m, grp, kept))
+                counts = [shard.counts(f) for f in model.folds]
+                pairs = np.stack([model.pairs(shard, c) for c in counts])
+                if model.pairs_meet and len(hot):  # in the order in which _tally sent them
+                    mine = np.flatnonzero(shard.hot[shard.pair_home] >= 0)
+                    of = dest[at[shard.pair_word[mine]]]
+                    for d in np.unique(of).tolist():
+                        those = mine[of == d]
+                        pairs[:, those] = met[d][:, read[d] : read[d] + len(those)]
+                        read[d] += len(those)
+                for k, c in enumerate(counts):
+                    values.append(model.values(shard, c, pairs[k], totals[k, at], stats.shards[k], stats.words[k], stats.hot[k]))
+                    if kept := model.stored(shard, c, values[-1]):
+                        rows.append(("model", here, k, grp, kept))
                 for who, part in shard.sums(values, model.of_fold):
                     sums[who] += part
             rows += [("sums", here, who, grp, pack(*(c.astype(f"f{p}").view(f"u{p}") for c, p in zip(x, model.precision, strict=True)))) for who, x in sums.items()]
@@ -471,6 +564,25 @@ def _assemble(names: tuple[str, ...], carried: tuple[str, ...], precision: tuple
     return run
 
 
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map: counts of words with one of SHARE tokens of a step or more, and without a key all tokens and bytes."""
+    found: dict[int, int] = {}
+    tokens = size = 0
+    for batch in batches:
+        for first, end, data, offsets in text_slices(batch, limit=4 << 20):
+            words = Words(data, offsets)
+            codes, dictionary = words.encode()
+            counts = np.bincount(codes, minlength=len(dictionary))
+            for k in np.flatnonzero(counts >= max(2, len(codes) // SHARE)).tolist():
+                key = hashes([dictionary[k].lower()]).view(np.int64)[0].item()
+                found[key] = found.get(key, 0) + int(counts[k])
+            at = np.array([END & MASK64], np.uint64).view(np.int64)[0].item()
+            found[at] = found.get(at, 0) + end - first
+            tokens, size = tokens + len(codes) + end - first, size + len(data)
+    rows = [(None, tokens, size), *((k, n, None) for k, n in found.items())]
+    yield pa.RecordBatch.from_pydict({"key": pa.array([r[0] for r in rows], pa.int64()), "count": pa.array([r[1] for r in rows], pa.int64()), "bytes": pa.array([r[2] for r in rows], pa.int64())})
+
+
 def even_labels(spark: SparkSession, shards: int) -> np.ndarray:
     """A number for each shard, chosen so that hash partitioning deals one to each partition."""
     place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(shards))
@@ -489,18 +601,23 @@ def text_sums(rows: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
     """
     spark = rows.sparkSession
     bounded_batches(spark)
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(60, max(36, ceil(log2(chars + 1)) + 8))
+    counted = scratch.write(rows.select("text").mapInArrow(_frequent, "key long, count long, bytes long"), "frequent")
+    size = counted.where("key is null").agg(F.sum("bytes").alias("bytes"), F.sum("count").alias("tokens")).first()
+    bits = min(60, max(36, ceil(log2((size["bytes"] or 0) + 1)) + 8))
     model.end = np.uint64((END & MASK64) >> (64 - bits))
-    shards = max(2, -(-(chars // 6) // model.shard_tokens), int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    tokens = max(1, size["tokens"] or 0)
+    shards = max(2, -(-tokens // model.shard_tokens), int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     labels = even_labels(spark, shards)
-    sent = rows.select("doc_id", "text", "fold", "grp").mapInArrow(_send(model, bits, labels), MESSAGE).repartition(shards, "shard")
-    up = sent.groupBy("shard").applyInArrow(_tally(model, labels), _sql(_UP)).repartition(shards, "dest")
-    down = up.groupBy("dest").applyInArrow(_total(model), _sql(_DOWN))
+    # homes with half a shard's share of the tokens or more: at most two for each shard
+    often = counted.where("key is not null").groupBy("key").agg(F.sum("count").alias("n")).where(F.col("n") * (2 * shards) >= tokens).collect()
+    hot = Hot(np.array([r["key"] for r in often], np.int64).view(np.uint64) >> np.uint64(64 - bits), np.array([-(-2 * shards * r["n"] // tokens) for r in often]))
+    sent = rows.select("doc_id", "text", "fold", "grp").mapInArrow(_send(model, bits, labels, hot), MESSAGE).repartition(shards, "shard")
+    up = sent.groupBy("shard").applyInArrow(_tally(model, labels, hot), _sql(_UP)).repartition(shards, "dest")
+    down = up.groupBy("dest").applyInArrow(_total(model, len(hot)), _sql(_DOWN))
     # one row of statistics from each word shard; their sum goes to every shard
-    stats = down.where("kind = 'stats'").groupBy("grp").applyInArrow(_add_stats, _sql(_DOWN)).withColumn("shard", F.explode(F.array(*map(F.lit, labels.tolist()))))
+    stats = down.where("kind = 'stats'").groupBy("grp").applyInArrow(_add_stats(model, len(hot)), _sql(_DOWN)).withColumn("shard", F.explode(F.array(*map(F.lit, labels.tolist()))))
     back = down.where("kind = 'totals'").unionByName(stats).repartition(shards, "shard")
-    done = scratch.write(sent.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_finish(model, labels), _sql(_OUT)), "sums", ["kind"])
+    done = scratch.write(sent.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_finish(model, labels, hot), _sql(_OUT)), "sums", ["kind"])
     parts = done.where("kind = 'sums'").groupBy("batch_id").agg(F.collect_list(F.struct("shard", "blob")).alias("parts"))
     docs = done.where("kind = 'docs'").select("batch_id", "grp", F.col("blob").alias("docs"))
     kinds = "".join(f", {n} double" for n in model.sums) + "".join(f", {n} long" for n in model.carried)

@@ -108,7 +108,7 @@ class KneserNey(Model):
 
     order = 2
     folds = (0, 1)
-    precision = ("4",)
+    precision, hot_width = ("4",), 4
     sums = ("nats",)
     carried = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -138,7 +138,12 @@ class KneserNey(Model):
     def word_stats(self, totals: np.ndarray) -> np.ndarray:
         return np.concatenate([[np.count_nonzero(totals), totals.sum()], _few(totals)])
 
-    def values(self, shard: Shard, counts: np.ndarray, words: np.ndarray, stats: np.ndarray, word_stats: np.ndarray) -> np.ndarray:
+    def shard_hot(self, shard: Shard, counts: np.ndarray, n: int) -> np.ndarray:
+        home = shard.hot[shard.pair_home]
+        mine, c = home >= 0, counts[home >= 0]
+        return np.stack([group_sum(home[mine], n, x) for x in (c, c == 1, c == 2, c > 2)], 1)
+
+    def values(self, shard: Shard, counts: np.ndarray, pairs: np.ndarray, words: np.ndarray, stats: np.ndarray, word_stats: np.ndarray, hot: np.ndarray) -> np.ndarray:
         distinct, total, few = word_stats[0], word_stats[1], word_stats[2:]
         d = discounts(few)
         if total:
@@ -146,10 +151,12 @@ class KneserNey(Model):
             lower = ((words - d[np.minimum(words, 3).astype(np.int64)]) / total + left / (distinct + 1))[shard.pair_word]
         else:
             lower = np.ones(len(counts))
-        taken = discounts(stats)[np.minimum(counts, 3).astype(np.int64)]
-        size = len(shard.homes)
-        seen = group_sum(shard.pair_home, size, counts)[shard.pair_home]
-        weight = group_sum(shard.pair_home, size, taken)[shard.pair_home]
+        d2 = discounts(stats)
+        taken = d2[np.minimum(counts, 3).astype(np.int64)]
+        size, at = len(shard.homes), np.flatnonzero(shard.hot >= 0)
+        seen, weight = group_sum(shard.pair_home, size, counts), group_sum(shard.pair_home, size, taken)
+        seen[at], weight[at] = hot[shard.hot[at], 0], hot[shard.hot[at], 1:] @ d2[1:]
+        seen, weight = seen[shard.pair_home], weight[shard.pair_home]
         p = np.where(seen > 0, (counts - taken + weight * lower) / np.maximum(seen, 1), lower)
         return -np.log(p)[None]
 
