@@ -135,14 +135,15 @@ def curriculum_mix(
     # one row a schedule: what all sources that follow it ask for
     asked = {r["k"]: r["words"] for r in targets.groupBy((F.col("rank") % len(schedules)).alias("k")).agg(F.sum("target").alias("words")).collect()}
 
-    def place(x: Column) -> Column:
-        time = training_time((x["p"] * F.col("source_size") + F.col("begin")).cast("double") / F.col("target"), F.col("rank"), knots, schedules)
-        return F.round(sum((demand_share(time, w, knots) * asked.get(k, 0.0) for k, w in enumerate(schedules)), F.lit(0.0)), 3)
+    # each value that later expressions use often is a lambda's variable, worked out once
+    shares = lambda x: (x["p"] * F.col("source_size") + F.col("begin")).cast("double") / F.col("target")
+    times = F.transform(F.transform("passes", shares), lambda share: training_time(share, F.col("rank"), knots, schedules))
+    place = lambda time: F.round(sum((demand_share(time, w, knots) * asked.get(k, 0.0) for k, w in enumerate(schedules)), F.lit(0.0)), 3)
 
     mixed = placed.select(
         "doc_id", "source", "size", "source_size", "target",
         F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
-        F.transform("passes", place).alias("positions"),
+        F.transform(times, place).alias("positions"),
         "key",
     )
     order = [F.element_at(F.concat("positions", F.array(F.lit(None).cast("double"))), 1).asc_nulls_last(), F.col("key")]
