@@ -54,6 +54,8 @@ _KEY[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 _NUMBER = np.zeros(256, bool)
 _NUMBER[48:58] = True
 _STARTS = (np.arange(256) & 0xC0) != 0x80
+_SWAPPED = np.arange(256, dtype=np.uint8)
+_SWAPPED[65:91], _SWAPPED[97:123] = np.arange(97, 123), np.arange(65, 91)
 #: Character classes of the network: code points under 128 as they are, one for all others, one for nothing.
 ALPHABET, OTHER, NOTHING = 130, 128, 129
 WIDTH, FILTERS = 5, 24
@@ -242,7 +244,9 @@ class CharNet:
             lend = x[rng.choice(theirs, len(mine))] if len(theirs) else x[mine]
             moved[mine, :SIDE], moved[mine, SIDE + VALUE :] = lend[:, :SIDE], lend[:, SIDE + VALUE :]
         joined = self._joined(x, secret, other, rng)
-        x, y = np.vstack([x, moved, joined]), np.concatenate([y, y, np.ones(len(joined))])
+        # what is no secret, in the other case: capitals alone make none
+        cased = _SWAPPED[x[other]]
+        x, y = np.vstack([x, moved, joined, cased]), np.concatenate([y, y, np.ones(len(joined)), np.zeros(len(cased))])
         # labels weigh the same, however many findings they have
         share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
         weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
