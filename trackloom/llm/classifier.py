@@ -33,7 +33,7 @@ DIM, NONZERO, WINDOW = 32, 4, 2
 SAMPLE, HIDDEN = 20_000, 16
 THRESHOLD = 0.3
 #: Bytes of text of a step; bytes of text and words of a shard at least; words of one piece of a shard's table.
-STEP_BYTES, SHARD_BYTES, SHARD_WORDS, PIECE = 12 << 20, 60_000_000, 2_000_000, 250_000
+STEP_BYTES, SHARD_BYTES, SHARD_WORDS, PIECE = 8 << 20, 60_000_000, 2_000_000, 250_000
 #: A word vector's entries are kept as whole numbers of this part.
 UNIT = 1 / 127
 
@@ -134,6 +134,8 @@ def send_contexts(bits: int, shards: int, sample: frozenset):
                 new[taught] = np.arange(len(taught))
                 mine = new[doc] >= 0 if len(doc) else np.zeros(0, bool)
                 rows += _doc_messages(who, ids.take(pa.array(taught)), keys, code[mine], new[doc[mine]], bits, shards)
+            sums = None
+            release()
             if rows:
                 yield _rows(rows)
 
@@ -237,7 +239,9 @@ def send_words(bits: int, shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for who, ids, keys, code, doc in _slices(batches, bits):
-            yield _rows(list(_doc_messages(who, ids, keys, code, doc, bits, shards)))
+            rows = _rows(list(_doc_messages(who, ids, keys, code, doc, bits, shards)))
+            release()
+            yield rows
 
     return run
 

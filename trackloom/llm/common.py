@@ -125,8 +125,14 @@ def with_global_index(scratch: Scratch, df: DataFrame, order: list[Column], name
 
 @lru_cache(maxsize=1)
 def _trim():
-    """The C library's call that hands freed memory back, where it has one."""
-    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+    """The C library's call that hands freed memory back, where it has one.
+
+    From then on large arrays are mapped by themselves, so that freeing one gives
+    its memory back at once (M_MMAP_THRESHOLD is option -3).
+    """
+    libc = ctypes.CDLL(None)
+    getattr(libc, "mallopt", lambda *_: 0)(-3, 4 << 20)
+    return getattr(libc, "malloc_trim", lambda _: 0)
 
 
 def release() -> None:
@@ -140,6 +146,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 
     Yields first row, end row, UTF-8 bytes and offsets; a null text is empty.
     """
+    _trim()
     array = pc.fill_null(batch.column(column), "")
     array = array.cast(pa.large_string()) if not pa.types.is_large_string(array.type) else array
     n = len(array)
