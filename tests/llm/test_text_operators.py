@@ -197,7 +197,7 @@ def test_kneser_ney_and_its_bands_equal_a_plain_version(spark, make_docs, odd_ro
         spread = 1.4826 * middle([abs(x - centre) for x in good])
         for d, t, g, _ in rows:
             if g == lang:
-                inside = centre - 7 * spread - 1e-5 <= want[d] <= centre + 3.5 * spread + 1e-5
+                inside = centre - perplexity.LOWER_WIDTH * spread - 1e-5 <= want[d] <= centre + perplexity.UPPER_WIDTH * spread + 1e-5
                 assert got[d].kept == (not plain_rules(t)[-1] and inside), d
 
 

@@ -19,8 +19,9 @@ from .common import MASK64, Scratch, Words, hashes, mix, shingles, sum_texts
 from .ngrams import Model, Shard, group_sum, text_sums
 
 #: Half-widths of a band in robust standard deviations of log perplexity. The lower
-#: one is twice the upper: a near copy of a text of the other half reads easily.
-LOWER_WIDTH, UPPER_WIDTH = 7.0, 3.5
+#: one is wider: a near copy of a text of the other half reads easily, and finding
+#: copies is not what the band is for.
+LOWER_WIDTH, UPPER_WIDTH = 10.0, 3.5
 #: Languages up to which bands are broadcast; beyond, they are joined by shuffling.
 BROADCAST_BANDS = 10_000
 
