@@ -22,7 +22,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     con.register("got", queries.QUERIES[name](spark, DATA).toArrow())
     con.sql(f"create table want as {queries.ORACLE_SQL[name]}")

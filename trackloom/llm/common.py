@@ -165,13 +165,16 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
 
 
 class Words:
-    """Words of several texts, held as arrays: byte range and text of each word."""
+    """Words of several texts, held as arrays: byte range and text of each word.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    ``kinds`` says of each byte whether words have it.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, kinds: np.ndarray = _IS_WORD):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         self.n_docs = len(offsets) - 1
-        word = _IS_WORD[self.data]
+        word = kinds[self.data]
         if len(word):
             cut = np.zeros(len(word) + 1, bool)
             cut[offsets] = True
