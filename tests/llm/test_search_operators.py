@@ -5,8 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from trackloom.llm import lexical
+from trackloom.llm import hard_negatives, lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -71,3 +73,61 @@ def test_an_impact_of_long_texts_stays_whole():
     _, _, sizes, places, impacts = lexical.shard(np.array([1]), words, 10**17, 10**12)  # 90 * 3 * 10**17 passes 64 bits
     assert sizes.tolist() == [1, 1] and places.tolist() == [0, 0]
     assert sorted(impacts.tolist()) == sorted(10**9 * tf // (1000 * tf + 8 * (10 + 27_000_000)) for tf in (1, 2))
+
+
+def plain_negatives(rows, every=10, positives=5, negatives=10):
+    clip = lambda s: min(max(s, -(2**63) + 1), 2**63 - 1)
+    held = [(i, lab, [math.floor(256 * v) for v in e]) for i, e, lab in rows if i is not None and e is not None and lab is not None and all(v is not None and math.isfinite(256 * v) for v in e)]
+    raw = [(lab, e, i) for i, e, lab in rows if any(h[0] == i for h in held) and e is not None and lab is not None]
+    out = []
+    for a in sorted({h[0] for h in held if h[0] % every == 0}):
+        label, vector, _ = min(r for r in raw if r[2] == a)
+        q = [math.floor(256 * v) for v in vector]
+        scores = sorted((-clip(sum(x * y for x, y in zip(q, e, strict=False))), i, lab) for i, lab, e in held if i != a)
+        for s, i, _ in [x for x in scores if x[2] == label][:positives]:
+            fits = [x for x in scores if x[2] != label and 30 * -s <= 100 * -x[0] <= 90 * -s][:negatives]
+            out += [(a, i, r + 1, j, -s, -t) for r, (t, j, _) in enumerate(fits)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale", [0.3, 3e6, 1e16])
+def test_negatives_equal_plain(spark, monkeypatch, scale):
+    monkeypatch.setattr(hard_negatives, "BLOCK_BYTES", 12 * 8 * 40)  # blocks of 40
+    monkeypatch.setattr(hard_negatives, "LEAF", 6)
+    monkeypatch.setattr(hard_negatives, "TILE_ANCHORS", 7)
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, scale, (260, 12)).round(2)
+    x[40:70] = x[3]  # ties
+    x[70:90] = x[10] + rng.normal(0, scale / 20, (20, 12)).round(2)
+    rows = [(i, [float(v) for v in r], int(lab)) for i, (r, lab) in enumerate(zip(x, rng.integers(0, 4, 260), strict=True))]
+    rows += [rows[5], (20, rows[1][1], 2), (30, rows[30][1], 99), (None, rows[0][1], 1), (500, None, 1), (510, rows[2][1], None), (520, [float("nan")] * 12, 1)]
+    rows += [(530, [float("inf")], 1), (540, [1.0, 2.0], 1), (550, [], 1), (560, [0.0] * 12, 3), (571, [1e307] * 12, 2)]
+    df = spark.createDataFrame([(*r, 7, 0.5) for r in rows], "vec_id long, embedding array<double>, label int, rank int, score double")
+    got = hard_negatives.hard_negatives(df, F.col("vec_id") % 10 == 0).collect()
+    assert sorted(tuple(r) for r in got) == plain_negatives(rows)
+
+
+def test_negatives_of_nothing(spark):
+    df = spark.createDataFrame([(0, [1.0], 1), (1, [1.0], 1), (2, [0.5], 1)], "vec_id long, embedding array<float>, label int")
+    for rows in (df.limit(0), df, df.where("vec_id > 0")):
+        assert hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_ball_bounds_hold_and_prune(monkeypatch):
+    monkeypatch.setattr(hard_negatives, "LEAF", 8)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(0, 100, (20, 16))
+    x = np.floor(middles[rng.integers(0, 20, 2000)] + rng.normal(0, 8, (2000, 16)))
+    labels = rng.integers(0, 3, 2000)
+    trees = hard_negatives.BallTrees(x, labels, 20)
+    q = np.floor(rng.normal(0, 100, (9, 16)))
+    low, high = trees.bounds(q)
+    for k, (a, b) in enumerate(trees.span):
+        score = q @ x[trees.order[a:b]].T
+        assert (low[:, k] <= score.min(1)).all() and (high[:, k] >= score.max(1)).all()
+        assert (labels[trees.order[a:b]] == trees.label[k]).all()
+    assert sorted(i for (a, b), leaf in zip(trees.span, trees.leaf, strict=True) if leaf for i in trees.order[a:b]) == list(range(2000))
+    told, ids = [], np.arange(2000)
+    anchors = {"id": ids[:64], "label": labels[:64], "x": x[:64], "windows": [[(100_000, 200_000)]] * 64}
+    hard_negatives.mine_block(anchors, {"id": ids, "label": labels, "x": x}, False, 10, told)
+    assert 0 < told[0] < 0.3 * 64 * 2000  # windows, labels and thresholds leave few rows of clustered data
