@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackloom.llm import hard_negatives, lexical
+from trackloom.llm import forest, hard_negatives, lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -131,3 +131,73 @@ def test_ball_bounds_hold_and_prune(monkeypatch):
     anchors = {"id": ids[:64], "label": labels[:64], "x": x[:64], "windows": [[(100_000, 200_000)]] * 64}
     hard_negatives.mine_block(anchors, {"id": ids, "label": labels, "x": x}, False, 10, told)
     assert 0 < told[0] < 0.3 * 64 * 2000  # windows, labels and thresholds leave few rows of clustered data
+
+
+def plain_links(rows, threshold=0.93):
+    """Links and smallest reachable id of every row, by all pairs."""
+    fine = [i is not None and lab is not None and e is not None and all(v is not None and math.isfinite(v) for v in e) and any(e) for i, e, lab in rows]
+    dim = max(len(e or []) for _, e, _ in rows)
+    x = np.zeros((len(rows), dim))
+    for k, (_, e, _) in enumerate(rows):
+        if fine[k]:
+            x[k, : len(e)] = np.array(e) / max(map(abs, e))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    label = np.array([-1 if r[2] is None else r[2] for r in rows])
+    link = (x @ x.T >= threshold) & (label[:, None] == label[None]) & np.outer(fine, fine)
+    np.fill_diagonal(link, True)
+    low = np.array([10**9 if r[0] is None else r[0] for r in rows])
+    while ((lower := np.where(link, low[None], 10**9).min(1)) != low).any():
+        low = lower
+    return sorted((i, int(n) - 1, None if i is None else int(c), i is None or i == c) for (i, _, _), n, c in zip(rows, link.sum(1), low, strict=True) if i is not None)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"LEAF": 16, "NODE": 100, "BLOCK": 30}])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(forest, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (700, 24))
+    x[100:220] = x[3] + rng.normal(0, 0.05, (120, 24))  # all linked
+    x[220:300] = x[4]  # copies
+    x[300:340] = x[5] * np.arange(1, 41)[:, None]  # of another length
+    for k in range(340, 420):  # a chain: neighbours are linked, most others are not
+        x[k] = x[k - 1] + rng.normal(0, 0.25, 24)
+    label = rng.integers(0, 2, 700)
+    label[100:420] = 1
+    label[3:6] = 1
+    rows = [(int(i), [float(v) for v in e], int(lab)) for i, e, lab in zip(rng.permutation(700), x, label, strict=True)]
+    rows += [(800, None, 1), (801, rows[3][1], None), (802, [0.0] * 24, 1), (803, [0.0] * 24, 1), (804, [float("nan")] * 24, 1), (805, [1.0, 2.0], 1), (806, [1e300, 2e300], 1), (807, [], 1)]
+    rows += [(808, [-0.0, 1.0], 1), (809, [0.0, 1.0], 1), rows[3], (rows[4][0], rows[5][1], 1)]
+    df = spark.createDataFrame([(*r, 1, 2, "k", 0.5) for r in [*rows, (None, rows[3][1], 1)]], "vec_id long, embedding array<double>, label int, cid int, tree int, path string, n double")
+    got = forest.near_copies(df).collect()
+    want = plain_links(rows)
+    assert [tuple(r) for r in got if r.vec_id is None] == [(None, 0, None, True)]
+    mine = sorted(tuple(r) for r in got if r.vec_id is not None)
+    assert len(mine) == len(want) == len(rows)
+    found, total = sum(r[1] for r in mine), sum(r[1] for r in want)
+    assert 0.99 * total <= found <= total
+    assert all(a[1] <= b[1] and a[2] >= b[2] for a, b in zip(mine, want, strict=True))  # nothing that is no link
+    assert found < total or mine == want
+
+
+def test_near_copies_of_nothing(spark):
+    df = spark.createDataFrame([(1, [1.0], 1), (2, [0.0], 1)], "vec_id long, embedding array<float>, label int")
+    assert forest.near_copies(df.limit(0)).collect() == []
+    assert sorted(tuple(r) for r in forest.near_copies(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def test_forest_finds_pairs_at_the_threshold():
+    """Recall of single pairs just above the threshold, the hardest to find, by one tree and by all."""
+    rng = np.random.default_rng(9)
+    a = rng.normal(0, 1, (3000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(0, 1, (3000, 32))
+    b -= (b * a).sum(1, keepdims=True) * a
+    b = 0.935 * a + np.sqrt(1 - 0.935**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, found, first = np.concatenate([a, b]), np.zeros(3000, bool), 0
+    for tree in range(forest.TREES):
+        for rows in forest.leaves(x, tree, 1):
+            here = np.bincount(rows[rows < 3000], minlength=3000) & np.bincount(rows[rows >= 3000] - 3000, minlength=3000)
+            found |= here > 0
+        first = first or found.mean()
+    assert 0.3 < first < 0.95 and found.mean() > 0.99

@@ -10,6 +10,7 @@ from .bpe import op3_bpe
 from .chat import op5_chat
 from .classifier import op7_quality
 from .curriculum import OP4_SQL, op4_curriculum
+from .forest import OP12_SQL, op12_near_copies
 from .hard_negatives import OP11_SQL, op11_hard_negatives
 from .katz import op1_katz
 from .lexical import OP13_SQL, op13_lexical
@@ -31,7 +32,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_secrets": op10_secrets,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_near_copies": op12_near_copies,
     "op13_lexical": op13_lexical,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_curriculum": OP4_SQL, "op6_trie_join": OP6_SQL, "op8_warc": OP8_SQL, "op9_top_k": OP9_SQL, "op11_hard_negatives": OP11_SQL, "op13_lexical": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_curriculum": OP4_SQL,
+    "op6_trie_join": OP6_SQL,
+    "op8_warc": OP8_SQL,
+    "op9_top_k": OP9_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_near_copies": OP12_SQL,
+    "op13_lexical": OP13_SQL,
+}
