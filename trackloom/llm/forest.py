@@ -147,16 +147,18 @@ def edges_of(nodes: DataFrame, parts: int, threshold: float, dim: int) -> DataFr
     return nodes.repartition(parts, *node).sortWithinPartitions(*node).mapInArrow(run, "a long, b long").distinct()
 
 
-def with_core(linked: DataFrame, threshold: float, dim: int) -> DataFrame:
+def with_core(linked: DataFrame, scratch: Scratch, threshold: float, dim: int) -> DataFrame:
     """Say of each row of a component whether it is within half the angle of the component's mean.
 
-    Any two such rows are within the angle of each other.
+    Any two such rows are within the angle of each other. Means are a table, so
+    that Spark can split a large component's rows when they meet its mean.
     """
     near = float(np.sqrt((1 + threshold) / 2)) + 1e-12
     unit = F.transform("embedding", lambda v: v / F.col("size"))
     size = F.aggregate("embedding", F.lit(0.0), lambda a, v: F.greatest(a, F.abs(v)))
     sums = linked.withColumn("size", size).select("component", F.posexplode(unit).alias("at", "v")).groupBy("component", "at").agg(F.sum("v").alias("v"))
     mean = sums.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("mean"))
+    mean = scratch.write(mean, "means")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +255,7 @@ def near_copies(vectors: DataFrame, threshold: float = 0.93, trees: int = TREES,
         edges = edges.unionByName(edges_of(more, parts, threshold, dim))
     components = connected_components(scratch, edges, "edges").select(F.col("vertex").alias("cid"), "component")
     linked = classes.select("cid", "n", "first", "embedding").join(components, "cid")
-    members = scratch.write(with_core(linked, threshold, dim), "members")
+    members = scratch.write(with_core(linked, scratch, threshold, dim), "members")
     counted = link_counts(members, scratch, threshold, dim)
     known = classes.select(*key, "cid", "n", "first").join(counted, "cid", "left")
     known = known.select(*key, F.coalesce("links", F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
