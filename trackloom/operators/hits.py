@@ -107,7 +107,12 @@ def greedy_merge(events: Column, gap: Column, kind: str) -> Column:
 
 def segment_signals(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
     """One row a segment: its rows as arrays, in order, with filled and smoothed axes."""
-    rows = interpolate(segment_rows(trajectory, videos, p))
+    return signals_of(segment_rows(trajectory, videos, p), videos, p)
+
+
+def signals_of(rows: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
+    """segment_signals of rows that are in segments already."""
+    rows = interpolate(rows)
     fields = F.struct("pos", "frame", "visible", "x_filled", "y_filled")
     whole = rows.groupBy("video_id", "segment_id").agg(F.array_sort(F.collect_list(fields)).alias("rows")).join(videos, "video_id")
     window = p.smooth_window(F.col("fps"))
@@ -162,6 +167,11 @@ def number_rallies(kept: DataFrame) -> DataFrame:
     )
 
 
+def rallies_of(rows: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
+    """Rallies, hits nested, of rows that are in segments already; numbered within these rows."""
+    return number_rallies(qualify(with_hits(turns(signals_of(rows, videos, p), p)), p))
+
+
 def analyze(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Rallies (hits nested) and hits (one row each) of all videos.
 
@@ -169,6 +179,6 @@ def analyze(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAU
     video_id, fps, width, height. Videos without a positive rate have none.
     """
     known = videos.where("fps > 0")
-    rallies = number_rallies(qualify(with_hits(turns(segment_signals(trajectory, known, p), p)), p))
+    rallies = rallies_of(segment_rows(trajectory, known, p), known, p)
     hits = rallies.select("video_id", "rally", F.posexplode("hits").alias("hit", "h")).select("video_id", "rally", (F.col("hit") + 1).cast("long").alias("hit"), "h.*")
     return rallies, hits

@@ -256,16 +256,15 @@ def f9(s, d):
 
 @plan("k2_incremental_emit", "select video_id, start_frame, end_frame, hit_count from rallies")
 def k2(s, d):
-    import uuid
-
+    """Chunks of 40 frames as a stream: each batch costs its chunk, and the rest comes from the state."""
+    from ..sources.files import shared
     from ..sources.tables import TRAJECTORY
     from ..streaming.rallies import RallyStream
 
-    base = s.conf.get("spark.checkpoint.dir", None) or f"{s.conf.get('spark.sql.warehouse.dir')}/streams"
-    root = f"{base}/trackloom-stream-{uuid.uuid4().hex}"
+    root = shared(s, "stream")
     t, v = tables(s, d)
-    for half, rows in enumerate((t.where("frame < 40"), t.where("frame >= 40"))):
-        rows.coalesce(1).write.parquet(f"{root}/input/{half}")
     stream = RallyStream(s, f"{root}/run", v)
-    source = s.readStream.schema(TRAJECTORY).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/input")
-    return stream.finish(stream.run(source)).select("video_id", "start_frame", "end_frame", "hit_count")
+    for half, rows in enumerate((t.where("frame < 40"), t.where("frame >= 40"))):
+        rows.write.parquet(f"{root}/input/{half}")
+        stream.run(s.readStream.schema(TRAJECTORY).parquet(f"{root}/input/*"))  # the second goes on where the first has stopped
+    return stream.finish().select("video_id", "start_frame", "end_frame", "hit_count")

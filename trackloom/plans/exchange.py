@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from ..operators import chunks as K
 from ..operators import grid as J
 from ..operators import runs as R
 from ..sources import files as S
+from ..sources.files import shared
 from .chain import CHAIN
 from .core import r6, rallies, tables
 from .more import GRID, READS, TOTALS, chunked, totals
@@ -29,14 +28,6 @@ def plan(name: str, sql: str | None = None):
     return put
 
 
-def shared(s: SparkSession, name: str) -> str:
-    """A new folder that all executors reach, under spark.checkpoint.dir or else the warehouse; gone when the session ends."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
-    path = s._jvm.org.apache.hadoop.fs.Path(f"{base}/trackloom-{name}-{uuid.uuid4().hex}")
-    path.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
 @plan("a3_scan_trajectory_csv", " select video_id, frame, visible, x, y from traj")
 def a3(s, d):
     path = shared(s, "csv")

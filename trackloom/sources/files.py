@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,14 @@ MEDIA = ("mp4", "mov", "mkv", "m4v", "avi", "webm")
 PROGRESS = "status string, framesCompleted bigint, framesTarget bigint, percent double, fps double, etaSeconds double"
 
 
+def shared(s: SparkSession, name: str) -> str:
+    """A new folder that all executors reach, under spark.checkpoint.dir or else the warehouse; gone when the session ends."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or s.conf.get("spark.sql.warehouse.dir")
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{base}/trackloom-{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def read_trajectory_csv(spark: SparkSession, path: str, video_id: int = 0) -> DataFrame:
     """A trajectory CSV (Frame, Visibility, X, Y) as a trajectory table; a broken row fails the read."""
     rows = spark.read.schema(CSV_TRAJECTORY).option("header", True).option("mode", "FAILFAST").csv(path)
@@ -119,7 +129,8 @@ def is_media(path: Column) -> Column:
 def rate(text: Column) -> Column:
     """Frames a second from "num/den" or a plain number; null unless positive."""
     parts = F.split(text, "/")
-    number = F.coalesce(F.try_divide(F.expr("try_cast(get(split(rate_text, '/'), 0) as double)"), F.expr("try_cast(get(split(rate_text, '/'), 1) as double)")), F.when(F.size(parts) == 1, F.expr("try_cast(rate_text as double)")))
+    numerator, denominator = (F.get(parts, F.lit(k)).try_cast("double") for k in (0, 1))
+    number = F.coalesce(F.try_divide(numerator, denominator), F.when(F.size(parts) == 1, text.try_cast("double")))
     return F.when(number > 0, number)
 
 

@@ -1,103 +1,176 @@
 """Rallies from a growing trajectory, published once each.
 
-Every micro-batch is a chunk of frames. Its rows join the prefix, the videos
-that it touches are analysed again, and rallies that were not published before
-are appended. The last rally of a video is held back until a later one exists
-or the video is final: a later rally is at least 0.8 s long, which covers the
-0.45 s that a split looks ahead, so what is published never changes.
-
-Tables are directories by batch number, written over if a batch runs again.
+A stateful operator keeps each video's open segment (``segments.py``); what a
+batch closes is analysed and appended, so a batch costs what it brings. A gap is
+judged when all frames that its rules look ahead at are there, so what is
+published never changes. The open segments of a stream that has ended are read
+from its state.
+
+Rallies are folders by batch number, written over if a batch runs again. The
+checkpoint counts batches on; without it stored rallies belong to another run, and
+the stream refuses to start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.window import Window
 
-from ..operators.hits import analyze
+from ..operators.hits import rallies_of
 from ..params import DEFAULTS, RallyParameters
-from ..sources.tables import TRAJECTORY
+from .segments import CLOSED, SCAN, closed_segments, decide, limits, names
 
-KEY = ["video_id", "start_frame"]
+#: What is stored of a rally; its number follows from the order of a video's rallies.
+RALLIES = (
+    "video_id long, start_frame long, end_frame long, start_seconds double, end_seconds double, hit_count long, observed_hits long, inferred_gap_hits long"
+)
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def closed_rallies(prefix: DataFrame, videos: DataFrame, final: bool = False, p: RallyParameters = DEFAULTS) -> DataFrame:
-    """Rallies of a prefix without each video's last one, or all of a final one."""
-    rallies = analyze(prefix, videos, p)[0].drop("hits")
-    if final:
-        return rallies
-    last = F.max("rally").over(Window.partitionBy("video_id"))
-    return rallies.withColumn("_last", last).where("rally < _last").drop("_last")
+class Progress(StreamingQueryListener):
+    """What a stream has taken so far: a row a batch, of the latest batches."""
 
+    #: Batches whose rows are held.
+    most = 1000
 
-def unpublished(rallies: DataFrame, published: DataFrame | None) -> DataFrame:
-    """Rallies whose start was not published."""
-    return rallies if published is None else rallies.join(published.select(*KEY), KEY, "left_anti")
+    def __init__(self, name: str):
+        self.name, self.rows = name, []
 
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
 
-class RallyStream:
-    """A running analysis: prefix and published rallies under one shared folder.
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        if p.name == self.name and p.numInputRows:
+            state = p.stateOperators[0] if p.stateOperators else None
+            self.rows = [*self.rows, (p.batchId, p.numInputRows, state.numRowsTotal if state else 0, p.batchDuration)][-self.most :]
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
 
-    Frames are kept by a bucket of the video, so that a batch reads only the
-    buckets that its videos are in.
-    """
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+class RallyStream:
+    """A running analysis: state and published rallies under one shared folder."""
 
-    #: Buckets of videos, and seconds between looks at a wish to stop.
-    buckets, poll_seconds = 64, 0.2
+    #: Seconds between looks at a wish to stop.
+    poll_seconds = 0.2
 
     def __init__(self, spark: SparkSession, root: str, videos: DataFrame, p: RallyParameters = DEFAULTS):
         self.spark, self.root, self.videos, self.p = spark, root, videos, p
+        self.published = 0
 
-    def _upto(self, table: str, batch: int, schema: str | None = None) -> DataFrame | None:
-        """Rows of a table's batches before ``batch``."""
-        if batch == 0:
-            return None
-        paths = [f"{self.root}/{table}/batch={b}" for b in range(batch)]
-        return self.spark.read.parquet(*paths)
-
-    def process(self, rows: DataFrame, batch: int, final: bool = False) -> None:
-        """Add a chunk (later chunks win a frame), analyse its videos, publish."""
-        here = f"{self.root}/frames/batch={batch}"
-        bucket = F.pmod(F.xxhash64("video_id"), F.lit(self.buckets)).cast("int")
-        rows.select(*TRAJECTORY.names).withColumn("chunk", F.lit(batch)).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(here)
-        schema = "video_id long, frame long, visible boolean, x double, y double, chunk int, bucket int"
-        fresh = self.spark.read.schema(schema).parquet(here)
-        paths = [f"{self.root}/frames/batch={b}" for b in range(batch)]
-        whole = fresh if not paths else self.spark.read.schema(schema).option("basePath", f"{self.root}/frames").parquet(*paths).drop("batch").unionByName(fresh)
-        touched = whole
-        if not final:
-            mine = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most as many as there are buckets
-            touched = whole.where(F.col("bucket").isin(mine)).join(fresh.select("video_id").distinct(), "video_id", "left_semi")
-        touched = touched.drop("bucket")
-        order = Window.partitionBy("video_id", "frame").orderBy(F.col("chunk").desc())
-        prefix = touched.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "chunk")
-        found = unpublished(closed_rallies(prefix, self.videos, final, self.p), self._upto("rallies", batch))
-        found.write.mode("overwrite").parquet(f"{self.root}/rallies/batch={batch}")
-
-    def run(self, frames: DataFrame, cancelled: Callable[[], bool] = lambda: False) -> int:
-        """Take all that a streaming DataFrame of frames has now; returns the number of the next batch.
-
-        ``cancelled`` is asked after every batch; once it says yes the stream
-        stops. Batches that were taken are kept, and the next run goes on behind them.
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        path, files = self._path(name)
+        return files.exists(path)
+
+    def _publish(self, segments: DataFrame, table: str) -> None:
+        known = self.videos.where("fps > 0")
+        rallies_of(segments, known, self.p).select(*names(RALLIES)).write.mode("overwrite").parquet(f"{self.root}/{table}")
+
+    def process(self, segments: DataFrame, batch: int) -> None:
+        """Analyse the segments that a batch closed, and append their rallies."""
+        self._publish(segments, f"rallies/batch={batch}")
+        self.published += self.spark.read.schema(RALLIES).parquet(f"{self.root}/rallies/batch={batch}").count()
+
+    def run(self, frames: DataFrame, cancelled: Callable[[], bool] = lambda: False, most: int | None = None) -> list[tuple]:
+        """Take all that a streaming DataFrame of frames has now; returns a row for each batch taken.
+
+        A row: batch, frames taken, rows in the state, milliseconds. ``cancelled``
+        is asked after every batch, and once it says yes the stream stops; so it
+        does after the batch with which it has published ``most`` rallies. Batches
+        that were taken are kept, and the next run goes on behind them.
+        """
+        if self._exists("rallies") and not self._exists("checkpoint"):
+            raise ValueError(f"{self.root} holds rallies of another run: their checkpoint is gone")
+        path, files = self._path("last")
+        files.delete(path, True)  # the last rallies of a stream that goes on are not its last
+        self.published = 0
+        name = f"rallies-{uuid.uuid4().hex}"
+        progress = Progress(name)
+        enough = lambda: most is not None and self.published >= most
+
+        def take(rows: DataFrame, batch: int) -> None:
+            if enough():
+                raise InterruptedError("enough rallies")  # the batch is not taken, and comes again with the next run
+            self.process(rows, batch)
+
+        config = {"spark.sql.streaming.stateStore.providerClass": STORE}
+        before = {k: self.spark.conf.get(k, None) for k in config}
+        for k, v in config.items():
+            self.spark.conf.set(k, v)
+        self.spark.streams.addListener(progress)
+        try:
+            query = (
+                closed_segments(frames, self.videos, self.p)
+                .writeStream.queryName(name)
+                .foreachBatch(take)
+                .option("checkpointLocation", f"{self.root}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+            while not query.awaitTermination(self.poll_seconds):
+                if cancelled() or enough():
+                    query.stop()
+                    break
+        except StreamingQueryException:
+            if not enough():
+                raise
+        finally:
+            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            self.spark.streams.removeListener(progress)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        return progress.rows
+
+    def _state(self, name: str) -> DataFrame:
+        reader = self.spark.read.format("statestore").option("path", f"{self.root}/checkpoint").option("stateVarName", name)
+        return reader.load()
+
+    def open_segments(self) -> DataFrame:
+        """Rows of the segments that no gap has closed, cut at the gaps that end here, from the state."""
+        scan = self._state("scan").select(F.col("key.video_id").alias("video_id"), "value.*").join(limits(self.videos, self.p), "video_id")
+
+        def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                cuts = [decide(*(np.asarray(r[c], k) for c, k in (("pos", np.int64), ("frame", np.int64), ("x", float), ("y", float))), r, 1 << 62, r["settled"])[0] for r in part.to_dict("records")]
+                yield pd.DataFrame({"video_id": part["video_id"], "segment": part["segment"], "cuts": cuts})
+
+        known = scan.select("video_id", *names(SCAN), "restart", "split", "long", "behind", "ahead", "diag", "top").mapInPandas(judge, "video_id long, segment long, cuts array<long>")
+        rows = self._state("open").select(F.col("key.video_id").alias("video_id"), "list_element.*").join(known, "video_id")
+        rows = rows.withColumn("segment_id", F.col("segment") + F.size(F.filter("cuts", lambda c: c < F.col("pos"))))
+        whole = Window.partitionBy("video_id", "segment_id")
+        shown = F.when(F.col("visible"), F.col("pos"))
+        rows = rows.withColumn("_first", F.min(shown).over(whole)).withColumn("_last", F.max(shown).over(whole))
+        return rows.where("pos between _first and _last").select(*names(CLOSED))
+
+    def rallies(self) -> DataFrame:
+        """All that is published, numbered by video."""
+        parts = [self.spark.read.schema(RALLIES).parquet(f"{self.root}/{t}") for t in ("rallies", "last") if self._exists(t)]
+        stored = reduce(DataFrame.unionByName, (p.select(*names(RALLIES)) for p in parts)) if parts else self.spark.createDataFrame([], RALLIES)
+        return stored.withColumn("rally", F.row_number().over(Window.partitionBy("video_id").orderBy("start_frame")).cast("long"))
+
+    def finish(self) -> DataFrame:
+        """Publish the rallies of open segments too, and return all.
+
+        Nothing stored is changed; a later ``run`` takes these last ones back. A
+        stream that has not run has none.
         """
-        query = (
-            frames.writeStream.foreachBatch(lambda rows, batch: self.process(rows, batch))
-            .option("checkpointLocation", f"{self.root}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        while not query.awaitTermination(self.poll_seconds):
-            if cancelled():
-                query.stop()
-                break
-        done = query.recentProgress
-        return 1 + max((p["batchId"] for p in done if p["numInputRows"]), default=-1)
-
-    def finish(self, batch: int) -> DataFrame:
-        """Publish the last rallies too, and return all."""
-        empty = self.spark.createDataFrame([], TRAJECTORY)
-        self.process(empty, batch, final=True)
-        return self._upto("rallies", batch + 1)
+        if self._exists("checkpoint/state/0"):
+            self._publish(self.open_segments(), "last")
+        return self.rallies()
