@@ -113,7 +113,7 @@ def neighbour(edits: DataFrame) -> DataFrame:
     """The next and the previous selected row of each row."""
     order = Window.partitionBy("video_id").orderBy("position")
     chosen = F.when(F.col("selected"), F.col("rally"))
-    ahead = F.first(chosen, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    ahead = F.last(chosen, ignorenulls=True).over(Window.partitionBy("video_id").orderBy(F.desc("position")).rowsBetween(Window.unboundedPreceding, -1))
     behind = F.last(chosen, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return edits.select("video_id", "rally", ahead.alias("next_selected"), behind.alias("previous_selected"))
 

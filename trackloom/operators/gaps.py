@@ -117,19 +117,25 @@ def tail_median(sorted_values: Column, n: int = 3) -> Column:
 def marked_rows(trajectory: DataFrame, videos: DataFrame, p: RallyParameters = DEFAULTS) -> DataFrame:
     """All rows, each visible one with the gap after it, that gap's context and the split rules.
 
+    All windows keep the one partitioning by video.
+    """
+    return marks(positions(trajectory).join(videos, "video_id"), ("video_id", "visible"), p)
+
+
+def marks(rows: DataFrame, keys: tuple[str, ...], p: RallyParameters = DEFAULTS) -> DataFrame:
+    """marked_rows of rows with places, where rows of equal keys are what windows see.
+
     The three speeds before a gap are those of the row itself and the two
     visible rows before it; the speeds after it are a range of places, in units
-    of the video's own look-ahead. So windows suffice, and all of them keep the
-    one partitioning by video.
+    of the video's own look-ahead. So windows suffice.
     """
-    rows = positions(trajectory).join(videos, "video_id")
     fps = F.col("fps")
     behind, ahead = (F.lit(0.30) * fps).cast("int"), (F.lit(0.45) * fps).cast("int")
-    shown = Window.partitionBy("video_id", "visible").orderBy("pos")
+    shown = Window.partitionBy(*keys).orderBy("pos")
     moved = F.hypot(F.col("x") - F.lag("x").over(shown), F.col("y") - F.lag("y").over(shown))
     rows = rows.withColumn("_prev", F.lag("pos").over(shown)).withColumn("_key", F.col("pos") / F.greatest(ahead, F.lit(1)))
     rows = rows.withColumn("_speed", moved / F.greatest(F.lit(1.0), (F.col("frame") - F.lag("frame").over(shown)).cast("double")))
-    reach = "over (partition by video_id, visible order by _key range between 0.000001D following and 1.000001D following)"
+    reach = f"over (partition by {", ".join(keys)} order by _key range between 0.000001D following and 1.000001D following)"
     rows = rows.withColumn("_fastest", F.expr(f"max(_speed) {reach}")).withColumn("_after", F.expr(f"count(_speed) {reach}"))
     lately = [F.when(F.lag("_prev", k).over(shown) >= F.col("pos") - behind, F.lag("_speed", k).over(shown)) for k in range(3)]
     rows = rows.select(
@@ -171,7 +177,8 @@ def segment_rows(trajectory: DataFrame, videos: DataFrame, p: RallyParameters =
     before = by_pos().rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("own", F.when(F.col("visible"), F.coalesce(F.sum("cut").over(before), F.lit(0))))
     last = F.last("own", ignorenulls=True).over(by_pos().rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first("own", ignorenulls=True).over(by_pos().rowsBetween(0, Window.unboundedFollowing))
+    # backwards: a frame that ends at the last row is gone through again for every row
+    following = F.last("own", ignorenulls=True).over(Window.partitionBy("video_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("segment_id", last).withColumn("_next", following).where("segment_id = _next").drop("own", "cut", "_next")
 
 

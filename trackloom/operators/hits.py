@@ -32,7 +32,8 @@ def interpolate(rows: DataFrame, keys: tuple[str, ...] = ("video_id", "segment_i
     order = Window.partitionBy(*keys).orderBy("pos")
     point = F.when(F.col("visible"), F.struct("pos", "x", "y"))
     a = F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    # backwards: a frame that ends at the last row is gone through again for every row
+    b = F.last(point, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_a", a).withColumn("_b", b)
     for c in ("x", "y"):
         step = (F.col(f"_b.{c}") - F.col(f"_a.{c}")) / (F.col("_b.pos") - F.col("_a.pos"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import dealt as D
 from ..operators import gaps as G
 from ..operators import hits as H
 from ..params import DEFAULTS
@@ -151,6 +152,24 @@ def f16(s, d):
     return rallies(s, d).select("video_id", "rally", "start_frame", "end_frame", r6("start_seconds"), r6("end_seconds"), "hit_count", "observed_hits", "inferred_gap_hits")
 
 
+@plan("f1_dealt_gaps", "select video_id, left_pos, right_pos, size from gaps")
+def f1_dealt(s, d):
+    """f1 with every video dealt into blocks of places."""
+    t, v = tables(s, d)
+    return D.invisible_gaps(t, v).select("video_id", "left_pos", "right_pos", "size")
+
+
+@plan("f15_dealt_segments", "select video_id, segment_id::bigint as segment_id, start_pos, end_pos, start_frame, end_frame, n_rows from segs")
+def f15_dealt(s, d):
+    return D.segments(*tables(s, d))
+
+
+@plan("f16_dealt_rallies", RALLY_SQL)
+def f16_dealt(s, d):
+    found = D.analyze(*tables(s, d))[0]
+    return found.select("video_id", "rally", "start_frame", "end_frame", r6("start_seconds"), r6("end_seconds"), "hit_count", "observed_hits", "inferred_gap_hits")
+
+
 PLANS["analyze"], SQL["analyze"] = f16, SQL["f16_number_rallies"]
 
 
@@ -194,7 +213,7 @@ def d10(s, d):
 @plan("d11_next_visible", "select video_id, pos, (select min(pos) from traj u where u.video_id = t.video_id and u.pos > t.pos and u.visible) as next_pos from traj t")
 def d11(s, d):
     shown = F.when(F.col("visible"), F.col("pos"))
-    ahead = F.first(shown, ignorenulls=True).over(G.by_pos().rowsBetween(1, Window.unboundedFollowing))
+    ahead = F.last(shown, ignorenulls=True).over(Window.partitionBy("video_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1))
     return G.positions(tables(s, d)[0]).select("video_id", "pos", ahead.alias("next_pos"))
 
 
