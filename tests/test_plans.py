@@ -29,24 +29,11 @@ def test_plan_equals_its_sql(spark, name):
 
 
 def test_every_plan_but_the_clusters_has_sql():
-    """Clusters are held against a plain version in test_dominant_region."""
+    """Clusters are held against planted courts in test_shapes."""
     assert set(registry.queries()) - set(registry.oracle_sql()) == {"j7_court_roi"}
     assert set(registry.oracle_sql()) < set(registry.queries()) and len(registry.queries()) > 110
 
 
-def test_dominant_region(spark):
-    """Two clusters far apart, of which the smaller is in the middle, against numpy's bounds."""
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    middle, corner = 0.5 + rng.uniform(-0.06, 0.06, (80, 2)), 0.05 + rng.uniform(-0.04, 0.04, (200, 2))
-    every = np.vstack([middle, corner])
-    rows = spark.createDataFrame([(float(u * 640), float(v * 720), 640, 720) for u, v in every], "x double, y double, width int, height int")
-    got = J.dominant_region(rows, k=2).first()
-    want = np.concatenate([middle.min(0) - 0.08, middle.max(0) + 0.08])
-    assert got.inside == 80 and np.allclose([got.x0, got.y0, got.x1, got.y1], want, atol=1e-5)
-
-
 def test_acceptance_and_cancelling(spark):
     from trackloom.operators import quality as Q
     from trackloom.operators import runs as R

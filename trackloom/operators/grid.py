@@ -115,20 +115,3 @@ def resize_column(cells: Column, width: int, height: int, to_width: int, to_heig
 
     return resize(cells)
 
-
-def dominant_region(points: DataFrame, k: int = 7, margin: float = 0.08, seed: int = 1) -> DataFrame:
-    """Clusters points (x, y in a frame of width and height), takes the cluster that is most
-    frequent in the middle of the frame, and returns its envelope with a margin, in shares."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    shares = points.select((F.col("x") / F.col("width")).alias("u"), (F.col("y") / F.col("height")).alias("v"))
-    ready = VectorAssembler(inputCols=["u", "v"], outputCol="features").transform(shares)
-    marked = KMeans(k=k, seed=seed, maxIter=20).fit(ready).transform(ready)
-    middle = F.col("u").between(0.3, 0.7) & F.col("v").between(0.3, 0.7)
-    boxes = marked.groupBy("prediction").agg(
-        F.count_if(middle).alias("inside"), F.min("u").alias("x0"), F.min("v").alias("y0"), F.max("u").alias("x1"), F.max("v").alias("y1")
-    )
-    best = boxes.orderBy(F.col("inside").desc(), "prediction").limit(1)
-    hold = lambda c: F.round(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)), 5)
-    return best.select("inside", hold(F.col("x0") - margin).alias("x0"), hold(F.col("y0") - margin).alias("y0"), hold(F.col("x1") + margin).alias("x1"), hold(F.col("y1") + margin).alias("y1"))

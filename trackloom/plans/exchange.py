@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunks as K
 from ..operators import grid as J
 from ..operators import runs as R
+from ..operators import shapes as H
 from ..sources import files as S
 from ..sources.files import shared
 from .chain import CHAIN
@@ -203,21 +204,58 @@ select vec_id, plane::bigint as plane, cell::bigint as cell, round((round_even(v
 
 @plan("j8_resize_sweep")
 def j8(s, d):
-    """Mismatching cells of each threshold against the default one, on every grid."""
-    grids = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("g"))
-    each = grids.select("vec_id", "g", F.explode(F.array(*map(F.lit, (0.05, 0.1, 0.15, 0.2)))).alias("threshold"))
-    wrong = F.size(F.filter("g", lambda v: (v > F.col("threshold")) != (v > 0.15))).cast("long")
-    return each.groupBy("threshold").agg(F.sum(wrong).alias("mismatch"))
-
-
-SQL["j8_resize_sweep"] = "select t::double as threshold, sum(len(list_filter(embedding, lambda v: (v::double > t::double) <> (v::double > 0.15::double))))::bigint as mismatch from embeddings, (values (0.05), (0.1), (0.15), (0.2)) p(t) group by 1"
+    """Formulations of the resize ranked by the cells in which they differ from the one in use, on every grid."""
+    grids = s.read.parquet(f"{d}/embeddings.parquet").select(F.transform("embedding", lambda v: (F.abs(v) * 200).cast("int")).alias("grid"))
+    return H.resize_sweep(grids.withColumn("wanted", J.resize_column(F.col("grid"), 8, 8, 5, 7)), 8, 8, 5, 7).withColumn("worst", r6(F.col("worst")))
+
+
+SQL["j8_resize_sweep"] = """
+with e as (select vec_id, list_transform(embedding, lambda v: trunc(abs(v)::float * 200::float)::bigint) as g from embeddings),
+tx as (select k, least(7, greatest(0, (k + 0.5::double) * 8 / 5 - 0.5::double)) as pos from range(0, 5) r(k)),
+ty as (select k, least(7, greatest(0, (k + 0.5::double) * 8 / 7 - 0.5::double)) as pos from range(0, 7) r(k)),
+ax as (select k, least(6, floor(pos))::bigint as lo, pos - least(6, floor(pos)) as f from tx),
+ay as (select k, least(6, floor(pos))::bigint as lo, pos - least(6, floor(pos)) as f from ty),
+c as (
+  select vec_id, g[y.lo * 8 + x.lo + 1] as p, g[y.lo * 8 + x.lo + 2] as q, g[y.lo * 8 + x.lo + 9] as r, g[y.lo * 8 + x.lo + 10] as s, x.f as fx, y.f as fy from e, ax x, ay y),
+t as (select *, round_even((p * (1 - fx) + q * fx) * (1 - fy) + (r * (1 - fx) + s * fx) * fy, 0)::bigint as wanted from c),
+floats as (
+  select passes, 0 as bits, '' as "first", 0 as "add", how, vec_id, wanted,
+    case how when 'even' then round_even(v, 0) when 'up' then floor(v + 0.5::double) else trunc(v) end::bigint as got
+  from (
+    select *, case when passes = 1 then a else case how when 'even' then round_even(a, 0) when 'up' then floor(a + 0.5::double) else trunc(a) end end * (1 - fy)
+            + case when passes = 1 then b else case how when 'even' then round_even(b, 0) when 'up' then floor(b + 0.5::double) else trunc(b) end end * fy as v
+    from (select *, p * (1 - fx) + q * fx as a, r * (1 - fx) + s * fx as b from t, (values (1), (2)) n(passes), (values ('even'), ('up'), ('down')) h(how)))),
+w as (
+  select *, case "first" when 'far' then round_even(fx * (1 << bits), 0)::bigint else (1 << bits) - round_even((1 - fx) * (1 << bits), 0)::bigint end as u,
+            case "first" when 'far' then round_even(fy * (1 << bits), 0)::bigint else (1 << bits) - round_even((1 - fy) * (1 << bits), 0)::bigint end as z,
+            half * (1::bigint << (bits - 1)) as "add"
+  from t, (values (1), (2)) n(passes), (values (8), (10), (11), (12), (14), (15), (16)) b(bits), (values ('near'), ('far')) f("first"), (values (0), (1)) h(half)),
+m as (
+  select *, p * ((1 << bits) - u) + q * u as a, r * ((1 << bits) - u) + s * u as b from w),
+k as (
+  select *, case when passes = 1 then a else greatest(0, least(255, (a + "add") >> bits)) end as top, case when passes = 1 then b else greatest(0, least(255, (b + "add") >> bits)) end as low from m),
+whole as (
+  select passes, bits, "first", "add", '' as how, vec_id, wanted,
+    greatest(0, least(255, (top * ((1 << bits) - z) + low * z + "add") >> (bits * (3 - passes)))) as got from k),
+every as (select passes, bits, "first", "add", how, vec_id, wanted, got from floats union all select passes, bits, "first", "add", how, vec_id, wanted, got from whole),
+n as (select passes, bits, "first", "add", how, vec_id, count(*) filter (where got <> wanted) as wrong from every group by all),
+o as (select passes, bits, "first", "add", how, sum(wrong)::bigint as mismatch, round(max(wrong) * 100.0::double / 35, 6) as worst from n group by 1, 2, 3, 4, 5)
+select passes::integer as passes, bits::integer as bits, "first", "add"::integer as "add", how, mismatch, worst,
+  (row_number() over (order by mismatch, passes, bits, "first", "add", how))::integer as rank from o"""
 
 
 @plan("j7_court_roi")
 def j7(s, d):
-    """Envelope of the most frequent cluster of points in the middle of each frame."""
-    t, v = tables(s, d)
-    return J.dominant_region(t.where("visible").join(v, "video_id"), k=4)
+    """The floor in the median of 15 images for each label; an image is a grid enlarged, with a colour that follows its values."""
+    from pyspark.sql.window import Window
+
+    grids = s.read.parquet(f"{d}/embeddings.parquet").where("label is not null").select("vec_id", F.col("label").cast("long").alias("video_id"), F.transform("embedding", lambda v: (F.abs(v) * 200).cast("int")).alias("g"))
+    whole = Window.partitionBy("video_id")
+    grids = grids.withColumn("n", F.count("*").over(whole)).withColumn("k", F.row_number().over(whole.orderBy("vec_id")))
+    spread = grids.where(F.expr("(k * 15) div n <> ((k - 1) * 15) div n"))  # evenly over the video, all if it has fewer
+    colour = F.transform(J.resize_column(F.col("g"), 8, 8, 48, 32), lambda v: F.substring(F.concat(*(F.unhex(F.lpad(F.hex(c), 2, "0")) for c in (v, 255 - v, F.floor(v / 2).cast("int")))), 1, 3))
+    images = spread.select("video_id", F.unhex(F.array_join(F.transform(colour, lambda b: F.hex(b)), "")).alias("image"))
+    return H.court_regions(images, 48, 32, closing=3, opening=1)
 
 
 @plan("e12_largest_component", None)
@@ -260,3 +298,36 @@ def j3(s, d):
 
 
 PLANS["j5_predict_chunk"], SQL["j5_predict_chunk"] = j3, SQL["j3_predict_windows"]
+
+
+@plan("j4_decode_by_area")
+def j4_area(s, d):
+    """Heat maps by the outline that encloses the largest area, not by cells."""
+    grids = s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("g"))
+    return grids.select("vec_id", H.decode_by_area(F.col("g"), 8, 8, 0.05, 640.0, 720.0).alias("p")).select("vec_id", "p.*")
+
+
+SQL["j4_decode_by_area"] = """
+with recursive wide as (
+  select vec_id, x, y, x between 0 and 7 and y between 0 and 7 and coalesce(embedding[greatest(0, least(7, y)) * 8 + greatest(0, least(7, x)) + 1]::double > 0.05::double, false) as hit
+  from embeddings, range(-1, 9) a(x), range(-1, 9) b(y)),
+out(vec_id, x, y) as (
+  select vec_id, x, y from wide where x = -1 and y = -1
+  union
+  select w.vec_id, w.x, w.y from out o join wide w on w.vec_id = o.vec_id and abs(w.x - o.x) + abs(w.y - o.y) = 1 where not w.hit),
+c as (select w.vec_id, w.x, w.y, w.y * 8 + w.x as i from wide w anti join out o on o.vec_id = w.vec_id and o.x = w.x and o.y = w.y),
+reach(vec_id, i, low) as (
+  select vec_id, i, i from c
+  union
+  select r.vec_id, b.i, r.low from reach r join c a on a.vec_id = r.vec_id and a.i = r.i
+  join c b on b.vec_id = a.vec_id and abs(b.x - a.x) <= 1 and abs(b.y - a.y) <= 1),
+l as (select vec_id, i, min(low) as low from reach group by 1, 2),
+p as (select c.*, l.low from c join l using (vec_id, i)),
+q as (  -- squares of four cells count one, of three a half
+  select vec_id, low, sum(case n when 4 then 1 when 3 then 0.5 else 0 end)::double as area
+  from (select vec_id, low, x + dx as sx, y + dy as sy, count(*) as n from p, (values (0), (1)) u(dx), (values (0), (1)) v(dy) group by 1, 2, 3, 4) group by 1, 2),
+b as (select vec_id, low, min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from p group by 1, 2),
+t as (select * from b join q using (vec_id, low) qualify row_number() over (partition by vec_id order by area desc, low) = 1)
+select e.vec_id, coalesce(area, 0) as area, coalesce((x0 + x1 + 1) / 2.0::double * 80, 0) as x, coalesce((y0 + y1 + 1) / 2.0::double * 90, 0) as y, area is not null as visible
+from embeddings e left join t on t.vec_id = e.vec_id
+"""
