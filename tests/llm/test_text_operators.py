@@ -259,7 +259,7 @@ def test_chat_round_trip(spark):
         want[conv] = turns
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string")
     for block in (4096, 3):
-        windows = chat.format_windows(df, budget=120, history=40, pinned=15, block=block)
+        windows = chat.format_windows(df, budget=120, history=40, block=block)
         got = {r.conv_id: r for r in chat.in_order(windows).mapInArrow(chat.read_windows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long").collect()}
         for conv, turns in want.items():
             loss = "".join(t or "" for r, t in turns if r == "assistant")
@@ -270,10 +270,9 @@ def test_chat_round_trip(spark):
             parts = list(chat._TURN.finditer(w.formatted))
             own = len(parts) - w.repeated
             assert own >= 1 and "".join(m[0] for m in parts) == w.formatted
-            tokens = sum(chat.FRAME + chat.quarter(m[2]) for m in parts)
-            assert tokens <= 120 or (own == 1 and w.repeated <= 1)
+            assert chat.quarter(w.formatted) <= 120 or (own == 1 and w.repeated <= 1)
             if want[w.conv_id][0][0] == "system":
-                assert chat.unescape(parts[0][1]) == "system"
+                assert (chat.unescape(parts[0][1]), chat.unescape(parts[0][2])) == ("system", "be brief")
     assert chat.format_windows(df.limit(0)).collect() == []
 
 
@@ -351,16 +350,34 @@ def test_a_long_system_turn_and_a_long_conversation_keep_the_budget(spark, monke
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     path = public_tokenizers.path("word_bpe_49k.json")
     count = bpe.Bpe(open(path, "rb").read()).n_ids
+    rows += [(4, 0, "system", "keep to this rule " * 25)] + [(4, k, "user" if k % 2 else "assistant", "short words") for k in range(1, 40)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for vocabulary, tokens in ((path, count), (None, chat.quarter)):
         windows = chat.format_windows(df, vocabulary=vocabulary, block=100).collect()
         for w in windows:
-            parts = list(chat._TURN.finditer(w.formatted))
-            own = len(parts) - w.repeated
-            assert sum(chat.FRAME + tokens(m[2]) for m in parts) <= chat.BUDGET or own == 1
-        first = [w for w in windows if w.conv_id == 1]
-        assert all(w.formatted.startswith("<|turn|>system<|body|>rule") for w in first) and len(first) < 12
+            assert tokens(w.formatted) <= chat.BUDGET or len(list(chat._TURN.finditer(w.formatted))) == 1
+        first = sorted((w for w in windows if w.conv_id == 1), key=lambda w: w.window)
+        assert [w.formatted.startswith("<|turn|>system<|body|>rule") for w in first] == [True] + [False] * (len(first) - 1)  # alone over the budget
+        assert all(w.formatted.startswith("<|turn|>system<|body|>" + "keep to this rule " * 25 + "<|end|>") for w in windows if w.conv_id == 4)
         got = {r.conv_id: r.n_turns for r in chat.in_order(chat.format_windows(df, vocabulary=vocabulary, block=100)).mapInArrow(chat.read_windows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long").collect()}
-        assert got == {1: 61, 2: 500, 3: 3}
+        assert got == {1: 61, 2: 500, 3: 3, 4: 40}
+
+
+@pytest.mark.parametrize("block", [2, 7, 20])
+def test_history_goes_over_the_edges_of_blocks(spark, block):
+    rows = [(1, 10_000 * k, "system" if not k else "user", f"t{k:02d} " + "x" * (k % 13)) for k in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    seen = 0
+    for w in chat.in_order(chat.format_windows(df, budget=100, history=30, block=block)).collect():
+        said = [int(m[2][1:3]) for m in chat._TURN.finditer(w.formatted)]
+        own, repeated = said[w.repeated :], said[: w.repeated]
+        assert own[0] == seen and own == list(range(seen, seen + len(own)))
+        seen += len(own)
+        if own[0]:
+            cost = lambda k: chat.quarter(chat.framed("user", rows[k][3]))
+            before = [k for k in range(1, own[0]) if sum(map(cost, range(k, own[0]))) <= 30]
+            assert repeated == [0, *before] and (before or own[0] == 1)
+    assert seen == 60
 
 
 def test_classifier_on_labels_held_back(spark):

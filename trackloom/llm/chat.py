@@ -19,16 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import load
 from .common import bounded_batches
 
-#: Tokens of a window, of which at most so many are repeated turns, and so many a repeated system turn.
-BUDGET, HISTORY, PINNED = 512, 128, 128
-#: Turn numbers that one block spans; each block's first window repeats only the system turn.
+#: Tokens of a window, of which at most so many are repeated turns other than the system's.
+BUDGET, HISTORY = 512, 128
+#: Turns of one block, which one task formats; turn numbers by which turns are first counted.
 BLOCK = 4096
-#: Tokens of a turn's frame.
-FRAME = 4
 #: Control strings. Texts and roles have no bare "<" after escaping.
 OPEN, BODY, CLOSE = "<|turn|>", "<|body|>", "<|end|>"
 _TURN = re.compile(r"<\|turn\|>([^<]*)<\|body\|>([^<]*)<\|end\|>")
@@ -49,11 +48,9 @@ def quarter(text: str) -> int:
     return (len(text) + 3) // 4
 
 
-def shortened(text: str, tokens: int, count: Callable[[str], int]) -> str:
-    """The longest first part of a text, up to halving, that has at most so many tokens."""
-    while text and count(text) > tokens:
-        text = text[: min(len(text) // 2, 8 * tokens)]
-    return text
+def framed(role: str, text: str) -> str:
+    """One turn as it stands in a window."""
+    return f"{OPEN}{escape(role)}{BODY}{escape(text)}{CLOSE}"
 
 
 def plan(costs: np.ndarray, room: int, history: int, at: int = 0, first_room: int | None = None, low: int = 0) -> Iterator[tuple[int, int, int]]:
@@ -97,20 +94,25 @@ HELD_CHARS, SEND_CHARS = 8 << 20, 4 << 20
 class _Block:
     """Turns of one block that are not all in windows yet, and the history before them."""
 
-    def __init__(self, conv: int | None, block: int | None, system: str | None, own_system: bool, limits: tuple[int, int, int], count: Callable[[str], int]):
+    def __init__(self, conv: int | None, block: int, system: str | None, limits: tuple[int, int], count: Callable[[str], int]):
         self.key, self.number, self.turns, self.costs, self.at, self.chars = (conv, block), 0, [], [], 0, 0
-        self.limits, self.count, self.low = limits, count, int(own_system)
-        self.pin = [] if system is None else [("system", shortened(system, limits[2], lambda t: count(escape(t))))]
-
-    def add(self, role: str, text: str) -> None:
+        self.limits, self.count = limits, count
+        self.low = int(system is not None and block == 0)  # the first block has the system turn itself
+        cost = 0 if system is None else count(framed("system", system))
+        # one that leaves no room in any window is not repeated
+        self.pin, self.pin_cost = ([("system", system)], cost) if 0 < cost < limits[0] else ([], 0)
+
+    def add(self, role: str, text: str, past: bool) -> None:
+        """Take a turn; those of the block before come first and are history only."""
         self.turns.append((role, text))
-        self.costs.append(FRAME + self.count(escape(text)))
+        self.costs.append(self.count(framed(role, text)))
         self.chars += len(text)
+        self.at += past
 
     def windows(self, whole: bool) -> Iterator[dict]:
         """Windows of the turns held; where more turns may come, all but the last."""
-        budget, history, _ = self.limits
-        room = budget - sum(FRAME + self.count(escape(text)) for _, text in self.pin)
+        budget, history = self.limits
+        room = budget - self.pin_cost
         own = self.low and not self.number  # the first window has the system turn itself
         spans = list(plan(np.array(self.costs, np.int64), max(1, room), history, self.at, budget if own else None, self.low))
         for back, at, end in spans if whole else spans[:-1]:
@@ -124,19 +126,19 @@ class _Block:
             self.chars = sum(len(t) for _, t in self.turns)
 
 
-def window_spans(budget: int, history: int, pinned: int, vocabulary: bytes | None):
+def window_spans(budget: int, history: int, vocabulary: bytes | None):
     """Map over sorted turns: the windows of each block of each conversation."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         count = load(vocabulary).n_ids if vocabulary else quarter
         held: _Block | None = None
         for batch in batches:
-            for who, block, role, text, system, system_block in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "block", "role", "text", "system", "system_block")), strict=True):
+            for who, block, role, text, system, past in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "block", "role", "text", "system", "past")), strict=True):
                 if held is None or held.key != (who, block):
                     if held:
                         yield from held.windows(True)
-                    held = _Block(who, block, system, system is not None and block == system_block, (budget, history, pinned), count)
-                held.add(role, text)
+                    held = _Block(who, block, system, (budget, history), count)
+                held.add(role, text, past)
                 if held.chars > HELD_CHARS:
                     yield from held.windows(False)
         if held:
@@ -156,18 +158,21 @@ def window_spans(budget: int, history: int, pinned: int, vocabulary: bytes | Non
     return run
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, pinned: int = PINNED, vocabulary: str | None = None, block: int = BLOCK) -> DataFrame:
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, vocabulary: str | None = None, block: int = BLOCK) -> DataFrame:
     """Format conversations (conv_id, turn, role, text) as windows with loss spans.
 
     Returns conv_id, block, window (in the block), formatted, repeated (turns at
     its start that an earlier window has) and loss (character spans). A first
-    turn with role system is repeated in every window, cut to at most ``pinned``
-    tokens there; loss spans cover assistant texts as escaped, without their
-    frame. A window's tokens, those of its frames included, are at most
-    ``budget``, but where a single turn of its own is longer than what the
-    system turn leaves: turns are never cut, and it then has no history.
-    Tokens are those of the vocabulary file at a path, or, with none, a quarter
-    of the characters. Blocks are runs of ``block`` turn numbers.
+    turn with role system is repeated whole in every window (one that fills the
+    budget alone is a window of its own, and is not repeated); turns before a
+    window's own, of at most ``history`` tokens, are repeated behind it. Loss spans
+    cover assistant texts as escaped, without their frame. A window's tokens are
+    at most ``budget``, frames, roles and the system turn included, but where a
+    single turn of its own is longer than what the system turn leaves: turns are
+    never cut, and it then is alone with the system turn. Tokens are those of
+    the vocabulary file at a path, or, with none, a quarter of the characters.
+    Conversations are formatted in blocks of ``block`` turns, each of which also
+    gets the last turns of the block before, as history.
 
     Null text or role: empty. Null conv_id: one conversation. Null turn: before
     all others; equal turns go by role, then text. Repeated rows: each is a
@@ -179,16 +184,28 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     if vocabulary:
         with open(vocabulary, "rb") as file:
             source = file.read()
+    count = load(source).n_ids if source else quarter
+    # turns that the history can hold: each has a frame at least
+    edge = min(block, history // max(1, count(framed("", ""))))
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.col("turn") / block))
-    # the first row of a conversation by turn, role and text, where it is the system's
-    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", F.when(F.col("role") == "system", F.col("text")).alias("text"), "block")).alias("first"))
-    first = first.where("first.role = 'system'").select(F.col("conv_id").alias("_conv"), F.col("first.text").alias("system"), F.col("first.block").alias("system_block"))
+    ).withColumn("part", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+    # a turn's place: by parts of a conversation, then in its part, so that no task needs a conversation whole
+    parts = rows.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("conv_id").alias("_conv"), F.col("part").alias("_part"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+    rows = rows.withColumn("_at", F.row_number().over(inside) - 1).join(parts, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")))
+    rows = rows.select("conv_id", "role", "text", (F.col("_before") + F.col("_at")).alias("place"))
+    first = rows.where("place = 0 and role = 'system'").select(F.col("conv_id").alias("_conv"), F.col("text").alias("system"))
     known = rows.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
-    dealt = known.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
-    return dealt.mapInArrow(window_spans(budget, history, pinned, source), WINDOW_SCHEMA)
+    own = F.floor(F.col("place") / block)
+    late = (F.col("place") % block >= block - edge) & ((F.col("place") > 0) | F.col("system").isNull())  # the system turn is no history
+    again = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = known.withColumn("block", F.explode(again)).withColumn("past", F.col("block") > own)
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
+    return dealt.mapInArrow(window_spans(budget, history, source), WINDOW_SCHEMA)
 
 
 def in_order(windows: DataFrame) -> DataFrame:
