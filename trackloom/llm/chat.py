@@ -172,7 +172,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     never cut, and it then is alone with the system turn. Tokens are those of
     the vocabulary file at a path, or, with none, a quarter of the characters.
     Conversations are formatted in blocks of ``block`` turns, each of which also
-    gets the last turns of the block before, as history.
+    gets the turns before it that the history can hold.
 
     Null text or role: empty. Null conv_id: one conversation. Null turn: before
     all others; equal turns go by role, then text. Repeated rows: each is a
@@ -186,7 +186,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
             source = file.read()
     count = load(source).n_ids if source else quarter
     # turns that the history can hold: each has a frame at least
-    edge = min(block, history // max(1, count(framed("", ""))))
+    edge = history // max(1, count(framed("", "")))
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -201,8 +201,9 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     first = rows.where("place = 0 and role = 'system'").select(F.col("conv_id").alias("_conv"), F.col("text").alias("system"))
     known = rows.join(first, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
     own = F.floor(F.col("place") / block)
-    late = (F.col("place") % block >= block - edge) & ((F.col("place") > 0) | F.col("system").isNull())  # the system turn is no history
-    again = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
+    # the system turn is no history
+    last = F.when((F.col("place") > 0) | F.col("system").isNull(), F.floor((F.col("place") + edge) / block)).otherwise(own)
+    again = F.sequence(own, last)
     dealt = known.withColumn("block", F.explode(again)).withColumn("past", F.col("block") > own)
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
     return dealt.mapInArrow(window_spans(budget, history, source), WINDOW_SCHEMA)
