@@ -64,9 +64,6 @@ class Progress(StreamingQueryListener):
 class RallyStream:
     """A running analysis: state and published rallies under one shared folder."""
 
-    #: Seconds between looks at a wish to stop.
-    poll_seconds = 0.2
-
     def __init__(self, spark: SparkSession, root: str, videos: DataFrame, p: RallyParameters = DEFAULTS):
         self.spark, self.root, self.videos, self.p = spark, root, videos, p
         self.published = 0
@@ -92,8 +89,8 @@ class RallyStream:
         """Take all that a streaming DataFrame of frames has now; returns a row for each batch taken.
 
         A row: batch, frames taken, rows in the state, milliseconds. ``cancelled``
-        is asked after every batch, and once it says yes the stream stops; so it
-        does after the batch with which it has published ``most`` rallies. Batches
+        is asked before every batch, and once it says yes the stream stops; so it
+        does behind the batch with which it has published ``most`` rallies. Batches
         that were taken are kept, and the next run goes on behind them.
         """
         if self._exists("rallies") and not self._exists("checkpoint"):
@@ -104,10 +101,12 @@ class RallyStream:
         name = f"rallies-{uuid.uuid4().hex}"
         progress = Progress(name)
         enough = lambda: most is not None and self.published >= most
+        stopped: list[int] = []
 
         def take(rows: DataFrame, batch: int) -> None:
-            if enough():
-                raise InterruptedError("enough rallies")  # the batch is not taken, and comes again with the next run
+            if enough() or cancelled():
+                stopped.append(batch)
+                raise InterruptedError("stopped")  # the batch is not taken, and comes again with the next run
             self.process(rows, batch)
 
         config = {"spark.sql.streaming.stateStore.providerClass": STORE}
@@ -124,12 +123,9 @@ class RallyStream:
                 .trigger(availableNow=True)
                 .start()
             )
-            while not query.awaitTermination(self.poll_seconds):
-                if cancelled() or enough():
-                    query.stop()
-                    break
+            query.awaitTermination()  # a stream stops between batches only: what runs is never cut off while it writes
         except StreamingQueryException:
-            if not enough():
+            if not stopped:
                 raise
         finally:
             self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
