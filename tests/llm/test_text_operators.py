@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -443,7 +444,7 @@ def test_threshold_is_of_all_findings_not_fitted_on(spark, make_docs):
     rows = make_docs(list(enumerate(texts))).select("doc_id", "text")
     found = scratch.write(rows.mapInArrow(secrets.find, secrets.FOUND_SQL), "found")
     net = secrets.train(found, scratch, sample=24)
-    blobs = [c.classes for r in found.collect() for c in r.candidates if any(c.labels)] + [b for r in found.collect() for b in r.taught]
+    blobs = [c.classes for r in found.collect() for c in r.candidates if any(c.labels)] + [b for r in found.collect() if r.holder for b in secrets.taught(r.holder, [tuple(x) for x in r.base])]
     unseen = [secrets._windows(bytes(b)) for b in blobs]
     unseen = [w for w in unseen if not any(x in net.fitted for x in w)]
     assert len(unseen) > 1500
@@ -507,6 +508,47 @@ def test_network_finds_secrets_that_no_pattern_does(spark, make_docs):
     assert wrong <= 0.02 * clean, wrong / clean
 
 
+def test_texts_with_very_many_secrets(spark, make_docs):
+    """Twice the keys take about twice the time, spans are found by place as by a look at each, and samples are those of all windows."""
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    dump = "\n".join(f"token = {key(32)} at {rng.choice(['home', 'work', 'night'])} no {rng.randrange(10**7)}" for _ in range(20_000))
+    spans = secrets.base_spans(dump)
+    places = secrets.Places(spans + [("hex", e - 32, e) for _, _, e in spans])
+    both = spans + [("hex", e - 32, e) for _, _, e in spans]
+    for _ in range(40):
+        a = rng.randrange(len(dump))
+        b = a + rng.randrange(1, 400)
+        assert sorted(places.touching(a, b)) == sorted((s, e) for _, s, e in both if s < b and a < e)
+        assert places.free(a, b) == all(e < a or b < s for _, s, e in both)
+        starts = secrets.window_starts(a, b)
+        assert secrets.window_labels(places, a, b) == bytes(int(any(s < min(t + secrets.VALUE, b) and t < e for _, s, e in both)) for t in starts.tolist())
+    took = []
+    for n in (500, 4_000):
+        begin = time.perf_counter()
+        for _ in secrets.taught(dump, spans[:n]):
+            pass
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 20 * took[0], took
+    rows = [(k, f"see password: {key(20)} and {rng.randrange(10**9)}") for k in range(50)] + [(99, dump)]
+    found = make_docs(rows).select("doc_id", "text").mapInArrow(secrets.find, secrets.FOUND_SQL)
+    size = found.where("doc_id = 99").select(F.size("base").alias("n")).first().n
+    assert size == 40_000
+    few = Scratch(spark, "test-many").write(make_docs(rows[:50]).select("doc_id", "text").mapInArrow(secrets.find, secrets.FOUND_SQL), "found")
+    got = few.select("candidates", "base", "holder").mapInArrow(secrets.windows(30), "label int, classes binary").distinct()
+    for label in (0, 1):
+        every = {w for r in few.collect() for c in r.candidates for w, y in zip(secrets._windows(bytes(c.classes)), c.labels, strict=True) if y == label}
+        if label:
+            every |= {w for r in few.collect() for b in secrets.taught(r.holder, [tuple(x) for x in r.base]) for w in secrets._windows(b)}
+        want = spark.createDataFrame([(w,) for w in every], "classes binary").orderBy(F.xxhash64("classes"), "classes").limit(30).collect()
+        mine = got.where(F.col("label") == label).orderBy(F.xxhash64("classes"), "classes").limit(30).collect()
+        assert [bytes(r.classes) for r in mine] == [bytes(r.classes) for r in want] and len(want) == 30
+    marked = secrets.redacted(dump, [{"begin": s, "end": e} for _, s, e in spans], "*")
+    assert marked.startswith("* at ") and marked.count("*") == 20_000 and "token" not in marked
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é token=abcdef x", [("assign", 2, 14), ("hex", 8, 14)]), ("plain", [])], "text string, spans array<struct<kind:string,begin:long,end:long>>")
     assert [r.t for r in df.select(secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()] == ["é [secret] x", "plain"]
+    odd = spark.createDataFrame([(None, []), ("a", None), ("ab cd ef gh", [("hex", 0, 5), ("assign", 1, 2), ("hex", 4, 8)])], df.schema)
+    assert [r.t for r in odd.select(secrets.redact(F.col("text"), F.col("spans")).alias("t")).collect()] == [None, None, "[secret] gh"]

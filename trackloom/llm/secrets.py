@@ -21,13 +21,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
 from itertools import cycle, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, text_slices
@@ -98,7 +100,9 @@ def classes(text: str, begin: int, end: int) -> bytes:
     """Character classes of a candidate's windows between their surroundings, at fixed places, one after the other."""
 
     def code(part: str) -> bytes:
-        return bytes(min(ord(c), OTHER) for c in part)
+        if part.isascii():
+            return part.encode()
+        return np.minimum(np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32), OTHER).astype(np.uint8).tobytes()
 
     blank = bytes([NOTHING])
     before, after = code(text[max(0, begin - SIDE) : begin]), code(text[end : end + SIDE])
@@ -110,13 +114,33 @@ def classes(text: str, begin: int, end: int) -> bytes:
     return whole[(window_starts(begin, end) - begin)[:, None] + np.arange(SPAN)].tobytes()
 
 
-def window_labels(spans: list[tuple[str, int, int]], begin: int, end: int) -> bytes:
+class Places:
+    """The spans of one text, found by place; spans of one kind don't overlap."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.kinds = []
+        for kind in {k for k, *_ in spans}:
+            mine = sorted((s, e) for k, s, e in spans if k == kind)
+            self.kinds.append(([s for s, _ in mine], [e for _, e in mine]))
+
+    def touching(self, begin: int, end: int) -> Iterator[tuple[int, int]]:
+        """Spans that share a character with the range."""
+        for starts, ends in self.kinds:
+            for k in range(bisect_right(ends, begin), bisect_left(starts, end)):
+                yield starts[k], ends[k]
+
+    def free(self, begin: int, end: int) -> bool:
+        """Whether no span is in the range or next to it."""
+        return all(bisect_left(ends, begin) >= bisect_right(starts, end) for starts, ends in self.kinds)
+
+
+def window_labels(places: Places, begin: int, end: int) -> bytes:
     """For each window of a candidate 1 if a base span is in it, else 0."""
     starts = window_starts(begin, end)
+    ends = np.minimum(starts + VALUE, end)
     inside = np.zeros(len(starts), bool)
-    for _, s, e in spans:
-        if s < end and begin < e:
-            inside |= (s < np.minimum(starts + VALUE, end)) & (starts < e)
+    for s, e in places.touching(begin, end):
+        inside[np.searchsorted(ends, s, "right") : np.searchsorted(starts, e, "left")] = True
     return inside.astype(np.uint8).tobytes()
 
 
@@ -144,29 +168,34 @@ def forms(value: str) -> list[str]:
     return out
 
 
-def surroundings(text: str, spans: list[tuple[str, int, int]], own: tuple[int, int], seed: int) -> tuple[str, str]:
+def surroundings(text: str, blanks: np.ndarray, places: Places, own: tuple[int, int], seed: int) -> tuple[str, str]:
     """Characters on both sides of a space of the text that is away from every span; after eight tries those of a span itself."""
     for k in range(8):
-        at = text.find(" ", (seed >> (5 * k)) % max(1, len(text)))
-        if at >= 0 and all(e < at - SIDE or at + SIDE < s for _, s, e in spans):
-            return text[max(0, at + 1 - SIDE) : at + 1], text[at : at + SIDE]
+        nth = int(np.searchsorted(blanks, (seed >> (5 * k)) % max(1, len(text))))
+        if nth < len(blanks):
+            at = int(blanks[nth])
+            if places.free(at - SIDE, at + SIDE):
+                return text[max(0, at + 1 - SIDE) : at + 1], text[at : at + SIDE]
     return text[max(0, own[0] - SIDE) : own[0]], text[own[1] : own[1] + SIDE].lstrip("\"'")
 
 
-def taught(text: str, spans: list[tuple[str, int, int]]) -> list[bytes]:
-    """Windows with each secret of a text in all forms, away from its name: alone, and at the end of a path."""
-    out = []
+def taught(text: str, spans: list[tuple[str, int, int]]) -> Iterator[bytes]:
+    """Windows with each secret of a text in all forms, away from its name: alone, and at the end of a path.
+
+    One after the other, as a text may hold very many; the time for each doesn't grow with their number.
+    """
+    places = Places(spans)
+    blanks = np.array([m.start() for m in re.finditer(" ", text)], np.int64) if spans else np.zeros(0, np.int64)
     for kind, begin, end in spans:
         value = _ASSIGN.match(text, begin)[2] if kind == "assign" else text[begin:end]
         for k, form in enumerate(forms(value)):
-            before, after = surroundings(text, spans, (begin, end), xxhash.xxh64_intdigest(form.encode(), k))
-            out.append(classes(before + form + after, len(before), len(before) + len(form)))
+            before, after = surroundings(text, blanks, places, (begin, end), xxhash.xxh64_intdigest(form.encode(), k))
+            yield classes(before + form + after, len(before), len(before) + len(form))
             path = "/".join(islice(cycle(re.findall(r"[a-z]+", before + after) or ["a"]), 8)) + "/"
             start, last = len(before), len(before) + len(path) + len(form)
             seen = np.minimum(window_starts(start, last) + VALUE, last) - np.maximum(window_starts(start, last), start + len(path))
             windows = _windows(classes(before + path + form + after, start, last))
-            out += [w for w, n in zip(windows, seen, strict=True) if n >= 0.75 * min(len(form), VALUE)]
-    return out
+            yield from (w for w, n in zip(windows, seen, strict=True) if n >= 0.75 * min(len(form), VALUE))
 
 
 def order_key(span: tuple[str, int, int]) -> tuple[int, int, int]:
@@ -176,11 +205,11 @@ def order_key(span: tuple[str, int, int]) -> tuple[int, int, int]:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
 _CANDIDATES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("labels", pa.binary()), ("classes", pa.binary())]))
 _SPANS_SQL = "array<struct<kind:string,begin:long,end:long>>"
-FOUND_SQL = f"doc_id long, base {_SPANS_SQL}, taught array<binary>, candidates array<struct<begin:long,end:long,labels:binary,classes:binary>>"
+FOUND_SQL = f"doc_id long, base {_SPANS_SQL}, holder string, candidates array<struct<begin:long,end:long,labels:binary,classes:binary>>"
 
 
 def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map: base spans and candidates of every text, in code points."""
+    """Map: base spans and candidates of every text, in code points; the text itself where it has base spans (holder)."""
     for batch in batches:
         texts_all = batch.column("text")
         for first, end, data, offsets in text_slices(batch):
@@ -190,6 +219,7 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in zip(*runs(_HEX[data], offsets, 24), strict=True):
                 d = int(np.searchsorted(offsets, a, "right")) - 1
                 base[d].append(("hex", int(points[a] - points[offsets[d]]), int(points[b] - points[offsets[d]])))
+            places = [Places(spans) for spans in base]
             numbers = np.append(0, np.cumsum(_NUMBER[data]))
             a, b = runs(_KEY[data], offsets, CANDIDATE)
             taken = (numbers[b] > numbers[a]) | (b - a >= LETTERS) if len(a) else np.zeros(0, bool)
@@ -197,9 +227,12 @@ def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo, hi in zip(a[taken].tolist(), b[taken].tolist(), strict=True):
                 d = int(np.searchsorted(offsets, lo, "right")) - 1
                 x, y = int(points[lo] - points[offsets[d]]), int(points[hi] - points[offsets[d]])
-                candidates[d].append({"begin": x, "end": y, "labels": window_labels(base[d], x, y), "classes": classes(texts[d], x, y)})
+                candidates[d].append({"begin": x, "end": y, "labels": window_labels(places[d], x, y), "classes": classes(texts[d], x, y)})
             rows = [[{"kind": k, "begin": s, "end": e} for k, s, e in sorted(spans, key=order_key)] for spans in base]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(first, end - first), "base": pa.array(rows, _SPANS), "taught": pa.array([taught(t, spans) if spans else [] for t, spans in zip(texts, base, strict=True)], pa.list_(pa.binary())), "candidates": pa.array(candidates, _CANDIDATES)})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").slice(first, end - first), "base": pa.array(rows, _SPANS),
+                "holder": pa.array([t if spans else None for t, spans in zip(texts, base, strict=True)], pa.string()), "candidates": pa.array(candidates, _CANDIDATES),
+            })
 
 
 class CharNet:
@@ -318,27 +351,83 @@ def _windows(blob: bytes) -> list[bytes]:
     return [blob[k : k + SPAN] for k in range(0, len(blob), SPAN)]
 
 
-def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map: label and classes of every window of every candidate, and of every form of a secret."""
-    for batch in batches:
-        for row, more in zip(batch.column("candidates").to_pylist(), batch.column("taught").to_pylist(), strict=True):
-            shown = [w for c in more for w in _windows(c)]
-            labels = [label for c in row for label in c["labels"]] + [1] * len(shown)
-            yield pa.RecordBatch.from_pydict({"label": pa.array(labels, pa.int32()), "classes": pa.array([w for c in row for w in _windows(c["classes"])] + shown, pa.binary())})
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[list[dict], Iterator[bytes]]]:
+    """Candidates of each text, and the forms of its secrets."""
+    for row, base, text in zip(batch.column("candidates"), batch.column("base"), batch.column("holder"), strict=True):
+        text = text.as_py()
+        yield row.as_py(), taught(text, [(s["kind"], s["begin"], s["end"]) for s in base.as_py()]) if text else iter(())
+
+
+class Smallest:
+    """The distinct windows of smallest hash, of all that are added, so many; their order is that of xxhash64 in Spark."""
+
+    def __init__(self, size: int):
+        self.size, self.kept, self.last = size, {}, None
+
+    def add(self, found: Iterable[bytes]) -> None:
+        for w in found:
+            key = ((xxhash.xxh64_intdigest(w, 42) ^ 1 << 63) - (1 << 63), w)
+            if self.last is None or key < self.last:
+                self.kept[w] = key
+                if len(self.kept) >= 2 * self.size + 64:
+                    self.cut()
+
+    def cut(self) -> list[bytes]:
+        keys = sorted(self.kept.values())[: self.size]
+        self.kept = {w: (h, w) for h, w in keys}
+        self.last = keys[-1] if keys and len(keys) == self.size else self.last
+        return list(self.kept)
+
+
+def windows(sample: int):
+    """Map: of the windows of candidates and of forms of secrets, by label, those of smallest hash, ``sample`` of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {0: Smallest(sample), 1: Smallest(sample)}
+        for batch in batches:
+            for row, shown in _rows(batch):
+                for c in row:
+                    for w, label in zip(_windows(c["classes"]), c["labels"], strict=True):
+                        best[label].add((w,))
+                for blob in shown:
+                    best[1].add(_windows(blob))
+        for label, found in best.items():
+            mine = found.cut()
+            yield pa.RecordBatch.from_pydict({"label": pa.array([label] * len(mine), pa.int32()), "classes": pa.array(mine, pa.binary())})
+
+    return run
+
+
+#: Windows that are scored at once.
+SCORED = 4096
 
 
 def unseen_scores(net: CharNet):
     """Map: score of every labelled secret, in every form, that the network was not fitted on, that of its best window, as the bits of a double."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(found: list[list[bytes]]) -> pa.RecordBatch:
+        first = np.append(0, np.cumsum([len(w) for w in found])[:-1])
+        best = np.maximum.reduceat(net.score(_codes([b"".join(w) for w in found])), first)
+        return pa.RecordBatch.from_pydict({"bits": pa.array(best.astype(np.float64).view(np.int64))})
+
+    def secrets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         for batch in batches:
-            best = []
-            for row, more in zip(batch.column("candidates").to_pylist(), batch.column("taught").to_pylist(), strict=True):
-                found = [[w for w, label in zip(_windows(c["classes"]), c["labels"], strict=True) if label] for c in row]
-                for mine in [*found, *map(_windows, more)]:
-                    if mine and not any(w in net.fitted for w in mine):
-                        best.append(net.score(_codes(mine)).max())
-            yield pa.RecordBatch.from_pydict({"bits": pa.array(np.array(best, np.float64).view(np.int64))})
+            for row, shown in _rows(batch):
+                for c in row:
+                    yield [w for w, label in zip(_windows(c["classes"]), c["labels"], strict=True) if label]
+                yield from map(_windows, shown)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for mine in secrets(batches):
+            if mine and not any(w in net.fitted for w in mine):
+                held.append(mine)
+                n += len(mine)
+                if n >= SCORED:
+                    yield scored(held)
+                    held, n = [], 0
+        if held:
+            yield scored(held)
 
     return run
 
@@ -367,13 +456,14 @@ def train(found: DataFrame, scratch: Scratch, sample: int = SAMPLE, recall: floa
 
     Its threshold is taken over all labelled secrets that are not of the fit.
     """
-    each = found.select("candidates", "taught").mapInArrow(windows, "label int, classes binary").distinct()
+    rows = found.select("candidates", "base", "holder")
+    each = rows.mapInArrow(windows(sample), "label int, classes binary").distinct()
     parts = [each.where(F.col("label") == k).orderBy(F.xxhash64("classes"), "classes").limit(sample).toArrow() for k in (0, 1)]
     if not all(p.num_rows for p in parts):
         return None
     blobs = [b for p in parts for b in p["classes"].to_pylist()]
     net = CharNet(_codes(blobs), np.repeat([0, 1], [p.num_rows for p in parts]), recall=recall)
-    kept = lowest_kept(scratch.write(found.select("candidates", "taught").mapInArrow(unseen_scores(net), "bits long"), "unseen"), recall)
+    kept = lowest_kept(scratch.write(rows.mapInArrow(unseen_scores(net), "bits long"), "unseen"), recall)
     net.threshold = net.threshold if kept is None else min(SURE, kept)
     return net
 
@@ -405,7 +495,8 @@ def scan_secrets(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
 
     Null text: empty, no spans. Null doc_id: kept, null. Repeated rows: each is
     scanned; equal findings teach once. No finding of either label: base spans
-    only. Empty table: no rows. Other columns are ignored.
+    only. Empty table: no rows. Other columns are ignored. Texts with very many
+    secrets: time and memory grow with their number, no faster.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -415,19 +506,26 @@ def scan_secrets(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     return found.mapInArrow(judge(train(found, scratch)), f"doc_id long, spans {_SPANS_SQL}")
 
 
-def redact(text, spans, mark: str = "[secret]"):
-    """Column: the text with each span replaced; overlapping spans become one mark."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """The text with each span replaced; overlapping spans become one mark. Null text or spans: null."""
 
-    def step(acc, s):
-        between = F.substr(text, (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["begin"] - acc["at"]).cast("int"))
-        fresh = s["begin"] >= acc["at"]
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], between, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-        )
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([redacted(t, s, mark) for t, s in zip(texts, found, strict=True)], dtype=object)
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    return run(text, spans)
+
+
+def redacted(text: str | None, spans: Iterable[dict] | None, mark: str) -> str | None:
+    """One text, spans in order of their begin."""
+    if text is None or spans is None:
+        return None
+    parts, at = [], 0
+    for s in spans:
+        if s["begin"] >= at:
+            parts += [text[at : s["begin"]], mark]
+        at = max(at, s["end"])
+    return "".join([*parts, text[at:]])
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
