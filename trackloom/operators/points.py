@@ -48,12 +48,6 @@ def running_score(points: DataFrame) -> DataFrame:
     )
 
 
-def game_over(a: Column, b: Column) -> Column:
-    """21 points with two ahead, or 30."""
-    most = F.greatest(a, b)
-    return ((most >= 21) & (F.abs(a - b) >= 2)) | (most >= 30)
-
-
 def coalesce_runs(points: DataFrame, outcome: str = "NON_RALLY") -> DataFrame:
     """Consecutive rows of one outcome as one row."""
     order = Window.partitionBy("video_id").orderBy("rally")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import chunks as K
 from ..operators import edits as M
+from ..operators import games as B
 from ..operators import gaps as G
 from ..operators import grid as J
 from ..operators import points as P
@@ -517,6 +518,35 @@ def p5(s, d):
     return P.running_score(outcomes(s, d))
 
 
+@plan("p5_game_fold")
+def p5_games(s, d):
+    """Games of every user's events, taken for outcomes in a row, in blocks of 16."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    point = F.when((F.col("event_id") * 7 + F.floor("value")) % 5 < 3, "A_POINT").otherwise("B_POINT")
+    outcome = F.when(F.col("event_type") == "error", "NON_RALLY").when(F.col("event_type") == "signup", F.when(F.col("event_id") % 3 == 0, "PENDING").otherwise(point)).otherwise(point)
+    rows = s.read.parquet(f"{d}/events.parquet").select("user_id", F.row_number().over(order).alias("rally"), outcome.alias("outcome"))
+    return B.game_scores(rows, "user_id", block=16)
+
+
+SQL["p5_game_fold"] = """with recursive points as (
+  select user_id, row_number() over (partition by user_id order by event_id) as rally,
+    case when event_type = 'error' then 'NON_RALLY' when event_type = 'signup' and event_id % 3 = 0 then 'PENDING'
+      when (event_id * 7 + floor(value)::bigint) % 5 < 3 then 'A_POINT' else 'B_POINT' end as outcome
+  from events),
+played as (
+  select user_id, rally, outcome, 1::bigint as game, (outcome = 'A_POINT')::integer as a, (outcome = 'B_POINT')::integer as b,
+    0::bigint as games_a, 0::bigint as games_b, false as ends, case when outcome in ('A_POINT', 'B_POINT') then left(outcome, 1) end as server
+  from points where rally = 1
+  union all
+  select user_id, rally, outcome, game, a, b, games_a + (ends and a > b)::integer, games_b + (ends and b > a)::integer, ends, case when not ends then server end
+  from (select *, (greatest(a, b) >= 21 and abs(a - b) >= 2) or greatest(a, b) >= 30 as ends from (
+    select p.user_id, p.rally, p.outcome, g.game + g.ends::integer as game, case when g.ends then 0 else g.a end + (p.outcome = 'A_POINT')::integer as a,
+      case when g.ends then 0 else g.b end + (p.outcome = 'B_POINT')::integer as b, g.games_a, g.games_b,
+      case when p.outcome in ('A_POINT', 'B_POINT') then left(p.outcome, 1) else g.server end as server
+    from played g join points p on p.user_id = g.user_id and p.rally = g.rally + 1)))
+select * from played"""
+
+
 @plan("p6_structure_checks", ", l as (select *, start_seconds - lag(end_seconds) over (partition by video_id order by rally) as pause from rallies) select video_id, rally, array_to_string(list_filter([case when end_seconds - start_seconds < 1.5::double then 'short' end, case when end_seconds - start_seconds > 60 then 'long' end, case when pause < 2.5::double then 'no_quiet' end], lambda c: c is not null), ',') as checks from l")
 def p6(s, d):
     return P.structure_checks(rallies(s, d)).withColumn("checks", F.array_join("checks", ","))
