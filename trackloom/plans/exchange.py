@@ -10,6 +10,7 @@ from ..operators import grid as J
 from ..operators import runs as R
 from ..operators import shapes as H
 from ..sources import files as S
+from ..sources import folders as D
 from ..sources import frames as V
 from ..sources.files import shared
 from .chain import CHAIN
@@ -117,6 +118,38 @@ def e16(s, d):
     return s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.sum(F.octet_length("props")).alias("bytes"))
 
 
+def put_props(s, d, root: str) -> None:
+    """A folder of text files for each of 32 groups of users."""
+    rows = s.read.parquet(f"{d}/events.parquet").select(F.col("props").alias("value"), (F.col("user_id") % 32).alias("part"))
+    rows.write.partitionBy("part").text(root)
+
+
+def part(folder):
+    return F.regexp_extract(folder, r"^part=(\d+)$", 1).cast("long").alias("part")
+
+
+@plan("e16_listed_size", " select user_id % 32 as part, sum(octet_length(encode(props)) + 1)::bigint as bytes from events group by 1")
+def e16_listed(s, d):
+    """Bytes of the files in each folder, a line's end behind each text."""
+    root = shared(s, "sizes")
+    put_props(s, d, root)
+    return D.folder_sizes(D.listing(s, root)).select(part("folder"), "bytes").where("part is not null")
+
+
+@plan("k11_listed_clear", " select user_id % 32 as part, case when user_id % 32 % 3 = 0 then 'deleted' else 'in use' end as state, sum(octet_length(encode(props)) + 1)::bigint as bytes, case when user_id % 32 % 3 = 0 then 0 else sum(octet_length(encode(props)) + 1) end::bigint as bytes_left from events group by user_id % 32")
+def k11_listed(s, d):
+    """Folders of every third group are cleared; what each held, and what a listing finds afterwards."""
+    root = shared(s, "clear")
+    put_props(s, d, root)
+    before = shared(s, "before")
+    D.folder_sizes(D.listing(s, root)).where("folder is not null").write.parquet(before)
+    sizes = s.read.parquet(before)
+    cleared = D.clear(s, root, lambda: sizes.where(part("folder") % 3 != 0))
+    left = D.folder_sizes(D.listing(s, root)).select("folder", F.col("bytes").alias("bytes_left"))
+    told = sizes.join(cleared.select("folder", "state"), "folder", "left").join(left, "folder", "left")
+    return told.select(part("folder"), F.coalesce("state", F.lit("in use")).alias("state"), "bytes", F.coalesce("bytes_left", F.lit(0).cast("long")).alias("bytes_left"))
+
+
 @plan("h4_missing_columns", " select 'Y' as missing union all select 'Visibility'")
 def h4(s, d):
     present = tables(s, d)[0].select(F.col("frame").alias("Frame"), F.col("x").alias("X"))
