@@ -12,7 +12,7 @@ from trackloom.sources import files as S
 from trackloom.sources.tables import TRAJECTORY, event_trajectories, event_videos
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ("e16_listed_size", "k11_listed_clear", "p5_game_fold", "a3_scan_trajectory_csv", "a8_scan_raw_tensor", "a9_scan_token_text", "b1_write_chunk", "c11_quality_gate", "c15_media_profile", "d2_golden_lookup", "d9_timestamp_zip", "e17_throughput", "f17_trailing_history", "j2_model_input", "k4_fingerprint_guard", "k5_cancel", "k8_rebuild_prefix", "p10_acceptance", "f4_gap_length", "f14_split_rules", "f8_smooth", "f13_hit_rows", "analyze", "e7_comparison_report", "h2_dedup_keep_last", "m2_assembly_cutlist", "m3_filter_graph", "d7_sync_edit_list", "j4_decode_heatmap", "p4_compact_cut", "s1_format_seconds", "s3_safe_names")
+CHECKED = ("b8_compare_and_set", "e16_listed_size", "k11_listed_clear", "p5_game_fold", "a3_scan_trajectory_csv", "a8_scan_raw_tensor", "a9_scan_token_text", "b1_write_chunk", "c11_quality_gate", "c15_media_profile", "d2_golden_lookup", "d9_timestamp_zip", "e17_throughput", "f17_trailing_history", "j2_model_input", "k4_fingerprint_guard", "k5_cancel", "k8_rebuild_prefix", "p10_acceptance", "f4_gap_length", "f14_split_rules", "f8_smooth", "f13_hit_rows", "analyze", "e7_comparison_report", "h2_dedup_keep_last", "m2_assembly_cutlist", "m3_filter_graph", "d7_sync_edit_list", "j4_decode_heatmap", "p4_compact_cut", "s1_format_seconds", "s3_safe_names")
 
 
 @pytest.mark.parametrize("name", CHECKED)

@@ -104,6 +104,22 @@ def b8(s, d):
     return R.latest(s, root)
 
 
+@plan("b8_compare_and_set", " select video_id, rally, hit_count + (video_id % 2 = 0)::integer + (rally % 2 = 0)::integer as hit_count from rallies")
+def b8_compared(s, d):
+    """Two changes made from one version: the second is told of the first, and made again from its rows."""
+    root = shared(s, "compared")
+    add = lambda rows, where: rows.withColumn("hit_count", F.col("hit_count") + F.when(where, 1).otherwise(0))
+    base = R.commit(rallies(s, d).select("video_id", "rally", "hit_count"), root, None)
+    stale = R.latest(s, root)
+    R.commit(add(stale, F.col("video_id") % 2 == 0), root, base)
+    odd = F.col("rally") % 2 == 0
+    try:
+        R.commit(add(stale, odd), root, base)
+    except R.Conflict:
+        R.update(s, root, lambda rows: add(rows, odd))
+    return R.latest(s, root)
+
+
 @plan("b10_reports", " select video_id, count(*) as n_rows, count(*) filter (visible) as visible_frames from traj group by 1")
 def b10(s, d):
     from ..operators.quality import coverage
